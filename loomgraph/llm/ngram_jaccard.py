@@ -14,9 +14,11 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact:
    too few filled groups for that argument also takes part in finer groupings.
 3. Connected candidates are compared through an R-tree over their group-count
    vectors.  The overlap of a query with anything below a node is at most the sum
-   of the coordinate minima of the query and the node's upper corner; what
-   survives at a leaf is verified on the sets.  Pairs that are already connected
-   need no verification, because only components are asked for.
+   of the coordinate minima of the query and the node's upper corner.  Larger
+   groups of candidates pass a tree over short vectors first, which breaks them
+   up before any set is shipped; then sets are gathered, indexed by longer
+   vectors, and what survives at a leaf is verified.  Pairs that are already
+   connected are skipped, because only components are asked for.
 4. Candidates above ``block`` in one component are split over tasks by pairs of
    blocks, so no task holds more than two blocks.
 
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .shared import components, stage
 
+GROUPS = 64
+REFINE_ABOVE = 32
+REFINE_BLOCK = 16384
 KEYS_PER_PART = 1_000_000
 FLUSH_KEYS = 2_000_000
 
@@ -67,6 +72,10 @@ def _sets(data, off, k):
     return out[keep], np.concatenate(([0], np.cumsum(full)))
 
 
+def _group(u, groups):
+    return (T.mix(u) % np.uint64(groups)).astype(np.int64)
+
+
 def _class_ids(u, bounds):
     n = np.diff(bounds).astype(np.uint64)
     one = T.seg_sum(T.mix(u ^ np.uint64(0x51ED270B9F8A1C35)), bounds)
@@ -146,9 +155,12 @@ def _points(k, percent, id_col, text_col):
             for lo, hi, data, off in T.slices(T.column(b, text_col)):
                 u, at = _sets(data, off, k)
                 one, two = _class_ids(u, at)
+                rows = np.repeat(np.arange(hi - lo), np.diff(at))
+                vec = np.bincount(rows * GROUPS + _group(u, GROUPS), minlength=(hi - lo) * GROUPS).astype("<u4").tobytes()
+                vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * GROUPS), hi - lo, [None, pa.py_buffer(vec)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(at)), pa.array(T.i64(one)), pa.array(T.i64(two))],
-                    names=["doc_id", "n", "cid", "cid2"],
+                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(at)), pa.array(T.i64(one)), pa.array(T.i64(two)), vec],
+                    names=["doc_id", "n", "cid", "cid2", "counts"],
                 )
     return run
 
@@ -216,6 +228,7 @@ class CountRTree:
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = 32, fan: int = 16):
         self.counts, self.sizes, self.percent = counts, sizes, percent
         self.leaf, self.fan = leaf, fan
+        self.sum_type = np.uint16 if counts.dtype == np.uint16 and sizes.max() < 65536 else np.int64
         cut = np.arange(0, len(sizes), leaf)
         self.leaf_hi = np.maximum.reduceat(counts, cut)
         self.leaf_lo_n = np.minimum.reduceat(sizes, cut)
@@ -231,7 +244,7 @@ class CountRTree:
         small = np.maximum(lo_n, -(-n * p // 100))
         ok = np.flatnonzero((hi_n >= -(-n * p // 100)) & (lo_n * p <= 100 * n))
         if len(ok):
-            bound = np.minimum(corner[ok], q).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(corner[ok], q).sum(axis=1, dtype=self.sum_type).astype(np.int64)
             ok = ok[bound * (100 + p) >= p * (n + small[ok])]
         return ok
 
@@ -249,6 +262,34 @@ class CountRTree:
         return points[self._pass(q, n, self.counts[points], self.sizes[points], self.sizes[points])]
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint16 if counts.max() < 65536 else np.int64)
+
+
+def _order(sizes: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Like sizes together, and inside those what ``near`` puts together: boxes of the packed tree are small."""
+    return np.lexsort((near, (np.log(np.maximum(sizes, 1)) / np.log(1.05)).astype(np.int64)))
+
+
+def _forest(tree: CountRTree, verify) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that pass the tree and ``verify(i, candidates) -> those that link``."""
+    n = len(tree.sizes)
+    parent = np.arange(n)
+    out = []
+    for i in range(1, n):
+        if not tree.sizes[i]:
+            continue
+        near = tree.search(tree.counts[i], int(tree.sizes[i]), i)[::-1]
+        while len(near := near[parent[near] != parent[i]]):
+            some, near = near[:64], near[64:]
+            for j in verify(i, some):
+                a, b = parent[j], parent[i]
+                if a != b:
+                    parent[parent == max(a, b)] = min(a, b)
+                    out.append((int(j), i))
+    return out
+
+
 def link_sets(sets: list[np.ndarray], percent: int, groups: int | None = None) -> list[tuple[int, int]]:
     """Links that join all that link, among sorted arrays of distinct hashes: a spanning forest, by R-tree and verification."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -256,41 +297,26 @@ def link_sets(sets: list[np.ndarray], percent: int, groups: int | None = None) -
         return []
     if groups is None:
         groups = int(min(512, max(32, 1 << int(np.median(sizes) // 4).bit_length())))
-    flat = np.concatenate(sets)
-    order = np.lexsort((sizes, [s[0] if len(s) else 0 for s in sets]))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    place = np.empty(len(sets), np.int64)
-    place[order] = np.arange(len(sets))
-    group = (T.mix(flat) % np.uint64(groups)).astype(np.int64)
-    counts = np.bincount(place[owner] * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups)
-    counts = counts.astype(np.uint16 if counts.max() < 65535 else np.int64)
+    order = _order(sizes, np.array([s[0] if len(s) else 0 for s in sets], np.uint64))
     sizes, sets = sizes[order], [sets[i] for i in order]
-    tree = CountRTree(counts, sizes, percent)
-    parent = np.arange(len(sets))
-    out = []
-    for i in range(1, len(sets)):
-        n = int(sizes[i])
-        if not n:
-            continue
-        near = tree.search(counts[i], n, i)
-        if not len(near):
-            continue
-        mine = i  # parent[] always holds roots: classes are relabelled on union
-        near = near[::-1]
-        while len(near):
-            near = near[parent[near] != parent[mine]]
-            if not len(near):
-                break
-            some, near = near[:64], near[64:]
-            at = np.concatenate([sets[j] for j in some])
-            spot = np.minimum(np.searchsorted(sets[i], at), n - 1)
-            both = np.add.reduceat((sets[i][spot] == at).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
-            for j in some[both * (100 + percent) >= percent * (n + sizes[some])]:
-                a, b = parent[j], parent[mine]
-                if a != b:
-                    parent[parent == max(a, b)] = min(a, b)
-                    out.append((int(order[j]), int(order[i])))
-    return out
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    counts = np.bincount(owner * groups + _group(np.concatenate(sets), groups), minlength=len(sets) * groups).reshape(len(sets), groups)
+
+    def verify(i, some):
+        at = np.concatenate([sets[j] for j in some])
+        spot = np.minimum(np.searchsorted(sets[i], at), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][spot] == at).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+        return some[both * (100 + percent) >= percent * (sizes[i] + sizes[some])]
+
+    return [(int(order[i]), int(order[j])) for i, j in _forest(CountRTree(_narrow(counts), sizes, percent), verify)]
+
+
+def close_vectors(counts: np.ndarray, near: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose vectors the bound lets link."""
+    sizes = counts.sum(axis=1).astype(np.int64)
+    order = _order(sizes, near)
+    tree = CountRTree(_narrow(counts[order]), sizes[order], percent)
+    return [(int(order[i]), int(order[j])) for i, j in _forest(tree, lambda i, some: some)]
 
 
 def _ship_sets(k, text_col):
@@ -304,30 +330,60 @@ def _ship_sets(k, text_col):
     return run
 
 
-def _link_task(percent):
+def _by_component(link, column):
+    """Links of each component of a task, as pairs of classes."""
+
     def run(t: pa.Table) -> pa.Table:
         comp = t["comp"].to_numpy()
         cid = t["cid"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        data = t[column].to_pylist()
         order = np.argsort(comp, kind="stable")
-        cut = np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1, append=comp[order[-1]] + 1)) if len(comp) else []
+        cut = np.append(np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1)), len(order)) if len(comp) else []
         a, b = [], []
         for x, z in zip(cut[:-1], cut[1:]):
             rows = order[x:z]
-            for i, j in link_sets([sets[r] for r in rows], percent):
+            for i, j in link([data[r] for r in rows], cid[rows]):
                 a.append(cid[rows[i]])
                 b.append(cid[rows[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
     return run
 
 
+def _link_task(percent):
+    return _by_component(lambda blobs, _: link_sets([np.frombuffer(x, np.uint64) for x in blobs], percent), "shingles")
+
+
+def _refine_task(percent):
+    def link(blobs, cid):
+        if len(blobs) < 2:
+            return []
+        counts = np.frombuffer(b"".join(blobs), "<u4").reshape(len(blobs), -1)
+        return close_vectors(counts.astype(np.int64), counts.argmax(axis=1), percent)
+
+    return _by_component(link, "counts")
+
+
+def _deal(some: DataFrame, block: int) -> DataFrame:
+    """some (cid, comp, ..) with a task: components up to a block are packed together, larger ones meet by pairs of blocks."""
+    sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    some = some.join(sizes, "comp")
+    packs = max(1, math.ceil(some.count() / block))
+    small = some.where(F.col("size") <= block).withColumn("task", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    large = some.where(F.col("size") > block).withColumn("i", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    large = large.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.withColumn("task", F.concat_ws("_", "comp", F.least("i", "j"), F.greatest("i", "j"))).drop("i", "j")
+    return small.unionByName(large).drop("size")
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 4096
 ) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document; see the module's text."""
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = stage(text.mapInArrow(_points(k, percent, "doc_id", "text"), "doc_id long, n long, cid long, cid2 long"), "members")
+    members = stage(text.mapInArrow(_points(k, percent, "doc_id", "text"), "doc_id long, n long, cid long, cid2 long, counts binary"), "members")
     classes = stage(
         members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("cid2").alias("x"), F.max("cid2").alias("y")),
         "classes",
@@ -339,17 +395,15 @@ def jaccard_components(
     cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, keys binary, cids binary")
     near = cells.groupBy("part").applyInArrow(_stars, "a long, b long")
     near = components(near).withColumnsRenamed({"node": "cid", "root": "comp"})
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    some = stage(near.join(sizes, "comp").join(classes.select("cid", "doc_id", "n"), "cid"), "candidates")
-    total = some.count()
-    packs = max(1, math.ceil(total / block))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    split = some.where(F.col("size") > block).select("doc_id", "cid", "comp", own.alias("i"), other.alias("j"))
-    tasks = some.where(F.col("size") <= block).select("doc_id", "cid", "comp", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))).alias("task"))
-    tasks = tasks.unionByName(split.select("doc_id", "cid", "comp", F.concat_ws("_", "comp", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
-    ships = tasks.join(text, "doc_id").select("task", "comp", "cid", "text")
+    near = stage(near.join(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp"), "candidates")
+    many = near.where(F.col("size") > REFINE_ABOVE).drop("size")
+    short = members.where("n > 0").join(classes.select("doc_id", "cid"), ["doc_id", "cid"]).dropDuplicates(["cid"]).select("cid", "counts")
+    deals = _deal(many, max(block, REFINE_BLOCK) if block > 64 else block).join(short, "cid")
+    finer = deals.groupBy("task").applyInArrow(_refine_task(percent), "a long, b long")
+    finer = components(finer).withColumnsRenamed({"node": "cid", "root": "comp"})
+    near = near.where(F.col("size") <= REFINE_ABOVE).drop("size").unionByName(finer)
+    some = stage(near.join(classes.select("cid", "doc_id"), "cid"), "candidates")
+    ships = _deal(some, block).join(text, "doc_id").select("task", "comp", "cid", "text")
     links = ships.mapInArrow(_ship_sets(k, "text"), "task string, comp long, cid long, shingles binary")
     links = links.groupBy("task").applyInArrow(_link_task(percent), "a long, b long")
     roots = components(links).withColumnsRenamed({"node": "cid"})
