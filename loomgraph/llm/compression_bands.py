@@ -59,9 +59,8 @@ def _measures(data: np.ndarray, off: np.ndarray):
     cuts = np.flatnonzero(data == 10)
     start = np.union1d(cuts + 1, off[:-1])
     start = start[start < len(data)]
-    end = np.union1d(cuts, off[1:])
-    end = np.minimum(end[np.searchsorted(end, start)], len(data)) if len(start) else start
     doc = np.searchsorted(off, start, side="right") - 1
+    end = np.minimum(np.append(cuts, len(data))[np.searchsorted(cuts, start)], off[doc + 1])
     solid = np.concatenate(([0], np.cumsum(~space)))
     full = solid[end] > solid[start]
     start, end, doc = start[full], end[full], doc[full]

@@ -7,8 +7,8 @@ pattern's words is free, each further use dearer than the last one, so
 repetition is spread evenly and used only where a quota needs it.  The flow is
 solved on the driver over patterns and sources, never over documents.  A
 pattern's flow then fixes how often each of its documents is taken: the whole
-number of times for all, and once more for documents in a seeded hash order up
-to the rest.
+number of times for all, and once more for documents in a seeded hash order,
+class by class of sizes, up to the rest.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and
 share the words of all documents; a target stops at ``max_repeat`` times its
@@ -24,14 +24,15 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
 
 #: Patterns and sources are gathered on the driver; more than this is an error, not a cut.
-MAX_PATTERNS = 20_000
-BINS = 1024
+MAX_PATTERNS = 1000
+#: Sums gathered on the driver: about this many rows at most, whatever the number of documents.
+TOLD = 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -122,11 +123,13 @@ def mix(
     given = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
     given = F.when(F.size(given) == 0, F.array(F.lit(None).cast("string"))).otherwise(given)
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row_key"), n_words(F.col(text_col)).alias("size"), given.alias("sources")), "sizes")
-    sums = rows.groupBy("sources").agg(F.sum("size").alias("n"))
-    found = {tuple(r["sources"]): r["n"] for r in sums.limit(MAX_PATTERNS + 1).collect()}
-    if len(found) > MAX_PATTERNS:
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row_key"), n_words(F.col(text_col)).alias("size"), given.alias("sources"), F.to_json(given).alias("pattern")), "sizes")
+    sums = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("n"))
+    told = sums.limit(MAX_PATTERNS + 1).collect()
+    if len(told) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = {tuple(r["sources"]): r["n"] for r in told}
+    name = {tuple(r["sources"]): r["pattern"] for r in told}
     source_size: dict = {}
     for p, n in found.items():
         for s in p:
@@ -135,27 +138,31 @@ def mix(
     goal = targets_of(found, source_size, list(weights), max_repeat)
     flow = route(found, goal, max_repeat)
     plan = [
-        (list(p), float(sum(source_size[s] for s in p)), float(sum(goal[s] for s in p)), sum(flow[p].values()) // n if n else 0, sum(flow[p].values()) % n if n else 0)
+        (name[p], float(sum(source_size[s] for s in p)), float(sum(goal[s] for s in p)), sum(flow[p].values()) // n if n else 0, sum(flow[p].values()) % n if n else 0)
         for p, n in found.items()
     ]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "sources array<string>, source_size double, target double, full long, rest long"))
-    # where the rest ends in the seeded order: bins of the hash, then bins inside the bin where it ends
-    first = F.pmod(F.shiftrightunsigned("row_key", 40), F.lit(BINS)).alias("bin")
-    second = F.pmod(F.shiftrightunsigned("row_key", 20), F.lit(BINS)).alias("sub")
-    rows = rows.select("*", first, second).join(plan_df, F.col("sources").eqNullSafe(plan_df["sources"])).drop(plan_df["sources"])
-    order = Window.partitionBy("sources").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy("sources", "bin").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    edge = bins.where("before <= rest AND rest < before + n").select("sources", F.col("bin").alias("edge"), (F.col("rest") - F.col("before")).alias("need"))
-    edge = F.broadcast(stage(edge, "edges"))  # one row for each pattern
-    rows = rows.join(edge, F.col("sources").eqNullSafe(edge["sources"]), "left").drop(edge["sources"])
-    inner = rows.where("bin = edge").groupBy("sources", "sub").agg(F.sum("size").alias("n"), F.first("need").alias("need"))
-    order = Window.partitionBy("sources").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where("before + n / 2 <= need")
-    inner = F.broadcast(stage(inner.groupBy("sources").agg(F.max("sub").alias("last")), "edges"))
-    rows = rows.join(inner, F.col("sources").eqNullSafe(inner["sources"]), "left").drop(inner["sources"])
-    more = F.coalesce(F.col("bin") < F.col("edge"), F.lit(False)) | F.coalesce((F.col("bin") == F.col("edge")) & (F.col("sub") <= F.col("last")), F.lit(False))
-    copies = F.col("full") + F.when(more & (F.col("rest") > 0), 1).otherwise(0)
+    rest_of = {p[0]: p[4] for p in plan}
+    plan_df = F.broadcast(spark.createDataFrame(plan, "pattern string, source_size double, target double, full long, rest long"))
+    # Each size class of a pattern gives its share of the rest, in the seeded order of bins of the hash.  What a class of
+    # long documents misses is carried to the next shorter one, so a source misses its target by less than one short bin.
+    bins = 1 << max(5, min(10, (TOLD // (32 * max(1, len(found)))).bit_length() - 1))
+    rows = rows.withColumn("class", F.length(F.bin("size"))).withColumn("bin", F.pmod(F.shiftrightunsigned("row_key", 24), F.lit(bins)))
+    told = rows.where("size > 0").groupBy("pattern", "class", "bin").agg(F.sum("size").alias("n")).toPandas()
+    edges = []
+    for pattern, part in told.groupby("pattern"):
+        rest, total = rest_of[pattern], int(part["n"].sum())
+        carry = 0.0
+        for size_class in sorted(part["class"].unique(), reverse=True):
+            own = part[part["class"] == size_class].sort_values("bin")
+            sums = [0, *own["n"].cumsum().tolist()]
+            need = rest * sums[-1] / total + carry
+            i = min(range(len(sums)), key=lambda k: abs(sums[k] - need))
+            carry = need - sums[i]
+            edges.append((pattern, int(size_class), int(own["bin"].iloc[i - 1]) if i else -1))
+    edge = F.broadcast(spark.createDataFrame(edges, "pattern string, class int, last long"))  # at most 64 rows for each pattern
+    rows = rows.join(plan_df, "pattern").join(edge, ["pattern", "class"], "left")
+    more = F.coalesce(F.col("bin") <= F.col("last"), F.lit(False))
+    copies = F.col("full") + F.when(more, 1).otherwise(0)
     return rows.select(
         "doc_id", "row_key", "size", "sources", F.col("source_size").cast("long").alias("source_size"), "target",
         copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),

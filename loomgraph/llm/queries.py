@@ -5,13 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_jaccard import jaccard_components
+from . import chat_layouts, compression_bands, flow_mixing, ngram_jaccard, positional_index, wavelet_shards
 from .shared import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=8)
+    return positional_index.digest(found, least_items=2)
+
+
+def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, bits=16)
+    return wavelet_shards.read_digest(shards)
+
+
+def op4_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands.quality_bands(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    turns = chat_layouts.canonical_turns(chat_layouts.row_records(rows))
+    return chat_layouts.digest(chat_layouts.format_turns(turns))
+
+
+def op9_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = flow_mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), weights=(1, 2, 3), max_repeat=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_decontamination": op2_decontamination,
+    "op3_wavelet_shards": op3_wavelet_shards,
+    "op4_quality_bands": op4_quality_bands,
+    "op8_chat_layouts": op8_chat_layouts,
+    "op9_flow_mixing": op9_flow_mixing,
+}
 SQL: dict[str, str] = {}
