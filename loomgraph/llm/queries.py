@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_layouts, compression_bands, flow_mixing, ngram_jaccard, positional_index, wavelet_shards
-from .shared import table
+from . import chat_layouts, compression_bands, flow_mixing, fused_language, maxent_lm, ngram_jaccard, ordinal_quality, positional_index, tiered_shards, wavelet_shards
+from .shared import shared_dir, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +35,38 @@ def op4_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality_bands(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fused_language.train_text(table(spark, sf_dir, "documents"))
+    return fused_language.identify(table(spark, sf_dir, "pages"), model)
+
+
+def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in 16 lots, are compacted to the target size and read back from the newest version."""
+    docs = table(spark, sf_dir, "documents")
+    store = tiered_shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=64 << 20)
+    store.append_by(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "arrival")
+    store.compact(docs.schema)
+    store.vacuum()
+    rows = store.read(docs.schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    model, counts = maxent_lm.train(docs.where("NOT held_out"))
+    return maxent_lm.score(docs, model, counts, held_out="held_out")
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 good.  Kept: more likely than not above the lowest grade."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    graded = ordinal_quality.grade(docs, ordinal_quality.fit(docs, ratings, n_grades=3))
+    tail = F.col("tails")
+    return graded.select("doc_id", "expected_grade", tail[0].alias("p_clean"), tail[1].alias("p_good"), (tail[0] >= 0.5).alias("kept"))
+
+
 def op8_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -51,7 +85,13 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_wavelet_shards": op3_wavelet_shards,
     "op4_quality_bands": op4_quality_bands,
+    "op5_language": op5_language,
+    "op6_tiered_shards": op6_tiered_shards,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_chat_layouts": op8_chat_layouts,
     "op9_flow_mixing": op9_flow_mixing,
+    "op10_ordinal_quality": op10_ordinal_quality,
+}
+SQL: dict[str, str] = {
+    "op6_tiered_shards": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
 }
-SQL: dict[str, str] = {}
