@@ -43,7 +43,7 @@ GROUPS = 64
 REFINE_ABOVE = 32
 REFINE_BLOCK = 16384
 KEYS_PER_PART = 1_000_000
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 
 
 def _sets(data, off, k):

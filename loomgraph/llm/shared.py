@@ -35,10 +35,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: A link table of at most so many rows (16 bytes each) is solved in one task; a larger one by distributed rounds.
+ONE_TASK_LINKS = 1 << 20
+
+
+def _solve(batches):
+    """Components of all links of a task: labels flow over links, then jump, until nothing moves."""
+    import numpy as np
+    import pyarrow as pa
+
+    u, v = [], []
+    for b in batches:
+        u.append(b.column(0).to_numpy())
+        v.append(b.column(1).to_numpy())
+    if not u:
+        return
+    nodes, at = np.unique(np.concatenate(u + v), return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, label[end], low)
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(nodes[label[i : i + 100_000]])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int | None = None) -> DataFrame:
     """Connected components of an edge table of longs: (node, root), root the smallest node of its component.
 
-    Alternating large-star and small-star steps.  Each is one aggregation with
+    A small table is solved in one task.  Else by alternating large-star and small-star steps.  Each is one aggregation with
     map-side combine and one join whose skewed partitions adaptive execution can
     split, so a star of any size never meets in one task.  Lineage is cut after
     each round; the number of rounds grows with the logarithm of the diameter.
@@ -49,6 +81,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
     seen = state(now)
+    if seen[0] <= (ONE_TASK_LINKS if one_task is None else one_task):
+        return stage(now.coalesce(1).mapInArrow(_solve, "node long, root long"), "components")
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
