@@ -21,6 +21,8 @@ table gives no shards; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 
@@ -162,42 +164,133 @@ def load(file: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return doc_ids, ends, WaveletMatrix(n, bits, zeros, planes, ranks)
 
 
-class WordCache:
-    """Token ids of texts whose words are encoded once.
+#: Words that the quick way below may take: printable ASCII and Latin-1.
+_SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+#: Fixed value: how the vocabulary's own file splits a word into pieces.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_char(b: int) -> str:
+    """The character that byte-level vocabularies write for a byte: itself if it is printable, else the next free one from 256 on."""
+    printable = lambda c: 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255
+    return chr(b) if printable(b) else chr(256 + sum(not printable(c) for c in range(b)))
+
 
-    Right for tokenizers that drop ASCII white space and never join over it, as ``word_bpe_49k`` does.  The
-    cache is emptied at ``limit`` words.
+class WordCache:
+    """Token ids of texts whose words are encoded once, by the tokenizers library.
+
+    Right for tokenizers that lower-case, drop ASCII white space and never join over it, as ``word_bpe_49k`` does;
+    a text that may hold a special token is encoded as a whole.  New words are encoded hundreds to a text, which
+    costs a third of one by one; each piece of a word ends in one token with the end mark, so the pieces of the
+    words are counted off.  A batch where the counts disagree is encoded word by word.   Words are told apart by
+    64-bit hashes of their lower-cased bytes.  At ``limit`` words the cache drops those that were used once, so its size is bounded whatever
+    the corpus; a worker keeps it from task to task.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Tokenizer
+    kept: dict[str, WordCache] = {}
 
-        self.encode, self.limit = Tokenizer.from_file(path).encode_batch_fast, limit
+    @classmethod
+    def of(cls, path: str) -> WordCache:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def __init__(self, path: str, limit: int = 500_000, batch: int = 500):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.limit, self.batch = tokenizer.encode_batch_fast, limit, batch
+        # the same model without its normaliser and splitter, for words that are one lower-case piece already
+        plain = Tokenizer.from_file(path)
+        plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.plain = plain.encode_batch_fast
+        self.as_bytes = {b: byte_char(b) for b in range(256)}
+        vocab = tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.pieces = regex.compile(_PIECES).findall
         self.clear()
 
     def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(0, np.uint16 if self.closes.size <= 65536 else np.uint32)
         self.bounds = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _shrink(self):
+        keep = np.flatnonzero(self.used > 1)
+        names = list(self.known)
+        size = np.diff(self.bounds)[keep]
+        self.flat = self.flat[T.spread(self.bounds[keep], size)]
+        self.bounds = np.concatenate(([0], np.cumsum(size)))
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.used = self.used[keep] // 2
+        if len(self.known) > self.limit // 2:
+            self.clear()
 
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has)."""
-        split = [t.split() for t in texts]
-        every = [w for ws in split for w in ws]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        return np.fromiter((i for g in got for i in g), np.int64), np.array([len(g) for g in got], np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ASCII or Latin-1 letters: each is one piece, and composed already."""
+        ready = [w if w.isascii() else w.lower().encode().decode("latin-1").translate(self.as_bytes) for w in words]
+        ids = np.array(self.plain([" ".join(ready)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        last = np.cumsum([len(self.pieces(w)) for w in words])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != last[-1] or ends[-1] != len(ids):
+            return self._each(words)
+        return ids, np.diff(ends[last - 1], prepend=0)
+
+    def _learn(self, new: list[str], names: list[int]):
+        kinds: list[list[int]] = [[], [], []]
+        for i, x in enumerate(new):
+            if x.isalpha() and (x.isascii() or _SIMPLE.fullmatch(x)):
+                kinds[0].append(i)
+            else:
+                kinds[1 if _SIMPLE.fullmatch(x) else 2].append(i)
+        parts = []
+        for found, way in zip(kinds, (self._letters, self._together, self._each)):
+            parts += [way([new[i] for i in found[k : k + self.batch]]) for k in range(0, len(found), self.batch)]
+        first = len(self.known)
+        self.known.update(zip((names[i] for found in kinds for i in found), range(first, first + len(new))))
+        self.flat = np.concatenate([self.flat, *(ids.astype(self.flat.dtype) for ids, _ in parts)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+
+    def encode_slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice, how many each has)."""
+        if b"<|" in (raw := data.tobytes()):
+            parts = []
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
+                special = b"<|" in raw[a:z]
+                parts.append(self._each([raw[a:z].decode()]) if special else self.encode_slice(data[a:z], np.array([0, z - a])))
+            return np.concatenate([ids.astype(self.flat.dtype) for ids, _ in parts]), np.concatenate([n for _, n in parts])
+        w = T.Words(data, off)
         if len(self.known) > self.limit:
-            self.clear()
-        new = list(set(every).difference(self.known))
-        if new:
-            got = [e.ids for e in self.encode([w.decode() for w in new], add_special_tokens=False)]
-            for w in new:
-                self.known[w] = len(self.known)
-            self.flat = np.concatenate((self.flat, np.fromiter((i for g in got for i in g), np.uint32)))
-            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])))
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        size = self.bounds[at + 1] - self.bounds[at]
-        ids = self.flat[T.spread(self.bounds[at], size)]
-        words = np.concatenate(([0], np.cumsum([len(s) for s in split])))
-        return ids, T.seg_sum(size, words)
+            self._shrink()
+        h, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        names = h.tolist()
+        place = np.array([self.known.get(x, -1) for x in names], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            spans = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())
+            own = [names[i] for i in new.tolist()]
+            self._learn([raw[a:z].lower().decode() for a, z in spans], own)
+            place[new] = [self.known[x] for x in own]
+        at = place[at]
+        self.used += np.bincount(at, minlength=len(self.used))
+        size = np.diff(self.bounds)[at]
+        return self.flat[T.spread(self.bounds[at], size)], T.seg_sum(size, w.bounds)
 
 
 def _write(path: str, end_id: int, bits: int, shard_tokens: int):
@@ -205,7 +298,7 @@ def _write(path: str, end_id: int, bits: int, shard_tokens: int):
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        cache = WordCache(path)
+        cache = WordCache.of(path)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -219,8 +312,7 @@ def _write(path: str, end_id: int, bits: int, shard_tokens: int):
         for b in batches:
             doc_ids = T.column(b, "doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, off in T.slices(T.column(b, "text")):
-                raw = data.tobytes()
-                ids, n = cache.words([raw[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist())])
+                ids, n = cache.encode_slice(data, off)
                 at = np.cumsum(n)
                 held.append((doc_ids[lo:hi], n + 1, np.insert(ids, at, end_id).astype(np.uint16 if bits <= 16 else np.uint32)))
                 size += len(ids) + hi - lo
