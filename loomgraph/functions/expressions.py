@@ -184,10 +184,11 @@ class Expressions:
         return bool_val(found)
 
     def _same(self, a: Val, b: Val, name: str) -> Val:
-        """Term identity; two computed numbers or truth values compare by value."""
-        if name != "SAMETERM" and a.n is not None and b.n is not None:
+        """Term identity; two numbers or truth values of which one is computed compare by value."""
+        fixed = a.id is not None and b.id is not None
+        if name != "SAMETERM" and not fixed and a.n is not None and b.n is not None:
             same = a.n == b.n
-        elif name != "SAMETERM" and a.b is not None and b.b is not None:
+        elif name != "SAMETERM" and not fixed and a.b is not None and b.b is not None:
             same = a.b == b.b
         else:
             same = a.key() == b.key()
