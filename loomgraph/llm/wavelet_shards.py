@@ -311,7 +311,7 @@ def _write(path: str, end_id: int, bits: int, shard_tokens: int):
 
         for b in batches:
             doc_ids = T.column(b, "doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in T.slices(T.column(b, "text")):
+            for lo, hi, data, off in T.slices(T.column(b, "text"), min(T.SLICE_BYTES, 2 * shard_tokens)):
                 ids, n = cache.encode_slice(data, off)
                 at = np.cumsum(n)
                 held.append((doc_ids[lo:hi], n + 1, np.insert(ids, at, end_id).astype(np.uint16 if bits <= 16 else np.uint32)))
