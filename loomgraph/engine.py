@@ -192,7 +192,7 @@ def struct(v: str):
 def term_struct(k, x, d, lang):
     kind = F.when(k == T.IRI, "iri").when(k == T.BNODE, "bnode").when(k == T.LITERAL, "literal")
     literal = F.lit(T.LITERAL) == k
-    return F.when(k.isNotNull(), F.struct(kind.alias("type"), x.alias("value"), F.when(literal & (lang == ""), d).alias("datatype"), F.when(literal & (lang != ""), lang).alias("language")))
+    return F.when(k.isNotNull(), F.struct(kind.alias("type"), x.alias("value"), F.when(literal, d).alias("datatype"), F.when(literal & (lang != ""), lang).alias("language")))
 
 
 def triples_of(df: DataFrame) -> DataFrame:
@@ -517,12 +517,14 @@ class GraphStore(Queries):
         began, touched, added, removed = time.time(), set(), 0, 0
         ops = parse_update(text)
         for op in ops:
+            names = {x: self.graph_iri(x) for x in self._graphs}
             i, d, g = self._update_one(op)
-            added, removed, touched = added + i, removed + d, touched | g
+            added, removed = added + i, removed + d
+            touched |= {"DEFAULT" if x == 0 else names.get(x) or self.graph_iri(x) or f"{SYNTHETIC}{x}" for x in g}
         self.counters["updates"] += 1
         kinds = {op.kind for op in ops}
         form = "EMPTY" if not ops else kinds.pop().replace(" ", "_").replace("/", "_") if len(kinds) == 1 else "MIXED"
-        return {"form": form, "triples_inserted": added, "triples_deleted": removed, "graphs_touched": len(touched), "elapsed_ms": (time.time() - began) * 1000}
+        return {"form": form, "triples_inserted": added, "triples_deleted": removed, "graphs_touched": sorted(touched, key=lambda x: (x != "DEFAULT", x)), "elapsed_ms": (time.time() - began) * 1000}
 
     def _targets(self, ref: str, verb: str, silent: bool) -> list[int]:
         if ref == "DEFAULT":
