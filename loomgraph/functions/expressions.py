@@ -30,12 +30,15 @@ class Val:
     n: Column | None = None
     b: Column | None = None
     id: Column | None = None
+    num: Column | None = None  # the numeric value of a stored term
 
     def key(self) -> Column:
         return self.id if self.id is not None else F.when(self.x.isNotNull(), T.id_of(self.k, self.x, self.d, self.l))
 
     def number(self) -> Column:
-        return self.n if self.n is not None else T.number(self.x, self.d)
+        if self.n is not None:
+            return self.n
+        return self.num if self.num is not None else T.number(self.x, self.d)
 
     def truth(self) -> Column:
         """Effective boolean value."""
@@ -43,7 +46,7 @@ class Val:
             return self.b
         if self.n is not None:
             return (self.n != 0) & ~F.isnan(self.n)
-        n = T.number(self.x, self.d)
+        n = self.number()
         by_kind = F.when(self.d == T.BOOLEAN, T.truth(self.x, self.d)).when(self.d.isin(*T.NUMERIC), (n != 0) & ~F.isnan(n))
         return by_kind.when(self.d.isin(T.STRING, T.LANG_STRING), F.length(self.x) > 0)
 

@@ -134,9 +134,10 @@ class Paths:
                 nodes = nodes.unionByName(own).dropDuplicates(["id"])
         keep = []
         for v, end_col in names.items():
-            parts = nodes.select(F.col("id").alias(end_col), *(F.col(p).alias(T.part(col(v), p)) for p in T.PARTS))
+            number = T.number(F.col("x"), F.col("d")).alias(T.part(col(v), "n"))
+            parts = nodes.select(F.col("id").alias(end_col), *(F.col(p).alias(T.part(col(v), p)) for p in T.PARTS), number)
             df = df.join(parts, end_col)
-            keep += [F.col(end_col).alias(col(v)), *(F.col(T.part(col(v), p)) for p in T.PARTS)]
+            keep += [F.col(end_col).alias(col(v)), *(F.col(c) for c in T.columns(col(v))[1:])]
         if scope.kind == "each":
             keep.append(F.col("g").alias(GRAPH_KEY))
         return Rel(df.select(*keep) if keep else df.select(F.lit(1).alias("__unit")), dict.fromkeys(names, False), scope.kind == "each")

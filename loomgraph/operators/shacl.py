@@ -388,7 +388,8 @@ class ThisCompiler(Compiler):
         self.focus = focus
 
     def _this(self, p, scope: Scope) -> Rel:
-        return Rel(self.focus.select(*[F.col(a).alias(b) for a, b in zip(FOCUS, T.columns(col("this")))]), {"this": False})
+        number = T.number(F.col("f__x"), F.col("f__d")).alias(T.part(col("this"), "n"))
+        return Rel(self.focus.select(*[F.col(a).alias(b) for a, b in zip(FOCUS, T.columns(col("this")))], number), {"this": False})
 
 
 def validate(store, data: int, shapes: int, mode: str = "core", strict: bool = True) -> dict:

@@ -39,7 +39,7 @@ class Rel:
 
     def env(self, df: DataFrame | None = None) -> dict[str, Val]:
         df = self.df if df is None else df
-        return {v: Val(*(df[T.part(col(v), p)] for p in T.PARTS), id=df[col(v)]) for v in self.vars}
+        return {v: Val(*(df[T.part(col(v), p)] for p in T.PARTS), id=df[col(v)], num=df[T.part(col(v), "n")]) for v in self.vars}
 
     def columns(self, keep=None) -> list[str]:
         out = [c for v in self.vars if keep is None or v in keep for c in T.columns(col(v))]
@@ -48,7 +48,8 @@ class Rel:
 
 def bind(v: str, val: Val) -> dict[str, Column]:
     key = val.key()
-    return {col(v): key} | {T.part(col(v), p): F.when(key.isNotNull(), getattr(val, p)) if val.id is None else getattr(val, p) for p in T.PARTS}
+    parts = {T.part(col(v), p): F.when(key.isNotNull(), getattr(val, p)) if val.id is None else getattr(val, p) for p in T.PARTS}
+    return {col(v): key, **parts, T.part(col(v), "n"): val.number()}
 
 
 @dataclass(frozen=True)
@@ -183,7 +184,8 @@ class Compiler:
 
     @staticmethod
     def _side_env(rel: Rel, side: str) -> dict[str, Val]:
-        return {v: Val(*(F.col(f"{side}.{T.part(col(v), p)}") for p in T.PARTS), id=F.col(f"{side}.{col(v)}")) for v in rel.vars}
+        part = lambda v, p: F.col(f"{side}.{T.part(col(v), p)}")
+        return {v: Val(*(part(v, p) for p in T.PARTS), id=F.col(f"{side}.{col(v)}"), num=part(v, "n")) for v in rel.vars}
 
     def _leftjoin(self, p: A.LeftJoin, scope: Scope) -> Rel:
         a, b = self.compile(p.left, scope), self.compile(p.right, scope)
@@ -236,7 +238,7 @@ class Compiler:
         df = self.spark.createDataFrame(rows, kinds)
         for v in p.names:
             parts = [F.col(T.part(col(v), x)) for x in T.PARTS]
-            df = df.withColumn(col(v), F.when(parts[0].isNotNull(), T.id_of(*parts)))
+            df = df.withColumn(col(v), F.when(parts[0].isNotNull(), T.id_of(*parts))).withColumn(T.part(col(v), "n"), T.number(parts[1], parts[2]))
         return Rel(df, {v: any(r[i] is None for r in p.rows) for i, v in enumerate(p.names)})
 
     def _graph(self, p: A.Graph, scope: Scope) -> Rel:
@@ -389,9 +391,10 @@ class Compiler:
             collect(e)
         for e in (*p.having, *(e for e, _ in p.order)):
             collect(e)
-        grouping = [F.col(c) for v in names for c in T.columns(col(v))] + ([F.col(GRAPH_KEY)] if rel.graph else [])
+        grouping = [F.col(c) for v in names for c in T.columns(col(v))[:-1]] + ([F.col(GRAPH_KEY)] if rel.graph else [])
         columns = columns or [F.count(F.lit(1)).alias("__n")]
         df = rel.df.groupBy(*grouping).agg(*columns) if grouping else rel.df.agg(*columns)
+        df = df.withColumns({T.part(col(v), "n"): T.number(F.col(T.part(col(v), "x")), F.col(T.part(col(v), "d"))) for v in names}) if names else df
         out = Rel(df, {v: rel.vars[v] for v in names}, rel.graph)
         for v, e in p.items:
             if e is None:

@@ -49,6 +49,7 @@ def place(df: DataFrame, where: str, v: str) -> list:
         F.col(x).alias(T.part(col(v), "x")),
         (F.col(d) if d else F.lit("")).alias(T.part(col(v), "d")),
         (F.col(lang) if lang else F.lit("")).alias(T.part(col(v), "l")),
+        (T.number(F.col(x), F.col(d)) if d else F.lit(None).cast("double")).alias(T.part(col(v), "n")),
     ]
 
 

@@ -88,13 +88,14 @@ class RelationalGraph:
         tail = F.concat_ws("_", *(F.col(c).cast("string") for c in key)) if key else F.xxhash64(*self.frames[table].columns).cast("string")
         return F.concat(F.lit(f"{TABLE}{table}:"), tail)
 
-    def cell(self, table: str, c: str) -> tuple[Column, Column, Column, Column]:
-        """(kind, lex, datatype, language) of a column's values."""
-        to = self.tables[table].links.get(c)
+    def cell(self, table: str, c: str) -> tuple[Column, Column, Column, Column, Column]:
+        """(kind, lex, datatype, language, number) of a column's values."""
+        to, none = self.tables[table].links.get(c), F.lit(None).cast("double")
         if to:
-            return F.lit(T.IRI), F.concat(F.lit(f"{TABLE}{to}:"), F.col(c).cast("string")), F.lit(""), F.lit("")
+            return F.lit(T.IRI), F.concat(F.lit(f"{TABLE}{to}:"), F.col(c).cast("string")), F.lit(""), F.lit(""), none
         t = self.frames[table].schema[c].dataType
-        return F.lit(T.LITERAL), lexical(F.col(c), t), F.lit(datatype(t)), F.lit("")
+        number = F.col(c).cast("double") if isinstance(t, S.NumericType) else none
+        return F.lit(T.LITERAL), lexical(F.col(c), t), F.lit(datatype(t)), F.lit(""), number
 
     def matches(self, table: str, c: str, t: T.Term) -> Column:
         """A filter on the column itself that holds where its object is the term."""
@@ -111,12 +112,12 @@ class RelationalGraph:
         return lexical(F.col(c), kind) == t.lex
 
     @staticmethod
-    def _columns(v: str, k: Column, x: Column, d: Column, lang: Column) -> list[Column]:
-        parts = dict(zip(T.PARTS, (k, x, d, lang)))
+    def _columns(v: str, k: Column, x: Column, d: Column, lang: Column, number: Column) -> list[Column]:
+        parts = dict(zip((*T.PARTS, "n"), (k, x, d, lang, number)))
         return [T.id_of(k, x, d, lang).alias(col(v)), *(c.alias(T.part(col(v), p)) for p, c in parts.items())]
 
     def _row(self, table: str, x: str):
-        return F.lit(T.IRI), self.subject(table), F.lit(""), F.lit("")
+        return F.lit(T.IRI), self.subject(table), F.lit(""), F.lit(""), F.lit(None).cast("double")
 
     # scans
 
@@ -188,10 +189,10 @@ class RelationalGraph:
         return self._union(found, t, scope)
 
     def _with(self, rel: Rel, v: str, p: str) -> Rel:
-        k, x, d, lang = F.lit(T.IRI), F.lit(p), F.lit(""), F.lit("")
+        parts = F.lit(T.IRI), F.lit(p), F.lit(""), F.lit(""), F.lit(None).cast("double")
         if v in rel.vars:
             return Rel(rel.df.where(F.col(T.part(col(v), "x")) == p), rel.vars)
-        return Rel(rel.df.select("*", *self._columns(v, k, x, d, lang)), rel.vars | {v: False})
+        return Rel(rel.df.select("*", *self._columns(v, *parts)), rel.vars | {v: False})
 
     def _type(self, table: str, t: A.Triple, scope: Scope) -> Rel:
         rel = self._table_star(table, t.s, [], scope)
@@ -211,7 +212,7 @@ class RelationalGraph:
 
     def _empty(self, t: A.Triple, scope: Scope) -> Rel:
         names = {x.name: False for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
-        kinds = ", ".join(f"{col(v)} long, " + ", ".join(f"{T.part(col(v), p)} {'int' if p == 'k' else 'string'}" for p in T.PARTS) for v in names) or "__unit int"
+        kinds = ", ".join(f"{col(v)} long, " + ", ".join(f"{T.part(col(v), p)} {'int' if p == 'k' else 'string'}" for p in T.PARTS) + f", {T.part(col(v), 'n')} double" for v in names) or "__unit int"
         if scope.kind == "each":
             kinds += f", {GRAPH_KEY} long"
         return Rel(self.spark.createDataFrame([], kinds), names, scope.kind == "each")
@@ -235,7 +236,7 @@ class RelationalGraph:
             return df
         for n, c in self._pairs(predicates, excluded):
             rows = self.frames[n].where(F.col(c).isNotNull())
-            df = df.unionByName(rows.select(T.id_of(*self._row(n, "")).alias("a"), T.id_of(*self.cell(n, c)).alias("b"), F.lit(0).cast("long").alias("g")))
+            df = df.unionByName(rows.select(T.id_of(*self._row(n, "")[:4]).alias("a"), T.id_of(*self.cell(n, c)[:4]).alias("b"), F.lit(0).cast("long").alias("g")))
         return df
 
     def nodes(self, scope: Scope) -> DataFrame:
@@ -244,7 +245,7 @@ class RelationalGraph:
             return out
         for n, df in self.frames.items():
             for parts in (self._row(n, ""), *(self.cell(n, c) for c in df.columns)):
-                k, x, d, lang = parts
+                k, x, d, lang = parts[:4]
                 rows = df.select(T.id_of(k, x, d, lang).alias("id"), k.alias("k"), x.alias("x"), d.alias("d"), lang.alias("l"), F.lit(0).cast("long").alias("g"))
                 out = out.unionByName(rows.where("x IS NOT NULL"))
         return out.dropDuplicates(["id"])
@@ -255,7 +256,7 @@ class RelationalGraph:
 
         out = None
         for n, c in self._pairs(predicates, []):
-            s, (k, x, d, lang) = self.subject(n), self.cell(n, c)
+            s, (k, x, d, lang, _) = self.subject(n), self.cell(n, c)
             df = self.frames[n].where(F.col(c).isNotNull())
             df = df.select(F.lit(T.IRI).alias("s__k"), s.alias("s__x"), F.lit(COLUMN + c).alias("p__x"), k.alias("o__k"), x.alias("o__x"), d.alias("o__d"), lang.alias("o__l"), F.lit(0).cast("long").alias("g"))
             out = df if out is None else out.unionByName(df)

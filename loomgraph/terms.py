@@ -73,7 +73,8 @@ def part(name: str, p: str) -> str:
 
 
 def columns(name: str) -> list[str]:
-    return [name, *(part(name, p) for p in PARTS)]
+    """Of a variable: id, parts, and the numeric value, which a source may know without parsing the text."""
+    return [name, *(part(name, p) for p in PARTS), part(name, "n")]
 
 
 def id_of(k: Column, x: Column, d: Column, lang: Column) -> Column:
@@ -90,8 +91,7 @@ def constant(t: Term) -> dict[str, Column]:
 
 def number(x: Column, d: Column) -> Column:
     """The value of a numeric literal as a double, else null."""
-    special = F.when(x == "INF", F.lit(float("inf"))).when(x == "-INF", F.lit(float("-inf"))).when(x == "NaN", F.lit(float("nan")))
-    return F.when(d.isin(*NUMERIC), F.coalesce(special, x.try_cast("double")))
+    return F.when(d.isin(*NUMERIC), x.try_cast("double"))
 
 
 def instant(x: Column, d: Column) -> Column:
