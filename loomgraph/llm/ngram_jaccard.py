@@ -15,9 +15,10 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact:
 3. Connected candidates are compared through an R-tree over their group-count
    vectors.  The overlap of a query with anything below a node is at most the sum
    of the coordinate minima of the query and the node's upper corner.  Larger
-   groups of candidates pass a tree over short vectors first, which breaks them
-   up before any set is shipped; then sets are gathered, indexed by longer
-   vectors, and what survives at a leaf is verified.  Pairs that are already
+   groups of candidates pass trees over their vectors first, which breaks them
+   up before any set is shipped; the longer a set, the more groups it has, or
+   else chance alone would bring long sets together.  Then sets are gathered,
+   indexed anew, and what survives at a leaf is verified.  Pairs that are already
    connected are skipped, because only components are asked for.
 4. Candidates above ``block`` in one component are split over tasks by pairs of
    blocks, so no task holds more than two blocks.
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .shared import components, stage
 
-GROUPS = 64
+#: Groups of a stored vector by size of the set: (size below, groups).  Each is a multiple of the one before, so a vector folds.
+GROUPS = ((256, 64), (1024, 256), (4096, 1024), (1 << 62, 4096))
 REFINE_ABOVE = 32
 REFINE_BLOCK = 16384
 KEYS_PER_PART = 1_000_000
@@ -76,6 +78,20 @@ def _group(u, groups):
     return (T.mix(u) % np.uint64(groups)).astype(np.int64)
 
 
+def _vectors(u, bounds) -> list[bytes]:
+    """Group counts of each set, two bytes a group, four if the set is that large."""
+    n = np.diff(bounds)
+    groups = np.array([g for _, g in GROUPS])[np.searchsorted([b for b, _ in GROUPS], n, side="right")]
+    base = np.concatenate(([0], np.cumsum(groups)))
+    row = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(base[row] + (T.mix(u) % groups[row].astype(np.uint64)).astype(np.int64), minlength=base[-1])
+    return [counts[a:z].astype("<u2" if k < 65536 else "<u4").tobytes() for a, z, k in zip(base[:-1], base[1:], n)]
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4" if len(blob) > 2 * GROUPS[-1][1] else "<u2")
+
+
 def _class_ids(u, bounds):
     n = np.diff(bounds).astype(np.uint64)
     one = T.seg_sum(T.mix(u ^ np.uint64(0x51ED270B9F8A1C35)), bounds)
@@ -155,9 +171,7 @@ def _points(k, percent, id_col, text_col):
             for lo, hi, data, off in T.slices(T.column(b, text_col)):
                 u, at = _sets(data, off, k)
                 one, two = _class_ids(u, at)
-                rows = np.repeat(np.arange(hi - lo), np.diff(at))
-                vec = np.bincount(rows * GROUPS + _group(u, GROUPS), minlength=(hi - lo) * GROUPS).astype("<u4").tobytes()
-                vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * GROUPS), hi - lo, [None, pa.py_buffer(vec)]).cast(pa.binary())
+                vec = pa.array(_vectors(u, at), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(at)), pa.array(T.i64(one)), pa.array(T.i64(two)), vec],
                     names=["doc_id", "n", "cid", "cid2", "counts"],
@@ -358,8 +372,17 @@ def _refine_task(percent):
     def link(blobs, cid):
         if len(blobs) < 2:
             return []
-        counts = np.frombuffer(b"".join(blobs), "<u4").reshape(len(blobs), -1)
-        return close_vectors(counts.astype(np.int64), counts.argmax(axis=1), percent)
+        vectors = [_unpack(x) for x in blobs]
+        kind = np.array([len(v) for v in vectors])
+        size = np.array([int(v.sum(dtype=np.int64)) for v in vectors])
+        out = []
+        for top, groups in GROUPS:
+            # those of this length, and longer ones that are near enough in size, folded to it
+            at = np.flatnonzero((kind == groups) | (kind > groups) & (size * percent <= 100 * top))
+            if len(at) > 1 and (kind[at] == groups).any():
+                counts = np.stack([vectors[i].reshape(-1, groups).sum(axis=0, dtype=np.int64) for i in at])
+                out += [(int(at[i]), int(at[j])) for i, j in close_vectors(counts, counts.argmax(axis=1), percent)]
+        return out
 
     return _by_component(link, "counts")
 

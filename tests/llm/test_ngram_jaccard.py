@@ -123,3 +123,27 @@ def test_hashes_follow_words():
     h = w.hashes().tolist()
     assert len(words) == len(h)
     assert len(set(zip(words, h))) == len(set(words)) == len(set(h))
+
+
+def test_vectors_fold_and_keep_links():
+    r = np.random.default_rng(8)
+    sets = []
+    for s in (40, 230, 270, 1000, 1100, 4000, 4300):
+        base = np.unique(r.integers(0, 1 << 60, s, dtype=np.uint64))
+        sets += [base[r.random(len(base)) > x] for x in (0, 0.03, 0.12)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    blobs = J._vectors(np.concatenate(sets), bounds)
+    assert [int(J._unpack(b).sum()) for b in blobs] == [len(s) for s in sets]
+    table = {"comp": np.zeros(len(sets), np.int64), "cid": np.arange(len(sets))}
+    import pyarrow as pa
+
+    got = J._refine_task(85)(pa.table({**table, "counts": pa.array(blobs, pa.binary())})).to_pylist()
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for e in got:
+            root[e["a"]] = root[e["b"]] = min(root[e["a"]], root[e["b"]])
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])):
+                assert root[i] == root[j]
+    assert len(set(root)) >= 5
