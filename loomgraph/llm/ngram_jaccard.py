@@ -25,7 +25,8 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact:
 
 Defined cases: null and empty texts have 0 shingles and link with nothing; equal
 rows link with each other; an empty table gives an empty result; columns other
-than the id and the text are ignored.  Repeated ids are the same document.
+than the id and the text are ignored.  Repeated ids are the same document; rows
+with a null id take part in links but are never removed.
 """
 
 from __future__ import annotations

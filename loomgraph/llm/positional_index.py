@@ -30,7 +30,7 @@ from .shared import stage
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The terms and windows of the test set are broadcast while they are at most this many; beyond it the joins shuffle.
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -159,5 +159,5 @@ def digest(found: DataFrame, least_items: int = 2) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, k: int = 8, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which windows of fewer than ``least_items`` items occur."""
-    bad = decontaminate(docs, items, k, id_col, text_col).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias(id_col))
-    return docs.join(bad, id_col, "left_anti")
+    bad = decontaminate(docs, items, k, id_col, text_col).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("bad_id"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_layouts, compression_bands, flow_mixing, fused_language, maxent_lm, ngram_jaccard, ordinal_quality, positional_index, tiered_shards, wavelet_shards
+from . import chat_layouts, compression_bands, flow_mixing, fused_language, maxent_lm, ngram_jaccard, oracle, ordinal_quality, positional_index, tiered_shards, wavelet_shards
 from .shared import shared_dir, table
 
 
@@ -18,7 +18,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    found = ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +94,8 @@ QUERIES = {
     "op10_ordinal_quality": op10_ordinal_quality,
 }
 SQL: dict[str, str] = {
-    "op6_tiered_shards": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op1_ngram_jaccard": oracle.OP1,
+    "op2_decontamination": oracle.OP2,
+    "op6_tiered_shards": oracle.OP6,
+    "op8_chat_layouts": oracle.OP8,
 }
