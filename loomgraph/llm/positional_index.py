@@ -4,9 +4,9 @@ The index holds postings (term, document, position, the words around it) of the
 training texts for the terms that anchor a test window: the rarest term of each
 window by its count over all documents.  The postings of a window's anchor,
 shifted by its offset, are the places where the window may start; they are
-intersected with the offset-adjusted lists of its other terms, rarest first,
-which the words around the posting give without another look at the text.  What
-is left are exact phrase matches.  With ``slop`` the same postings give proximity
+intersected with the offset-adjusted places of its other terms, which the words
+stored around the posting give without another look at the text.  What is left
+are exact phrase matches.  With ``slop`` the same postings give proximity
 matches: windows of which enough terms stand near the anchor, in any order.
 
 Words are runs of ASCII digits, ASCII letters (A-Z lower-cased) and all other
@@ -92,7 +92,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
         "doc_id",
         F.when(F.col("pos") == 0, word_count(F.col("w"))).alias("n_words"),
         "term", "pos",
-        F.when(F.col("hit"), F.slice("w", start + 1, F.lit(2 * reach + 1) + (start - (F.col("pos") - reach)) * 0)).alias("around"),
+        F.when(F.col("hit"), F.slice("w", start + 1, F.lit(2 * reach + 1))).alias("around"),
         start.alias("from"),
     )
 
