@@ -238,14 +238,21 @@ def _stars(t: pa.Table) -> pa.Table:
 
 
 class CountRTree:
-    """A packed R-tree over group-count vectors: leaves of ``leaf`` points, nodes of ``fan`` leaves."""
+    """A packed R-tree over group-count vectors: leaves of ``leaf`` points, nodes of ``fan`` leaves.
+
+    Boxes, and the first look at a point, use vectors folded to a quarter of the groups, whose minima sum to no
+    less; what passes is bounded by the whole vectors.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = 32, fan: int = 16):
         self.counts, self.sizes, self.percent = counts, sizes, percent
         self.leaf, self.fan = leaf, fan
         self.sum_type = np.uint16 if counts.dtype == np.uint16 and sizes.max() < 65536 else np.int64
+        groups = counts.shape[1]
+        fold = 4 if groups >= 256 else 1
+        self.coarse = counts.reshape(len(sizes), fold, groups // fold).sum(axis=1, dtype=counts.dtype) if fold > 1 else counts
         cut = np.arange(0, len(sizes), leaf)
-        self.leaf_hi = np.maximum.reduceat(counts, cut)
+        self.leaf_hi = np.maximum.reduceat(self.coarse, cut)
         self.leaf_lo_n = np.minimum.reduceat(sizes, cut)
         self.leaf_hi_n = np.maximum.reduceat(sizes, cut)
         cut = np.arange(0, len(self.leaf_lo_n), fan)
@@ -263,8 +270,9 @@ class CountRTree:
             ok = ok[bound * (100 + p) >= p * (n + small[ok])]
         return ok
 
-    def search(self, q: np.ndarray, n: int, until: int) -> np.ndarray:
-        """Points before ``until`` that the bounds can't exclude as partners of a query of size n."""
+    def search(self, i: int) -> np.ndarray:
+        """Points before i that the bounds can't exclude as partners of point i."""
+        q, n, until = self.coarse[i], int(self.sizes[i]), i
         nodes = self._pass(q, n, self.node_hi, self.node_lo_n, self.node_hi_n)
         nodes = nodes[nodes * self.leaf * self.fan < until]
         leaves = T.spread(nodes * self.fan, np.minimum(self.fan, len(self.leaf_lo_n) - nodes * self.fan))
@@ -274,7 +282,10 @@ class CountRTree:
         leaves = leaves[ok]
         points = T.spread(leaves * self.leaf, np.minimum(self.leaf, len(self.sizes) - leaves * self.leaf))
         points = points[points < until]
-        return points[self._pass(q, n, self.counts[points], self.sizes[points], self.sizes[points])]
+        points = points[self._pass(q, n, self.coarse[points], self.sizes[points], self.sizes[points])]
+        if self.coarse is not self.counts and len(points):
+            points = points[self._pass(self.counts[i], n, self.counts[points], self.sizes[points], self.sizes[points])]
+        return points
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -294,7 +305,7 @@ def _forest(tree: CountRTree, verify) -> list[tuple[int, int]]:
     for i in range(1, n):
         if not tree.sizes[i]:
             continue
-        near = tree.search(tree.counts[i], int(tree.sizes[i]), i)[::-1]
+        near = tree.search(i)[::-1]
         while len(near := near[parent[near] != parent[i]]):
             some, near = near[:64], near[64:]
             for j in verify(i, some):
