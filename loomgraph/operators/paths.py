@@ -28,7 +28,7 @@ class PathTruncated(RuntimeError):
 class Paths:
     def __init__(self, max_depth: int = 64, on_truncation: str = "warn", distinct_alternatives: bool = False):
         self.configure(max_depth, on_truncation)
-        self.distinct_alternatives, self.truncations = distinct_alternatives, 0
+        self.distinct_alternatives, self.truncations, self.made = distinct_alternatives, 0, 0
 
     def configure(self, max_depth: int, on_truncation: str):
         if not 1 <= max_depth <= 1024:
@@ -37,6 +37,15 @@ class Paths:
             raise ValueError("truncation policy is count, warn or error")
         self.max_depth, self.on_truncation = max_depth, on_truncation
 
+    def steps(self, triples) -> list[A.Triple]:
+        """Triples with sequence paths taken apart."""
+
+        def fresh() -> str:
+            self.made += 1
+            return f"_step{self.made}"
+
+        return [x for t in triples for x in expand(t, fresh)]
+
     def _note(self, cut: bool):
         if not cut:
             return
@@ -127,7 +136,11 @@ class Paths:
             else:
                 names[t.o.name] = "b"
         # parts of the terms, for each end that is a variable; a constant at the other end may be such a node itself
-        nodes = data.nodes(scope).select("id", "k", "x", "d", "l").dropDuplicates(["id"])
+        # which are ends of the path's own edges, unless it may be empty between two variables
+        known = _links(p)
+        if len(names) == 2 and _may_be_empty(p):
+            known = None
+        nodes = data.nodes(scope, known).select("id", "k", "x", "d", "l").dropDuplicates(["id"])
         for c in (start, end):
             if c is not None:
                 own = data.spark.range(1).select(T.id_lit(c).alias("id"), *(F.lit(getattr(c, f)).alias(n) for f, n in (("kind", "k"), ("lex", "x"), ("dt", "d"), ("lang", "l"))))
@@ -143,6 +156,41 @@ class Paths:
         return Rel(df.select(*keep) if keep else df.select(F.lit(1).alias("__unit")), dict.fromkeys(names, False), scope.kind == "each")
 
 
+def _links(p) -> list[str] | None:
+    """The predicates of a path; None if any other predicate may be among them."""
+    if isinstance(p, A.Link):
+        return [p.iri]
+    if isinstance(p, A.NotIn):
+        return None
+    parts = [_links(x) for x in (p.parts if isinstance(p, (A.Sequence, A.Alternative)) else (p.path,))]
+    return None if None in parts else sorted({x for own in parts for x in own})
+
+
+def _may_be_empty(p) -> bool:
+    if isinstance(p, A.Repeat):
+        return not p.least or _may_be_empty(p.path)
+    if isinstance(p, A.Inverse):
+        return _may_be_empty(p.path)
+    if isinstance(p, (A.Sequence, A.Alternative)):
+        return any(_may_be_empty(x) for x in p.parts)
+    return False
+
+
+def expand(t: A.Triple, fresh) -> list[A.Triple]:
+    """The steps of a sequence as triples of their own, so each is a scan."""
+    p = _plain(t.p) if not isinstance(t.p, (A.Var, T.Term)) else t.p
+    if not isinstance(p, A.Sequence):
+        return [t]
+    ends = [t.s, *(A.Var(fresh()) for _ in p.parts[1:]), t.o]
+    out = []
+    for a, x, b in zip(ends, p.parts, ends[1:]):
+        x = _plain(x)
+        if isinstance(x, A.Inverse) and isinstance(x.path, A.Link):
+            a, x, b = b, x.path, a
+        out += expand(A.Triple(a, T.iri(x.iri) if isinstance(x, A.Link) else x, b), fresh)
+    return out
+
+
 def _plain(p):
     """The path with double inverses removed and inverses moved inside."""
     if isinstance(p, T.Term):

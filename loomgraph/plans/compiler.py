@@ -79,7 +79,7 @@ class Compiler:
     def _bgp(self, p: A.Bgp, scope: Scope) -> Rel:
         if not p.triples:
             return self.unit(scope)
-        rels = [(u, self._unit_vars(u)) for u in self._units(p.triples, scope)]
+        rels = [(u, self._unit_vars(u)) for u in self._units(self.paths.steps(p.triples), scope)]
         # connected order: the most bound unit first, then what shares most with what is joined
         rels.sort(key=lambda x: -self._bound(x[0]))
         out, seen = None, set()

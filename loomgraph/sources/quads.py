@@ -104,9 +104,11 @@ class QuadDataset:
             df = df.where(~F.col("p").isin(*[T.id_lit(T.iri(p)) for p in excluded]))
         return df.select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("g") if scope.kind == "each" else F.lit(0).cast("long").alias("g"))
 
-    def nodes(self, scope: Scope) -> DataFrame:
-        """(id, k, x, d, l, g) of all subjects and objects; g is 0 outside GRAPH ?g."""
+    def nodes(self, scope: Scope, predicates: list[str] | None = None) -> DataFrame:
+        """(id, k, x, d, l, g) of all subjects and objects, or of those of some predicates; g is 0 outside GRAPH ?g."""
         df = self.scoped(scope)
+        if predicates is not None:
+            df = df.where(F.col("p").isin(*[T.id_lit(T.iri(p)) for p in predicates]))
         g = F.col("g") if scope.kind == "each" else F.lit(0).cast("long").alias("g")
         subjects = df.select(F.col("s").alias("id"), F.col("s__k").alias("k"), F.col("s__x").alias("x"), F.lit("").alias("d"), F.lit("").alias("l"), g)
         objects = df.select(F.col("o").alias("id"), F.col("o__k").alias("k"), F.col("o__x").alias("x"), F.col("o__d").alias("d"), F.col("o__l").alias("l"), g)

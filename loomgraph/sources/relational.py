@@ -239,12 +239,18 @@ class RelationalGraph:
             df = df.unionByName(rows.select(T.id_of(*self._row(n, "")[:4]).alias("a"), T.id_of(*self.cell(n, c)[:4]).alias("b"), F.lit(0).cast("long").alias("g")))
         return df
 
-    def nodes(self, scope: Scope) -> DataFrame:
+    def nodes(self, scope: Scope, predicates: list[str] | None = None) -> DataFrame:
         out = self.spark.createDataFrame([], "id long, k int, x string, d string, l string, g long")
         if scope.kind == "each" or scope.kind == "one" and scope.graph != 0:
             return out
-        for n, df in self.frames.items():
-            for parts in (self._row(n, ""), *(self.cell(n, c) for c in df.columns)):
+        own: dict[str, list[str]] = {n: df.columns for n, df in self.frames.items()}
+        if predicates is not None:
+            own = {}
+            for n, c in self._pairs(predicates, []):
+                own.setdefault(n, []).append(c)
+        for n, cells in own.items():
+            df = self.frames[n]
+            for parts in (self._row(n, ""), *(self.cell(n, c) for c in cells)):
                 k, x, d, lang = parts[:4]
                 rows = df.select(T.id_of(k, x, d, lang).alias("id"), k.alias("k"), x.alias("x"), d.alias("d"), lang.alias("l"), F.lit(0).cast("long").alias("g"))
                 out = out.unionByName(rows.where("x IS NOT NULL"))
