@@ -41,26 +41,47 @@ def _triple(df: DataFrame, s, p, o) -> DataFrame:
     return df.select(s.alias("s"), p.alias("p"), o.alias("o"))
 
 
-def _rdfs(f: DataFrame, d: DataFrame, resources: DataFrame) -> list[DataFrame]:
+#: The axioms that a rule may start from, as predicates and as classes.
+AXIOMS = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, SAME) + tuple(
+    T.OWL + x for x in ("equivalentClass", "equivalentProperty", "inverseOf", "hasValue", "someValuesFrom", "allValuesFrom"))
+KINDS = tuple(T.OWL + x + "Property" for x in ("Symmetric", "Transitive", "Functional", "InverseFunctional"))
+
+
+def _present(f: DataFrame) -> set[str]:
+    """Those of the axioms above that a graph has: rules without any are left out of a round."""
+    spark = f.sparkSession
+    ids = spark.range(1).select(*[_c(x) for x in (*AXIOMS, *KINDS)]).first()
+    rows = f.where(F.col("p").isin(*[_c(x) for x in AXIOMS])).select(F.col("p").alias("i"))
+    kinds = f.where((F.col("p") == _c(T.TYPE)) & F.col("o").isin(*[_c(x) for x in KINDS])).select(F.col("o").alias("i"))
+    found = {r[0] for r in rows.unionByName(kinds).distinct().collect()}
+    return {x for x, i in zip((*AXIOMS, *KINDS), ids) if i in found}
+
+
+def _rdfs(f: DataFrame, d: DataFrame, resources: DataFrame, has: set[str]) -> list[DataFrame]:
     """rdfs2, 3, 5, 7, 9 and 11; domain and range leave rdf:type alone."""
     col, type_ = F.col, _c(T.TYPE)
     out = []
-    for p in (SUBCLASS, SUBPROPERTY):
+    for p in has & {SUBCLASS, SUBPROPERTY}:
         chain = _of(f, p, "x", "y").join(_of(f, p, "y", "z"), "y").where("x <> z")
         out.append(_triple(chain, col("x"), _c(p), col("z")))
     # each rule once with the newest facts and all axioms, once with all facts and the newest axioms
     for facts, axioms in ((d, f), (f, d)):
-        out.append(_triple(facts.join(_of(axioms, SUBPROPERTY, "p", "q"), "p"), col("s"), col("q"), col("o")))
-        types = _of(facts, T.TYPE, "x", "c").join(_of(axioms, SUBCLASS, "c", "e"), "c")
-        out.append(_triple(types, col("x"), type_, col("e")))
+        if SUBPROPERTY in has:
+            out.append(_triple(facts.join(_of(axioms, SUBPROPERTY, "p", "q"), "p"), col("s"), col("q"), col("o")))
+        if SUBCLASS in has:
+            types = _of(facts, T.TYPE, "x", "c").join(_of(axioms, SUBCLASS, "c", "e"), "c")
+            out.append(_triple(types, col("x"), type_, col("e")))
         plain = facts.where(col("p") != type_)
-        out.append(_triple(plain.join(_of(axioms, DOMAIN, "p", "c"), "p"), col("s"), type_, col("c")))
+        if DOMAIN in has:
+            out.append(_triple(plain.join(_of(axioms, DOMAIN, "p", "c"), "p"), col("s"), type_, col("c")))
+        if RANGE not in has:
+            continue
         ranged = plain.join(_of(axioms, RANGE, "p", "c"), "p").join(resources.select(col("id").alias("o")), "o", "left_semi")
         out.append(_triple(ranged, col("o"), type_, col("c")))
     return out
 
 
-def _owl(f: DataFrame, d: DataFrame, lists: dict, resources: DataFrame) -> list[DataFrame]:
+def _owl(f: DataFrame, d: DataFrame, lists: dict, resources: DataFrame, has: set[str]) -> list[DataFrame]:
     col, type_ = F.col, _c(T.TYPE)
     out = []
     res = resources.select(col("id").alias("o"))
@@ -71,44 +92,54 @@ def _owl(f: DataFrame, d: DataFrame, lists: dict, resources: DataFrame) -> list[
 
     # equivalence is inclusion both ways, and mutual inclusion is equivalence
     for equal, sub in ((T.OWL + "equivalentClass", SUBCLASS), (T.OWL + "equivalentProperty", SUBPROPERTY)):
-        e = _of(d, equal, "a", "b")
-        out += [_triple(e, col("a"), _c(sub), col("b")), _triple(e, col("b"), _c(sub), col("a"))]
+        if equal in has:
+            e = _of(d, equal, "a", "b")
+            out += [_triple(e, col("a"), _c(sub), col("b")), _triple(e, col("b"), _c(sub), col("a"))]
+        if sub not in has:
+            continue
         mutual = _of(f, sub, "a", "b").join(_of(f, sub, "b", "a"), ["a", "b"]).where("a <> b")
         out.append(_triple(mutual, col("a"), _c(equal), col("b")))
-    both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "p", "q"), "p"), col("o"), col("q"), col("s")))
-    both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "q", "p"), "p"), col("o"), col("q"), col("s")))
-    both(lambda x, a: _triple(x.join(_typed(a, T.OWL + "SymmetricProperty", "p"), "p"), col("o"), col("p"), col("s")))
-    t = f.join(_typed(f, T.OWL + "TransitiveProperty", "p"), "p")
-    for left, right in ((d.join(_typed(f, T.OWL + "TransitiveProperty", "p"), "p"), t), (t, d.join(_typed(f, T.OWL + "TransitiveProperty", "p"), "p")), (t, t) if not d.sparkSession else (None, None)):
-        if left is not None:
+    if T.OWL + "inverseOf" in has:
+        both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "p", "q"), "p"), col("o"), col("q"), col("s")))
+        both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "q", "p"), "p"), col("o"), col("q"), col("s")))
+    if T.OWL + "SymmetricProperty" in has:
+        both(lambda x, a: _triple(x.join(_typed(a, T.OWL + "SymmetricProperty", "p"), "p"), col("o"), col("p"), col("s")))
+    if T.OWL + "TransitiveProperty" in has:
+        closed = _typed(f, T.OWL + "TransitiveProperty", "p")
+        old, new = f.join(closed, "p"), d.join(closed, "p")
+        fresh = f.join(_typed(d, T.OWL + "TransitiveProperty", "p"), "p")
+        for left, right in ((new, old), (old, new), (fresh, fresh)):
             step = left.select("p", "s", col("o").alias("m")).join(right.select("p", col("s").alias("m"), "o"), ["p", "m"])
             out.append(_triple(step, col("s"), col("p"), col("o")))
     # functional and inverse functional: each value is tied to the least one, not to all others
-    fn = f.join(_typed(f, T.OWL + "FunctionalProperty", "p"), "p").join(res, "o", "left_semi")
-    low = fn.groupBy("p", "s").agg(F.min("o").alias("m"), F.max("o").alias("n")).where("m <> n")
-    out.append(_triple(fn.join(low, ["p", "s"]).where("o <> m"), col("m"), _c(SAME), col("o")))
-    fn = f.join(_typed(f, T.OWL + "InverseFunctionalProperty", "p"), "p")
-    low = fn.groupBy("p", "o").agg(F.min("s").alias("m"), F.max("s").alias("n")).where("m <> n")
-    out.append(_triple(fn.join(low, ["p", "o"]).where("s <> m"), col("m"), _c(SAME), col("s")))
-    same = _of(f, SAME, "a", "b").where("a <> b")
-    out.append(_triple(_of(d, SAME, "a", "b"), col("b"), _c(SAME), col("a")))
-    out.append(_triple(same.join(same.select(col("a").alias("b"), col("b").alias("c")), "b").where("a <> c"), col("a"), _c(SAME), col("c")))
-    both(lambda x, a: _triple(x.join(_of(a, SAME, "s", "t").where("s <> t"), "s"), col("t"), col("p"), col("o")))
-    both(lambda x, a: _triple(x.join(_of(a, SAME, "p", "t").where("p <> t"), "p"), col("s"), col("t"), col("o")))
-    both(lambda x, a: _triple(x.join(_of(a, SAME, "o", "t").where("o <> t"), "o"), col("s"), col("p"), col("t")))
+    if T.OWL + "FunctionalProperty" in has:
+        fn = f.join(_typed(f, T.OWL + "FunctionalProperty", "p"), "p").join(res, "o", "left_semi")
+        low = fn.groupBy("p", "s").agg(F.min("o").alias("m"), F.max("o").alias("n")).where("m <> n")
+        out.append(_triple(fn.join(low, ["p", "s"]).where("o <> m"), col("m"), _c(SAME), col("o")))
+    if T.OWL + "InverseFunctionalProperty" in has:
+        fn = f.join(_typed(f, T.OWL + "InverseFunctionalProperty", "p"), "p")
+        low = fn.groupBy("p", "o").agg(F.min("s").alias("m"), F.max("s").alias("n")).where("m <> n")
+        out.append(_triple(fn.join(low, ["p", "o"]).where("s <> m"), col("m"), _c(SAME), col("s")))
+    if SAME in has:
+        same = _of(f, SAME, "a", "b").where("a <> b")
+        out.append(_triple(_of(d, SAME, "a", "b"), col("b"), _c(SAME), col("a")))
+        out.append(_triple(same.join(same.select(col("a").alias("b"), col("b").alias("c")), "b").where("a <> c"), col("a"), _c(SAME), col("c")))
+        both(lambda x, a: _triple(x.join(_of(a, SAME, "s", "t").where("s <> t"), "s"), col("t"), col("p"), col("o")))
+        both(lambda x, a: _triple(x.join(_of(a, SAME, "p", "t").where("p <> t"), "p"), col("s"), col("t"), col("o")))
+        both(lambda x, a: _triple(x.join(_of(a, SAME, "o", "t").where("o <> t"), "o"), col("s"), col("p"), col("t")))
     # restrictions
     on = _of(f, T.OWL + "onProperty", "r", "p")
-    value = _of(f, T.OWL + "hasValue", "r", "v").join(on, "r")
-    out.append(_triple(_of(d, T.TYPE, "x", "r").join(value, "r"), col("x"), col("p"), col("v")))
-    out.append(_triple(d.join(value.select("p", col("v").alias("o"), "r"), ["p", "o"]), col("s"), type_, col("r")))
-    some = _of(f, T.OWL + "someValuesFrom", "r", "c").join(on, "r")
-    used = f.join(some, "p")
-    thing = used.where(col("c") == _c(T.OWL + "Thing"))
-    out.append(_triple(thing, col("s"), type_, col("r")))
-    out.append(_triple(used.join(_of(f, T.TYPE, "o", "c"), ["o", "c"]), col("s"), type_, col("r")))
-    only = _of(f, T.OWL + "allValuesFrom", "r", "c").join(on, "r")
-    held = _of(f, T.TYPE, "s", "r").join(only, "r")
-    out.append(_triple(f.join(held, ["s", "p"]), col("o"), type_, col("c")))
+    if T.OWL + "hasValue" in has:
+        value = _of(f, T.OWL + "hasValue", "r", "v").join(on, "r")
+        out.append(_triple(_of(f, T.TYPE, "x", "r").join(value, "r"), col("x"), col("p"), col("v")))
+        out.append(_triple(f.join(value.select("p", col("v").alias("o"), "r"), ["p", "o"]), col("s"), type_, col("r")))
+    if T.OWL + "someValuesFrom" in has:
+        used = f.join(_of(f, T.OWL + "someValuesFrom", "r", "c").join(on, "r"), "p")
+        out.append(_triple(used.where(col("c") == _c(T.OWL + "Thing")), col("s"), type_, col("r")))
+        out.append(_triple(used.join(_of(f, T.TYPE, "o", "c"), ["o", "c"]), col("s"), type_, col("r")))
+    if T.OWL + "allValuesFrom" in has:
+        held = _of(f, T.TYPE, "s", "r").join(_of(f, T.OWL + "allValuesFrom", "r", "c").join(on, "r"), "r")
+        out.append(_triple(f.join(held, ["s", "p"]), col("o"), type_, col("c")))
     # axioms with lists
     for chain, p in lists["chains"]:
         step = None
@@ -164,9 +195,12 @@ def closure(base: DataFrame, graph: int, profile: str) -> DataFrame:
     facts = new = start
     lists = _lists(start) if profile == "owl-rl" else {}
     for _ in range(ROUNDS):
-        made = _rdfs(facts, new, resources)
+        has = _present(facts)
+        made = _rdfs(facts, new, resources, has)
         if profile == "owl-rl":
-            made += _owl(facts, new, lists, resources)
+            made += _owl(facts, new, lists, resources, has)
+        if not made:
+            break
         found = made[0]
         for x in made[1:]:
             found = found.unionByName(x)
