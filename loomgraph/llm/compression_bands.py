@@ -7,6 +7,14 @@ its own limits; chunks of a fixed size have one pair of limits, and the share of
 chunks outside it is limited too, which finds a repetitive or random stretch that
 the whole ratio of a long text hides.
 
+The limits are learned in a first pass over all documents that pass the base
+rules, each distinct text once: the quartiles of the ratio in each eighth of an
+octave of length, less ``low_fence`` and plus ``high_fence`` times their distance.
+So a corpus without odd texts loses next to nothing, and what the corpus's
+languages and alphabet make normal is normal.  An eighth with fewer than
+``least_texts`` texts goes by its whole octave, an octave with fewer by the fixed
+``bands``, which only hold off text repeated many times and random characters.
+
 Words are runs of characters other than ASCII white space.  Defined cases: a null
 text has no words; texts with no words fail the base rules; extra columns and
 repeated rows pass through untouched; an empty table gives an empty result.
@@ -14,7 +22,7 @@ repeated rows pass through untouched; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .shared import stage
 
 COLUMNS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -41,10 +50,13 @@ class Limits:
     chunk_bytes: int = 2048
     chunk_low: float = 0.14
     chunk_high: float = 0.72
-    chunk_share: float = 0.4
+    chunk_share: float = 0.25
     min_words: int = 50
     max_repeat_percent: int = 50
     level: int = 3
+    low_fence: float = 1.5
+    high_fence: float = 3.0
+    least_texts: int = 32
 
 
 def _measures(data: np.ndarray, off: np.ndarray):
@@ -93,6 +105,85 @@ def _measures(data: np.ndarray, off: np.ndarray):
     return n_words, word_chars, n_symbols, n_dup, n_repeat
 
 
+STEPS = 8  # length classes of an octave
+GRAIN = 1000  # ratios are counted in steps of 1 / GRAIN
+LEAST_SPREAD = 8  # of the quartiles, in such steps: near copies do not make all other texts odd
+
+
+def _octave_step(size: np.ndarray) -> np.ndarray:
+    return np.floor(STEPS * np.log2(np.maximum(size, 1))).astype(np.int64)
+
+
+def _learn(limits: Limits):
+    """Length class, ratio and chunk ratios (in steps of GRAIN) of each text that passes the base rules, and its hash."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=limits.level).compress
+        for b in batches:
+            keys = T.column(b, "key")
+            for lo, hi, data, off in T.slices(T.column(b, "text")):
+                n_words, _, _, _, repeat = _measures(data, off)
+                good = np.flatnonzero((n_words >= limits.min_words) & (100 * repeat <= limits.max_repeat_percent * n_words))
+                raw = data.tobytes()
+                ratio = [GRAIN * len(press(raw[off[i] : off[i + 1]])) // int(off[i + 1] - off[i]) for i in good]
+                chunks = [
+                    [GRAIN * len(press(raw[c : c + limits.chunk_bytes])) // limits.chunk_bytes for c in range(off[i], off[i + 1] - limits.chunk_bytes + 1, limits.chunk_bytes)]
+                    for i in good
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(lo, hi - lo).take(pa.array(good)), pa.array(_octave_step(np.diff(off)[good])), pa.array(ratio, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))],
+                    names=["key", "step", "ratio", "chunks"],
+                )
+
+    return run
+
+
+def _fences(limits: Limits, ratio: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Least and greatest usual ratio of a histogram."""
+    order = np.argsort(ratio)
+    ratio, share = ratio[order], np.cumsum(n[order]) / n.sum()
+    q1, q3 = (int(ratio[np.searchsorted(share, q)]) for q in (0.25, 0.75))
+    spread = max(q3 - q1, LEAST_SPREAD)
+    return (q1 - limits.low_fence * spread) / GRAIN, (q3 + 1 + limits.high_fence * spread) / GRAIN
+
+
+def learned(docs: DataFrame, limits: Limits | None = None, text_col: str = "text") -> Limits:
+    """limits with the bands and chunk limits that the documents' own ratios give.
+
+    Two histograms go to the driver: at most GRAIN or so ratios for each of the length classes, and for chunks.
+    """
+    limits = limits or Limits()
+    text = docs.select(F.col(text_col).cast("string").alias("text")).select(F.xxhash64("text").alias("key"), "text")
+    rows = text.mapInArrow(_learn(limits), "key long, step long, ratio long, chunks array<long>").dropDuplicates(["key"])
+    rows = stage(rows, "ratios")
+    told = rows.groupBy("step", "ratio").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    chunks = rows.select(F.explode("chunks").alias("ratio")).groupBy("ratio").agg(F.count(F.lit(1)).alias("n")).toPandas()
+
+    fences = {}
+    for by in (STEPS, 1):
+        for k, part in told.groupby(told["step"] * by // STEPS):
+            if part["n"].sum() >= limits.least_texts:
+                fences[by, int(k)] = _fences(limits, part["ratio"].to_numpy(), part["n"].to_numpy())
+    bands, fixed = [], list(limits.bands)
+    for step in range(STEPS * 62):
+        # the greatest whole size of the class
+        top = int(np.ceil(2 ** ((step + 1) / STEPS))) - 1
+        pair = fences.get((STEPS, step)) or fences.get((1, step // STEPS))
+        while fixed[0][0] < top and pair is None:
+            bands.append(fixed[0])
+            fixed.pop(0)
+        while len(fixed) > 1 and fixed[0][0] <= top:
+            fixed.pop(0)
+        bands.append((top, *(pair or fixed[0][1:])))
+    bands.append((1 << 62, *limits.bands[-1][1:]))
+    if chunks["n"].sum() < limits.least_texts:
+        return replace(limits, bands=tuple(bands))
+    low, high = _fences(limits, chunks["ratio"].to_numpy(), chunks["n"].to_numpy())
+    return replace(limits, bands=tuple(bands), chunk_low=low, chunk_high=high)
+
+
 def _judge(limits: Limits):
     tops = np.array([b[0] for b in limits.bands])
 
@@ -131,9 +222,9 @@ def _judge(limits: Limits):
 
 
 def quality_bands(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the measures, the ratios and the verdict ``kept``."""
+    """One row for each row of docs: the measures, the ratios and the verdict ``kept``; without limits, by those learned from docs."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text.mapInArrow(_judge(limits or Limits()), COLUMNS)
+    return text.mapInArrow(_judge(limits or learned(text)), COLUMNS)
 
 
 def _filter(limits: Limits, text_col: str):
@@ -151,5 +242,5 @@ def _filter(limits: Limits, text_col: str):
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    return docs.mapInArrow(_filter(limits or Limits(), text_col), docs.schema)
+    """The rows of docs that pass, with all their columns; without limits, by those learned from docs."""
+    return docs.mapInArrow(_filter(limits or learned(docs, text_col=text_col), text_col), docs.schema)

@@ -180,6 +180,21 @@ def test_quality(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_quality_of_planted_junk(spark):
+    r = random.Random(8)
+    word = ["".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(r.choice(word) for _ in range(n))
+    good = [prose(r.randint(450, 950)) for _ in range(600)]
+    bad = [" | ".join(prose(1) for _ in range(500)) for _ in range(12)] + [prose(500).replace(" ", "### ") for _ in range(12)]
+    # one text many times over must not become the only usual one
+    got = {x.doc_id: x for x in B.quality_bands(frame(spark, good + bad + good[:1] * 900)).collect()}
+    junk = [got[len(good) + i] for i in range(len(bad))]
+    assert not any(x.base_failed or x.kept for x in junk)
+    assert sum(got[i].kept for i in range(len(good))) >= 0.98 * len(good)
+    assert all(got[len(good) + len(bad) + i].kept == got[0].kept for i in range(900))
+    assert {x.doc_id for x in B.keep_good(frame(spark, good + bad)).collect()} <= set(range(len(good)))
+
+
 # mixing
 
 
