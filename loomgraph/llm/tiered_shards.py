@@ -3,8 +3,10 @@
 A store is a folder in shared storage.  Arrivals are appended as small immutable
 runs of Parquet files.  Compaction merges runs of similar size (of one tier: sizes
 within a factor) into one run, whose files have the target size; a run that has
-reached the target is left alone, so each row is written about log(target /
-arrival) times.  Merging reads files next to each other and coalesces them: no
+reached the target is left alone if its files are of that size too, so each row
+is written about log(target / arrival) times.  A run over the target made of
+small files, as a large arrival written by many tasks is, is rewritten once,
+without waiting for others.  Merging reads files next to each other and coalesces them: no
 shuffle.  Every change writes its files first and then commits a manifest,
 ``manifest-<version>.json``, by a rename that fails if the version exists.  A
 reader sees one version, whole; a writer that lost the race, or its machine,
@@ -21,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,16 +103,36 @@ class ShardStore:
         found = [s.getPath().toString() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
         return self.commit(version, [*self.runs(version), *(self._measure(x, 0) for x in sorted(found))])
 
+    def _scattered(self, r: Run) -> bool:
+        """Whether a run that has reached the target has more than twice the files it needs."""
+        return r.bytes >= self.target and r.files > 2 * math.ceil(r.bytes / self.target)
+
     def _plan(self, runs: list[Run]) -> list[Run]:
-        """Runs of the lowest tier that has at least ``fan`` of them and is not at the target."""
+        """Runs of the lowest tier that has at least ``fan`` of them and is not at the target; else of the lowest tier with scattered ones, those."""
         for tier in sorted({r.tier for r in runs}):
             same = sorted((r for r in runs if r.tier == tier and r.bytes < self.target), key=lambda r: r.bytes)
             if len(same) >= self.fan:
                 return same
-        return []
+        loose = [r for r in runs if self._scattered(r)]
+        return [r for r in loose if r.tier == min(x.tier for x in loose)]
+
+    @contextmanager
+    def _fine_reads(self):
+        """Reads are cut finely, so that coalescing them comes near the target size from either side."""
+        conf = self.spark.conf
+        now = self.spark._jsparkSession.sessionState().conf()
+        least = {"spark.sql.files.maxPartitionBytes": min(now.filesMaxPartitionBytes(), max(1, self.target // 8)), "spark.sql.files.openCostInBytes": min(now.filesOpenCostInBytes(), max(1, self.target // 512))}
+        old = {k: conf.get(k, None) for k in least}
+        for k, v in least.items():
+            conf.set(k, str(v))
+        try:
+            yield
+        finally:
+            for k, v in old.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def compact(self, schema) -> int:
-        """Merges until no tier has ``fan`` runs; one commit for each merge."""
+        """Merges until no tier has ``fan`` runs below the target and none is scattered; one commit for each merge."""
         while True:
             version = self.version()
             runs = self.runs(version)
@@ -117,8 +140,9 @@ class ShardStore:
             if not some:
                 return version
             parts = max(1, math.ceil(sum(r.bytes for r in some) / self.target))
-            df = self.spark.read.schema(schema).parquet(*(r.path for r in some)).coalesce(parts)
-            new = self._write(df, 1 + max(r.merged for r in some))
+            with self._fine_reads():
+                df = self.spark.read.schema(schema).parquet(*(r.path for r in some)).coalesce(parts)
+                new = self._write(df, 1 + max(r.merged for r in some))
             self.commit(version, [r for r in runs if r not in some] + [new])
 
     def read(self, schema, version: int | None = None) -> DataFrame:

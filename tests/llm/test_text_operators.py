@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -390,3 +391,24 @@ def test_store(spark, tmp_path):
         store.commit(2, [])
     assert store.vacuum() >= 3
     assert sorted(map(str, store.read(plain.schema).drop("shard").collect())) == before
+
+
+def test_large_arrivals_are_compacted(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, "".join(chr(r.randint(33, 126)) for _ in range(1000)), i % 2) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, arrival long")
+    target = 200_000
+    store = S.ShardStore(spark, str(tmp_path / "s"), target_bytes=target, base_bytes=1000)
+    store.append_by(df.repartition(40), "arrival")
+    store.append(df.drop("arrival").where("doc_id < 600").repartition(40))
+    assert all(x.bytes > target and x.files > 4 * x.bytes / target for x in store.runs())
+    schema = df.drop("arrival").schema
+    before = sorted(map(str, store.read(schema).drop("shard").collect()))
+    reads = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    version = store.compact(schema)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == reads
+    assert sum(x.files for x in store.runs()) <= 1.5 * sum(x.bytes for x in store.runs()) / target
+    sizes = [f.stat().st_size for x in store.runs() for f in pathlib.Path(x.path.removeprefix("file:")).glob("part-*")]
+    assert sizes and max(sizes) < 1.5 * target and min(sizes) > target / 4
+    assert store.compact(schema) == version
+    assert sorted(map(str, store.read(schema).drop("shard").collect())) == before
