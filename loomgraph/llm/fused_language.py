@@ -5,8 +5,9 @@ Four kinds of evidence are added as log likelihoods over the languages:
 * the visible text: hashed words and character trigrams with add-one smoothing,
   counted over all documents of known language, tempered by the square root of
   the number of features, since they are far from independent;
-* the declared markup language (``<html lang>``): P(declared | language),
-  counted over all pages against the text's own verdict;
+* the declared markup language (``<html lang>``, wherever it stands in the page
+  outside comments, scripts and styles): P(declared | language), counted over all
+  pages against the text's own verdict;
 * the address suffix (the last label of the host): P(suffix | language), likewise;
 * the host: a prior smoothed hierarchically, the host towards its registered
   domain, that towards its suffix, that towards all pages.
@@ -106,7 +107,17 @@ def train_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
+# comments, scripts and styles are skipped, to the end of the page if they are not closed; each character is read once
+_HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b.*?(?:</\1\b|\Z)|<html\b(?P<tag>[^>]*)", re.S | re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
+
+
+def declared_language(html: str) -> str:
+    """The language of the first ``<html>`` tag that has one, in lower case, or an empty string."""
+    for m in _HTML.finditer(html):
+        if m["tag"] and (found := _LANG.search(m["tag"])):
+            return found[1].lower()
+    return ""
 
 
 def _evidence(model, column):
@@ -116,7 +127,7 @@ def _evidence(model, column):
             ids = T.column(b, "page_id")
             html = [x or "" for x in T.column(b, "html").to_pylist()]
             hosts = [(_HOST.match(x or "") or ["", ""])[1].lower().strip(".") for x in T.column(b, "url").to_pylist()]
-            declared = [(_LANG.search(x[:4096]) or ["", ""])[1].lower() for x in html]
+            declared = [declared_language(x) for x in html]
             for lo, hi, data, off in T.slices(pa.array([visible(x) for x in html], pa.large_string())):
                 f, at = _features(data, off)
                 logs = np.stack([T.seg_sum(x[f], at) for x in m.log_p], axis=1) / np.sqrt(np.maximum(np.diff(at), 1))[:, None]

@@ -6,6 +6,7 @@ import math
 import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -368,6 +369,20 @@ def test_language(spark):
     assert L.identify(df, L.train_text(docs.limit(0))).first().lang == "und"
 
 
+def test_language_declared_late(spark):
+    long = ["<!-- " + "licence <html lang='xx'> " * 400 + "-->", " \n" * 4000, "<!--[if IE]>" + "x" * 5000 + "<![endif]-->", "<script>" + "var a = '<html lang=xx>';" * 300 + "</script>"]
+    pages = [(i, "http://a.org/", f'{x}<html class="a" lang="fr-CA"><p>12 34</p>') for i, x in enumerate(long)]
+    pages += [(10, "http://a.org/", "<!-- <html lang='fr'>" + "x" * 9000), (11, "http://a.org/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    docs = spark.createDataFrame([("la maison", "fr"), ("the house", "en")], "text string, lang string")
+    got = {x.page_id: x.declared for x in L.identify(df, L.train_text(docs)).collect()}
+    assert got == {**{i: "fr" for i in range(len(long))}, 10: "", 11: ""}
+    for x in ("<html ", "<!--", "<script", "<html lang", "<html lang=", "lang "):
+        at = time.monotonic()
+        L.declared_language("<html " + x * 200_000)
+        assert time.monotonic() - at < 5
+
+
 # compaction
 
 
