@@ -128,14 +128,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 8, id_col: str = "
     occurring windows, sorted as strings, and the occurrences (start, length)."""
     index, found, owners, n = build_index(docs, items, k, 0, id_col, text_col)
     matches = phrase_matches(index, found, n)
-    hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("window_id").alias("ids"))
+    hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("window_id")).alias("ids"))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("int").alias("end"))
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(x["start"] + x["length"] - F.greatest(x["start"], acc["end"]), F.lit(0))).cast("long").alias("n"),
         F.greatest(acc["end"], x["start"] + x["length"]).alias("end"),
     )
     hits = hits.withColumn("n_hit", F.aggregate("spans", none, step, lambda acc: acc["n"]))
-    # windows of many documents are few: items are looked up for each set of windows
+    # windows of many documents are few: items are looked up for each set of windows; hits is evaluated twice, so sets are sorted
     sets = hits.select(F.col("ids").alias("key"), F.explode("ids").alias("window_id")).distinct()
     sets = sets.join(_small(owners, n), "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     hits = hits.join(sets, hits["ids"] == sets["key"], "left").select(F.col("doc_id").alias("hit_id"), "n_hit", "items", "spans")

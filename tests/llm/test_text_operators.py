@@ -89,6 +89,23 @@ def test_decontamination(spark):
     assert {x.n_hit for x in P.decontaminate(df, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_in_any_order_of_matches(spark, monkeypatch):
+    def turned(x):
+        import os
+
+        r = random.Random(os.urandom(8))
+        return None if x is None else r.sample(x, len(x))
+
+    # a set of windows is gathered in another order each time it is evaluated
+    mixed = F.udf(turned, "array<long>").asNondeterministic()
+    gather = F.collect_set
+    monkeypatch.setattr(P.F, "collect_set", lambda c: mixed(gather(c)) if isinstance(c, str) and c == "window_id" else gather(c))
+    text = " ".join(f"w{i}" for i in range(60))
+    df = frame(spark, [text, "w1 w2", text + " end"])
+    bench = spark.createDataFrame([(1, text), (2, "w3 w4 w5 w6 w7 w8 w9 w10")], "item_id long, text string")
+    assert {x.doc_id: list(x["items"]) for x in P.decontaminate(df, bench).collect()} == {0: ["1", "2"], 1: [], 2: ["1", "2"]}
+
+
 def test_proximity(spark):
     docs = ["alpha beta gamma delta", "x delta y gamma beta alpha z", "alpha only here"]
     df = frame(spark, docs)
