@@ -1,13 +1,14 @@
 """The engine: a graph store with SPARQL, updates, graph lifecycle, reasoning and validation.
 
-State is a DataFrame of quads and a small table of graphs.  Each change makes a new snapshot, written to shared
-storage, so a query that already runs keeps the one it began with and lineage stays short.
+State is a list of immutable segments of quads and a small table of graphs.  Each change adds segments, or
+replaces those it touches, and commits a new version.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pathlib
 import time
 import uuid
 from datetime import datetime, timezone
@@ -17,17 +18,20 @@ from pyspark.sql import functions as F
 
 from . import terms as T
 from .operators import canon, inference, integrity, neighbourhood, shacl
-from .operators.closure import stage
+from .operators.closure import scratch, shared_dir, stage
 from .operators.paths import Paths
 from .plans import algebra as A
 from .plans.compiler import GRAPH_KEY, Compiler, Rel, Scope, col, pattern_variables
 from .plans.describe import describe_algebra
 from .plans.parser import parse_query, parse_update
 from .sources import rdf
-from .sources.quads import GRAPHS, SCHEMA, QuadDataset, from_triples, with_ids
+from .sources.quads import GRAPHS, QuadDataset, from_triples, with_ids
+from .sources.segments import SPREAD, SegmentStore
 
 __version__ = "0.1.0"
 SYNTHETIC = "urn:graph:"
+#: Up to so many ids are put into the filter of a scan.
+FEW = 1000
 TERM = "type string, value string, datatype string, language string"
 
 
@@ -42,10 +46,17 @@ class Locked(GraphError):
 class Queries:
     """SPARQL over any dataset that the compiler can scan."""
 
-    def __init__(self, dataset, max_depth: int = 64, on_truncation: str = "warn", distinct_alternatives: bool = False):
-        self.dataset, self.spark = dataset, dataset.spark
+    def __init__(self, dataset, max_depth: int = 64, on_truncation: str = "warn", distinct_alternatives: bool = False, spark: SparkSession | None = None):
+        self.dataset, self.spark = dataset, spark or dataset.spark
         self.paths = Paths(max_depth, on_truncation, distinct_alternatives)
         self._parsed: dict[str, A.Query] = {}
+        self.functions: dict = {}
+        self.__dict__.setdefault("counters", {"queries": 0})
+
+    def register_function(self, iri: str, f, datatype: str = T.STRING):
+        """Binds an IRI to a function of columns: it gets the lexical forms of its arguments (numbers for numeric ones are up to it)
+        and returns a column, whose value is a literal of ``datatype``."""
+        self.functions[iri] = (f, datatype)
 
     def _parse(self, text: str) -> A.Query:
         if text not in self._parsed:
@@ -60,17 +71,19 @@ class Queries:
         return n
 
     def _compiler(self) -> Compiler:
-        return Compiler(self.dataset, self.paths)
+        return Compiler(self.dataset, self.paths, self.functions)
 
     def _scope(self, q: A.Query) -> Scope:
+        """FROM gives the graphs of plain patterns, FROM NAMED those that GRAPH sees; with either, what is not listed is not there."""
         if not q.dataset and not q.named:
             return Scope()
-        ids = [self.dataset.graph_id(g) for g in (q.dataset or q.named)]
-        return Scope("all", among=tuple(-1 if g is None else g for g in ids))
+        ids = lambda names: tuple(g for g in map(self.dataset.graph_id, names) if g is not None)
+        return Scope("all", among=ids(q.dataset), named=ids(q.named))
 
     def sparql(self, text: str, types: dict[str, str] | None = None) -> DataFrame:
         """SELECT: one string column for each variable, cast by ``types``.  ASK: one row with ``_ask``."""
         q = self._parse(text)
+        self.counters["queries"] += 1
         if q.form == "ASK":
             rel = self._compiler().compile(q.select.pattern, self._scope(q))
             return rel.df.limit(1).agg(F.when(F.count(F.lit(1)) > 0, "true").otherwise("false").alias("_ask"))
@@ -205,13 +218,20 @@ def triples_of(df: DataFrame) -> DataFrame:
 
 
 class GraphStore(Queries):
-    """Stored quads and named graphs."""
+    """Named graphs of quads in immutable segments (sources.segments).
+
+    Each change commits a new version; a query keeps the version that it began with until ``vacuum`` removes it.
+    """
 
-    def __init__(self, spark: SparkSession, **settings):
-        self._graphs: dict[int, dict] = {0: self._entry(0, SYNTHETIC + "0")}
-        self._quads = spark.createDataFrame([], SCHEMA)
-        self.counters = {"queries": 0, "updates": 0, "loads": 0}
-        super().__init__(QuadDataset(self._quads, self._graph_frame(spark)), **settings)
+    def __init__(self, spark: SparkSession, root: str | None = None, **settings):
+        self.store = SegmentStore(spark, root or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        told = self.store.refresh()
+        self._graphs: dict[int, dict] = {g["graph_id"]: g | {"locked_at": g["locked_at"] and datetime.fromisoformat(g["locked_at"])} for g in told}
+        self._graphs.setdefault(0, self._entry(0, SYNTHETIC + "0"))
+        self.counters = {"queries": 0, "updates": 0, "loads": 0, "filter_clauses_dropped": 0}
+        self._closed: dict[int, str] = {}
+        super().__init__(None, **settings, spark=spark)
+        self._refresh()
 
     @staticmethod
     def _entry(i: int, iri: str) -> dict:
@@ -223,29 +243,36 @@ class GraphStore(Queries):
 
     @property
     def quads(self) -> DataFrame:
-        return self._quads
+        return self.dataset.quads
 
     @property
     def graphs(self) -> DataFrame:
-        return self._graph_frame(self.spark)
+        return self.dataset.graphs
 
-    def _set(self, quads: DataFrame | None = None):
-        if quads is not None:
-            self._quads = stage(quads.select(*T.QUAD), "quads")
-        self.dataset = QuadDataset(self._quads, self._graph_frame(self.spark))
+    def _refresh(self):
+        ids = tuple(sorted({s.g for s in self.store.segments}))
+        self.dataset = QuadDataset(self.store.frame().drop("seg"), self._graph_frame(self.spark), ids, self._closed)
+
+    def _commit(self, segments=None, changed=()):
+        """Makes segments (if given) and the table of graphs the content of the next version; changed: graphs with other quads than before."""
+        for g in changed:
+            self._closed.pop(g, None)
+        graphs = [g | {"locked_at": g["locked_at"] and g["locked_at"].isoformat()} for g in self._graphs.values()]
+        self.store.commit(self.store.segments if segments is None else self.store.merged(segments), graphs)
+        self._refresh()
 
     def save(self, path: str):
-        """Parquet partitioned by graph, sorted by predicate, subject, object; and the table of graphs."""
-        self._quads.repartition("g", "p").sortWithinPartitions("p", "s", "o").write.partitionBy("g").parquet(f"{path}/quads")
-        self.graphs.write.parquet(f"{path}/graphs")
+        """A copy of the newest version in a folder of its own, each graph in one segment."""
+        other = SegmentStore(self.spark, path)
+        graphs = [g | {"locked_at": g["locked_at"] and g["locked_at"].isoformat()} for g in self._graphs.values()]
+        other.commit(other.write(self.quads, sum(s.rows for s in self.store.segments)), graphs)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **settings) -> GraphStore:
-        store = cls(spark, **settings)
-        store._graphs = {r["graph_id"]: r.asDict() for r in spark.read.parquet(f"{path}/graphs").collect()}
-        store._quads = spark.read.schema(SCHEMA).parquet(f"{path}/quads").select(*T.QUAD)
-        store._set()
-        return store
+        return cls(spark, path, **settings)
+
+    def vacuum(self, age_seconds: float = 3600) -> int:
+        return self.store.vacuum(age_seconds)
 
     # graphs
 
@@ -276,7 +303,7 @@ class GraphStore(Queries):
             new = graph not in self._graphs
             if new:
                 self._graphs[graph] = self._entry(graph, f"{SYNTHETIC}{graph}")
-                self._set()
+                self._commit()
             return new
         self._need_id("add_graph", graph)
         owner, e = self.graph_id(iri), self._graphs.get(graph)
@@ -285,7 +312,7 @@ class GraphStore(Queries):
         if e and e["iri"] not in (iri, f"{SYNTHETIC}{graph}"):
             raise GraphError(f"add_graph: graph {graph} is {e['iri']}")
         self._graphs[graph] = (e or self._entry(graph, iri)) | {"iri": iri}
-        self._set()
+        self._commit()
         return graph
 
     def graph_id(self, iri: str) -> int | None:
@@ -295,26 +322,29 @@ class GraphStore(Queries):
         return self._graphs[graph]["iri"] if graph in self._graphs else None
 
     def count_quads(self, graph: int = 0) -> int:
-        return self._quads.where(F.col("g") == graph).count()
+        return self.store.rows(graph)
+
+    def _of(self, graph: int) -> DataFrame:
+        return self.quads.where(F.col("g") == graph)
 
     def drop_graph(self, graph, cascade: bool = True) -> int:
         g = self._need_id("drop_graph", graph)
         if g == 0:
             raise GraphError("drop_graph: cannot drop the default graph")
         self._writable(g, "drop")
-        own = self._quads.where(F.col("g") == g)
-        if not cascade and not own.where("inferred").isEmpty():
+        if not cascade and any(s.inferred for s in self.store.of(g)):
             raise GraphError(f"drop_graph: graph {g} has inferred quads")
-        n = own.count()
+        n = self.count_quads(g)
         self._graphs.pop(g, None)
-        self._set(self._quads.where(F.col("g") != g))
+        self._commit([s for s in self.store.segments if s.g != g], [g])
         return n
 
     def clear_graph(self, graph) -> int:
         g = self._need_id("clear_graph", graph)
         self._writable(g, "clear")
         n = self.count_quads(g)
-        self._set(self._quads.where(F.col("g") != g))
+        if n:
+            self._commit([s for s in self.store.segments if s.g != g], [g])
         return n
 
     def copy_graph(self, src, dst) -> int:
@@ -323,7 +353,7 @@ class GraphStore(Queries):
         if a == b:
             raise GraphError("copy_graph: src and dst must differ")
         self._writable(b, "copy")
-        return self._add(self._quads.where(F.col("g") == a).withColumn("g", F.lit(b).cast("long")), b)
+        return self._add(self._of(a).withColumn("g", F.lit(b).cast("long")), b)
 
     def move_graph(self, src, dst) -> int:
         a, b = self._need_id("move_graph", src), self._graph_for("move_graph", dst)
@@ -334,10 +364,11 @@ class GraphStore(Queries):
         if self.count_quads(b):
             raise GraphError(f"move_graph: graph {b} is not empty")
         n = self.count_quads(a)
-        self._set(self._quads.withColumn("g", F.when(F.col("g") == a, F.lit(b)).otherwise(F.col("g")).cast("long")))
+        self.add_graph(b)
+        moved = self.store.write(self._of(a).withColumn("g", F.lit(b).cast("long")), n) if n else []
         if a != 0:
             self._graphs.pop(a, None)
-        self.add_graph(b)
+        self._commit([s for s in self.store.segments if s.g != a] + moved, [a, b])
         return n
 
     def _graph_for(self, name: str, g) -> int:
@@ -346,19 +377,20 @@ class GraphStore(Queries):
     def carve_graph(self, src, dst, predicate: str | None = None, seeds: list[str] | None = None, max_hops: int = 1) -> dict:
         """Copies the quads of one predicate, or the undirected ball of max_hops around seeds; gives counts and the rim."""
         a, b = self._need_id("carve_graph", src), self._need_id("carve_graph", dst) if not isinstance(dst, str) else None
-        own, rim = self._quads.where(F.col("g") == a), None
-        if predicate is not None:
-            found = own.where(F.col("p") == T.id_lit(T.iri(predicate)))
-        else:
-            found, rim = neighbourhood.ball(own, [T.iri(s) for s in seeds or []], max_hops)
-        found = stage(found.dropDuplicates(["s", "p", "o", "g"]), "carved")
-        n = found.count()
-        out = {"quads": n, "boundary": rim.count() if rim is not None else 0}
-        if n:
-            b = self.add_graph(dst) if b is None else b
-            self._writable(b, "carve")
-            self.add_graph(b)
-            self._add(found.withColumn("g", F.lit(b).cast("long")), b)
+        own, rim = self._of(a), None
+        with scratch(self.spark):
+            if predicate is not None:
+                found = own.where(F.col("p") == T.id_lit(T.iri(predicate)))
+            else:
+                found, rim = neighbourhood.ball(own, [T.iri(s) for s in seeds or []], max_hops)
+            found = stage(found.dropDuplicates(["s", "p", "o", "g"]), "carved")
+            n = found.count()
+            out = {"quads": n, "boundary": rim.count() if rim is not None else 0}
+            if n:
+                b = self.add_graph(dst) if b is None else b
+                self._writable(b, "carve")
+                self.add_graph(b)
+                self._add(found.withColumn("g", F.lit(b).cast("long")), b)
         return out
 
     def lock_graph(self, graph, reason: str = "") -> bool:
@@ -366,7 +398,7 @@ class GraphStore(Queries):
         self.add_graph(g)
         was = self._graphs[g]["locked"]
         self._graphs[g] |= {"locked": True, "lock_reason": reason, "locked_at": datetime.now(timezone.utc).replace(tzinfo=None)}
-        self._set()
+        self._commit()
         return not was
 
     def unlock_graph(self, graph, reason: str = "") -> bool:
@@ -374,34 +406,69 @@ class GraphStore(Queries):
         was = bool(self._graphs.get(g, {}).get("locked"))
         if was:
             self._graphs[g] |= {"locked": False, "lock_reason": None, "locked_at": None}
-            self._set()
+            self._commit()
         return was
 
     def graph_integrity(self, graph: int = 0) -> dict:
-        return integrity.audit(self._quads.where(F.col("g") == graph))
+        return integrity.audit(self._of(graph))
 
     def graph_digest(self, graph: int = 0) -> str:
-        """sha256 of the canonical N-Triples (RDFC-1.0) of the asserted quads."""
-        return canon.digest(self._quads.where((F.col("g") == graph) & ~F.col("inferred")))
+        """sha256 of the canonical N-Triples (RDFC-1.0) of the asserted quads.
+
+        The standard hashes sorted lines one after another, so all lines pass the driver, one partition at a time.
+        """
+        return canon.digest(self._of(graph).where(~F.col("inferred")))
+
+    def partitioned_digest(self, graph: int = 0) -> str:
+        """A digest of the same lines that does not depend on their order: one aggregation, nothing sorted or gathered."""
+        return canon.partitioned_digest(self._of(graph).where(~F.col("inferred")))
 
     # loading
 
+    def put_quads(self, quads: DataFrame, graph: int | None = None, dedup: bool = True) -> int:
+        """Adds a DataFrame of quads (terms.QUAD); gives how many are new."""
+        return self._add(quads, graph, dedup)
+
+    def _near(self, rows: DataFrame, n: int) -> DataFrame | None:
+        """Stored quads (with ``seg``) among which all of ``rows`` (s, p, o, g) must be: filters that reach the files."""
+        live = {s.g for s in self.store.segments}
+        graphs = [r[0] for r in rows.select("g").distinct().collect() if r[0] in live]
+        if not graphs:
+            return None
+        df = self.store.frame(self.store.of(*graphs))
+        for c in ("p", "s") if n <= FEW else ("p",):
+            ids = [r[0] for r in rows.select(c).distinct().limit(FEW + 1).collect()]
+            if len(ids) <= FEW:
+                df = df.where(F.col(c).isin(*ids))
+        return df
+
     def _add(self, new: DataFrame, graph: int | None = None, dedup: bool = True) -> int:
-        """Adds quads; gives how many are new.  A graph is a set of triples, unless ``dedup`` is off."""
-        keys = ["s", "p", "o", "g"]
+        """Adds quads as new segments; gives how many are new.  A graph is a set of triples, unless ``dedup`` is off."""
+        keys, n = ["s", "p", "o", "g"], None
         new = new.select(*T.QUAD)
-        if dedup:
-            new = new.dropDuplicates(keys).join(self._quads.select(*keys), keys, "left_anti")
-        new = stage(new, "new")
-        n = new.count()
-        self._set(self._quads.unionByName(new.select(*T.QUAD)))
+        empty = not self.store.segments or graph is not None and not self.store.of(graph)
+        with scratch(self.spark):
+            if dedup:
+                new = new.dropDuplicates(keys)
+            if dedup and not empty:
+                new = stage(new, "new")
+                n = new.count()
+                near = self._near(new, n)
+                if near is not None:
+                    if n <= SPREAD:
+                        near = near.join(new.select(*keys), keys, "left_semi")
+                    new = stage(new.join(near.select(*keys), keys, "left_anti"), "new")
+                    n = new.count()
+            segments = self.store.write(new, n) if n != 0 else []
         if graph is not None and graph not in self._graphs:
             self.add_graph(graph)
-        return n
+        if segments:
+            self._commit([*self.store.segments, *segments], [x.g for x in segments])
+        return sum(x.rows for x in segments)
 
     def _resolve(self, rows: DataFrame, default: int, strict: bool, name: str) -> DataFrame:
         """Rows with graph IRIs as rows with graph ids; new graphs are allocated, or refused if ``strict``."""
-        rows = stage(rows, "parsed")
+        rows = stage(rows, "parsed")  # the caller's scratch removes it
         names = sorted(r[0] for r in rows.select("graph").where("graph IS NOT NULL").distinct().collect())
         unknown = [x for x in names if self.graph_id(x) is None]
         if strict and unknown:
@@ -415,7 +482,7 @@ class GraphStore(Queries):
         e = self._graphs[graph]
         self._graphs[graph] = e | {"source_sha256": sha, "source_loads": e["source_loads"] + 1}
         self.counters["loads"] += 1
-        self._set()
+        self._commit()
 
     def parse_turtle(self, content: str, graph: int = 0, base: str = "", dedup: bool = True) -> int:
         self._writable(graph, "load")
@@ -442,12 +509,17 @@ class GraphStore(Queries):
 
     def _quads_in(self, df: DataFrame, default: int, strict: bool, name: str) -> dict:
         self._writable(default, "load")
-        n = self._add(with_ids(self._resolve(df, default, strict, name)))
+        with scratch(self.spark):
+            n = self._add(with_ids(self._resolve(df, default, strict, name)))
         self.counters["loads"] += 1
         return {"quads": n, "graphs": sorted(self._graphs)}
 
-    def load(self, path: str, graph: int = 0, format: str = "auto", base: str = "", dedup: bool = True, lenient: bool = True) -> int:
-        """Reads ntriples, nquads, turtle or trig files; ``auto`` looks at the name and the first 64 KiB."""
+    def load(self, path: str, graph: int = 0, format: str = "auto", base: str = "", dedup: bool = True, lenient: bool = True, digest: str = "auto") -> int:
+        """Reads ntriples, nquads, turtle or trig files; ``auto`` looks at the name and the first 64 KiB.
+
+        digest: ``bytes`` is the sha256 of the file, read as a stream of any length by the driver; ``lines`` is a digest of
+        the lines of all files, in any order, by one distributed aggregation; ``auto`` is bytes for one file, else lines.
+        """
         self._writable(graph, "load")
         self.add_graph(graph)
         if format == "auto":
@@ -458,15 +530,23 @@ class GraphStore(Queries):
             rows = rdf.parse_lines(self.spark.read.text(path), prefix, lenient)
         else:
             rows = rdf.read_turtle_files(self.spark, path, prefix, base, format == "trig")
-        if format in ("nquads", "trig"):
-            quads = with_ids(self._resolve(rows, graph, False, "load"))
-        else:
-            quads = with_ids(rows.drop("graph").withColumn("g", F.lit(graph).cast("long")))
-        n = self._add(quads, graph, dedup)
-        sha = self.spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "")).first()[0]
-        self._source(graph, sha if len(sha or "") == 64 else hashlib.sha256((sha or "").encode()).hexdigest())
+        with scratch(self.spark):
+            if format in ("nquads", "trig"):
+                quads = with_ids(self._resolve(rows, graph, False, "load"))
+                n = self._add(quads, None, dedup)
+            else:
+                n = self._add(with_ids(rows.drop("graph").withColumn("g", F.lit(graph).cast("long"))), graph, dedup)
+        self._source(graph, rdf.source_digest(self.spark, path, digest))
         return n
 
+    def load_turtle_verbose(self, path: str, graph: int = 0, base: str = "") -> dict:
+        """Loads Turtle files, without a look at what they are, and tells what that took."""
+        began, before = time.time(), self.count_quads(graph)
+        n = self.load(path, graph, "turtle", base)
+        e = self._graphs[graph]
+        return {"triples": n, "graph_id": graph, "quads_before": before, "quads_after": self.count_quads(graph),
+                "elapsed_ms": (time.time() - began) * 1000, "source_sha256": e["source_sha256"], "source_loads": e["source_loads"]}
+
     def _sniff(self, path: str) -> str:
         head = self.spark.read.text(path).limit(200).collect()
         return rdf.sniff("\n".join(r[0] for r in head))
@@ -481,7 +561,7 @@ class GraphStore(Queries):
 
     def get_term(self, i: int) -> str | None:
         row = self.dataset.nodes(Scope()).where(F.col("id") == i).select("x").first()
-        row = row or self._quads.where(F.col("p") == i).select("p__x").first()
+        row = row or self.quads.where(F.col("p") == i).select("p__x").first()
         return row[0] if row else None
 
     def put_construct_rows(self, rows: list[dict], graph: int = 0) -> int:
@@ -508,7 +588,7 @@ class GraphStore(Queries):
         return self.put_construct_rows([row], graph)
 
     def write_ntriples(self, path: str, graph: int = 0):
-        rdf.nt_lines(self._quads.where(F.col("g") == graph)).write.text(path)
+        rdf.nt_lines(self._of(graph)).write.text(path)
 
     # updates
 
@@ -518,7 +598,8 @@ class GraphStore(Queries):
         ops = parse_update(text)
         for op in ops:
             names = {x: self.graph_iri(x) for x in self._graphs}
-            i, d, g = self._update_one(op)
+            with scratch(self.spark):
+                i, d, g = self._update_one(op)
             added, removed = added + i, removed + d
             touched |= {"DEFAULT" if x == 0 else names.get(x) or self.graph_iri(x) or f"{SYNTHETIC}{x}" for x in g}
         self.counters["updates"] += 1
@@ -577,11 +658,10 @@ class GraphStore(Queries):
             touched |= {r[0] for r in new.select("g").distinct().collect()}
         for g in touched:
             self._writable(g, "update")
-        if gone is not None:
-            hit = self._quads.join(gone.select("s", "p", "o", "g").distinct(), ["s", "p", "o", "g"], "left_semi")
-            removed = hit.count()
+        if gone is not None and (near := self._near(gone, gone.count())) is not None:
+            segments, removed = self.store.without(gone, near)
             if removed:
-                self._set(self._quads.join(gone.select("s", "p", "o", "g").distinct(), ["s", "p", "o", "g"], "left_anti"))
+                self._commit(segments, touched)
         if new is not None:
             n = new.count()
             self._add(new)
@@ -608,27 +688,42 @@ class GraphStore(Queries):
             raise GraphError(f"materialize: unknown profile {profile!r}")
         self._writable(graph, "materialize")
         began = time.time()
-        mine = F.col("g") == graph
-        base = self._quads.where(mine & ~F.col("inferred"))
-        dropped = self._quads.where(mine & F.col("inferred")).count()
-        new = stage(inference.closure(base, graph, profile), "inferred")
-        written = new.count()
-        self._set(self._quads.where(~(mine & F.col("inferred"))).unionByName(new.select(*T.QUAD)))
+        own = self.store.of(graph)
+        base = self._of(graph).where(~F.col("inferred"))
+        dropped = sum(x.inferred for x in own)
+        with scratch(self.spark):
+            new = inference.closure(base, graph, profile)
+            segments = [x for x in self.store.segments if x.g != graph or not x.inferred]
+            mixed = [x for x in own if 0 < x.inferred < x.rows]
+            if mixed:
+                segments += self.store.write(self.store.frame(mixed).where(~F.col("inferred")), sum(x.rows - x.inferred for x in mixed), mixed[0].level)
+            made = self.store.write(new)
+        self._commit([*segments, *made], [graph])
+        self._closed[graph] = profile
+        self._refresh()
         return {
-            "base_triples": base.count(), "inferred_triples_written": written, "previous_inferred_dropped": dropped,
+            "base_triples": sum(x.rows - x.inferred for x in own), "inferred_triples_written": sum(x.rows for x in made), "previous_inferred_dropped": dropped,
             "profile": profile, "reasoner_errors": 0, "elapsed_ms": (time.time() - began) * 1000,
         }
 
-    def validate(self, data: int, shapes: int, mode: str = "core", strict: bool = True) -> dict:
-        return shacl.validate(self, data, shapes, mode, strict)
+    def validate(self, data: int, shapes: int, mode: str = "core", strict: bool = True, collect: bool = True) -> dict:
+        """The report's envelope.  ``report`` is a DataFrame of the results; ``collect`` also lists them under ``results``."""
+        return shacl.validate(self, data, shapes, mode, strict, collect)
 
     def stats(self) -> dict:
-        return self.counters | {"path_depth_truncations": self.paths.truncations, "graphs": len(self._graphs), "quads": self._quads.count(), "plan_cache": len(self._parsed)}
+        return self.counters | {"path_depth_truncations": self.paths.truncations, "graphs": len(self._graphs), "quads": sum(s.rows for s in self.store.segments), "plan_cache": len(self._parsed)}
 
     @staticmethod
     def version() -> str:
         return __version__
 
+    @staticmethod
+    def build_id() -> str:
+        """The version and a hash of the package's own source."""
+        here = pathlib.Path(__file__).parent
+        text = b"".join(x.read_bytes() for x in sorted(here.rglob("*.py")) if "llm" not in x.relative_to(here).parts)
+        return f"{__version__}+{hashlib.sha256(text).hexdigest()[:12]}"
+
     def to_json(self, df: DataFrame) -> list[str]:
         return [json.dumps(r.asDict(True)) for r in df.collect()]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .. import terms as T
 from ..plans.algebra import Aggregate, Call, Exists, SparqlError, Unsupported, Var
 
 MATH = "http://www.w3.org/2005/xpath-functions/math#"
+DATE_FIELDS = r"^\s*(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(?:Z|[+-]\d\d:\d\d)?\s*$"
 DAY_TIME = T.XSD + "dayTimeDuration"
 
 
@@ -31,6 +33,8 @@ class Val:
     b: Column | None = None
     id: Column | None = None
     num: Column | None = None  # the numeric value of a stored term
+    e: Column | None = None  # a computed number, exactly; null where only the double n is known
+    exa: Column | None = None  # the exact value of a stored term
 
     def key(self) -> Column:
         return self.id if self.id is not None else F.when(self.x.isNotNull(), T.id_of(self.k, self.x, self.d, self.l))
@@ -40,6 +44,11 @@ class Val:
             return self.n
         return self.num if self.num is not None else T.number(self.x, self.d)
 
+    def exact(self) -> Column:
+        if self.n is not None:
+            return self.e if self.e is not None else T.no_exact()
+        return self.exa if self.exa is not None else T.exact(self.x, self.d)
+
     def truth(self) -> Column:
         """Effective boolean value."""
         if self.b is not None:
@@ -60,8 +69,35 @@ def bool_val(b: Column) -> Val:
     return Val(F.when(b.isNotNull(), T.LITERAL), F.when(b, "true").when(~b, "false"), F.lit(T.BOOLEAN), F.lit(""), b=b)
 
 
-def num_val(n: Column, d: Column) -> Val:
-    return Val(F.when(n.isNotNull(), T.LITERAL), T.render(n), d, F.lit(""), n=n)
+def num_val(n: Column, d: Column, e: Column | None = None) -> Val:
+    """A computed number: as a double, and exactly where ``e`` is not null; then the double is that rounded, so both order alike."""
+    if e is not None:
+        n = F.coalesce(e.cast("double"), n)
+    text = T.render(n) if e is None else F.coalesce(T.render_exact(e), T.render(n))
+    return Val(F.when(n.isNotNull(), T.LITERAL), text, d, F.lit(""), n=n, e=e)
+
+
+def compare(op: str, a: Val, b: Val) -> Column:
+    """Two numbers by value.  Doubles that differ decide alone; equal ones may stand for different exact numbers."""
+    x, y = a.number(), b.number()
+    p, q = a.exact(), b.exact()
+    if op in ("<", "<="):
+        return (x <= y) & F.coalesce(p < q if op == "<" else p <= q, x < y if op == "<" else F.lit(True))
+    if op in (">", ">="):
+        return compare(op.replace(">", "<"), b, a)
+    return (x == y) & F.coalesce(p == q, F.lit(True))
+
+
+def arithmetic(op: str, a: Val, b: Val) -> tuple[Column, Column | None]:
+    """(double, exact or null) of + - * /.  A product is exact if both factors have at most 12 and 6 digits."""
+    x, y = a.number(), b.number()
+    if op == "/":
+        return F.try_divide(x, y), None
+    p, q = a.exact(), b.exact()
+    if op == "*":
+        r, s = p.try_cast("decimal(18,6)"), q.try_cast("decimal(18,6)")
+        return x * y, F.when((r == p) & (s == q), F.try_multiply(r, s).try_cast(T.EXACT))
+    return (x + y, F.try_add(p, q).try_cast(T.EXACT)) if op == "+" else (x - y, F.try_subtract(p, q).try_cast(T.EXACT))
 
 
 def iri_val(x: Column) -> Val:
@@ -69,14 +105,16 @@ def iri_val(x: Column) -> Val:
 
 
 def const_val(t: T.Term) -> Val:
-    n = None
+    n = e = None
     if t.dt in T.NUMERIC:
         try:
             n = F.lit(float(t.lex.replace("INF", "inf")))
         except ValueError:
             n = F.lit(None).cast("double")
+        if t.dt not in T.INEXACT and re.fullmatch(r"[+-]?(?:[0-9]{1,25}(?:\.[0-9]{0,12})?|\.[0-9]{1,12})", t.lex):
+            e = F.lit(Decimal(t.lex)).cast(T.EXACT)
     b = F.lit(t.lex in ("true", "1")) if t.dt == T.BOOLEAN and t.lex in ("true", "false", "0", "1") else None
-    return Val(F.lit(t.kind), F.lit(t.lex), F.lit(t.dt), F.lit(t.lang), n=n, b=b, id=T.id_lit(t))
+    return Val(F.lit(t.kind), F.lit(t.lex), F.lit(t.dt), F.lit(t.lang), n=n, b=b, e=e, id=T.id_lit(t))
 
 
 def null_val() -> Val:
@@ -101,10 +139,13 @@ def java_regex(pattern: str) -> str:
 
 
 class Expressions:
-    """Compiles expressions over ``env``: variable -> Val.  ``exists`` and ``aggregate`` give columns for those nodes."""
+    """Compiles expressions over ``env``: variable -> Val.
+
+    ``exists`` and ``aggregate`` give columns for those nodes; ``functions``: IRI -> (function of columns, datatype).
+    """
 
-    def __init__(self, env, exists=None, aggregate=None):
-        self.env, self.exists, self.aggregate = env, exists, aggregate
+    def __init__(self, env, exists=None, aggregate=None, functions=None):
+        self.env, self.exists, self.aggregate, self.functions = env, exists, aggregate, functions or {}
 
     def truth(self, e) -> Column:
         return self.value(e).truth()
@@ -134,11 +175,14 @@ class Expressions:
         if name in ("<", ">", "<=", ">="):
             return self._order(name, a[0], a[1])
         if name in ("+", "-", "*", "/"):
-            x, y = a[0].number(), a[1].number()
-            n = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[name]()
-            return num_val(n, _promoted(a[0], a[1], 1 if name == "/" else 0))
+            n, e = arithmetic(name, a[0], a[1])
+            return num_val(n, _promoted(a[0], a[1], 1 if name == "/" else 0), e)
         if name == "neg":
-            return num_val(-a[0].number(), _promoted(a[0]))
+            return num_val(-a[0].number(), _promoted(a[0]), -a[0].exact())
+        if name in self.functions:
+            f, d = self.functions[name]
+            x = f(*(v.x for v in a)).cast("string")
+            return Val(F.when(x.isNotNull(), T.LITERAL), x, F.lit(d), F.lit(""))
         if name.startswith(MATH):
             return self._math(name[len(MATH) :], a)
         if name.startswith(T.XSD):
@@ -176,8 +220,9 @@ class Expressions:
         c, yes, no = self.truth(raw[0]), self.value(raw[1]), self.value(raw[2])
         pick = lambda p, q: F.when(c, p).when(~c, q)
         n = pick(yes.n, no.n) if yes.n is not None and no.n is not None else None
+        e = pick(yes.exact(), no.exact()) if n is not None else None
         b = pick(yes.b, no.b) if yes.b is not None and no.b is not None else None
-        return Val(*(pick(getattr(yes, p), getattr(no, p)) for p in "kxdl"), n=n, b=b)
+        return Val(*(pick(getattr(yes, p), getattr(no, p)) for p in "kxdl"), n=n, b=b, e=e)
 
     def _in(self, raw):
         v = self.value(raw[0])
@@ -190,7 +235,7 @@ class Expressions:
         """Term identity; two numbers or truth values of which one is computed compare by value."""
         fixed = a.id is not None and b.id is not None
         if name != "SAMETERM" and not fixed and a.n is not None and b.n is not None:
-            same = a.n == b.n
+            same = compare("=", a, b)
         elif name != "SAMETERM" and not fixed and a.b is not None and b.b is not None:
             same = a.b == b.b
         else:
@@ -200,7 +245,7 @@ class Expressions:
     def _order(self, name: str, a: Val, b: Val) -> Val:
         """Numbers by value; dates by instant; strings by code point where neither side is numeric."""
         op = {"<": lambda p, q: p < q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, ">=": lambda p, q: p >= q}[name]
-        by_number = op(a.number(), b.number())
+        by_number = compare(name, a, b)
         if a.n is not None or b.n is not None:
             return bool_val(by_number)
         by_time = op(T.instant(a.x, a.d), T.instant(b.x, b.d))
@@ -326,16 +371,17 @@ class Expressions:
     # numbers
 
     def f_abs(self, a):
-        return num_val(F.abs(a.number()), _promoted(a))
+        return num_val(F.abs(a.number()), _promoted(a), F.abs(a.exact()))
 
     def f_ceil(self, a):
-        return num_val(F.ceil(a.number()).cast("double"), _promoted(a))
+        return num_val(F.ceil(a.number()).cast("double"), _promoted(a), F.ceil(a.exact()).cast(T.EXACT))
 
     def f_floor(self, a):
-        return num_val(F.floor(a.number()).cast("double"), _promoted(a))
+        return num_val(F.floor(a.number()).cast("double"), _promoted(a), F.floor(a.exact()).cast(T.EXACT))
 
     def f_round(self, a):
-        return num_val(F.floor(a.number() + 0.5).cast("double"), _promoted(a))
+        half = F.floor(F.try_add(a.exact(), F.lit(Decimal("0.5")))).try_cast(T.EXACT)
+        return num_val(F.floor(a.number() + 0.5).cast("double"), _promoted(a), half)
 
     def f_rand(self):
         return num_val(F.rand(), F.lit(T.DOUBLE))
@@ -349,10 +395,12 @@ class Expressions:
 
     def _cast(self, name, a):
         n = F.coalesce(a.number(), a.x.try_cast("double"))
+        e = F.coalesce(a.exact(), F.when(a.k == T.LITERAL, T.exact(a.x, F.lit(T.DECIMAL))))
         if name in (T.INTEGER, T.XSD + "int", T.XSD + "long"):
-            return num_val(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("double"), F.lit(name))
+            whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
+            return num_val(whole(n).cast("double"), F.lit(name), whole(e).try_cast(T.EXACT))
         if name in T.NUMERIC:
-            return num_val(n, F.lit(name))
+            return num_val(n, F.lit(name), None if name in T.INEXACT else e)
         if name == T.BOOLEAN:
             return bool_val(F.when(a.x.isin("true", "1"), True).when(a.x.isin("false", "0"), False))
         if name == T.STRING:
@@ -363,26 +411,29 @@ class Expressions:
 
     # dates
 
-    def _date(self, a, f):
-        return num_val(f(T.instant(a.x, a.d)).cast("double"), F.lit(T.INTEGER))
+    @staticmethod
+    def _field(a, i, d=T.INTEGER):
+        """A field of a date as it is written: it belongs to the date's own time zone."""
+        x = F.when(T.instant(a.x, a.d).isNotNull(), F.regexp_extract(a.x, DATE_FIELDS, i))
+        return num_val(x.try_cast("double"), F.lit(d), T.exact(x, F.lit(T.DECIMAL)))
 
     def f_year(self, a):
-        return self._date(a, F.year)
+        return self._field(a, 1)
 
     def f_month(self, a):
-        return self._date(a, F.month)
+        return self._field(a, 2)
 
     def f_day(self, a):
-        return self._date(a, F.dayofmonth)
+        return self._field(a, 3)
 
     def f_hours(self, a):
-        return self._date(a, F.hour)
+        return self._field(a, 4)
 
     def f_minutes(self, a):
-        return self._date(a, F.minute)
+        return self._field(a, 5)
 
     def f_seconds(self, a):
-        return num_val(F.regexp_extract(a.x, r":(\d{2}(?:\.\d+)?)(?:Z|[+-]\d\d:\d\d)?$", 1).try_cast("double"), F.lit(T.DECIMAL))
+        return self._field(a, 6, T.DECIMAL)
 
     def f_tz(self, a):
         return text_val(F.when(T.instant(a.x, a.d).isNotNull(), F.regexp_extract(a.x, r"(Z|[+-]\d\d:\d\d)$", 1)))
@@ -406,6 +457,6 @@ class Expressions:
 
 def order_columns(v: Val, ascending: bool) -> list[Column]:
     """Type-aware sort keys: number < dateTime < boolean < other, nulls last either way, and the text to make it total."""
-    keys = [T.rank(v.k, v.d), v.number(), T.instant(v.x, v.d), T.truth(v.x, v.d), v.x, v.d, v.l]
+    keys = [T.rank(v.k, v.d), v.number(), v.exact(), T.instant(v.x, v.d), T.truth(v.x, v.d), v.x, v.d, v.l]
     keys[0] = F.when(v.x.isNotNull(), keys[0])
     return [c.asc_nulls_last() if ascending else c.desc_nulls_last() for c in keys]

@@ -1,24 +1,46 @@
 """Forward chaining: RDFS and the OWL 2 RL rules, as joins that run to a fixed point.
 
-Rules work on ids.  Those with one instance premise read only what the last round
-added; axioms are small, so their side of a join is the build side by statistics.  Lists of axioms (chains,
-intersections, unions) are read on the driver, behind a check of their size.
+The schema (hierarchies, domains, ranges, inverses) is closed first, by itself: sub-properties are composed
+with domains and ranges, those with sub-classes.  Then every rule with one fact as premise is one join of the
+newest facts with a table of the schema, and under RDFS one pass over the asserted facts derives everything,
+unless a property is declared to be a sub-property of a schema predicate.  OWL rules with two facts as
+premises join the newest facts with all.  Facts are the asserted ones and what each round added, which is
+written once and never rewritten; terms travel with their texts, so nothing is decoded by a join.
+
+Nodes that owl:sameAs makes equal are replaced by one representative, the rules run on representatives, and
+the result is expanded once at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import terms as T
-from .closure import stage
+from .closure import connected, stage, transitive
 
 PROFILES = ("rdfs", "owl-rl")
+#: Lists and kinds of properties are read on the driver; more is an error.
 MAX_LIST_CELLS = 100_000
 ROUNDS = 200
+#: Schema tables of at most so many rows travel with the plan, larger ones are staged.
+FEW_ROWS = 10_000
+FEW_IDS = 1000
 
 SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = (T.RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range"))
-SAME = T.OWL + "sameAs"
+SAME, INVERSE, THING = (T.OWL + x for x in ("sameAs", "inverseOf", "Thing"))
+EQUAL_CLASS, EQUAL_PROPERTY = T.OWL + "equivalentClass", T.OWL + "equivalentProperty"
+HAS_VALUE, SOME, ALL, ON = (T.OWL + x for x in ("hasValue", "someValuesFrom", "allValuesFrom", "onProperty"))
+SYMMETRIC, TRANSITIVE, FUNCTIONAL, INVERSE_FUNCTIONAL = (T.OWL + x + "Property" for x in ("Symmetric", "Transitive", "Functional", "InverseFunctional"))
+#: The predicates of axioms, and the classes that are axioms as a type.
+RDFS_AXIOMS = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)
+OWL_AXIOMS = (EQUAL_CLASS, EQUAL_PROPERTY, INVERSE, HAS_VALUE, SOME, ALL, ON)
+KINDS = (SYMMETRIC, TRANSITIVE, FUNCTIONAL, INVERSE_FUNCTIONAL)
+
+FACT = ["s", "s__k", "s__x", "p", "p__x", "o", "o__k", "o__x", "o__d", "o__l"]
+KEY = ["s", "p", "o"]
 
 
 class InferenceError(RuntimeError):
@@ -29,142 +51,221 @@ def _c(iri: str):
     return T.id_lit(T.iri(iri))
 
 
-def _of(f: DataFrame, p: str, a: str, b: str) -> DataFrame:
-    return f.where(F.col("p") == _c(p)).select(F.col("s").alias(a), F.col("o").alias(b))
-
-
-def _typed(f: DataFrame, c: str, name: str) -> DataFrame:
-    return f.where((F.col("p") == _c(T.TYPE)) & (F.col("o") == _c(c))).select(F.col("s").alias(name))
-
-
-def _triple(df: DataFrame, s, p, o) -> DataFrame:
-    return df.select(s.alias("s"), p.alias("p"), o.alias("o"))
-
-
-#: The axioms that a rule may start from, as predicates and as classes.
-AXIOMS = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, SAME) + tuple(
-    T.OWL + x for x in ("equivalentClass", "equivalentProperty", "inverseOf", "hasValue", "someValuesFrom", "allValuesFrom"))
-KINDS = tuple(T.OWL + x + "Property" for x in ("Symmetric", "Transitive", "Functional", "InverseFunctional"))
-
-
-def _present(f: DataFrame) -> set[str]:
-    """Those of the axioms above that a graph has: rules without any are left out of a round."""
-    spark = f.sparkSession
-    ids = spark.range(1).select(*[_c(x) for x in (*AXIOMS, *KINDS)]).first()
-    rows = f.where(F.col("p").isin(*[_c(x) for x in AXIOMS])).select(F.col("p").alias("i"))
-    kinds = f.where((F.col("p") == _c(T.TYPE)) & F.col("o").isin(*[_c(x) for x in KINDS])).select(F.col("o").alias("i"))
-    found = {r[0] for r in rows.unionByName(kinds).distinct().collect()}
-    return {x for x, i in zip((*AXIOMS, *KINDS), ids) if i in found}
-
+def _node(df: DataFrame, frm: str, to: str) -> list:
+    """The columns of a node under another name."""
+    return [F.col(frm).alias(to), *(F.col(f"{frm}__{p}").alias(f"{to}__{p}") for p in T.PARTS if f"{frm}__{p}" in df.columns)]
+
+
+def _at(f: DataFrame, p: str, a: str, b: str) -> DataFrame:
+    """Subjects and objects of a predicate, as nodes a and b."""
+    return f.where(F.col("p") == _c(p)).select(*_node(f, "s", a), *_node(f, "o", b))
+
+
+def _triple(df: DataFrame, s: str, p: str, o: str) -> DataFrame:
+    """Facts of nodes by name; p and o may be IRIs.  Literals are no subjects, and only IRIs are predicates."""
+
+    def parts(x, names):
+        if x.startswith("http"):
+            given = {"": _c(x), "k": F.lit(T.IRI), "x": F.lit(x)}
+        else:
+            given = {"": F.col(x), **{n: F.col(f"{x}__{n}") for n in T.PARTS if f"{x}__{n}" in df.columns}}
+        return [given.get(n, F.lit(T.IRI if n == "k" else "")) for n in names]
+
+    if f"{s}__d" in df.columns:
+        df = df.where(F.col(f"{s}__k") != T.LITERAL)
+    if not p.startswith("http") and f"{p}__k" in df.columns:
+        df = df.where(F.col(f"{p}__k") == T.IRI)
+    columns = [*parts(s, ("", "k", "x")), *parts(p, ("", "x")), *parts(o, ("", "k", "x", "d", "l"))]
+    return df.select(*(c.alias(n) for c, n in zip(columns, FACT)))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    rows = df.limit(FEW_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW_ROWS else stage(df, "schema")
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """Pairs of different nodes x, y with a way along the edges (x, y)."""
+    ids, cut = transitive(edges.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("g")), 100_000)
+    if cut:
+        raise InferenceError("a hierarchy is deeper than 100000 steps")
+    names = edges.select(*_node(edges, "x", "n")).unionByName(edges.select("y", "y__k", "y__x").toDF("n", "n__k", "n__x")).dropDuplicates(["n"])
+    out = ids.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    for c in ("x", "y"):
+        out = out.join(names.select(*_node(names, "n", c)), c)
+    return _small(out)
+
+
+class Schema:
+    """Axioms of a graph, closed."""
+
+    def __init__(self, facts: DataFrame, owl: bool):
+        self.owl, spark = owl, facts.sparkSession
+        predicates = RDFS_AXIOMS + (OWL_AXIOMS if owl else ())
+        axiom = F.col("p").isin(*[_c(x) for x in predicates])
+        if owl:
+            axiom = axiom | (F.col("p") == _c(T.TYPE)) & F.col("o").isin(*[_c(x) for x in KINDS])
+        self.axioms = _small(facts.where(axiom).dropDuplicates(KEY))
+        told = self.axioms.groupBy("p__x", F.when(F.col("p__x") == T.TYPE, F.col("o__x")).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()
+        #: what there is: the same axioms make the same schema
+        self.state = sorted(((r["p__x"], r["kind"] or "", r["n"]) for r in told if r["p__x"] not in (SUBCLASS, SUBPROPERTY, EQUAL_CLASS, EQUAL_PROPERTY)))
+        has = {r["kind"] or r["p__x"] for r in told}
+        self.has = has
+        iris = lambda df: df.where((F.col("x__k") != T.LITERAL) & (F.col("y__k") != T.LITERAL)).select("x", "x__k", "x__x", "y", "y__k", "y__x")
+        none = spark.createDataFrame([], "x long, x__k int, x__x string, y long, y__k int, y__x string")
+        pairs = lambda p: iris(_at(self.axioms, p, "x", "y")) if p in has else None
+
+        def hierarchy(sub, equal):
+            parts = [x for x in (pairs(sub),) if x is not None]
+            if owl and equal in has:
+                e = pairs(equal)
+                back = e.select("y", "y__k", "y__x", "x", "x__k", "x__x").toDF(*e.columns)
+                parts += [e, back]
+            return _closed(_union(parts)) if parts else none
+
+        self.classes, self.properties = hierarchy(SUBCLASS, EQUAL_CLASS), hierarchy(SUBPROPERTY, EQUAL_PROPERTY)
+        self.state += [("classes", "", self.classes.count()), ("properties", "", self.properties.count())]
+        self.domains, self.ranges = self._classes_of(pairs(DOMAIN)), self._classes_of(pairs(RANGE))
+        self.inverses = None
+        if owl and has & {INVERSE, SYMMETRIC}:
+            parts = []
+            if INVERSE in has:
+                i = pairs(INVERSE)
+                parts += [i, i.select("y", "y__k", "y__x", "x", "x__k", "x__x").toDF(*i.columns)]
+            if SYMMETRIC in has:
+                own = self.axioms.where((F.col("p") == _c(T.TYPE)) & (F.col("o") == _c(SYMMETRIC)))
+                parts.append(own.select(*_node(own, "s", "x"), *_node(own, "s", "y")))
+            self.inverses = _small(_union(parts).distinct())
+        targets = {r[0] for r in self.properties.select("y__x").distinct().limit(FEW_ROWS).collect()}
+        #: whether no rule can make another axiom or type out of what one pass makes
+        self.plain = not targets & {T.TYPE, SAME, *RDFS_AXIOMS, *OWL_AXIOMS}
+
+    def _classes_of(self, pairs: DataFrame | None) -> DataFrame | None:
+        """Property x, and each class y that its domain (or range) implies, also through super-properties and super-classes."""
+        if pairs is None:
+            return None
+        pairs = pairs.where(F.col("x") != _c(T.TYPE))
+        over = self.properties.select(*_node(self.properties, "x", "x"), F.col("y").alias("m")).join(pairs.select(F.col("x").alias("m"), "y", "y__k", "y__x"), "m").drop("m")
+        own = pairs.unionByName(over.where(F.col("x") != _c(T.TYPE)))
+        above = own.select("x", "x__k", "x__x", F.col("y").alias("m")).join(self.classes.select(F.col("x").alias("m"), "y", "y__k", "y__x"), "m").drop("m")
+        return _small(own.unionByName(above).dropDuplicates(["x", "y"]))
+
+    def kind(self, kind: str) -> list[int]:
+        """Ids of the properties of a kind."""
+        if kind not in self.has:
+            return []
+        rows = self.axioms.where((F.col("p") == _c(T.TYPE)) & (F.col("o") == _c(kind))).select("s").limit(MAX_LIST_CELLS + 1).collect()
+        if len(rows) > MAX_LIST_CELLS:
+            raise InferenceError(f"more than {MAX_LIST_CELLS} properties are {kind}")
+        return [r[0] for r in rows]
+
+    def facts(self) -> list[DataFrame]:
+        """What the hierarchies themselves imply."""
+        out = []
+        for pairs, sub, equal in ((self.classes, SUBCLASS, EQUAL_CLASS), (self.properties, SUBPROPERTY, EQUAL_PROPERTY)):
+            out.append(_triple(pairs, "x", sub, "y"))
+            if self.owl:
+                mutual = pairs.join(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi")
+                out.append(_triple(mutual, "x", equal, "y"))
+        return out
 
-def _rdfs(f: DataFrame, d: DataFrame, resources: DataFrame, has: set[str]) -> list[DataFrame]:
-    """rdfs2, 3, 5, 7, 9 and 11; domain and range leave rdf:type alone."""
-    col, type_ = F.col, _c(T.TYPE)
-    out = []
-    for p in has & {SUBCLASS, SUBPROPERTY}:
-        chain = _of(f, p, "x", "y").join(_of(f, p, "y", "z"), "y").where("x <> z")
-        out.append(_triple(chain, col("x"), _c(p), col("z")))
-    # each rule once with the newest facts and all axioms, once with all facts and the newest axioms
-    for facts, axioms in ((d, f), (f, d)):
-        if SUBPROPERTY in has:
-            out.append(_triple(facts.join(_of(axioms, SUBPROPERTY, "p", "q"), "p"), col("s"), col("q"), col("o")))
-        if SUBCLASS in has:
-            types = _of(facts, T.TYPE, "x", "c").join(_of(axioms, SUBCLASS, "c", "e"), "c")
-            out.append(_triple(types, col("x"), type_, col("e")))
-        plain = facts.where(col("p") != type_)
-        if DOMAIN in has:
-            out.append(_triple(plain.join(_of(axioms, DOMAIN, "p", "c"), "p"), col("s"), type_, col("c")))
-        if RANGE not in has:
-            continue
-        ranged = plain.join(_of(axioms, RANGE, "p", "c"), "p").join(resources.select(col("id").alias("o")), "o", "left_semi")
-        out.append(_triple(ranged, col("o"), type_, col("c")))
-    return out
+    def one_premise(self, d: DataFrame) -> list[DataFrame]:
+        """rdfs2, 3, 7 and 9, inverse and symmetric properties over facts d; domain and range leave rdf:type alone."""
+        out, type_ = [], F.col("p") == _c(T.TYPE)
+        if self.has & {SUBPROPERTY, EQUAL_PROPERTY}:
+            up = self.properties.select(F.col("x").alias("p"), *_node(self.properties, "y", "q"))
+            out.append(_triple(d.join(up, "p"), "s", "q", "o"))
+        if self.has & {SUBCLASS, EQUAL_CLASS}:
+            up = self.classes.select(F.col("x").alias("o"), *_node(self.classes, "y", "c"))
+            out.append(_triple(d.where(type_).join(up, "o"), "s", T.TYPE, "c"))
+        for table, end in ((self.domains, "s"), (self.ranges, "o")):
+            if table is not None:
+                kinds = table.select(F.col("x").alias("p"), *_node(table, "y", "c"))
+                out.append(_triple(d.where(~type_ & (F.col(f"{end}__k") != T.LITERAL)).join(kinds, "p"), end, T.TYPE, "c"))
+        if self.inverses is not None:
+            turned = self.inverses.select(F.col("x").alias("p"), *_node(self.inverses, "y", "q"))
+            out.append(_triple(d.join(turned, "p"), "o", "q", "s"))
+        return out
 
 
-def _owl(f: DataFrame, d: DataFrame, lists: dict, resources: DataFrame, has: set[str]) -> list[DataFrame]:
-    col, type_ = F.col, _c(T.TYPE)
-    out = []
-    res = resources.select(col("id").alias("o"))
+def _with(f: DataFrame, ids: list[int]) -> DataFrame:
+    """Facts of some predicates."""
+    if len(ids) <= FEW_IDS:
+        return f.where(F.col("p").isin(*ids))
+    return f.join(f.sparkSession.createDataFrame([(i,) for i in ids], "p long"), "p", "left_semi")
 
-    def both(rule):
-        for facts, axioms in ((d, f), (f, d)):
-            out.append(rule(facts, axioms))
 
-    # equivalence is inclusion both ways, and mutual inclusion is equivalence
-    for equal, sub in ((T.OWL + "equivalentClass", SUBCLASS), (T.OWL + "equivalentProperty", SUBPROPERTY)):
-        if equal in has:
-            e = _of(d, equal, "a", "b")
-            out += [_triple(e, col("a"), _c(sub), col("b")), _triple(e, col("b"), _c(sub), col("a"))]
-        if sub not in has:
-            continue
-        mutual = _of(f, sub, "a", "b").join(_of(f, sub, "b", "a"), ["a", "b"]).where("a <> b")
-        out.append(_triple(mutual, col("a"), _c(equal), col("b")))
-    if T.OWL + "inverseOf" in has:
-        both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "p", "q"), "p"), col("o"), col("q"), col("s")))
-        both(lambda x, a: _triple(x.join(_of(a, T.OWL + "inverseOf", "q", "p"), "p"), col("o"), col("q"), col("s")))
-    if T.OWL + "SymmetricProperty" in has:
-        both(lambda x, a: _triple(x.join(_typed(a, T.OWL + "SymmetricProperty", "p"), "p"), col("o"), col("p"), col("s")))
-    if T.OWL + "TransitiveProperty" in has:
-        closed = _typed(f, T.OWL + "TransitiveProperty", "p")
-        old, new = f.join(closed, "p"), d.join(closed, "p")
-        fresh = f.join(_typed(d, T.OWL + "TransitiveProperty", "p"), "p")
-        for left, right in ((new, old), (old, new), (fresh, fresh)):
-            step = left.select("p", "s", col("o").alias("m")).join(right.select("p", col("s").alias("m"), "o"), ["p", "m"])
-            out.append(_triple(step, col("s"), col("p"), col("o")))
+def _two_premises(f: DataFrame, d: DataFrame, schema: Schema, lists: dict) -> list[DataFrame]:
+    """OWL rules that put facts together; all facts f, of which d are the newest."""
+    col, out = F.col, []
+    if ids := schema.kind(TRANSITIVE):
+        old, new = _with(f, ids), _with(d, ids)
+        for left, right in ((new, old), (old, new)):
+            a = left.select(*_node(left, "s", "s"), "p", "p__x", col("o").alias("m"))
+            b = right.select(col("s").alias("m"), "p", *_node(right, "o", "o"))
+            out.append(_triple(a.join(b, ["m", "p"]), "s", "p", "o"))
     # functional and inverse functional: each value is tied to the least one, not to all others
-    if T.OWL + "FunctionalProperty" in has:
-        fn = f.join(_typed(f, T.OWL + "FunctionalProperty", "p"), "p").join(res, "o", "left_semi")
-        low = fn.groupBy("p", "s").agg(F.min("o").alias("m"), F.max("o").alias("n")).where("m <> n")
-        out.append(_triple(fn.join(low, ["p", "s"]).where("o <> m"), col("m"), _c(SAME), col("o")))
-    if T.OWL + "InverseFunctionalProperty" in has:
-        fn = f.join(_typed(f, T.OWL + "InverseFunctionalProperty", "p"), "p")
-        low = fn.groupBy("p", "o").agg(F.min("s").alias("m"), F.max("s").alias("n")).where("m <> n")
-        out.append(_triple(fn.join(low, ["p", "o"]).where("s <> m"), col("m"), _c(SAME), col("s")))
-    if SAME in has:
-        same = _of(f, SAME, "a", "b").where("a <> b")
-        out.append(_triple(_of(d, SAME, "a", "b"), col("b"), _c(SAME), col("a")))
-        out.append(_triple(same.join(same.select(col("a").alias("b"), col("b").alias("c")), "b").where("a <> c"), col("a"), _c(SAME), col("c")))
-        both(lambda x, a: _triple(x.join(_of(a, SAME, "s", "t").where("s <> t"), "s"), col("t"), col("p"), col("o")))
-        both(lambda x, a: _triple(x.join(_of(a, SAME, "p", "t").where("p <> t"), "p"), col("s"), col("t"), col("o")))
-        both(lambda x, a: _triple(x.join(_of(a, SAME, "o", "t").where("o <> t"), "o"), col("s"), col("p"), col("t")))
-    # restrictions
-    on = _of(f, T.OWL + "onProperty", "r", "p")
-    if T.OWL + "hasValue" in has:
-        value = _of(f, T.OWL + "hasValue", "r", "v").join(on, "r")
-        out.append(_triple(_of(f, T.TYPE, "x", "r").join(value, "r"), col("x"), col("p"), col("v")))
-        out.append(_triple(f.join(value.select("p", col("v").alias("o"), "r"), ["p", "o"]), col("s"), type_, col("r")))
-    if T.OWL + "someValuesFrom" in has:
-        used = f.join(_of(f, T.OWL + "someValuesFrom", "r", "c").join(on, "r"), "p")
-        out.append(_triple(used.where(col("c") == _c(T.OWL + "Thing")), col("s"), type_, col("r")))
-        out.append(_triple(used.join(_of(f, T.TYPE, "o", "c"), ["o", "c"]), col("s"), type_, col("r")))
-    if T.OWL + "allValuesFrom" in has:
-        held = _of(f, T.TYPE, "s", "r").join(_of(f, T.OWL + "allValuesFrom", "r", "c").join(on, "r"), "r")
-        out.append(_triple(f.join(held, ["s", "p"]), col("o"), type_, col("c")))
-    # axioms with lists
+    for kind, key, end in ((FUNCTIONAL, "s", "o"), (INVERSE_FUNCTIONAL, "o", "s")):
+        if ids := schema.kind(kind):
+            own = _with(f, ids).where(col(f"{end}__k") != T.LITERAL)
+            least = own.groupBy("p", key).agg(F.min(F.struct(*(col(c).alias(c.replace(end, "m", 1)) for c in (end, f"{end}__k", f"{end}__x")))).alias("low"), F.max(end).alias("top"))
+            least = least.where("low.m <> top").select("p", key, "low.*")
+            tied = own.join(least, ["p", key]).where(col(end) != col("m"))
+            out.append(_triple(tied.select(*_node(tied, "m", "m"), *_node(own, end, "v")), "m", SAME, "v"))
+    on = _at(schema.axioms, ON, "r", "p").select("r", "r__k", "r__x", "p", "p__k", "p__x")
+    types = _at(f, T.TYPE, "x", "r").select("x", "x__k", "x__x", "r")
+    if HAS_VALUE in schema.has:
+        value = _at(schema.axioms, HAS_VALUE, "r", "v").drop("r__k", "r__x", "r__d", "r__l").join(on, "r")
+        out.append(_triple(types.join(value, "r"), "x", "p", "v"))
+        held = f.select(*_node(f, "s", "s"), "p", col("o").alias("v")).join(value.select("r", "r__k", "r__x", "p", "v"), ["p", "v"])
+        out.append(_triple(held, "s", T.TYPE, "r"))
+    if SOME in schema.has:
+        some = _at(schema.axioms, SOME, "r", "c").select("r", "c").join(on, "r")
+        used = f.select(*_node(f, "s", "s"), "p", "o").join(some.select("r", "r__k", "r__x", "c", "p"), "p")
+        out.append(_triple(used.where(col("c") == _c(THING)), "s", T.TYPE, "r"))
+        out.append(_triple(used.join(_at(f, T.TYPE, "o", "c").select("o", "c"), ["o", "c"], "left_semi"), "s", T.TYPE, "r"))
+    if ALL in schema.has:
+        every = _at(schema.axioms, ALL, "r", "c").select("r", "c", "c__k", "c__x").join(on.select("r", "p"), "r")
+        held = types.select(col("x").alias("s"), "r").join(every, "r")
+        out.append(_triple(f.where(col("o__k") != T.LITERAL).select("s", "p", *_node(f, "o", "o")).join(held, ["s", "p"]), "o", T.TYPE, "c"))
     for chain, p in lists["chains"]:
         step = None
-        for i, q in enumerate(chain):
-            own = f.where(col("p") == F.lit(q)).select(col("s").alias("m"), col("o").alias("n"))
-            step = own.select(col("m").alias("s"), col("n").alias("e")) if step is None else step.join(own, step["e"] == own["m"]).select("s", col("n").alias("e"))
-        out.append(_triple(step, col("s"), F.lit(p), col("e")))
+        for q in chain:
+            own = f.where(col("p") == F.lit(q))
+            if step is None:
+                step = own.select(*_node(own, "s", "s"), *_node(own, "o", "e"))
+            else:
+                step = step.select("s", "s__k", "s__x", col("e").alias("m")).join(own.select(col("s").alias("m"), *_node(own, "o", "e")), "m").drop("m")
+        out.append(_triple(step.crossJoin(F.broadcast(_named(f, p, "q"))), "s", "q", "e"))  # one row
+    typed = lambda df: df.where(col("p") == _c(T.TYPE))
     for parts, c in lists["intersections"]:
-        have = f.where((col("p") == type_) & col("o").isin(*parts)).groupBy("s").agg(F.count_distinct("o").alias("n")).where(col("n") == len(set(parts)))
-        out.append(_triple(have, col("s"), type_, F.lit(c)))
-        members = d.where((col("p") == type_) & (col("o") == c)).select("s", F.explode(F.array(*[F.lit(x) for x in parts])).alias("c"))
-        out.append(_triple(members, col("s"), type_, col("c")))
+        have = typed(f).where(col("o").isin(*parts)).groupBy("s", "s__k", "s__x").agg(F.count_distinct("o").alias("n")).where(col("n") == len(set(parts)))
+        out.append(_triple(have.crossJoin(F.broadcast(_named(f, c, "c"))), "s", T.TYPE, "c"))
+        for x in set(parts):
+            out.append(_triple(typed(d).where(col("o") == c).crossJoin(F.broadcast(_named(f, x, "c"))), "s", T.TYPE, "c"))
     for parts, c in lists["unions"]:
-        out.append(_triple(d.where((col("p") == type_) & col("o").isin(*parts)), col("s"), type_, F.lit(c)))
+        out.append(_triple(typed(d).where(col("o").isin(*parts)).crossJoin(F.broadcast(_named(f, c, "c"))), "s", T.TYPE, "c"))
     return out
 
 
+def _named(f: DataFrame, i: int, name: str) -> DataFrame:
+    """One row: a node of the schema."""
+    rows = f.where(F.col("s") == F.lit(i)).select("s", "s__k", "s__x").unionByName(f.where(F.col("o") == F.lit(i)).select("o", "o__k", "o__x").toDF("s", "s__k", "s__x"))
+    row = rows.first()
+    return f.sparkSession.createDataFrame([tuple(row)], f"{name} long, {name}__k int, {name}__x string")
+
+
 def _lists(f: DataFrame) -> dict:
     """Chains, intersections and unions with their members, as ids."""
-    cells = f.where(F.col("p").isin(_c(T.RDF + "first"), _c(T.RDF + "rest"))).limit(MAX_LIST_CELLS + 1).collect()
+    cells = f.where(F.col("p").isin(_c(T.RDF + "first"), _c(T.RDF + "rest"))).select("s", "p__x", "o").limit(MAX_LIST_CELLS + 1).collect()
     if len(cells) > MAX_LIST_CELLS:
         raise InferenceError(f"more than {MAX_LIST_CELLS} list cells")
-    ids = f.sparkSession.range(1).select(_c(T.RDF + "first"), _c(T.RDF + "nil")).first()
-    first = {r["s"]: r["o"] for r in cells if r["p"] == ids[0]}
-    rest = {r["s"]: r["o"] for r in cells if r["p"] != ids[0]}
+    first = {r["s"]: r["o"] for r in cells if r["p__x"] == T.RDF + "first"}
+    rest = {r["s"]: r["o"] for r in cells if r["p__x"] != T.RDF + "first"}
 
     def members(x):
         out, seen = [], set()
@@ -174,48 +275,111 @@ def _lists(f: DataFrame) -> dict:
             x = rest.get(x)
         return out
 
-    out = {}
-    for name, p in (("chains", "propertyChainAxiom"), ("intersections", "intersectionOf"), ("unions", "unionOf")):
-        rows = f.where(F.col("p") == _c(T.OWL + p)).select("s", "o").collect()
-        out[name] = [(members(r["o"]), r["s"]) for r in rows if members(r["o"])]
+    kinds = {"propertyChainAxiom": "chains", "intersectionOf": "intersections", "unionOf": "unions"}
+    out = {name: [] for name in kinds.values()}
+    if cells:
+        for r in f.where(F.col("p").isin(*[_c(T.OWL + x) for x in kinds])).select("s", "p__x", "o").collect():
+            if members(r["o"]):
+                out[kinds[r["p__x"].removeprefix(T.OWL)]].append((members(r["o"]), r["s"]))
     return out
 
 
+def _fresh(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct facts found that are not known, as a table."""
+    found = stage(found.dropDuplicates(KEY), "found")
+    predicates = [r[0] for r in found.select("p").distinct().limit(FEW_IDS + 1).collect()]
+    if len(predicates) <= FEW_IDS:
+        facts = facts.where(F.col("p").isin(*predicates))
+    known = facts.select(*KEY).join(found.select(*KEY), KEY, "left_semi")  # reads the found ones into a hash table if they are few
+    return stage(found.join(known, KEY, "left_anti"), "derived")
+
+
+class Equal:
+    """Representatives of nodes that owl:sameAs makes equal: (id, r, r__k, r__x)."""
+
+    def __init__(self):
+        self.table: DataFrame | None = None
+
+    def merge(self, facts: DataFrame) -> bool:
+        """Takes in the sameAs facts; whether there are new ones."""
+        same = facts.where((F.col("p") == _c(SAME)) & (F.col("s") != F.col("o")) & (F.col("o__k") != T.LITERAL))
+        same = stage(same.select("s", "s__k", "s__x", "o", "o__k", "o__x"), "same")
+        if same.isEmpty():
+            return False
+        nodes = same.select("s", "s__k", "s__x").unionByName(same.select("o", "o__k", "o__x").toDF("s", "s__k", "s__x")).toDF("id", "k", "x")
+        links = same.select(F.col("s").alias("a"), F.col("o").alias("b"))
+        if self.table is not None:
+            links = links.unionByName(self.table.select(F.col("id").alias("a"), F.col("r").alias("b")))
+            nodes = nodes.unionByName(self.table.select("id", "k", "x"))
+        groups = connected(links).join(nodes.dropDuplicates(["id"]), "id")
+        # an IRI stands for its group if there is one
+        best = groups.groupBy("root").agg(F.min(F.struct("k", "id", "x")).alias("b"))
+        self.table = stage(groups.join(best, "root").select("id", "k", "x", F.col("b.id").alias("r"), F.col("b.k").alias("r__k"), F.col("b.x").alias("r__x")), "equal")
+        return True
+
+    def fold(self, facts: DataFrame) -> DataFrame:
+        """Facts of representatives; sameAs itself is left to the table."""
+        changed = self.table.where("id <> r")
+        out = facts.where(F.col("p") != _c(SAME))
+        for c in ("s", "p", "o"):
+            to = changed.where(F.col("r__k") == T.IRI) if c == "p" else changed
+            to = to.select(F.col("id").alias(c), F.col("r").alias("__r"), F.col("r__k").alias("__k"), F.col("r__x").alias("__x"))
+            out = out.join(to, c, "left")
+            new = {c: F.coalesce("__r", F.col(c)), f"{c}__x": F.coalesce("__x", F.col(f"{c}__x"))}
+            if c != "p":
+                new[f"{c}__k"] = F.coalesce("__k", F.col(f"{c}__k"))
+            out = out.withColumns(new).drop("__r", "__k", "__x")
+        return stage(out.select(*FACT).dropDuplicates(KEY), "folded")
+
+    def expand(self, facts: DataFrame) -> DataFrame:
+        """Facts of all nodes, with the sameAs pairs of different ones."""
+        out = facts
+        for c in ("s", "p", "o"):
+            of = self.table.where(F.col("k") == T.IRI) if c == "p" else self.table
+            of = of.select(F.col("r").alias(c), F.col("id").alias("__r"), F.col("k").alias("__k"), F.col("x").alias("__x"))
+            out = out.join(of, c, "left")
+            new = {c: F.coalesce("__r", F.col(c)), f"{c}__x": F.coalesce("__x", F.col(f"{c}__x"))}
+            if c != "p":
+                new[f"{c}__k"] = F.coalesce("__k", F.col(f"{c}__k"))
+            out = out.withColumns(new).drop("__r", "__k", "__x")
+        a = self.table.select(F.col("id").alias("a"), F.col("k").alias("a__k"), F.col("x").alias("a__x"), "r")
+        b = self.table.select(F.col("id").alias("b"), F.col("k").alias("b__k"), F.col("x").alias("b__x"), "r")
+        return out.select(*FACT).unionByName(_triple(a.join(b, "r").where("a <> b"), "a", SAME, "b"))
+
+
 def closure(base: DataFrame, graph: int, profile: str) -> DataFrame:
     """Inferred quads of a graph: what the rules add to its asserted ones."""
-    none = F.lit("")
-    own = base.select(F.col("s").alias("id"), F.col("s__k").alias("k"), F.col("s__x").alias("x"), none.alias("d"), none.alias("l"))
-    own = own.unionByName(base.select(F.col("p").alias("id"), F.lit(T.IRI).alias("k"), F.col("p__x").alias("x"), none.alias("d"), none.alias("l")))
-    own = own.unionByName(base.select(F.col("o").alias("id"), F.col("o__k").alias("k"), F.col("o__x").alias("x"), F.col("o__d").alias("d"), F.col("o__l").alias("l")))
-    for x in (T.TYPE, SUBCLASS, SUBPROPERTY, SAME, T.OWL + "equivalentClass", T.OWL + "equivalentProperty", T.OWL + "Thing"):
-        own = own.unionByName(base.sparkSession.range(1).select(_c(x).alias("id"), F.lit(T.IRI).alias("k"), F.lit(x).alias("x"), none.alias("d"), none.alias("l")))
-    terms = stage(own.dropDuplicates(["id"]), "terms")
-    resources = terms.where(F.col("k") != T.LITERAL).select("id")
-    start = stage(base.select("s", "p", "o").distinct(), "facts")
-    facts = new = start
-    lists = _lists(start) if profile == "owl-rl" else {}
+    owl = profile == "owl-rl"
+    facts = delta = base.select(*FACT)
+    derived: list[DataFrame] = []
+    equal, schema = Equal(), Schema(facts, owl)
+    lists = _lists(facts) if owl else {}
+    renewed = True
     for _ in range(ROUNDS):
-        has = _present(facts)
-        made = _rdfs(facts, new, resources, has)
-        if profile == "owl-rl":
-            made += _owl(facts, new, lists, resources, has)
-        if not made:
-            break
-        found = made[0]
-        for x in made[1:]:
-            found = found.unionByName(x)
-        # literals can't be subjects, and only IRIs can be predicates
-        found = found.distinct().join(facts, ["s", "p", "o"], "left_anti").join(resources.select(F.col("id").alias("s")), "s", "left_semi")
-        new = stage(found.join(terms.where(F.col("k") == T.IRI).select(F.col("id").alias("p")), "p", "left_semi").select("s", "p", "o"), "derived")
-        if new.isEmpty():
+        made = schema.one_premise(delta) + (schema.facts() if renewed else [])
+        if owl:
+            made += _two_premises(facts, delta, schema, lists)
+        new = _fresh(_union(made), facts) if made else None
+        if new is not None and not new.isEmpty():
+            derived.append(new)
+            facts = facts.unionByName(new)
+            if not owl and schema.plain:
+                break
+            again = Schema(facts, owl)
+            renewed, schema = again.state != schema.state, again
+            delta = facts if renewed else new
+            continue
+        if not owl or not equal.merge(facts):
             break
-        facts = stage(facts.unionByName(new), "facts")
+        facts = delta = equal.fold(facts)
+        derived = [facts]
+        schema, lists, renewed = Schema(facts, owl), _lists(facts), True
     else:
         raise InferenceError(f"no fixed point after {ROUNDS} rounds")
-    derived = facts.join(start, ["s", "p", "o"], "left_anti")
-
-    def parts(name, keep):
-        return terms.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}__{c}") for c in keep))
-
-    out = derived.join(parts("s", "kx"), "s").join(parts("p", "x"), "p").join(parts("o", "kxdl"), "o")
+    if not derived:
+        out = base.sparkSession.createDataFrame([], base.schema).select(*FACT)
+    else:
+        out = _union(derived)
+    if equal.table is not None:
+        out = equal.expand(out).dropDuplicates(KEY).join(base.select(*KEY), KEY, "left_anti")
     return out.withColumns({"g": F.lit(graph).cast("long"), "inferred": F.lit(True)}).select(*T.QUAD)

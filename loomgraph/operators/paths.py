@@ -17,7 +17,7 @@ from ..plans import algebra as A
 from ..plans.compiler import GRAPH_KEY, Rel, Scope, col
 from .closure import transitive
 
-#: Predicates of which a materialised closure answers ``+`` by one scan.
+#: Predicates of which a materialised closure answers ``+`` by a scan, if no graph in scope has changed since.
 CLOSED = {T.RDFS + "subClassOf", T.RDFS + "subPropertyOf", T.OWL + "sameAs"}
 
 
@@ -99,8 +99,12 @@ class Paths:
         spark = data.spark
         if not p.many:
             found = self.pairs(data, p.path, scope, start, end).distinct()
-        elif isinstance(p.path, A.Link) and p.path.iri in CLOSED and data.inferred_predicate(p.path.iri, scope):
-            found = self._ends(data.edges([p.path.iri], [], scope), start, end).distinct()
+        elif isinstance(p.path, A.Link) and p.path.iri in CLOSED and data.closed_predicate(p.path.iri, scope):
+            edges = data.edges([p.path.iri], [], scope)
+            # the closure is stored without the pairs of a node with itself, which those on a cycle have
+            back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "g")
+            cycles = edges.join(back, ["a", "b", "g"], "left_semi").select("a", F.col("a").alias("b"), "g")
+            found = self._ends(edges.unionByName(cycles), start, end).distinct()
         else:
             seed = start or end
             seeds = spark.range(1).select(T.id_lit(seed).alias("id")) if seed is not None else None
@@ -138,7 +142,7 @@ class Paths:
         # parts of the terms, for each end that is a variable; a constant at the other end may be such a node itself
         # which are ends of the path's own edges, unless it may be empty between two variables
         known = _links(p)
-        if len(names) == 2 and _may_be_empty(p):
+        if start is None and end is None and _may_be_empty(p):
             known = None
         nodes = data.nodes(scope, known).select("id", "k", "x", "d", "l").dropDuplicates(["id"])
         for c in (start, end):
@@ -147,8 +151,8 @@ class Paths:
                 nodes = nodes.unionByName(own).dropDuplicates(["id"])
         keep = []
         for v, end_col in names.items():
-            number = T.number(F.col("x"), F.col("d")).alias(T.part(col(v), "n"))
-            parts = nodes.select(F.col("id").alias(end_col), *(F.col(p).alias(T.part(col(v), p)) for p in T.PARTS), number)
+            numbers = T.number(F.col("x"), F.col("d")).alias(T.part(col(v), "n")), T.exact(F.col("x"), F.col("d")).alias(T.part(col(v), "e"))
+            parts = nodes.select(F.col("id").alias(end_col), *(F.col(p).alias(T.part(col(v), p)) for p in T.PARTS), *numbers)
             df = df.join(parts, end_col)
             keep += [F.col(end_col).alias(col(v)), *(F.col(c) for c in T.columns(col(v))[1:])]
         if scope.kind == "each":

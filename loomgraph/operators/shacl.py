@@ -367,7 +367,7 @@ class Validator:
                 for d in self.shapes.get(ps, "declare"):
                     parser.prefixes[self.shapes.one(d, "prefix").lex] = self.shapes.one(d, "namespace").lex
             q = parser.query()
-            compiler = ThisCompiler(self.data, self.store.paths, focus)
+            compiler = ThisCompiler(self.data, self.store.paths, focus, self.store.functions)
             rel = compiler._select(A.Select(A.Join(This(), q.select.pattern), tuple(dict.fromkeys([("this", None), *q.select.items])), distinct=q.select.distinct), Scope())
             named = [v for v, _ in q.select.items]
             pick = "value" if "value" in named else "this"
@@ -383,16 +383,21 @@ class This:
 
 
 class ThisCompiler(Compiler):
-    def __init__(self, dataset, paths, focus: DataFrame):
-        super().__init__(dataset, paths)
+    def __init__(self, dataset, paths, focus: DataFrame, functions: dict):
+        super().__init__(dataset, paths, functions)
         self.focus = focus
 
     def _this(self, p, scope: Scope) -> Rel:
-        number = T.number(F.col("f__x"), F.col("f__d")).alias(T.part(col("this"), "n"))
-        return Rel(self.focus.select(*[F.col(a).alias(b) for a, b in zip(FOCUS, T.columns(col("this")))], number), {"this": False})
+        x, d = F.col("f__x"), F.col("f__d")
+        numbers = T.number(x, d).alias(T.part(col("this"), "n")), T.exact(x, d).alias(T.part(col("this"), "e"))
+        return Rel(self.focus.select(*[F.col(a).alias(b) for a, b in zip(FOCUS, T.columns(col("this")))], *numbers), {"this": False})
 
 
-def validate(store, data: int, shapes: int, mode: str = "core", strict: bool = True) -> dict:
+REPORT = ["focusNode", "resultPath", "sourceShape", "resultMessage", "resultSeverity", "value", "sourceConstraintComponent"]
+
+
+def validate(store, data: int, shapes: int, mode: str = "core", strict: bool = True, collect: bool = True) -> dict:
+    """The envelope of a report, its results as a DataFrame (``report``) and, if ``collect``, as a list (``results``)."""
     if mode not in MODES:
         raise ValidationError(f"validate: unknown mode {mode!r}")
     began = time.time()
@@ -412,17 +417,18 @@ def validate(store, data: int, shapes: int, mode: str = "core", strict: bool = T
     for s in targets:
         for df in v.results(s, stage(v.focus(s), "focus"), sparql=mode in ("sparql", "full"), core=mode != "sparql"):
             report = df if report is None else report.unionByName(df)
-    rows = []
-    if report is not None:
-        for r in stage(report, "report").collect():
-            rows.append({
-                "focusNode": r["f__x"], "resultPath": r["path"], "sourceShape": r["shape"], "resultMessage": r["message"],
-                "resultSeverity": r["severity"].removeprefix(SH), "value": r["v__x"], "sourceConstraintComponent": r["component"],
-            })
+    if report is None:
+        report = store.spark.createDataFrame([], ", ".join(f"{c} string" for c in REPORT))
+    else:
+        columns = ["f__x", "path", "shape", "message", F.replace("severity", F.lit(SH), F.lit("")), "v__x", "component"]
+        report = stage(report.select(*columns).toDF(*REPORT), "report")
+    told = report.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("resultSeverity").isin("Violation", "Warning", "Info")).alias("bad")).first()
     out = {
-        "conforms": not any(r["resultSeverity"] in ("Violation", "Warning", "Info") for r in rows), "results": rows, "data_graph_id": data, "shapes_graph_id": shapes,
-        "data_triples": own.count(), "shapes_triples": sh.n, "mode": mode, "elapsed_ms": (time.time() - began) * 1000, "warnings": warnings,
+        "conforms": not told["bad"], "n_results": told["n"], "report": report, "data_graph_id": data, "shapes_graph_id": shapes,
+        "data_triples": store.count_quads(data), "shapes_triples": sh.n, "mode": mode, "elapsed_ms": (time.time() - began) * 1000, "warnings": warnings,
     }
+    if collect:
+        out["results"] = [r.asDict() for r in report.collect()]
     if unevaluated:
         out["error"] = f"not evaluated: {', '.join(unevaluated)}"
     return out

@@ -39,7 +39,7 @@ class Rel:
 
     def env(self, df: DataFrame | None = None) -> dict[str, Val]:
         df = self.df if df is None else df
-        return {v: Val(*(df[T.part(col(v), p)] for p in T.PARTS), id=df[col(v)], num=df[T.part(col(v), "n")]) for v in self.vars}
+        return {v: Val(*(df[T.part(col(v), p)] for p in T.PARTS), id=df[col(v)], num=df[T.part(col(v), "n")], exa=df[T.part(col(v), "e")]) for v in self.vars}
 
     def columns(self, keep=None) -> list[str]:
         out = [c for v in self.vars if keep is None or v in keep for c in T.columns(col(v))]
@@ -49,30 +49,41 @@ class Rel:
 def bind(v: str, val: Val) -> dict[str, Column]:
     key = val.key()
     parts = {T.part(col(v), p): F.when(key.isNotNull(), getattr(val, p)) if val.id is None else getattr(val, p) for p in T.PARTS}
-    return {col(v): key, **parts, T.part(col(v), "n"): val.number()}
+    return {col(v): key, **parts, T.part(col(v), "n"): val.number(), T.part(col(v), "e"): val.exact()}
 
 
 @dataclass(frozen=True)
 class Scope:
-    """Where triples are matched: all graphs (kind ``all``), one graph (``one``), each named graph for itself (``each``)."""
+    """Where triples are matched: all graphs (kind ``all``), one graph (``one``), each named graph for itself (``each``).
+
+    among: the only graphs that count, if not all do.  named: the graphs that GRAPH may see, if not all named ones.
+    """
 
     kind: str = "all"
     graph: int | None = None
     among: tuple | None = None
+    named: tuple | None = None
 
 
 class Compiler:
-    def __init__(self, dataset, paths):
-        """dataset: a source of quads (see sources); paths: evaluates property paths (see operators.paths)."""
-        self.data, self.paths, self.spark = dataset, paths, dataset.spark
+    def __init__(self, dataset, paths, functions: dict | None = None):
+        """dataset: a source of quads (see sources); paths: evaluates property paths (see operators.paths); functions: those bound to IRIs."""
+        self.data, self.paths, self.spark, self.functions = dataset, paths, dataset.spark, functions or {}
+
+    def _made(self, env, **more) -> Expressions:
+        return Expressions(env, functions=self.functions, **more)
 
     # basics
 
     def unit(self, scope: Scope) -> Rel:
         if scope.kind == "each":
-            return Rel(self.data.named_graphs().select(F.col("graph_id").alias(GRAPH_KEY)), {}, True)
+            return Rel(self._named(scope).select(F.col("graph_id").alias(GRAPH_KEY)), {}, True)
         return Rel(self.spark.range(1).select(F.lit(1).alias("__unit")), {})
 
+    def _named(self, scope: Scope) -> DataFrame:
+        df = self.data.named_graphs()
+        return df if scope.named is None else df.where(F.col("graph_id").isin(*scope.named)) if scope.named else df.where(F.lit(False))
+
     def compile(self, p, scope: Scope = Scope()) -> Rel:
         return getattr(self, "_" + type(p).__name__.lower())(p, scope)
 
@@ -168,60 +179,82 @@ class Compiler:
     def _join(self, p: A.Join, scope: Scope) -> Rel:
         return self.join(self.compile(p.left, scope), self.compile(p.right, scope))
 
-    def _compatible(self, a: Rel, b: Rel, shared) -> list[Column]:
-        on = []
-        for v in shared:
-            l, r = F.col(f"l.{col(v)}"), F.col(f"r.{col(v)}")  # noqa: E741
-            c = l == r
-            if a.vars[v]:
-                c = c | l.isNull()
-            if b.vars[v]:
-                c = c | r.isNull()
-            on.append(c)
-        if a.graph and b.graph:
-            on.append(F.col(f"l.{GRAPH_KEY}") == F.col(f"r.{GRAPH_KEY}"))
-        return on
-
     @staticmethod
     def _side_env(rel: Rel, side: str) -> dict[str, Val]:
         part = lambda v, p: F.col(f"{side}.{T.part(col(v), p)}")
-        return {v: Val(*(part(v, p) for p in T.PARTS), id=F.col(f"{side}.{col(v)}"), num=part(v, "n")) for v in rel.vars}
+        return {v: Val(*(part(v, p) for p in T.PARTS), id=F.col(f"{side}.{col(v)}"), num=part(v, "n"), exa=part(v, "e")) for v in rel.vars}
+
+    def _parts(self, a: Rel, b: Rel):
+        """Both sides by their bound and unbound shared variables: (flags, left rows, [(keys, right rows)]).
+
+        The left parts are disjoint and hold all rows; within one, right rows are compatible where the keys are equal.
+        """
+        shared = [v for v in a.vars if v in b.vars]
+        right = list(self._split(b, [v for v in shared if b.vars[v]]))
+        for fa, da in self._split(a, [v for v in shared if a.vars[v]]):
+            yield fa, da, [([v for v in shared if fa.get(v, True) and fb.get(v, True)], db) for fb, db in right]
+
+    @staticmethod
+    def _equal(keys, graph: bool) -> list[Column]:
+        names = [col(v) for v in keys] + ([GRAPH_KEY] if graph else [])
+        return [F.col(f"l.{c}") == F.col(f"r.{c}") for c in names]
 
     def _leftjoin(self, p: A.LeftJoin, scope: Scope) -> Rel:
+        """Unbound shared variables take their value from the right.
+
+        A left part meets the right side in one outer join if that is all of one kind; else it is joined with each
+        kind, and its rows without any partner are added.
+        """
         a, b = self.compile(p.left, scope), self.compile(p.right, scope)
-        shared = [v for v in a.vars if v in b.vars]
-        on = self._compatible(a, b, shared)
-        if p.condition is not None:
-            env = self._side_env(b, "r") | {v: x for v, x in self._side_env(a, "l").items() if not (v in b.vars and a.vars[v])}
-            on.append(F.coalesce(Expressions(env).truth(p.condition), F.lit(False)))
-        both = a.df.alias("l").join(b.df.alias("r"), on if on else F.lit(True), "left")
-        out = []
-        for v in a.vars | b.vars:
-            for c in T.columns(col(v)):
-                l, r = F.col(f"l.{c}"), F.col(f"r.{c}")  # noqa: E741
-                if v not in a.vars:
-                    out.append(r.alias(c))
-                elif v in b.vars and a.vars[v]:
-                    out.append(F.when(F.col(f"l.{col(v)}").isNull(), r).otherwise(l).alias(c))
-                else:
-                    out.append(l.alias(c))
-        if a.graph:
-            out.append(F.col(f"l.{GRAPH_KEY}").alias(GRAPH_KEY))
+        graph = a.graph and b.graph
         names = {v: a.vars.get(v, True) if v in a.vars else True for v in a.vars | b.vars}
-        return Rel(both.select(*out) if out else a.df, names, a.graph)
+
+        def condition(fa):
+            if p.condition is None:
+                return []
+            env = self._side_env(b, "r") | {v: x for v, x in self._side_env(a, "l").items() if fa.get(v, True) or v not in b.vars}
+            return [F.coalesce(self._made(env).truth(p.condition), F.lit(False))]
+
+        def columns(fa, alone=False):
+            out = []
+            for v in names:
+                left = v in a.vars and (alone or v not in b.vars or fa.get(v, True))
+                missing = alone and v not in a.vars
+                for c in T.columns(col(v)):
+                    out.append(F.lit(None).cast(b.df.schema[c].dataType).alias(c) if missing else F.col(f"{'l' if left else 'r'}.{c}").alias(c))
+            return out + ([F.col(f"l.{GRAPH_KEY}").alias(GRAPH_KEY)] if a.graph else [])
+
+        parts = []
+        for fa, da, right in self._parts(a, b):
+            left = da.alias("l")
+            if len(right) == 1:
+                on = self._equal(right[0][0], graph) + condition(fa)
+                both = left.join(right[0][1].alias("r"), on if on else F.lit(True), "left")
+                parts.append(both.select(*columns(fa)) if columns(fa) else da)
+                continue
+            alone = left
+            for keys, db in right:
+                on = self._equal(keys, graph) + condition(fa)
+                on = on if on else F.lit(True)
+                parts.append(left.join(db.alias("r"), on).select(*columns(fa)))
+                alone = alone.join(db.alias("r"), on, "left_anti").alias("l")
+            parts.append(alone.select(*columns(fa, alone=True)))
+        df = parts[0]
+        for x in parts[1:]:
+            df = df.unionByName(x)
+        return Rel(df, names, a.graph)
 
     def _minus(self, p: A.Minus, scope: Scope) -> Rel:
         a, b = self.compile(p.left, scope), self.compile(p.right, scope)
-        shared = [v for v in a.vars if v in b.vars]
-        if not shared:
+        if not any(v in b.vars for v in a.vars):
             return a
-        on = self._compatible(a, b, shared)
-        if all(a.vars[v] or b.vars[v] for v in shared):
-            some = F.lit(False)
-            for v in shared:
-                some = some | (F.col(f"l.{col(v)}").isNotNull() & F.col(f"r.{col(v)}").isNotNull())
-            on.append(some)
-        return Rel(a.df.alias("l").join(b.df.alias("r"), on, "left_anti"), a.vars, a.graph)
+        kept = None
+        for _, da, right in self._parts(a, b):
+            for keys, db in right:
+                if keys:  # solutions that share no bound variable take nothing away
+                    da = da.alias("l").join(db.alias("r"), self._equal(keys, a.graph and b.graph), "left_anti")
+            kept = da if kept is None else kept.unionByName(da)
+        return Rel(kept, a.vars, a.graph)
 
     def _union(self, p: A.Union, scope: Scope) -> Rel:
         a, b = self.compile(p.left, scope), self.compile(p.right, scope)
@@ -238,15 +271,18 @@ class Compiler:
         df = self.spark.createDataFrame(rows, kinds)
         for v in p.names:
             parts = [F.col(T.part(col(v), x)) for x in T.PARTS]
-            df = df.withColumn(col(v), F.when(parts[0].isNotNull(), T.id_of(*parts))).withColumn(T.part(col(v), "n"), T.number(parts[1], parts[2]))
+            numbers = {T.part(col(v), "n"): T.number(parts[1], parts[2]), T.part(col(v), "e"): T.exact(parts[1], parts[2])}
+            df = df.withColumns({col(v): F.when(parts[0].isNotNull(), T.id_of(*parts)), **numbers})
         return Rel(df, {v: any(r[i] is None for r in p.rows) for i, v in enumerate(p.names)})
 
     def _graph(self, p: A.Graph, scope: Scope) -> Rel:
         if isinstance(p.name, T.Term):
             g = self.data.graph_id(p.name.lex)
-            return self.compile(p.pattern, Scope("one", -1 if g is None else g))
-        inner = self.compile(p.pattern, Scope("each", among=scope.among))
-        names = self.data.named_graphs().select(F.col("graph_id").alias("__id"), F.col("iri").alias("__iri"))
+            if g is None or scope.named is not None and g not in scope.named:
+                g = -1
+            return self.compile(p.pattern, Scope("one", g, named=scope.named))
+        inner = self.compile(p.pattern, Scope("each", among=scope.named, named=scope.named))
+        names = self._named(scope).select(F.col("graph_id").alias("__id"), F.col("iri").alias("__iri"))
         if not inner.graph:  # a pattern without triples: once for each named graph
             df = inner.df.crossJoin(names)
         else:
@@ -293,11 +329,21 @@ class Compiler:
 
     def _semi(self, rel: Rel, e: A.Exists, scope: Scope) -> Rel:
         b, outer = self._inner(rel, e, scope)
-        shared = [v for v in rel.vars if v in b.vars]
-        on = self._compatible(rel, b, shared)
         env = self._side_env(b, "r") | self._side_env(rel, "l")
-        on += [F.coalesce(Expressions(env).truth(x), F.lit(False)) for x in outer]
-        df = rel.df.alias("l").join(b.df.alias("r"), on if on else F.lit(True), "left_semi" if e.positive else "left_anti")
+        more = [F.coalesce(self._made(env).truth(x), F.lit(False)) for x in outer]
+        kept = []
+        for _, da, right in self._parts(rel, b):
+            for keys, db in right:
+                on = self._equal(keys, rel.graph and b.graph) + more
+                left, right_side = da.alias("l"), (db if on else db.limit(1)).alias("r")
+                if e.positive:
+                    kept.append(left.join(right_side, on if on else F.lit(True), "left_semi"))
+                da = left.join(right_side, on if on else F.lit(True), "left_anti")
+            if not e.positive:
+                kept.append(da)
+        df = kept[0]
+        for x in kept[1:]:
+            df = df.unionByName(x)
         return Rel(df, rel.vars, rel.graph)
 
     def _expressions(self, rel: Rel, exprs, scope: Scope):
@@ -314,7 +360,7 @@ class Compiler:
                 on = [F.col(col(v)) == F.col(f"{name}_{i}") for i, v in enumerate(shared)]
                 rel = Rel(rel.df.join(marks, on if on else F.lit(True), "left"), rel.vars, rel.graph)
                 flags[x] = F.coalesce(F.col(name), F.lit(False)) if x.positive else ~F.coalesce(F.col(name), F.lit(False))
-        return rel, Expressions(rel.env(), exists=lambda x: flags[x])
+        return rel, self._made(rel.env(), exists=lambda x: flags[x])
 
     def _extend(self, p: A.Extend, scope: Scope) -> Rel:
         rel = self.compile(p.pattern, scope)
@@ -342,7 +388,7 @@ class Compiler:
                     rel, made = self._expressions(rel, [e], scope)
                     rel = Rel(rel.df.withColumns(bind(v, made.value(e))), rel.vars | {v: True}, rel.graph)
             for h in having:
-                rel = Rel(rel.df.where(Expressions(rel.env()).truth(h)), rel.vars, rel.graph)
+                rel = Rel(rel.df.where(self._made(rel.env()).truth(h)), rel.vars, rel.graph)
         names = {v: m for v, m in rel.vars.items() if not v.startswith("_")} if p.star else {v: rel.vars.get(v, True) for v, _ in p.items}
         for v in names:
             if v not in rel.vars:
@@ -355,7 +401,7 @@ class Compiler:
             df = rel.df.select(*Rel(rel.df, names, rel.graph).columns())
             rel = Rel(df.dropDuplicates(keys) if keys else df.limit(1), names, rel.graph)
         if order and ordered:
-            made = Expressions(rel.env())
+            made = self._made(rel.env())
             rel = Rel(rel.df.orderBy(*[c for e, up in order for c in order_columns(made.value(e), up)]), rel.vars, rel.graph)
         keep = Rel(rel.df, names, rel.graph).columns()
         return Rel(rel.df.select(*keep) if keep else rel.df.select(F.lit(1).alias("__unit")), names, rel.graph)
@@ -380,7 +426,7 @@ class Compiler:
                 rel = Rel(rel.df.withColumns(bind(v, null_val())), rel.vars | {v: True}, rel.graph)
         found: dict[A.Aggregate, Val] = {}
         columns: list[Column] = []
-        made = Expressions(rel.env())
+        made = self._made(rel.env())
 
         def collect(e):
             for x in aggregates(e):
@@ -391,24 +437,26 @@ class Compiler:
             collect(e)
         for e in (*p.having, *(e for e, _ in p.order)):
             collect(e)
-        grouping = [F.col(c) for v in names for c in T.columns(col(v))[:-1]] + ([F.col(GRAPH_KEY)] if rel.graph else [])
+        grouping = [F.col(c) for v in names for c in T.columns(col(v))[:5]] + ([F.col(GRAPH_KEY)] if rel.graph else [])
         columns = columns or [F.count(F.lit(1)).alias("__n")]
         df = rel.df.groupBy(*grouping).agg(*columns) if grouping else rel.df.agg(*columns)
-        df = df.withColumns({T.part(col(v), "n"): T.number(F.col(T.part(col(v), "x")), F.col(T.part(col(v), "d"))) for v in names}) if names else df
+        for v in names:
+            x, d = F.col(T.part(col(v), "x")), F.col(T.part(col(v), "d"))
+            df = df.withColumns({T.part(col(v), "n"): T.number(x, d), T.part(col(v), "e"): T.exact(x, d)})
         out = Rel(df, {v: rel.vars[v] for v in names}, rel.graph)
         for v, e in p.items:
             if e is None:
                 if v not in out.vars:
                     raise A.SparqlError(f"?{v} is neither grouped nor aggregated")
                 continue
-            made = Expressions(out.env(), aggregate=found.__getitem__)
+            made = self._made(out.env(), aggregate=found.__getitem__)
             out = Rel(out.df.withColumns(bind(v, made.value(e))), out.vars | {v: True}, out.graph)
         for h in p.having:
-            out = Rel(out.df.where(Expressions(out.env(), aggregate=found.__getitem__).truth(h)), out.vars, out.graph)
+            out = Rel(out.df.where(self._made(out.env(), aggregate=found.__getitem__).truth(h)), out.vars, out.graph)
         order = []
         for i, (e, up) in enumerate(p.order):
             if has_aggregate(e):
-                made = Expressions(out.env(), aggregate=found.__getitem__)
+                made = self._made(out.env(), aggregate=found.__getitem__)
                 out = Rel(out.df.withColumns(bind(f"_order{i}", made.value(e))), out.vars | {f"_order{i}": True}, out.graph)
                 e = A.Var(f"_order{i}")
             order.append((e, up))
@@ -426,24 +474,30 @@ class Compiler:
             return num_val(n.cast("double"), F.lit(T.INTEGER))
         v = made.value(x.arg)
         key = v.key()
+        if x.name == "APPROX_COUNT_DISTINCT":
+            return num_val(add("n", F.approx_count_distinct(key)).cast("double"), F.lit(T.INTEGER))
         if x.name == "COUNT":
             n = add("n", F.count_distinct(key) if x.distinct else F.count(key))
             return num_val(n.cast("double"), F.lit(T.INTEGER))
         number = v.number()
         if x.name in ("SUM", "AVG"):
             step = F.when(v.d == T.DOUBLE, 3).when(v.d == T.XSD + "float", 2).when(v.d == T.DECIMAL, 1).otherwise(0)
-            n = add("n", (F.sum_distinct if x.distinct else F.sum)(number) if x.name == "SUM" else (F.expr("avg(DISTINCT 1)") if False else F.avg(number)))
-            if x.name == "AVG" and x.distinct:
-                columns.pop()
-                total, count = add("s", F.sum_distinct(number)), add("c", F.count_distinct(number))
-                n = F.try_divide(total, count.cast("double"))
+            # the sum is exact if every number is; else it is the sum of the doubles
+            exact = v.exact()
+            pick, count = (F.sum_distinct, F.count_distinct) if x.distinct else (F.try_sum, F.count)
+            total, size = add("n", pick(number)), add("c", count(number))
+            whole, whole_size = add("e", pick(exact)), add("f", count(exact))
+            e = F.when(size == whole_size, whole)
+            n = total
+            if x.name == "AVG":
+                n, e = F.try_divide(total, size.cast("double")), F.try_divide(e, size.cast("decimal(20,0)"))
             step = add("d", F.max(F.when(number.isNotNull(), step)))
             d = F.when(step == 3, T.DOUBLE).when(step == 2, T.XSD + "float").when((step == 1) | F.lit(x.name == "AVG"), T.DECIMAL).otherwise(T.INTEGER)
-            return num_val(n, d)
+            return num_val(n, d, e.try_cast(T.EXACT))
         if x.name in ("MIN", "MAX"):
             # numbers first, then dates, then text; null sort keys are replaced so that structs compare by the first that differs
             pick = F.min if x.name == "MIN" else F.max
-            s = F.struct(number.alias("n"), v.k.alias("k"), v.x.alias("x"), v.d.alias("d"), v.l.alias("l"))
+            s = F.struct(number.alias("n"), v.exact().alias("e"), v.k.alias("k"), v.x.alias("x"), v.d.alias("d"), v.l.alias("l"))
             by_number = add("n", pick(F.when(number.isNotNull(), s)))
             t = F.struct(v.x.alias("x"), v.k.alias("k"), v.d.alias("d"), v.l.alias("l"))
             by_text = add("t", pick(F.when(v.x.isNotNull(), t)))

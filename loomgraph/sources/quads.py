@@ -1,9 +1,8 @@
 """A dataset of stored quads, as the compiler scans it.
 
 Quads carry the ids and the parts of their terms side by side, so a query reads
-only the columns it uses and decodes nothing by a join.  On disk they are
-Parquet, partitioned by graph and sorted by predicate, subject and object, so
-that constants prune files and row groups.
+only the columns it uses and decodes nothing by a join.  How they stand on disk
+is told in ``segments``.
 """
 
 from __future__ import annotations
@@ -50,14 +49,17 @@ def place(df: DataFrame, where: str, v: str) -> list:
         (F.col(d) if d else F.lit("")).alias(T.part(col(v), "d")),
         (F.col(lang) if lang else F.lit("")).alias(T.part(col(v), "l")),
         (T.number(F.col(x), F.col(d)) if d else F.lit(None).cast("double")).alias(T.part(col(v), "n")),
+        (T.exact(F.col(x), F.col(d)) if d else T.no_exact()).alias(T.part(col(v), "e")),
     ]
 
 
 class QuadDataset:
     """quads: DataFrame of terms.QUAD; graphs: DataFrame (graph_id, iri, ..)."""
 
-    def __init__(self, quads: DataFrame, graphs: DataFrame):
+    def __init__(self, quads: DataFrame, graphs: DataFrame, ids: tuple[int, ...] = (), closed: dict[int, str] | None = None):
+        """ids: the graphs that hold quads; closed: graph -> the profile it was materialised with and not changed since."""
         self.quads, self.graphs, self.spark = quads, graphs, quads.sparkSession
+        self.ids, self.closed = ids, dict(closed or {})
 
     def named_graphs(self) -> DataFrame:
         return self.graphs.where("graph_id <> 0").select("graph_id", "iri")
@@ -78,7 +80,11 @@ class QuadDataset:
             return df.where(F.col("g") == scope.graph)
         if scope.kind == "each":
             df = df.where(F.col("g") != 0)
-        return df.where(F.col("g").isin(*scope.among)) if scope.among is not None else df
+        if scope.among is not None:
+            df = df.where(F.col("g").isin(*scope.among) if scope.among else F.lit(False))
+        if scope.kind == "all" and len(scope.among or ()) > 1:
+            df = df.dropDuplicates(["s", "p", "o"])  # graphs of FROM are merged as sets
+        return df
 
     def scan(self, t: A.Triple, scope: Scope) -> Rel:
         df = self.scoped(scope)
@@ -114,7 +120,16 @@ class QuadDataset:
         objects = df.select(F.col("o").alias("id"), F.col("o__k").alias("k"), F.col("o__x").alias("x"), F.col("o__d").alias("d"), F.col("o__l").alias("l"), g)
         return subjects.unionByName(objects).dropDuplicates(["id", "g"])
 
-    def inferred_predicate(self, predicate: str, scope: Scope) -> bool:
-        """Whether a closure of the predicate has been materialised in scope."""
-        found = self.scoped(scope).where((F.col("p") == T.id_lit(T.iri(predicate))) & F.col("inferred"))
-        return not found.limit(1).isEmpty()
+    def closed_predicate(self, predicate: str, scope: Scope) -> bool:
+        """Whether the quads of a predicate hold its closure in every graph in scope.
+
+        Several graphs seen as one have paths that cross from one to another, so they never count as closed.
+        """
+        if scope.kind == "one":
+            graphs = [scope.graph]
+        else:
+            graphs = [g for g in self.ids if (scope.among is None or g in scope.among) and (g or scope.kind != "each")]
+        if scope.kind == "all" and len(graphs) != 1:
+            return False
+        profiles = ("owl-rl",) if predicate == T.OWL + "sameAs" else ("rdfs", "owl-rl")
+        return all(self.closed.get(g) in profiles for g in graphs)

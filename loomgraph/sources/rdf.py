@@ -25,52 +25,64 @@ class RdfSyntaxError(ValueError):
 
 # N-Triples and N-Quads
 
-_NODE = r"(?:<([^<>\"{}|^`\\\x00-\x20]*(?:\\[uU][0-9A-Fa-f]+[^<>\"{}|^`\\\x00-\x20]*)*)>|_:([\w][\w.\-]*))"
+# Possessive throughout: Java's engine walks such loops without recursion, so a literal may have any length.
+_ESCAPE = (
+    r"u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}"
+    r"|U(?!0000[Dd][89A-Fa-f])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+)
+_IRI = r"(?:[^<>\"{}|^`\\\x00-\x20]++|\\(?:" + _ESCAPE + r"))*+"
+_LABEL = r"[^\x00-\x2c\x2e\x2f\x3b-\x40\x5b-\x5e\x60\x7b-\x7f]"
+_BNODE = r"_:(" + _LABEL + r"++(?:\.++" + _LABEL + r"++)*+)"
+_TEXT = r"\"[^\"\\\n\r]*+(?:\\(?:[tbnrf\"'\\]|" + _ESCAPE + r")[^\"\\\n\r]*+)*+"
+#: Groups: subject IRI, subject node, predicate, <object IRI, object node, "text, datatype, language, graph.
 LINE = (
-    r"^\s*" + _NODE + r"\s*<([^<>\"{}|^`\x00-\x20]*)>\s*"
-    r"(?:<([^<>\"{}|^`\x00-\x20]*)>|_:([\w](?:[\w.\-]*[\w\-])?)|\"((?:[^\"\\\n\r]|\\.)*)\"(?:\^\^<([^<>\"{}|^`\x00-\x20]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
-    r"\s*(?:<([^<>\"{}|^`\x00-\x20]*)>\s*)?\.\s*(?:#.*)?$"
+    r"\A[ \t]*+(?:<(" + _IRI + r")>|" + _BNODE + r")[ \t]*+<(" + _IRI + r")>[ \t]*+"
+    r"(?:(<" + _IRI + r")>|" + _BNODE + r"|(" + _TEXT + r")\"(?:\^\^<(" + _IRI + r")>|@([A-Za-z]++(?:-[A-Za-z0-9]++)*+))?+)"
+    r"[ \t]*+(?:<(" + _IRI + r")>[ \t]*+)?+\.[ \t]*+(?:#[\s\S]*+)?+(?![\s\S])"
 )
+#: Only a literal's text may hold blanks, so it comes last and the others are cut off at blanks.
+_FIELDS = "! $1 $2 $3 $4 $5 $7 $8 $9 $6"
+_PIECES = r"(\\U[0-9A-Fa-f]{8}|(?:\\u[0-9A-Fa-f]{4})++|\\.|[^\\]++)"
 
 
 def _unescaped(c: Column) -> Column:
-    """Escapes of a literal; texts with \\u escapes go through a JSON reader, which knows the same ones."""
-    json = F.from_json(F.concat(F.lit('{"v":"'), _json_escapes(c), F.lit('"}')), "v string")["v"]
-    return F.when(F.contains(c, F.lit("\\")), json).otherwise(c)
+    """A text with its escapes replaced; LINE has let none through that does not stand for a character."""
 
+    def one(p: Column) -> Column:
+        wide = F.decode(F.unhex(F.substring(p, 3, 8)), "UTF-32")
+        run = F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        named = F.translate(F.substring(p, 2, 1), "tbnrf", "\t\b\n\r\f")
+        return F.when(F.startswith(p, F.lit("\\U")), wide).when(F.startswith(p, F.lit("\\u")), run).when(F.startswith(p, F.lit("\\")), named).otherwise(p)
 
-def _json_escapes(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\\'", "'")
-    # eight-digit escapes: those of the first plane become four-digit ones, others a surrogate pair
-    c = F.regexp_replace(c, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
-    return F.regexp_replace(c, "\t", r"\\t")
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(1))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
 def parse_lines(lines: DataFrame, prefix: str, lenient: bool = True, column: str = "value") -> DataFrame:
-    """(s__k, s__x, p__x, o__k, o__x, o__d, o__l, graph, bad) of lines; blank lines and comments are dropped."""
-    text = lines.where(~F.rlike(F.col(column), F.lit(r"^\s*(#.*)?$")))
-    m = [F.regexp_extract(F.col(column), LINE, i) for i in range(10)]
-    bad = ~F.rlike(F.col(column), F.lit(LINE))
-    node = lambda c: F.concat(F.lit(prefix), c)
-    plain = F.when(m[8] != "", T.LANG_STRING).when(m[7] != "", m[7]).otherwise(T.STRING)
-    is_literal = (m[4] == "") & (m[5] == "") & ~F.rlike(F.col(column), F.lit(r"^\s*\S+\s*<[^>]*>\s*<>"))
-    out = text.select(
-        F.when(m[2] != "", T.BNODE).otherwise(T.IRI).alias("s__k"),
-        F.when(m[2] != "", node(m[2])).otherwise(_unescaped(m[1])).alias("s__x"),
-        _unescaped(m[3]).alias("p__x"),
-        F.when(is_literal, T.LITERAL).when(m[5] != "", T.BNODE).otherwise(T.IRI).alias("o__k"),
-        F.when(is_literal, _unescaped(m[6])).when(m[5] != "", node(m[5])).otherwise(_unescaped(m[4])).alias("o__x"),
-        F.when(is_literal, plain).otherwise("").alias("o__d"),
-        F.when(is_literal, F.lower(m[8])).otherwise("").alias("o__l"),
-        F.when(m[9] != "", m[9]).alias("graph"),
-        bad.alias("bad"),
-        F.col(column).alias("line"),
-    )
+    """(s__k, s__x, p__x, o__k, o__x, o__d, o__l, graph) of lines; blank lines, comments and (if ``lenient``) broken lines are dropped.
+
+    A line is taken apart by one replacement, which puts a mark before it, so a line that stays as it is is broken.
+    """
+    cut = lines.select(F.col(column).alias("line"), F.regexp_replace(F.col(column), LINE, _FIELDS).alias("cut"))
     if not lenient:
-        row = out.where("bad").select("line").first()
+        row = cut.where((F.col("cut") == F.col("line")) & F.rlike("line", F.lit(r"\A[ \t]*+[^# \t]"))).select("line").first()
         if row:
             raise RdfSyntaxError(f"parse error: {row[0][:120]!r}")
-    return out.where("NOT bad").drop("bad", "line")
+    rows = cut.where(F.col("cut") != F.col("line")).select(F.split("cut", " ", 10).alias("f"))
+    f = lambda i: F.get("f", F.lit(i))
+    node = lambda c: F.concat(F.lit(prefix), c)
+    is_literal = f(9) != ""
+    datatype = F.when(f(7) != "", T.LANG_STRING).when(f(6) != "", _unescaped(f(6))).otherwise(T.STRING)
+    return rows.select(
+        F.when(f(2) != "", T.BNODE).otherwise(T.IRI).alias("s__k"),
+        F.when(f(2) != "", node(f(2))).otherwise(_unescaped(f(1))).alias("s__x"),
+        _unescaped(f(3)).alias("p__x"),
+        F.when(is_literal, T.LITERAL).when(f(5) != "", T.BNODE).otherwise(T.IRI).alias("o__k"),
+        F.when(is_literal, _unescaped(F.substr(f(9), F.lit(2)))).when(f(5) != "", node(f(5))).otherwise(_unescaped(F.substr(f(4), F.lit(2)))).alias("o__x"),
+        F.when(is_literal, datatype).otherwise("").alias("o__d"),
+        F.when(is_literal, F.lower(f(7))).otherwise("").alias("o__l"),
+        F.when(f(8) != "", _unescaped(f(8))).alias("graph"),
+    )
 
 
 def sniff(head: str) -> str:
@@ -81,6 +93,35 @@ def sniff(head: str) -> str:
     return "ntriples" if lines and all(re.match(LINE, x) for x in lines) else "turtle"
 
 
+def line_digest(lines: DataFrame, column: str = "value") -> str:
+    """A digest of a bag of lines: the sums of four 60-bit pieces of each line's sha256 and the number of lines, hashed."""
+    h = F.sha2(F.col(column), 256)
+    sums = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    told = lines.agg(F.count(F.lit(1)), *sums).first()
+    return hashlib.sha256(":".join(str(int(x or 0)) for x in told).encode()).hexdigest()
+
+
+def source_digest(spark: SparkSession, path: str, how: str = "auto") -> str:
+    """See GraphStore.load."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(where) or [])
+    if how == "auto":
+        how = "bytes" if len(found) == 1 and found[0].isFile() else "lines"
+    if how == "lines":
+        return line_digest(spark.read.text(path))
+    if how != "bytes":
+        raise ValueError(f"unknown digest {how!r}")
+    each = []
+    for status in found:
+        stream = fs.open(status.getPath())
+        try:
+            each.append(spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream))
+        finally:
+            stream.close()
+    return each[0] if len(each) == 1 else hashlib.sha256("".join(sorted(each)).encode()).hexdigest()
+
+
 # Turtle and TriG
 
 _TURTLE = re.compile(
@@ -329,4 +370,4 @@ def nt_lines(quads: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
     return quads.select(F.concat_ws(" ", *line, F.lit(".")).alias("value"))
 
 
-__all__ = ["ESCAPES", "RdfSyntaxError", "Turtle", "nt_lines", "parse_lines", "parse_trig", "parse_turtle", "read_turtle_files", "sniff"]
+__all__ = ["ESCAPES", "RdfSyntaxError", "Turtle", "line_digest", "nt_lines", "parse_lines", "parse_trig", "parse_turtle", "read_turtle_files", "sniff", "source_digest"]

@@ -78,7 +78,7 @@ class RelationalGraph:
     def graph_id(self, iri: str) -> int | None:
         return None
 
-    def inferred_predicate(self, predicate: str, scope: Scope) -> bool:
+    def closed_predicate(self, predicate: str, scope: Scope) -> bool:
         return False
 
     # one row as a subject, one cell as an object
@@ -88,14 +88,18 @@ class RelationalGraph:
         tail = F.concat_ws("_", *(F.col(c).cast("string") for c in key)) if key else F.xxhash64(*self.frames[table].columns).cast("string")
         return F.concat(F.lit(f"{TABLE}{table}:"), tail)
 
-    def cell(self, table: str, c: str) -> tuple[Column, Column, Column, Column, Column]:
-        """(kind, lex, datatype, language, number) of a column's values."""
+    def cell(self, table: str, c: str) -> tuple[Column, Column, Column, Column, Column, Column]:
+        """(kind, lex, datatype, language, number, exact number) of a column's values.
+
+        Integers of at most 32 bits are exact as doubles, so their filters stay filters of the column.
+        """
         to, none = self.tables[table].links.get(c), F.lit(None).cast("double")
         if to:
-            return F.lit(T.IRI), F.concat(F.lit(f"{TABLE}{to}:"), F.col(c).cast("string")), F.lit(""), F.lit(""), none
+            return F.lit(T.IRI), F.concat(F.lit(f"{TABLE}{to}:"), F.col(c).cast("string")), F.lit(""), F.lit(""), none, T.no_exact()
         t = self.frames[table].schema[c].dataType
         number = F.col(c).cast("double") if isinstance(t, S.NumericType) else none
-        return F.lit(T.LITERAL), lexical(F.col(c), t), F.lit(datatype(t)), F.lit(""), number
+        exact = F.col(c).cast(T.EXACT) if isinstance(t, S.LongType) else T.exact(lexical(F.col(c), t), F.lit(T.DECIMAL)) if isinstance(t, S.DecimalType) else T.no_exact()
+        return F.lit(T.LITERAL), lexical(F.col(c), t), F.lit(datatype(t)), F.lit(""), number, exact
 
     def matches(self, table: str, c: str, t: T.Term) -> Column:
         """A filter on the column itself that holds where its object is the term."""
@@ -112,12 +116,12 @@ class RelationalGraph:
         return lexical(F.col(c), kind) == t.lex
 
     @staticmethod
-    def _columns(v: str, k: Column, x: Column, d: Column, lang: Column, number: Column) -> list[Column]:
-        parts = dict(zip((*T.PARTS, "n"), (k, x, d, lang, number)))
+    def _columns(v: str, k: Column, x: Column, d: Column, lang: Column, number: Column, exact: Column) -> list[Column]:
+        parts = dict(zip((*T.PARTS, "n", "e"), (k, x, d, lang, number, exact)))
         return [T.id_of(k, x, d, lang).alias(col(v)), *(c.alias(T.part(col(v), p)) for p, c in parts.items())]
 
     def _row(self, table: str, x: str):
-        return F.lit(T.IRI), self.subject(table), F.lit(""), F.lit(""), F.lit(None).cast("double")
+        return F.lit(T.IRI), self.subject(table), F.lit(""), F.lit(""), F.lit(None).cast("double"), T.no_exact()
 
     # scans
 
@@ -189,7 +193,7 @@ class RelationalGraph:
         return self._union(found, t, scope)
 
     def _with(self, rel: Rel, v: str, p: str) -> Rel:
-        parts = F.lit(T.IRI), F.lit(p), F.lit(""), F.lit(""), F.lit(None).cast("double")
+        parts = F.lit(T.IRI), F.lit(p), F.lit(""), F.lit(""), F.lit(None).cast("double"), T.no_exact()
         if v in rel.vars:
             return Rel(rel.df.where(F.col(T.part(col(v), "x")) == p), rel.vars)
         return Rel(rel.df.select("*", *self._columns(v, *parts)), rel.vars | {v: False})
@@ -212,7 +216,7 @@ class RelationalGraph:
 
     def _empty(self, t: A.Triple, scope: Scope) -> Rel:
         names = {x.name: False for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
-        kinds = ", ".join(f"{col(v)} long, " + ", ".join(f"{T.part(col(v), p)} {'int' if p == 'k' else 'string'}" for p in T.PARTS) + f", {T.part(col(v), 'n')} double" for v in names) or "__unit int"
+        kinds = ", ".join(f"{col(v)} long, " + ", ".join(f"{T.part(col(v), p)} {'int' if p == 'k' else 'string'}" for p in T.PARTS) + f", {T.part(col(v), 'n')} double, {T.part(col(v), 'e')} {T.EXACT}" for v in names) or "__unit int"
         if scope.kind == "each":
             kinds += f", {GRAPH_KEY} long"
         return Rel(self.spark.createDataFrame([], kinds), names, scope.kind == "each")
@@ -262,7 +266,7 @@ class RelationalGraph:
 
         out = None
         for n, c in self._pairs(predicates, []):
-            s, (k, x, d, lang, _) = self.subject(n), self.cell(n, c)
+            s, (k, x, d, lang, *_) = self.subject(n), self.cell(n, c)
             df = self.frames[n].where(F.col(c).isNotNull())
             df = df.select(F.lit(T.IRI).alias("s__k"), s.alias("s__x"), F.lit(COLUMN + c).alias("p__x"), k.alias("o__k"), x.alias("o__x"), d.alias("o__d"), lang.alias("o__l"), F.lit(0).cast("long").alias("g"))
             out = df if out is None else out.unionByName(df)

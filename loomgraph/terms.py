@@ -73,8 +73,8 @@ def part(name: str, p: str) -> str:
 
 
 def columns(name: str) -> list[str]:
-    """Of a variable: id, parts, and the numeric value, which a source may know without parsing the text."""
-    return [name, *(part(name, p) for p in PARTS), part(name, "n")]
+    """Of a variable: id, parts, and the numeric value as a double (n) and exactly (e), which a source may know without parsing the text."""
+    return [name, *(part(name, p) for p in PARTS), part(name, "n"), part(name, "e")]
 
 
 def id_of(k: Column, x: Column, d: Column, lang: Column) -> Column:
@@ -94,6 +94,21 @@ def number(x: Column, d: Column) -> Column:
     return F.when(d.isin(*NUMERIC), x.try_cast("double"))
 
 
+#: Exact numbers: integers and decimals of at most 25 digits before and 12 after the point.  All others are doubles only.
+EXACT = "decimal(37,12)"
+INEXACT = (DOUBLE, XSD + "float")
+
+
+def exact(x: Column, d: Column) -> Column:
+    """The exact value of an integer or decimal literal, else null."""
+    fits = d.isin(*[t for t in NUMERIC if t not in INEXACT]) & F.rlike(x, F.lit(r"^[+-]?[0-9]{0,25}(?:\.[0-9]{0,12})?$"))
+    return F.when(fits, x.try_cast(EXACT))
+
+
+def no_exact() -> Column:
+    return F.lit(None).cast(EXACT)
+
+
 def instant(x: Column, d: Column) -> Column:
     return F.when(d.isin(DATETIME, XSD + "date"), x.try_cast("timestamp"))
 
@@ -115,6 +130,10 @@ def render(n: Column) -> Column:
     return F.when(n.isNull(), None).when(F.isnan(n), F.lit("NaN")).when(whole, n.cast("decimal(20,0)").cast("string")).when(small, fixed).otherwise(n.cast("string"))
 
 
+def render_exact(e: Column) -> Column:
+    return F.regexp_replace(F.replace(F.format_number(e, 12), F.lit(","), F.lit("")), r"\.?0+$", "")
+
+
 QUAD = ["s", "s__k", "s__x", "p", "p__x", "o", "o__k", "o__x", "o__d", "o__l", "g", "inferred"]
 
 

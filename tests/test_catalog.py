@@ -8,7 +8,7 @@ import pytest
 from loomgraph.plans.catalog import CATALOG
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "events")
 
 
 def plain(rows, names):
