@@ -20,13 +20,17 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact:
    else chance alone would bring long sets together.  Then sets are gathered,
    indexed anew, and what survives at a leaf is verified.  Pairs that are already
    connected are skipped, because only components are asked for.
-4. Candidates above ``block`` in one component are split over tasks by pairs of
-   blocks, so no task holds more than two blocks.
+4. Tasks are dealt by the number of shingles, not of documents.  Candidates of
+   one component beyond ``block`` shingles are split over tasks by pairs of
+   blocks, so a task holds about two blocks (or two sets, if they are longer).
 
 Defined cases: null and empty texts have 0 shingles and link with nothing; equal
 rows link with each other; an empty table gives an empty result; columns other
-than the id and the text are ignored.  Repeated ids are the same document; rows
-with a null id take part in links but are never removed.
+than the id and the text are ignored.  Every row is a document: rows with one id
+and different texts are compared each for itself and get a row each, and rows
+that repeat both id and text stay or go together.  Rows with a null id take part
+in links (a component of such rows alone has a null id) and are never removed.
+Texts may have any length; a set and its vector are held by one task at a time.
 """
 
 from __future__ import annotations
@@ -35,16 +39,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import components, stage
+from .shared import components, free_names, stage
 
 #: Groups of a stored vector by size of the set: (size below, groups).  Each is a multiple of the one before, so a vector folds.
 GROUPS = ((256, 64), (1024, 256), (4096, 1024), (1 << 62, 4096))
 REFINE_ABOVE = 32
-REFINE_BLOCK = 16384
+BLOCK = 2 << 20  # shingles (of 8 bytes) or groups of vectors in a block
 KEYS_PER_PART = 1_000_000
 FLUSH_KEYS = 1_000_000
 
@@ -168,20 +172,24 @@ def _cell_keys(u, bounds, percent):
 def _points(k, percent, id_col, text_col):
     def run(batches):
         for b in batches:
-            ids = T.column(b, id_col)
+            ids, keys = T.column(b, id_col), T.column(b, "key")
             for lo, hi, data, off in T.slices(T.column(b, text_col)):
                 u, at = _sets(data, off, k)
                 one, two = _class_ids(u, at)
                 vec = pa.array(_vectors(u, at), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(at)), pa.array(T.i64(one)), pa.array(T.i64(two)), vec],
-                    names=["doc_id", "n", "cid", "cid2", "counts"],
+                    [ids.slice(lo, hi - lo).cast(pa.int64()), keys.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(T.i64(one)), pa.array(T.i64(two)), vec],
+                    names=["doc_id", "key", "n", "cid", "cid2", "counts"],
                 )
     return run
 
 
 def _cells(k, percent, parts, text_col):
-    """Cell keys of all distinct sets of a task, packed by the part that gathers them."""
+    """Cell keys of all distinct sets of a task, packed by the part that gathers them.
+
+    A cell that several sets of the task share is sent once, with its smallest class; the others become links here
+    (kind 1), so a hot cell reaches its part with a few rows of each task.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -189,16 +197,17 @@ def _cells(k, percent, parts, text_col):
 
         def flush():
             key = np.concatenate([x[0] for x in held])
-            cid = np.concatenate([x[1] for x in held])
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            key, cid, part = (key >> np.uint64(32)).astype(np.uint32)[order], cid[order], part[order]
-            cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            rows = [(int(part[a]), key[a:z].tobytes(), cid[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["part", "keys", "cids"],
-            )
+            cid = np.concatenate([x[1] for x in held]).view(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, cid = key[order], cid[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+            low = np.minimum.reduceat(cid, first)
+            a, b = _distinct(np.repeat(low, np.diff(np.append(first, len(key)))), cid)
+            key = key[first]
+            rows = _packed(0, key % np.uint64(parts), (key >> np.uint64(32)).astype(np.uint32), low)
+            rows += _packed(1, T.mix(b.view(np.uint64)) % np.uint64(parts), a, b)
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "cids"])
 
         for b in batches:
             for _, _, data, off in T.slices(T.column(b, text_col)):
@@ -223,18 +232,37 @@ def _cells(k, percent, parts, text_col):
     return run
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different classes."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = a != b
+    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+def _packed(kind: int, part: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple]:
+    """(part, kind, bytes, bytes) of two arrays, by part."""
+    order = np.argsort(part, kind="stable")
+    part, one, two = part[order].astype(np.int64), one[order], two[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    return [(int(part[a]), kind, one[a:z].tobytes(), two[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
+
+
 def _stars(t: pa.Table) -> pa.Table:
-    """Candidate links of one part: each class with the smallest class of its cell."""
-    key = np.concatenate([np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()])
-    cid = np.concatenate([np.frombuffer(x, np.uint64) for x in t["cids"].to_pylist()]).view(np.int64)
+    """Candidate links of one part: each class with the smallest class of its cell, and the links that tasks have sent."""
+    kind, keys, cids = t["kind"].to_numpy(), t["keys"].to_pylist(), t["cids"].to_pylist()
+    join = lambda blobs, d: np.concatenate([np.zeros(0, d), *(np.frombuffer(x, d) for x in blobs)])
+    cells, links = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    key, cid = join((keys[i] for i in cells), np.uint32), join((cids[i] for i in cells), np.int64)
     order = np.argsort(key, kind="stable")
     key, cid = key[order], cid[order]
     first = np.flatnonzero(np.diff(key.astype(np.int64), prepend=-1))
-    low = np.repeat(np.minimum.reduceat(cid, first), np.diff(np.append(first, len(key))))
-    hit = low != cid
-    low, cid = low[hit], cid[hit]
-    _, one = np.unique(T.mix(low.view(np.uint64)) + cid.view(np.uint64), return_index=True)
-    return pa.table({"a": pa.array(low[one]), "b": pa.array(cid[one])})
+    low = np.repeat(np.minimum.reduceat(cid, first), np.diff(np.append(first, len(key)))) if len(key) else cid
+    a = np.concatenate((low, join((keys[i] for i in links), np.int64)))
+    b = np.concatenate((cid, join((cids[i] for i in links), np.int64)))
+    a, b = _distinct(a, b)
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 class CountRTree:
@@ -245,9 +273,11 @@ class CountRTree:
     """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int, leaf: int = 32, fan: int = 16):
+        # no sum of counts exceeds the size of its set, so 16 bits do exactly where all sizes fit them
+        self.sum_type = np.uint16 if sizes.max() < 65536 else np.int64
+        counts = counts.astype(self.sum_type)
         self.counts, self.sizes, self.percent = counts, sizes, percent
         self.leaf, self.fan = leaf, fan
-        self.sum_type = np.uint16 if counts.dtype == np.uint16 and sizes.max() < 65536 else np.int64
         groups = counts.shape[1]
         fold = 4 if groups >= 256 else 1
         self.coarse = counts.reshape(len(sizes), fold, groups // fold).sum(axis=1, dtype=counts.dtype) if fold > 1 else counts
@@ -288,10 +318,6 @@ class CountRTree:
         return points
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.uint16 if counts.max() < 65536 else np.int64)
-
-
 def _order(sizes: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Like sizes together, and inside those what ``near`` puts together: boxes of the packed tree are small."""
     return np.lexsort((near, (np.log(np.maximum(sizes, 1)) / np.log(1.05)).astype(np.int64)))
@@ -334,14 +360,14 @@ def link_sets(sets: list[np.ndarray], percent: int, groups: int | None = None) -
         both = np.add.reduceat((sets[i][spot] == at).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
         return some[both * (100 + percent) >= percent * (sizes[i] + sizes[some])]
 
-    return [(int(order[i]), int(order[j])) for i, j in _forest(CountRTree(_narrow(counts), sizes, percent), verify)]
+    return [(int(order[i]), int(order[j])) for i, j in _forest(CountRTree(counts, sizes, percent), verify)]
 
 
 def close_vectors(counts: np.ndarray, near: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose vectors the bound lets link."""
     sizes = counts.sum(axis=1).astype(np.int64)
     order = _order(sizes, near)
-    tree = CountRTree(_narrow(counts[order]), sizes[order], percent)
+    tree = CountRTree(counts[order], sizes[order], percent)
     return [(int(order[i]), int(order[j])) for i, j in _forest(tree, lambda i, some: some)]
 
 
@@ -363,7 +389,10 @@ def _by_component(link, column):
         comp = t["comp"].to_numpy()
         cid = t["cid"].to_numpy()
         data = t[column].to_pylist()
-        order = np.argsort(comp, kind="stable")
+        order = np.lexsort((cid, comp))
+        if len(order):  # rows that repeat a representative
+            again = (np.diff(comp[order], prepend=comp[order[0]] - 1) == 0) & (np.diff(cid[order], prepend=cid[order[0]] - 1) == 0)
+            order = order[~again]
         cut = np.append(np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1)), len(order)) if len(comp) else []
         a, b = [], []
         for x, z in zip(cut[:-1], cut[1:]):
@@ -399,11 +428,12 @@ def _refine_task(percent):
     return _by_component(link, "counts")
 
 
-def _deal(some: DataFrame, block: int) -> DataFrame:
-    """some (cid, comp, ..) with a task: components up to a block are packed together, larger ones meet by pairs of blocks."""
-    sizes = some.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    some = some.join(sizes, "comp")
-    packs = max(1, math.ceil(some.count() / block))
+def _deal(some: DataFrame, weight: Column, block: int) -> DataFrame:
+    """some (cid, comp, ..) with a task, by weight: components up to a block are packed together, larger ones meet by pairs of blocks."""
+    some = some.withColumn("weight", weight)
+    sizes = some.groupBy("comp").agg(F.sum("weight").alias("size"))
+    packs = max(1, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / block))
+    some = some.join(sizes, "comp").drop("weight")
     small = some.where(F.col("size") <= block).withColumn("task", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))))
     blocks = F.ceil(F.col("size") / block).cast("int")
     large = some.where(F.col("size") > block).withColumn("i", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
@@ -412,33 +442,43 @@ def _deal(some: DataFrame, block: int) -> DataFrame:
     return small.unionByName(large).drop("size")
 
 
+def _same_row(a: DataFrame, b: DataFrame):
+    """Rows of a document: equal ids, null or not, and equal texts by their hash."""
+    return (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
 def jaccard_components(
-    docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 4096
+    docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every document; see the module's text."""
-    spark = docs.sparkSession
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = stage(text.mapInArrow(_points(k, percent, "doc_id", "text"), "doc_id long, n long, cid long, cid2 long, counts binary"), "members")
-    classes = stage(
-        members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("cid2").alias("x"), F.max("cid2").alias("y")),
-        "classes",
-    )
+    """(doc_id, key, n_shingles, class_id, component_id) of every row; see the module's text.  key: xxhash64 of the text."""
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    kinds = "doc_id long, key long, n long, cid long, cid2 long, counts binary"
+    members = stage(text.mapInArrow(_points(k, percent, "doc_id", "text"), kinds), "members")
+    # a class is represented by one row: that of its smallest id, or of a null id if it has no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
+    classes = members.where("n > 0").groupBy("cid").agg(first, F.first("n").alias("n"), F.min("cid2").alias("x"), F.max("cid2").alias("y"))
+    classes = stage(classes.select("cid", "r.doc_id", "r.key", "n", "x", "y"), "classes")
     told = classes.agg(F.sum("n").alias("n"), F.count_if(F.col("x") != F.col("y")).alias("clash")).first()
     if told["clash"]:
         raise RuntimeError("two different shingle sets have one 64-bit class id")
     parts = max(1, math.ceil(0.4 * (told["n"] or 0) / KEYS_PER_PART))
-    cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, keys binary, cids binary")
+    cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, kind long, keys binary, cids binary")
     near = cells.groupBy("part").applyInArrow(_stars, "a long, b long")
     near = components(near).withColumnsRenamed({"node": "cid", "root": "comp"})
-    near = stage(near.join(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp"), "candidates")
+    near = near.join(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
+    near = stage(near.join(classes.select("cid", "doc_id", "key", "n"), "cid"), "candidates")
     many = near.where(F.col("size") > REFINE_ABOVE).drop("size")
-    short = members.where("n > 0").join(classes.select("doc_id", "cid"), ["doc_id", "cid"]).dropDuplicates(["cid"]).select("cid", "counts")
-    deals = _deal(many, max(block, REFINE_BLOCK) if block > 64 else block).join(short, "cid")
+    groups = F.lit(GROUPS[-1][1])
+    for top, g in reversed(GROUPS[:-1]):
+        groups = F.when(F.col("n") < top, g).otherwise(groups)
+    deals = _deal(many, groups, block)
+    short = members.select("doc_id", "key", "counts")
+    deals = deals.join(short, _same_row(deals, short)).select("task", "comp", "cid", "counts")
     finer = deals.groupBy("task").applyInArrow(_refine_task(percent), "a long, b long")
-    finer = components(finer).withColumnsRenamed({"node": "cid", "root": "comp"})
-    near = near.where(F.col("size") <= REFINE_ABOVE).drop("size").unionByName(finer)
-    some = stage(near.join(classes.select("cid", "doc_id"), "cid"), "candidates")
-    ships = _deal(some, block).join(text, "doc_id").select("task", "comp", "cid", "text")
+    finer = components(finer).withColumnsRenamed({"node": "cid", "root": "comp"}).join(classes.select("cid", "doc_id", "key", "n"), "cid")
+    some = stage(near.where(F.col("size") <= REFINE_ABOVE).drop("size").unionByName(finer), "candidates")
+    ships = _deal(some, F.col("n"), block)
+    ships = ships.join(text, _same_row(ships, text)).select("task", "comp", "cid", "text")
     links = ships.mapInArrow(_ship_sets(k, "text"), "task string, comp long, cid long, shingles binary")
     links = links.groupBy("task").applyInArrow(_link_task(percent), "a long, b long")
     roots = components(links).withColumnsRenamed({"node": "cid"})
@@ -446,11 +486,15 @@ def jaccard_components(
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(low, "root").select("cid", "component_id")
     return members.join(ids, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, **args) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:
     """The documents, one of each group of linked ones: the one with the smallest id."""
-    found = jaccard_components(docs, **args).where(F.col("n_shingles") > 0).where(F.col("doc_id") != F.col("component_id"))
-    return docs.join(found.select(F.col("doc_id").alias(args.get("id_col", "doc_id"))).distinct(), args.get("id_col", "doc_id"), "left_anti")
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **args)
+    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id", "key").distinct()
+    (key,) = free_names(docs.columns, "text_key")
+    rows = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    same = (rows[id_col].cast("long") == gone["doc_id"]) & (rows[key] == gone["key"])
+    return rows.join(gone, same, "left_anti").select(*docs.columns)

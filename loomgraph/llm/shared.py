@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,63 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: no later failure recomputes what is above it."""
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged inside are removed at the end, so what leaves must have been written by then."""
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, outer
+        for x in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as a table in the shared folder and read back: no later failure recomputes what is above it.
+
+    It is removed with the ``scratch`` around it, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds at least one in so many rows; so there are at most this many hot keys.
+HOT_KEYS = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with a table of one row for each key, which has the number of rows of the key as ``count``.
+
+    The table's rows of hot keys (at most HOT_KEYS) are broadcast, so their rows stay where they are; all others are
+    shuffled by the key, and none of these keys holds more than 1 / HOT_KEYS of the rows.  Null keys are not joined.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_KEYS >= total
+    few = F.broadcast(table.where(hot).drop(count))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~hot).drop(count), key))
+
+
+def free_names(columns, *names: str) -> list[str]:
+    """Names that are none of the columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: A link table of at most so many rows (16 bytes each) is solved in one task; a larger one by distributed rounds.
 ONE_TASK_LINKS = 1 << 20
 

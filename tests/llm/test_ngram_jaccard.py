@@ -65,7 +65,7 @@ def test_against_brute_force(spark):
 
 def test_split_components(spark):
     rows = corpus(7)[:120]
-    assert run(spark, rows, block=4) == brute(rows)
+    assert run(spark, rows, block=60) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -77,6 +77,51 @@ def test_repeated_rows(spark):
     assert run(spark, rows) == {(5, 3, 2), (2, 3, 2), (9, 0, 9)}
 
 
+def test_null_and_repeated_ids(spark):
+    """Every row is a document: null ids link and are kept, rows of one id with different texts are compared each for itself."""
+    one, two = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "one two three four five six seven eight"
+    rows = [(3, one + " end"), (None, one), (None, one), (7, two), (7, one), (7, one), (1, two), (None, "only null ids have this text here"), (None, "only null ids have this text here"), (4, None), (None, "")]
+    got = sorted(map(str, ((i, n, c) for i, n, c in ((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))))
+    want = [(3, 24, 3), (None, 23, 3), (None, 23, 3), (7, 5, 1), (7, 23, 3), (7, 23, 3), (1, 5, 1), (None, 4, None), (None, 4, None), (4, 0, 4), (None, 0, None)]
+    assert got == sorted(map(str, want))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", J.F.lit(1)).withColumn("key", J.F.lit("k"))
+    left = J.keep_one(docs, k=4, percent=85)
+    assert left.columns == docs.columns
+    # both texts of id 7 go, as each has a partner with a smaller id; null ids stay
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [r for r in rows if r[0] != 7]))
+
+
+def test_large_sets_do_not_overflow():
+    """Folded counts beyond 16 bits."""
+    r = np.random.default_rng(4)
+    one = np.unique(r.integers(0, 1 << 60, 90_000, dtype=np.uint64))
+    other = np.unique(np.concatenate([one[: len(one) - 900], r.integers(0, 1 << 60, 900, dtype=np.uint64)]))
+    assert J.link_sets([one, other], 85, groups=256) and J.link_sets([one, one.copy()], 85)
+    counts = np.array([[20_000] * 4 + [0] * 252] * 2)
+    tree = J.CountRTree(counts, counts.sum(axis=1), 85)
+    assert tree.search(1).tolist() == [0]
+
+
+def test_long_texts(spark):
+    r = random.Random(2)
+    long = " ".join("w%d" % r.randrange(500_000) for _ in range(300_000))
+    rows = [(1, "x" * 3_000_000), (2, long), (3, long + " tail"), (4, long.upper()), (5, "x" * 3_000_000 + " y"), (6, " " * 2_000_000)]
+    got = {(i, c) for i, _, c in run(spark, rows, block=1000)}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6)}
+
+
+def test_hot_cell(spark):
+    """One passage in all documents: candidates of each other, told apart; near copies found."""
+    r = random.Random(3)
+    passage = " ".join("p%d" % i for i in range(30))
+    rows = []
+    for i in range(240):
+        own = " ".join("d%dx%d" % (i if i % 8 else 0, j) for j in range(25))
+        rows.append((i, f"{passage} {own} {r.randrange(3)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(df, block=500).collect()} == brute(rows)
+
+
 def test_tree_bound_never_excludes_a_link():
     r = np.random.default_rng(3)
     for percent in (60, 85):
