@@ -1,36 +1,47 @@
 """Benchmark decontamination by a positional inverted index; DataFrame functions only.
 
-The index holds postings (term, document, position, the words around it) of the
-training texts for the terms that anchor a test window: the rarest term of each
-window by its count over all documents.  The postings of a window's anchor,
-shifted by its offset, are the places where the window may start; they are
-intersected with the offset-adjusted places of its other terms, which the words
-stored around the posting give without another look at the text.  What is left
-are exact phrase matches.  With ``slop`` the same postings give proximity
-matches: windows of which enough terms stand near the anchor, in any order.
+Terms of the test set are counted over all documents, and each test window ranks
+its terms from the rarest on.  The index stores, for the ``lists`` rarest terms
+of every window, the postings of the training texts: (document, term, position,
+next term).  A window starts from the list of its rarest term: shifted by the
+term's offset, its postings are the places where the window may start, and the
+next term must agree.  What is left is intersected with the offset-adjusted
+lists of the window's next rarest terms, one after another.  Places that all
+lists agree on are compared with the text itself, so matches are exact.
+
+Proximity matches (enough of a window's distinct terms within reach of each
+other, in any order) start from as many of the rarest terms as it takes that one
+must occur: if a share of m terms is asked for, one of the rarest
+``m - ceil(share * m) + 1``.
+
+Only (document, position, term) ever passes a shuffle, never an array of words,
+so the cost is linear in a text's length.  Test terms are broadcast while they
+are at most ``BROADCAST_TERMS``; beyond it tokens are shuffled by term, with the
+same result.
 
 Words are runs of ASCII digits, ASCII letters (A-Z lower-cased) and all other
 non-ASCII characters.  A window is ``k`` consecutive words of an item, or the
 whole item if it has fewer (but some).  Defined cases: null and empty texts have
 no words and match nothing; items without words have no window; equal items each
-count; an empty table on either side gives no match; a null id of a document
-forms a document of its own; rows that repeat an id count as one document, whose
-n_words is the sum; other columns are ignored.
+count; an empty table on either side gives no match; all rows with a null id, or
+with the same id, count as one document, whose n_words is the sum, and matches do
+not reach from one row into another; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import free_names, stage
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: The terms and windows of the test set are broadcast while they are at most this many; beyond it the joins shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Tables of test terms and windows of at most so many rows are broadcast (some 100 MB); larger ones are shuffled.
+BROADCAST_TERMS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -45,6 +56,13 @@ def word_count(found: Column) -> Column:
     return (F.size(found) - ends).cast("long")
 
 
+def _sized(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """df as a table, marked to be broadcast if it is small; and whether it is."""
+    df = stage(df, name)
+    small = df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return (F.broadcast(df) if small else df), small
+
+
 def windows(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(window_id, terms) of the distinct windows, and (window_id, item_id)."""
     w = F.filter(words(F.col(text_col)), lambda x: x != "")
@@ -59,87 +77,141 @@ def windows(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "
     return each, rows.select(F.xxhash64("terms").alias("window_id"), "item_id")
 
 
-def _small(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_WINDOWS else df
+@dataclass
+class Index:
+    """postings: (doc_id, term, pos, next, n_words), n_words once for each row of docs, beside a null term if need be.
 
+    windows: (window_id, terms, ranked), ranked from the rarest term: structs (n, offset, term); only windows all of
+    whose terms occur somewhere, unless the index is for proximity.  owners: (window_id, item_id).
+    """
 
-def anchors(docs: DataFrame, each: DataFrame, n_windows: int, text_col: str = "text") -> DataFrame:
-    """(window_id, terms, term, offset): the rarest term of each window over all documents, and where it first stands.
+    postings: DataFrame
+    windows: DataFrame
+    owners: DataFrame
+    lists: int
 
-    Documents are counted with a map-side combine; only terms of test windows leave a task.
-    """
-    terms = _small(each.select(F.explode("terms").alias("term")).distinct(), n_windows)
+
+def ranked_windows(docs: DataFrame, each: DataFrame, text_col: str = "text") -> DataFrame:
+    """(window_id, terms, ranked) by counts over all documents, with a map-side combine."""
+    terms, small = _sized(each.select(F.explode("terms").alias("term")).distinct(), "terms")
     tokens = docs.select(F.explode(words(F.col(text_col))).alias("term"))
-    counts = tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts, "term-counts")
-    at = each.select("window_id", "terms", F.posexplode("terms").alias("offset", "term")).join(_small(counts, n_windows), "term", "left")
-    # a term that no document holds rules its window out
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term")))
-    best = at.groupBy("window_id").agg(best.alias("best"), F.first("terms").alias("terms"))
-    return best.where("best.n > 0").select("window_id", "terms", "best.term", "best.offset")
+    if small:
+        counts = tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi")
+    counts, _ = _sized(counts, "term-counts")
+    at = each.select("window_id", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    entry = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")
+    return at.groupBy("window_id").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_list(entry)).alias("ranked"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, term, pos, around, from): postings of the given terms, and one row without a term for each document.
+def anchor(lists: int) -> list[Column]:
+    """The term that a window starts from, the term that must follow it, and the (offset, term) pairs to intersect with.
 
-    ``around`` holds the words at most ``reach`` places from the posting, the first of them at position ``from``.
+    The start is the rarest term that has another one after it in the window, so that this can be compared at once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
-    rows = rows.join(terms.withColumn("hit", F.lit(True)), F.col("word") == F.col("term"), "left").where("hit OR pos = 0")
-    start = F.greatest(F.col("pos") - reach, F.lit(0))
-    return rows.select(
-        "doc_id",
-        F.when(F.col("pos") == 0, word_count(F.col("w"))).alias("n_words"),
-        "term", "pos",
-        F.when(F.col("hit"), F.slice("w", start + 1, F.lit(2 * reach + 1))).alias("around"),
-        start.alias("from"),
-    )
+    first = F.get(F.filter("ranked", lambda x: (x["offset"] < F.size("terms") - 1) | (F.size("terms") == 1)), F.lit(0))
+    rest = F.slice(F.filter("ranked", lambda x: x["offset"] != first["offset"]), 1, lists - 1)
+    return [first["term"].alias("term"), first["offset"].alias("offset"), F.get("terms", first["offset"] + 1).alias("follows"), rest.alias("rest")]
 
 
-def build_index(docs: DataFrame, items: DataFrame, k: int = 8, slop: int = 0, id_col: str = "doc_id", text_col: str = "text"):
-    """(index of postings, anchors of windows, items of windows, number of windows)."""
+def build_index(docs: DataFrame, items: DataFrame, k: int = 8, lists: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Index of docs for the windows of items; ``share`` below 1 adds the terms that proximity matches start from."""
     each, owners = windows(items, k)
-    each = stage(each, "window-terms")
-    n = each.count()
-    found = stage(anchors(docs, each, n, text_col), "anchors")
-    terms = found.select("term").distinct()
-    index = stage(postings(docs, _small(terms, n), k - 1 + slop, id_col, text_col), "postings")
-    return index, found, owners, n
+    ranked = ranked_windows(docs, stage(each, "window-terms"), text_col)
+    if share >= 1:
+        ranked = ranked.where(F.get("ranked", F.lit(0))["n"] > 0)  # a term that no document holds rules its window out
+    ranked = stage(ranked, "ranked")
+    used = ranked.select(F.array_union(F.array(anchor(lists)[0]), F.transform(anchor(lists)[3], lambda x: x["term"])).alias("t"))
+    if share < 1:
+        used = used.unionByName(ranked.select(F.transform(starts(share), lambda x: x["term"]).alias("t")))
+    terms, small = _sized(used.select(F.explode("t").alias("term")).distinct(), "index-terms")
 
-
-def phrase_matches(index: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
+    # counted below the explode, so that no array of words is copied beside each of its words
+    rows = rows.select("doc_id", "w", word_count(F.col("w")).alias("n_words"))
+    token = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("pos"), F.get("w", i + 1).alias("next")))
+    rows = rows.select("doc_id", "n_words", F.explode(token).alias("t"))
+    first = F.when(F.col("t.pos") == 0, F.col("n_words")).alias("n_words")
+    rows = rows.select("doc_id", F.col("t.word").alias("word"), F.col("t.pos").alias("pos"), F.col("t.next").alias("next"), first)
+    if small:
+        found = rows.join(terms, F.col("word") == F.col("term"), "left").where("term IS NOT NULL OR pos = 0").drop("word")
+    else:
+        found = rows.drop("n_words").join(terms, F.col("word") == F.col("term")).drop("word").withColumn("n_words", F.lit(None).cast("long"))
+        heads = rows.where("pos = 0").select("doc_id", F.lit(None).cast("string").alias("term"), "pos", "next", "n_words")
+        found = found.unionByName(heads)
+    return Index(stage(found.select("doc_id", "term", "pos", "next", "n_words"), "postings"), ranked, owners, lists)
+
+
+def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, w) of the documents that places name."""
+    some = places.select(F.col("doc_id").alias("some_id")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+
+
+def phrase_matches(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, window_id) of every exact occurrence."""
-    near = index.where("term IS NOT NULL").join(_small(found, n), "term")
-    first = F.col("pos") - F.col("offset")
-    inside = (first >= F.col("from")) & (F.slice("around", F.greatest(first - F.col("from"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-    return near.where(inside).select("doc_id", first.alias("start"), F.size("terms").alias("length"), "window_id")
-
-
-def proximity_matches(index: DataFrame, found: DataFrame, n: int, least: float = 0.75) -> DataFrame:
-    """(doc_id, pos, window_id, share) where at least that share of a window's distinct terms stands within reach of its anchor."""
-    near = index.where("term IS NOT NULL").join(_small(found, n), "term")
-    share = F.size(F.array_intersect("around", "terms")) / F.size(F.array_distinct("terms"))
-    return near.withColumn("share", share).where(F.col("share") >= least).select("doc_id", "pos", "window_id", "share")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lists = index.postings.where("term IS NOT NULL").select("doc_id", "term", "pos", "next")
+    found, _ = _sized(index.windows.select("window_id", "terms", *anchor(index.lists)), "anchors")
+    places = lists.join(found, "term").where(F.col("follows").isNull() | (F.col("follows") == F.col("next")))
+    places = places.select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "terms", "rest").where("start >= 0")
+    for i in range(index.lists - 1):
+        places = stage(places, "places")
+        there = lists.select(F.col("doc_id").alias("list_id"), F.col("term").alias("list_term"), F.col("pos").alias("list_pos"))
+        want = F.get("rest", F.lit(i))
+        agree = (there["list_term"] == want["term"]) & (there["list_pos"] == F.col("start") + want["offset"]) & there["list_id"].eqNullSafe(F.col("doc_id"))
+        more = places.where(F.size("rest") > i)
+        places = more.join(there, agree).select(*places.columns).unionByName(places.where(F.size("rest") <= i))
+    places = stage(places.dropDuplicates(["doc_id", "start", "window_id"]).drop("rest"), "places")
+    texts = _texts(docs, places, id_col, text_col).withColumnRenamed("doc_id", "text_id")
+    same = F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms")
+    rows = texts.join(places, F.col("text_id").eqNullSafe(F.col("doc_id"))).where(same)
+    return rows.select("doc_id", "start", F.size("terms").alias("length"), "window_id")
+
+
+def starts(share: float) -> Column:
+    """Of a window's ranked terms: the rarest of which one must occur where that share of the distinct terms does."""
+    once = F.filter("ranked", lambda x: x["offset"] + 1 == F.array_position("terms", x["term"]))
+    m = F.size(F.array_distinct("terms"))
+    return F.slice(once, F.lit(1), m - F.greatest(F.ceil(m * F.lit(share)).cast("int"), F.lit(1)) + 1)
+
+
+def proximity_matches(docs: DataFrame, index: Index, share: float = 0.75, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, window_id, share) where at least that share of a window's distinct terms stands within reach of pos.
+
+    Reach is the window's length less one, plus ``slop``, to either side; pos is that of one of the window's rarest
+    terms (see ``starts``).  The index has to be built with the same share.
+    """
+    at = index.windows.select("window_id", "terms", F.explode(starts(share)).alias("x")).select("window_id", "terms", F.col("x.term").alias("term"))
+    at, _ = _sized(at, "starts")
+    places = stage(index.postings.where("term IS NOT NULL").join(at, "term").select("doc_id", "pos", "window_id", "terms").distinct(), "places")
+    texts = _texts(docs, places, id_col, text_col).withColumnRenamed("doc_id", "text_id")
+    reach = F.size("terms") - 1 + slop
+    near = F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.col("pos") + reach + 1 - F.greatest(F.col("pos") - reach, F.lit(0)))
+    found = F.size(F.array_intersect(near, F.col("terms"))) / F.size(F.array_distinct("terms"))
+    rows = texts.join(places, F.col("text_id").eqNullSafe(F.col("doc_id"))).withColumn("share", found).where(F.col("share") >= share)
+    return rows.groupBy("doc_id", "pos", "window_id").agg(F.max("share").alias("share"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, k: int = 8, lists: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, spans) of every document: words inside occurrences, items with
     occurring windows, sorted as strings, and the occurrences (start, length)."""
-    index, found, owners, n = build_index(docs, items, k, 0, id_col, text_col)
-    matches = phrase_matches(index, found, n)
+    index = build_index(docs, items, k, lists, 1.0, id_col, text_col)
+    matches = phrase_matches(docs, index, id_col, text_col)
     hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("window_id")).alias("ids"))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("int").alias("end"))
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(x["start"] + x["length"] - F.greatest(x["start"], acc["end"]), F.lit(0))).cast("long").alias("n"),
         F.greatest(acc["end"], x["start"] + x["length"]).alias("end"),
     )
-    hits = hits.withColumn("n_hit", F.aggregate("spans", none, step, lambda acc: acc["n"]))
-    # windows of many documents are few: items are looked up for each set of windows; hits is evaluated twice, so sets are sorted
+    hits = stage(hits.withColumn("n_hit", F.aggregate("spans", none, step, lambda acc: acc["n"])), "hits")
+    # windows of many documents are few: items are looked up once for each set of windows
+    owners, _ = _sized(index.owners, "owners")
     sets = hits.select(F.col("ids").alias("key"), F.explode("ids").alias("window_id")).distinct()
-    sets = sets.join(_small(owners, n), "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    sets = sets.join(owners, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     hits = hits.join(sets, hits["ids"] == sets["key"], "left").select(F.col("doc_id").alias("hit_id"), "n_hit", "items", "spans")
-    size = index.where("n_words IS NOT NULL").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
+    size = index.postings.where("n_words IS NOT NULL").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     return size.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -159,5 +231,6 @@ def digest(found: DataFrame, least_items: int = 2) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, k: int = 8, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which windows of fewer than ``least_items`` items occur."""
-    bad = decontaminate(docs, items, k, id_col, text_col).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    (bad_id,) = free_names(docs.columns, "bad_id")
+    bad = decontaminate(docs, items, k, id_col=id_col, text_col=text_col).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias(bad_id))
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[bad_id]), "left_anti")
