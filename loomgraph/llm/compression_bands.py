@@ -4,8 +4,10 @@ A ratio is compressed bytes over bytes.  Repetitive text compresses too well,
 random or encoded text too badly.  What is normal depends on the length, since a
 short text gives the compressor little to refer back to, so each length band has
 its own limits; chunks of a fixed size have one pair of limits, and the share of
-chunks outside it is limited too, which finds a repetitive or random stretch that
-the whole ratio of a long text hides.
+a text's bytes in chunks outside it is limited too, which finds a repetitive or
+random stretch that the whole ratio of a long text hides.  What is left after the
+last whole chunk is measured as well, by the limits of texts of its length, so
+every byte of a text counts (a text shorter than a chunk is all rest).
 
 The limits are learned in a first pass over all documents that pass the base
 rules, each distinct text once: the quartiles of the ratio in each eighth of an
@@ -34,7 +36,7 @@ from .shared import stage
 
 COLUMNS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, whole_ratio double, low_chunks long, high_chunks long, n_chunks long"
+    "base_failed boolean, kept boolean, whole_ratio double, low_chunks long, high_chunks long, n_chunks long, rest_bytes long, rest_outside boolean"
 )
 
 
@@ -185,7 +187,7 @@ def learned(docs: DataFrame, limits: Limits | None = None, text_col: str = "text
 
 
 def _judge(limits: Limits):
-    tops = np.array([b[0] for b in limits.bands])
+    tops, least, most = (np.array([b[i] for b in limits.bands]) for i in range(3))
 
     def run(batches):
         import zstandard
@@ -197,7 +199,8 @@ def _judge(limits: Limits):
                 n_words, chars, symbols, dup, repeat = _measures(data, off)
                 failed = (n_words < limits.min_words) | (100 * repeat > limits.max_repeat_percent * n_words)
                 n = hi - lo
-                ratio, low, high, chunks = np.ones(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                ratio, rest = np.ones(n), np.ones(n)
+                low, high, chunks, rest_bytes = (np.zeros(n, np.int64) for _ in range(4))
                 raw = data.tobytes()
                 for i in range(n):
                     a, z = int(off[i]), int(off[i + 1])
@@ -209,12 +212,15 @@ def _judge(limits: Limits):
                         chunks[i] += 1
                         low[i] += r < limits.chunk_low
                         high[i] += r > limits.chunk_high
-                band = np.searchsorted(tops, np.diff(off))
-                least = np.array([x[1] for x in limits.bands])[band]
-                most = np.array([x[2] for x in limits.bands])[band]
-                kept = ~failed & (ratio >= least) & (ratio <= most) & (low + high <= limits.chunk_share * chunks)
+                    rest_bytes[i] = (z - a) % limits.chunk_bytes
+                    if rest_bytes[i]:
+                        rest[i] = ratio[i] if not chunks[i] else len(press(raw[z - rest_bytes[i] : z])) / rest_bytes[i]
+                usual = lambda r, size: (r >= least[at := np.searchsorted(tops, size)]) & (r <= most[at])
+                rest_outside = (rest_bytes > 0) & ~usual(rest, rest_bytes)
+                outside = (low + high) * limits.chunk_bytes + np.where(rest_outside, rest_bytes, 0)
+                kept = ~failed & usual(ratio, np.diff(off)) & (outside <= limits.chunk_share * np.diff(off))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n)] + [pa.array(x) for x in (n_words, chars, symbols, dup, repeat, failed, kept, ratio, low, high, chunks)],
+                    [ids.slice(lo, n)] + [pa.array(x) for x in (n_words, chars, symbols, dup, repeat, failed, kept, ratio, low, high, chunks, rest_bytes, rest_outside)],
                     names=[c.split()[0] for c in COLUMNS.split(", ")],
                 )
 

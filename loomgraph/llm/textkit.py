@@ -22,6 +22,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE[_LOWER]
+_OTHER = 0xC2B2AE3D27D4EB4F | 1
+_OTHER_INV = pow(_OTHER, -1, 1 << 64)
+_OTHER_LOWER = np.random.Generator(np.random.PCG64(977)).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
 _POW: dict[str, np.ndarray] = {}
 _GRAM = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                   0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6C62B1F4D3A5B7], np.uint64)
@@ -100,6 +103,16 @@ class Words:
         return mix((run[self.end] - run[self.start]) * back[self.start])
 
 
+    def checks(self) -> np.ndarray:
+        """A second hash of the lower-cased words, independent of the first."""
+        n = len(self.data)
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(_OTHER_LOWER[self.data] * _powers("q", _OTHER, n)[:n], out=run[1:])
+        return (run[self.end] - run[self.start]) * _powers("j", _OTHER_INV, n)[self.start] + (self.end - self.start).astype(np.uint64)
+
+
 def grams(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words inside a document, and each document's range of them."""
     count = np.maximum(np.diff(bounds) - (k - 1), 0)

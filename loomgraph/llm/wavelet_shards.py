@@ -6,17 +6,20 @@ that bit.  Each plane has a count of ones for every 512 bits, so access to a
 token, counting a token in a range and finding its i-th occurrence touch one
 place of every plane and never need the ids themselves.
 
-File of a shard, all little-endian: ``LWM1``, u8 bits, 3 zero bytes, u64 tokens,
-u64 documents; then i64 document ids and i64 ends of documents; then for each
-plane u64 zeros, u32 ones before each block of 512 bits, and the bits, lowest
-first, in whole blocks.  Everything after the magic word is one zstandard frame.
+File of a shard, all little-endian: ``LWM2``, u8 bits, 3 zero bytes, u64 tokens,
+u64 documents, u32 length of each frame; then the zstandard frames: one of i64
+document ids and i64 ends of documents; for each plane one of u64 zeros and u32
+ones before each block of 512 bits, and one for every 65,536 bits of the plane,
+lowest first, in whole blocks.  A frame is inflated when it is first asked for,
+so access, counting and lookup inflate a chunk or two of each plane.
 Shards are rows of a Parquet table in shared storage (part, shard, figures,
 file), so writing them is committed and retried like any Spark output, on any
 store that Spark can write.
 
 Defined cases: a null text is an empty one and holds only the end id; a null id is stored as the least 64-bit
 value and sorts first; rows with the same id stand in the order of their texts, each as a document; an empty
-table gives no shards; other columns are ignored.
+table gives no shards; other columns are ignored; a vocabulary or an end id that needs more than ``bits`` bits is
+an error.  A text of any length is one document of one shard.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
 from .shared import stage
 
-MAGIC = b"LWM1"
+MAGIC = b"LWM2"
 BLOCK = 512
+CHUNK = 1 << 16  # bits of a plane in a frame
 NULL_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 20
 
@@ -43,12 +47,15 @@ SHARD_TOKENS = 1 << 20
 class WaveletMatrix:
     """A sequence of ids below 2 ** bits."""
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
+    def __init__(self, n: int, bits: int, zeros, planes, ranks):
+        """zeros, planes and ranks: of each plane, its zeros, its bytes (an array, or a Plane) and the ones before each block."""
         self.n, self.bits, self.zeros, self.planes, self.ranks = n, bits, zeros, planes, ranks
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         n = len(ids)
+        if n and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
         size = -(-max(n, 1) // BLOCK) * BLOCK
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
@@ -123,7 +130,7 @@ class WaveletMatrix:
         """All ids.  Each plane sends places down; ids are gathered along them."""
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(self.planes[level][:], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             up = np.empty_like(out)
             up[~one] = out[:z]
@@ -132,35 +139,75 @@ class WaveletMatrix:
         return out
 
 
+class Frames:
+    """The frames of a file, each inflated once, when it is asked for."""
+
+    def __init__(self, file: bytes, start: int, sizes: np.ndarray):
+        import zstandard
+
+        self.file, self.cuts = file, [start, *(start + np.cumsum(sizes, dtype=np.int64)).tolist()]
+        self.inflate, self.open = zstandard.ZstdDecompressor().decompress, {}
+
+    def __getitem__(self, i: int) -> bytes:
+        if i not in self.open:
+            self.open[i] = self.inflate(self.file[self.cuts[i] : self.cuts[i + 1]])
+        return self.open[i]
+
+
+class Plane:
+    """The bytes of a bit-plane, by the frames that hold them."""
+
+    def __init__(self, frames: Frames, first: int, size: int):
+        self.frames, self.first, self.size = frames, first, size
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self.frames[self.first + at // (CHUNK // 8)][at % (CHUNK // 8)]
+        lo, hi, _ = at.indices(self.size)
+        if hi <= lo:
+            return np.zeros(0, np.uint8)
+        a, z = lo // (CHUNK // 8), (hi - 1) // (CHUNK // 8)
+        raw = b"".join(self.frames[self.first + i] for i in range(a, z + 1))
+        return np.frombuffer(raw, np.uint8)[lo - a * (CHUNK // 8) : hi - a * (CHUNK // 8)]
+
+
+class Lazy:
+    """A list whose items are parsed when they are asked for."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __getitem__(self, i: int):
+        return self.of(i)
+
+
 def dump(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     import zstandard
 
     m = WaveletMatrix.build(ids, bits)
-    parts = [struct.pack("<B3xQQ", bits, len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes()]
-    for zeros, rank, plane in zip(m.zeros, m.ranks, m.planes):
-        parts += [struct.pack("<Q", zeros), rank.astype("<u4").tobytes(), plane.tobytes()]
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    press = zstandard.ZstdCompressor(level=1).compress
+    frames = [press(doc_ids.astype("<i8").tobytes() + ends.astype("<i8").tobytes())]
+    frames += [press(struct.pack("<Q", zeros) + rank.astype("<u4").tobytes()) for zeros, rank in zip(m.zeros, m.ranks)]
+    for plane in m.planes:
+        raw = plane.tobytes()
+        frames += [press(raw[i : i + CHUNK // 8]) for i in range(0, len(raw), CHUNK // 8)]
+    sizes = np.array([len(f) for f in frames], "<u4").tobytes()
+    return b"".join([MAGIC, struct.pack("<B3xQQ", bits, len(ids), len(doc_ids)), sizes, *frames])
 
 
 def load(file: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """(document ids, ends of documents, matrix) of a file."""
-    import zstandard
-
+    """(document ids, ends of documents, matrix) of a file; planes are inflated where they are read."""
     if file[:4] != MAGIC:
         raise ValueError("not a wavelet shard")
-    raw = zstandard.ZstdDecompressor().decompress(file[4:])
-    bits, n, n_docs = struct.unpack_from("<B3xQQ", raw)
-    at = 20
-    doc_ids = np.frombuffer(raw, "<i8", n_docs, at)
-    ends = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
-    at += 16 * n_docs
-    size = -(-max(n, 1) // BLOCK)
-    zeros, planes, ranks = [], [], []
-    for _ in range(bits):
-        zeros.append(struct.unpack_from("<Q", raw, at)[0])
-        ranks.append(np.frombuffer(raw, "<u4", size, at + 8))
-        planes.append(np.frombuffer(raw, np.uint8, size * BLOCK // 8, at + 8 + 4 * size))
-        at += 8 + 4 * size + size * BLOCK // 8
+    bits, n, n_docs = struct.unpack_from("<B3xQQ", file, 4)
+    size = -(-max(n, 1) // BLOCK) * BLOCK // 8
+    each = -(-size // (CHUNK // 8))
+    sizes = np.frombuffer(file, "<u4", 1 + bits + bits * each, 24)
+    frames = Frames(file, 24 + sizes.nbytes, sizes)
+    doc_ids, ends = np.frombuffer(frames[0], "<i8").reshape(2, n_docs)
+    zeros = Lazy(lambda i: struct.unpack_from("<Q", frames[1 + i])[0])
+    ranks = Lazy(lambda i: np.frombuffer(frames[1 + i], "<u4", offset=8))
+    planes = [Plane(frames, 1 + bits + i * each, size) for i in range(bits)]
     return doc_ids, ends, WaveletMatrix(n, bits, zeros, planes, ranks)
 
 
@@ -182,8 +229,9 @@ class WordCache:
     Right for tokenizers that lower-case, drop ASCII white space and never join over it, as ``word_bpe_49k`` does;
     a text that may hold a special token is encoded as a whole.  New words are encoded hundreds to a text, which
     costs a third of one by one; each piece of a word ends in one token with the end mark, so the pieces of the
-    words are counted off.  A batch where the counts disagree is encoded word by word.   Words are told apart by
-    64-bit hashes of their lower-cased bytes.  At ``limit`` words the cache drops those that were used once, so its size is bounded whatever
+    words are counted off.  A batch where the counts disagree is encoded word by word.  Words are found by one
+    64-bit hash of their lower-cased bytes and confirmed by a second; a slice in which two words share the first
+    but not the second is encoded as it stands.  At ``limit`` words the cache drops those that were used once, so its size is bounded whatever
     the corpus; a worker keeps it from task to task.
     """
 
@@ -218,6 +266,7 @@ class WordCache:
         self.flat = np.zeros(0, np.uint16 if self.closes.size <= 65536 else np.uint32)
         self.bounds = np.zeros(1, np.int64)
         self.used = np.zeros(0, np.int64)
+        self.check = np.zeros(0, np.uint64)
 
     def _shrink(self):
         keep = np.flatnonzero(self.used > 1)
@@ -226,7 +275,7 @@ class WordCache:
         self.flat = self.flat[T.spread(self.bounds[keep], size)]
         self.bounds = np.concatenate(([0], np.cumsum(size)))
         self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.used = self.used[keep] // 2
+        self.used, self.check = self.used[keep] // 2, self.check[keep]
         if len(self.known) > self.limit // 2:
             self.clear()
 
@@ -251,7 +300,7 @@ class WordCache:
             return self._each(words)
         return ids, np.diff(ends[last - 1], prepend=0)
 
-    def _learn(self, new: list[str], names: list[int]):
+    def _learn(self, new: list[str], names: list[int], check: np.ndarray):
         kinds: list[list[int]] = [[], [], []]
         for i, x in enumerate(new):
             if x.isalpha() and (x.isascii() or _SIMPLE.fullmatch(x)):
@@ -263,6 +312,7 @@ class WordCache:
             parts += [way([new[i] for i in found[k : k + self.batch]]) for k in range(0, len(found), self.batch)]
         first = len(self.known)
         self.known.update(zip((names[i] for found in kinds for i in found), range(first, first + len(new))))
+        self.check = np.concatenate([self.check, check[np.concatenate([np.array(x, np.int64) for x in kinds])]])
         self.flat = np.concatenate([self.flat, *(ids.astype(self.flat.dtype) for ids, _ in parts)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
@@ -279,13 +329,18 @@ class WordCache:
         if len(self.known) > self.limit:
             self._shrink()
         h, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        names = h.tolist()
-        place = np.array([self.known.get(x, -1) for x in names], np.int64)
+        names, check = h.tolist(), w.checks()
+        known = np.array([self.known.get(x, -1) for x in names], np.int64)
+        old = np.flatnonzero(known >= 0)
+        if (check != check[first][at]).any() or (self.check[known[old]] != check[first[old]]).any():
+            parts = [self._each([raw[a:z].decode()]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
+            return np.concatenate([ids.astype(self.flat.dtype) for ids, _ in parts]), np.concatenate([n for _, n in parts])
+        place = known
         new = np.flatnonzero(place < 0)
         if len(new):
             spans = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())
             own = [names[i] for i in new.tolist()]
-            self._learn([raw[a:z].lower().decode() for a, z in spans], own)
+            self._learn([raw[a:z].lower().decode() for a, z in spans], own, check[first[new]])
             place[new] = [self.known[x] for x in own]
         at = place[at]
         self.used += np.bincount(at, minlength=len(self.used))
@@ -300,13 +355,13 @@ def _write(path: str, end_id: int, bits: int, shard_tokens: int):
         part, shard = TaskContext.get().partitionId(), 0
         cache = WordCache.of(path)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size = before = 0
 
         def flush():
             docs, n, ids = (np.concatenate([h[i] for h in held]) for i in range(3))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([shard]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([dump(docs, np.cumsum(n), ids, bits)], pa.binary())],
-                names=["part", "shard", "n_docs", "n_tokens", "file"],
+            return len(ids), pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (part, shard, len(docs), len(ids), before)] + [pa.array([dump(docs, np.cumsum(n), ids, bits)], pa.binary())],
+                names=["part", "shard", "n_docs", "n_tokens", "before", "file"],
             )
 
         for b in batches:
@@ -317,10 +372,11 @@ def _write(path: str, end_id: int, bits: int, shard_tokens: int):
                 held.append((doc_ids[lo:hi], n + 1, np.insert(ids, at, end_id).astype(np.uint16 if bits <= 16 else np.uint32)))
                 size += len(ids) + hi - lo
                 if size >= shard_tokens:
-                    yield flush()
-                    held, size, shard = [], 0, shard + 1
+                    n, shard_row = flush()
+                    yield shard_row
+                    held, size, shard, before = [], 0, shard + 1, before + n
         if held:
-            yield flush()
+            yield flush()[1]
 
     return run
 
@@ -333,19 +389,21 @@ def write_shards(
     ``base`` is the number of ids before the shard.  A task holds one shard at a time; a document that is longer
     than ``shard_tokens`` makes a larger shard.
     """
+    from tokenizers import Tokenizer
+
+    top = max([end_id, *Tokenizer.from_file(path).get_vocab().values()])
+    if top >> bits:
+        raise ValueError(f"id {top} of the vocabulary needs more than {bits} bits")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = stage(rows.mapInArrow(_write(path, end_id, bits, shard_tokens), "part long, shard long, n_docs long, n_tokens long, file binary"), "wavelet")
-    # one figure for each task that wrote: bounded by the number of partitions, not by the rows
+    shards = stage(rows.mapInArrow(_write(path, end_id, bits, shard_tokens), "part long, shard long, n_docs long, n_tokens long, before long, file binary"), "wavelet")
+    # one figure for each task that wrote: bounded by the number of partitions, not by the rows or shards
     total, base = 0, []
     for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         base.append((r["part"], total))
         total += r["n"]
     base = docs.sparkSession.createDataFrame(base, "part long, part_base long")
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    index = shards.select("part", "shard", "n_tokens").withColumn("before", before).join(F.broadcast(base), "part")
-    index = index.select("part", "shard", (F.col("part_base") + F.col("before")).alias("base"))
-    return shards.join(index, ["part", "shard"])
+    return shards.join(F.broadcast(base), "part").withColumn("base", F.col("part_base") + F.col("before")).drop("part_base", "before")
 
 
 def _read(batches):

@@ -183,6 +183,50 @@ def test_wavelet_matrix():
         assert m.count(1 << bits) == 0
     with pytest.raises(IndexError):
         m.access(n)
+    with pytest.raises(ValueError, match="bits"):
+        W.dump(np.array([1]), np.array([1]), np.array([70_000]), 16)
+
+
+def test_wavelet_access_inflates_little():
+    ids = np.random.default_rng(2).integers(0, 1 << 16, 600_000)
+    _, _, m = W.load(W.dump(np.array([4]), np.array([len(ids)]), ids, 16))
+    assert m.access(300_000) == ids[300_000]
+    frames = m.planes[0].frames
+    assert len(frames.open) <= 1 + 3 * 16 and len(frames.cuts) > 1 + 16 + 16 * 9
+    assert m.rank(int(ids[5]), 500_000) == (ids[:500_000] == ids[5]).sum()
+    assert len(frames.open) < len(frames.cuts) - 1
+
+
+def test_vocabulary_has_to_fit(spark):
+    with pytest.raises(ValueError, match="bits"):
+        W.write_shards(frame(spark, ["a"]), tokenizer_path(), bits=12)
+    with pytest.raises(ValueError, match="bits"):
+        W.write_shards(frame(spark, ["a"]), tokenizer_path(), end_id=1 << 16)
+
+
+def test_words_with_one_hash(monkeypatch):
+    """Words that the first hash can't tell apart are encoded right all the same."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    rows = ["house river the house", "naïve river, of", "house of cards"]
+    want = [i for t in rows for i in tok.encode(t, add_special_tokens=False).ids]
+    monkeypatch.setattr(T.Words, "hashes", lambda w, lower=True: np.arange(len(w.start), dtype=np.uint64) % np.uint64(2))
+    cache = W.WordCache(tokenizer_path())
+    got = [cache.encode_slice(data, off)[0].tolist() for _, _, data, off in T.slices(pa.array(rows), 30)]
+    assert [i for x in got for i in x] == want
+
+
+def test_shards_of_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    rows = [" ".join("w%d" % r.randrange(9000) for _ in range(300_000)), "z" * 30_000, "short", None]
+    tok = Tokenizer.from_file(tokenizer_path())
+    got = {x.doc_id: (x.n_tokens, x.ids_crc32) for x in W.read_digest(W.write_shards(frame(spark, rows), tokenizer_path(), shard_tokens=100_000)).collect()}
+    for i, t in enumerate(rows):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_shards(spark):
@@ -262,6 +306,64 @@ def test_quality_of_planted_junk(spark):
     assert {x.doc_id for x in B.keep_good(frame(spark, good + bad)).collect()} <= set(range(len(good)))
 
 
+def test_quality_verdict_by_brute_force(spark):
+    """Limits from the ratios of distinct texts, and the verdict from limits, each computed again."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compress
+    r = random.Random(21)
+    word = ["".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(r.choice(word) for _ in range(n))
+    rows = [prose(r.choice([60, 80, 120, 200, 400, 700, 1500])) for _ in range(260)]
+    rows += [prose(600) + " " + "".join(r.choice("0123456789abcdefABCDEF+/") for _ in range(1500)) for _ in range(6)]  # an odd rest
+    rows += [prose(100) + " " + "ab " * 2000 + prose(700), prose(40), None, "", rows[0], rows[0], prose(90_000)]
+    limits = B.learned(frame(spark, rows))
+    good = {}
+    for t in rows:
+        w = SPACE.findall(t or "")
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {j + i for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for i in range(3)}
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w):
+            good[t.encode()] = True
+    fences = lambda xs: limits_of(sorted(xs))
+
+    def limits_of(xs):
+        q1, q3 = (xs[math.ceil(q * len(xs)) - 1] for q in (0.25, 0.75))
+        spread = max(q3 - q1, 8)
+        return (q1 - 1.5 * spread) / 1000, (q3 + 1 + 3 * spread) / 1000
+
+    by, octave, chunks = collections.defaultdict(list), collections.defaultdict(list), []
+    for x in good:
+        step = math.floor(8 * math.log2(len(x)))
+        ratio = 1000 * len(press(x)) // len(x)
+        by[step].append(ratio)
+        octave[step // 8].append(ratio)
+        chunks += [1000 * len(press(x[i : i + 2048])) // 2048 for i in range(0, len(x) - 2047, 2048)]
+
+    def band(size):
+        step = math.floor(8 * math.log2(size))
+        for xs in (by[step], octave[step // 8]):
+            if len(xs) >= 32:
+                return fences(xs)
+        return next((a, b) for top, a, b in B.Limits().bands if size <= top)
+
+    low, high = fences(chunks)
+    assert (limits.chunk_low, limits.chunk_high) == (low, high)
+    got = {x.doc_id: x.kept for x in B.quality_bands(frame(spark, rows), limits).collect()}
+    for i, t in enumerate(rows):
+        x = (t or "").encode()
+        if x not in good:
+            assert not got[i]
+            continue
+        outside = sum(2048 for c in range(0, len(x) - 2047, 2048) if not low <= len(press(x[c : c + 2048])) / 2048 <= high)
+        rest = x[len(x) - len(x) % 2048 :]
+        if rest and not band(len(rest))[0] <= len(press(rest)) / len(rest) <= band(len(rest))[1]:
+            outside += len(rest)
+        a, b = band(len(x))
+        assert got[i] == (a <= len(press(x)) / len(x) <= b and outside <= 0.25 * len(x)), i
+    assert not any(got[i] for i in range(260, 267)) and sum(got[i] for i in range(260)) > 240
+
+
 # mixing
 
 
