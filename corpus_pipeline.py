@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import compression_bands, flow_mixing, ngram_jaccard, positional_index, wavelet_shards
 from loomgraph.llm.queries import tokenizer_path
-from loomgraph.llm.shared import stage, table
+from loomgraph.llm.shared import scratch, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{i}")
+        if i == len(STAGES) - 1:
+            return step(spark, docs, sf_dir)
+        with scratch(spark):  # what the stage stored on its way is removed once its result is written
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{i}", keep=True)
     return docs

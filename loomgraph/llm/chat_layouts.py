@@ -3,8 +3,9 @@
 A record (a JSON object) is fingerprinted by the hash of its set of nested field
 paths; the fingerprint selects a declarative mapping that turns the record's
 layout into canonical turns (conversation, turn, role, text).  New layouts are
-added as data, by an example of their fields, not as code.  An unknown
-fingerprint is reported with its paths and never guessed.
+added as data, by an example of their fields, not as code.  A record that no
+layout maps (null, no JSON object, an unknown fingerprint, no turns, a text that
+is no string) ends nothing: it goes to ``rejects`` with the reason and its paths.
 
 Each turn is formatted on its own: ``<|turn|>role<|text|>text<|end|>``.  Control
 strings of this and of common other templates are escaped inside roles and texts
@@ -14,9 +15,10 @@ formatted assistant turn: its escaped text.  A conversation is the concatenation
 of its turns, so none has to fit one row, however long it is.
 
 Defined cases: a null text or role is empty; a null turn sorts first; turns that
-tie are ordered by role and text; a null conversation is one of its own; an
-empty table gives an empty result; unmapped extra fields change the fingerprint
-unless the mapping lists them as optional.
+tie are ordered by their formatted form; a null conversation is one of its own;
+repeated turns each count; an empty table gives an empty result; unmapped extra
+fields change the fingerprint unless the mapping lists them as optional; texts
+may have any length.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
@@ -63,7 +65,7 @@ class Layout:
 
     ``fields``: the paths of its records.  Either ``each`` (an array path) with ``role`` and ``text`` inside its
     objects, or ``parts``: (role, paths joined by a blank line) in order; empty parts are left out.  A layout of
-    single turns gives ``turn``, ``role`` and ``text`` at the top.
+    single turns gives the paths of ``turn``, ``role`` and ``text``.
     """
 
     name: str
@@ -85,22 +87,35 @@ class Layout:
     def turns(self, rec: dict):
         name = lambda r: self.roles.get(r, r)
         if self.turn:
-            yield rec.get(self.turn), name(rec.get(self.role)), rec.get(self.text)
+            yield at(rec, self.turn), name(at(rec, self.role)), at(rec, self.text)
         elif self.each:
-            for i, x in enumerate(rec[self.each]):
-                yield i, name(x.get(self.role)), x.get(self.text)
+            for i, x in enumerate(at(rec, self.each)):
+                yield i, name(at(x, self.role)), at(x, self.text)
         else:
             i = 0
             for role, keys in self.parts:
-                text = "\n\n".join(rec[k] for k in keys if rec.get(k))
+                found = [at(rec, k) for k in keys]
+                if any(x is not None and not isinstance(x, str) for x in found):
+                    raise TypeError
+                text = "\n\n".join(x for x in found if x)
                 if text:
                     yield i, role, text
                     i += 1
 
 
+def at(value, path: str):
+    """What stands at a path of objects; None where there is nothing."""
+    for k in path.split("."):
+        value = value.get(k) if isinstance(value, dict) else None
+    return value
+
+
 SHORT = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 LAYOUTS = (
     Layout("turn row", ("conv_id", "turn", "role", "text"), turn="turn", role="role", text="text"),
+    Layout("nested turn", ("conversation.id", "conversation.turn", "message.role", "message.content"), turn="conversation.turn", role="message.role", text="message.content"),
+    Layout("from and value turn", ("id", "index", "from", "value"), turn="index", role="from", text="value", roles=SHORT),
+    Layout("author turn", ("thread", "position", "author.role", "content.text"), turn="position", role="author.role", text="content.text"),
     Layout("messages", ("messages[].role", "messages[].content"), optional=("id", "conv_id"), each="messages", role="role", text="content", roles=SHORT),
     Layout("from and value", ("conversations[].from", "conversations[].value"), optional=("id", "conv_id"), each="conversations", role="from", text="value", roles=SHORT),
     Layout("instruction", ("instruction", "output"), optional=("input", "system", "id", "conv_id"), parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -110,27 +125,60 @@ LAYOUTS = (
 )
 
 
-def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """(conv_id, turn, role, text, layout) from a column of JSON records, by their fingerprints."""
+TURNS = "conv_id long, turn long, role string, text string, layout string"
+
+
+def map_records(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+    """(conv_id, turn, role, text, layout, reason, record): the turns of JSON records by their fingerprints, with a null
+    reason, and a row with a reason and the record for each record that has none."""
     by = {p: x for x in layouts for p in x.prints()}
 
+    def one(raw):
+        """(turns, layout, reason) of a record."""
+        if raw is None:
+            return [], None, "no record"
+        try:
+            rec = json.loads(raw, strict=False)
+        except ValueError:
+            return [], None, "no JSON"
+        if not isinstance(rec, dict):
+            return [], None, "no JSON object"
+        found = paths(rec)
+        layout = by.get(fingerprint(found))
+        if layout is None:
+            return [], None, f"no layout for the fields {', '.join(sorted(found))}"
+        try:
+            turns = [(t, r or "", x or "") for t, r, x in layout.turns(rec)]
+        except TypeError:
+            return [], layout.name, "a text is no string"
+        if any(not isinstance(r, str) or not isinstance(x, str) for _, r, x in turns):
+            return [], layout.name, "a text is no string"
+        if any(t is not None and type(t) is not int for t, _, _ in turns):
+            return [], layout.name, "a turn is no whole number"
+        return turns, layout.name, None if turns else "no turns"
+
     def run(batches):
         for b in batches:
             out = []
             for i, raw in zip(T.column(b, "conv_id").to_pylist(), T.column(b, "record").to_pylist()):
-                if raw is None:
-                    continue
-                rec = json.loads(raw, strict=False)
-                found = paths(rec)
-                layout = by.get(fingerprint(found))
-                if layout is None:
-                    raise ValueError(f"no layout for a record with the fields {sorted(found)}")
-                out += [(i, t, r or "", x or "", layout.name) for t, r, x in layout.turns(rec)]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text", "layout"])
+                turns, layout, reason = one(raw)
+                out += [(i, *t, layout, None, None) for t in turns] if reason is None else [(i, None, None, None, layout, reason, raw)]
+            cols = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), *[pa.string()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "turn", "role", "text", "layout", "reason", "record"])
 
     rows = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).cast("string").alias("record"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, layout string")
+    return rows.mapInArrow(run, f"{TURNS}, reason string, record string")
+
+
+def canonical_turns(records: DataFrame, *args, **named) -> DataFrame:
+    """(conv_id, turn, role, text, layout) of the records that a layout maps."""
+    return map_records(records, *args, **named).where("reason IS NULL").drop("reason", "record")
+
+
+def rejects(records: DataFrame, *args, **named) -> DataFrame:
+    """(conv_id, layout, reason, record) of the records that none maps."""
+    return map_records(records, *args, **named).where("reason IS NOT NULL").select("conv_id", "layout", "reason", "record")
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -203,6 +251,17 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def row_records(conversations: DataFrame) -> DataFrame:
-    """Turn rows as records of the layout ``turn row``."""
-    names: list[Column] = [F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")]
-    return conversations.select("conv_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("record"))
+    """Turn rows as records of four layouts of single turns, mixed by a hash, as sources that were collected apart have them.
+
+    Roles that the ``from`` layout would rename stay out of it.
+    """
+    conv, turn, role, text = (F.col(c) for c in ("conv_id", "turn", "role", "text"))
+    short = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(4))
+    plain = F.struct(conv, turn, role, text)
+    nested = F.struct(F.struct(conv.alias("id"), turn).alias("conversation"), F.struct(role, text.alias("content")).alias("message"))
+    named = F.struct(conv.alias("id"), turn.alias("index"), short.alias("from"), text.alias("value"))
+    author = F.struct(conv.alias("thread"), turn.alias("position"), F.struct(role).alias("author"), F.struct(text).alias("content"))
+    json_of = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    record = F.when(kind == 1, json_of(nested)).when((kind == 2) & ~F.coalesce(role.isin(*SHORT), F.lit(False)), json_of(named)).when(kind == 3, json_of(author)).otherwise(json_of(plain))
+    return conversations.select("conv_id", record.alias("record"))

@@ -10,16 +10,22 @@ Four kinds of evidence are added as log likelihoods over the languages:
   pages against the text's own verdict;
 * the address suffix (the last label of the host): P(suffix | language), likewise;
 * the host: a prior smoothed hierarchically, the host towards its registered
-  domain, that towards its suffix, that towards all pages.
+  domain, that towards all pages.
+
+Each piece of evidence is used once: the suffix is no level of the host's
+hierarchy, and a page's own verdict is taken out of every count that it is judged
+by, so a host of one page says nothing about it.
 
 The counts of the last three are grouped aggregations with map-side combine over
-all pages; hosts are joined, never broadcast, and adaptive execution splits a
-host that holds a large share of all pages.
+all pages.  Joins broadcast the keys that hold at least one row in a thousand,
+which are a thousand at most, and shuffle all others, so no host, domain or
+suffix gathers in one task.
 
 Defined cases: a null page or one without visible text has no text evidence and
 goes by the other three; a null or unreadable address has an empty host; with
 no training text all languages are ``und``; ties go to the first language by
-name; repeated rows get equal results; an empty table gives an empty result.
+name; repeated rows get equal results, each counting for the others; an empty
+table gives an empty result; texts may have any length.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import stage
+from .shared import join_spread, stage
 
 BITS = 16
 #: Languages are gathered on the driver; more than this is an error.
@@ -156,34 +162,34 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 5.0, id_col:
     kinds = "page_id long, host string, domain string, suffix string, declared string, " + ", ".join(f"{c} double" for c in column)
     rows = stage(rows.mapInArrow(_evidence(spark.sparkContext.broadcast(model), column), kinds), "evidence")
 
-    def sums(key: str, name: str) -> DataFrame:
-        return rows.groupBy(key).agg(*(F.sum(c).alias(f"{name}{i}") for i, c in enumerate(column)))
-
-    whole = rows.agg(*(F.sum(c) for c in column)).first()
-    total = [(x or 0) + 1 for x in whole]
-    part = [F.lit(x / sum(total)) for x in total]
-
-    def smooth(df: DataFrame, name: str, above: list) -> DataFrame:
-        size = sum((F.col(f"{name}{i}") for i in range(n)), F.lit(0.0))
-        return df.withColumns({f"{name}{i}": (F.col(f"{name}{i}") + strength * above[i]) / (size + strength) for i in range(n)})
-
-    # P(suffix | language) and P(declared | language), add-one over the values seen and one unseen
-    def given(key: str, name: str) -> DataFrame:
-        counts = sums(key, name)
-        return counts.withColumns({f"{name}{i}": F.log((F.col(f"{name}{i}") + 1) / F.lit(total[i] + 1.0)) for i in range(n)})
-
-    suffixes = smooth(sums("suffix", "s"), "s", part)
-    domains = rows.groupBy("domain").agg(F.min("suffix").alias("suffix"), *(F.sum(c).alias(f"d{i}") for i, c in enumerate(column)))
-    domains = smooth(domains.join(suffixes, "suffix"), "d", [F.col(f"s{i}") for i in range(n)]).drop("suffix", *(f"s{i}" for i in range(n)))
-    hosts = rows.groupBy("host").agg(F.min("domain").alias("domain"), F.min("suffix").alias("suffix"), *(F.sum(c).alias(f"h{i}") for i, c in enumerate(column)))
-    hosts = smooth(hosts.join(domains, "domain"), "h", [F.col(f"d{i}") for i in range(n)]).select("host", "suffix", *(f"h{i}" for i in range(n)))
-    hosts = hosts.join(given("suffix", "x"), "suffix").drop("suffix")
-    out = rows.join(hosts, "host").join(given("declared", "m"), "declared")
+    def sums(df: DataFrame, key: str, name: str, *more) -> DataFrame:
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{key}"), *(F.sum(c).alias(f"{name}{i}") for i, c in enumerate(column)), *more)
+
+    total = [x or 0.0 for x in rows.agg(*(F.sum(c) for c in column)).first()]
+    hosts = sums(rows, "host", "h", F.min("domain").alias("domain"), F.min("suffix").alias("suffix"))
+    for key, name in (("domain", "d"), ("suffix", "x")):
+        # how many hosts a domain or suffix has, to spread the join of hosts with it
+        table = sums(rows, key, name).drop(f"n_{key}").join(hosts.groupBy(key).agg(F.count(F.lit(1)).alias("n_hosts")), key)
+        hosts = join_spread(hosts, stage(table, f"{key}-counts"), key, "n_hosts")
+    hosts = stage(hosts.drop("domain", "suffix"), "host-counts")
+    # two or three letters, or none: at most 18,253 rows
+    declared = F.broadcast(sums(rows, "declared", "m").drop("n_declared"))
+    out = join_spread(rows.drop("domain", "suffix"), hosts, "host", "n_host").join(declared, "declared")
+
+    own = [F.col(c) for c in column]
+    others = lambda name: [F.col(f"{name}{i}") - own[i] for i in range(n)]
+    size = lambda counts: sum(counts, F.lit(0.0))
+    pages_of = [F.greatest(F.lit(total[i]) - own[i], F.lit(0.0)) for i in range(n)]
+    prior = [(c + 1) / (size(pages_of) + n) for c in pages_of]
+    for name in ("d", "h"):
+        counts = [F.greatest(c, F.lit(0.0)) for c in others(name)]
+        prior = [(c + strength * above) / (size(counts) + strength) for c, above in zip(counts, prior)]
+    # add-one over the values seen and one unseen
+    given = lambda name: [(F.greatest(c, F.lit(0.0)) + 1) / (t + 2) for c, t in zip(others(name), pages_of)]
     floor = 1e-12
     logs = [
-        F.log(F.col(f"p{i}") + floor) + F.log(F.col(f"h{i}") + floor) + F.col(f"x{i}")
-        + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.col(f"m{i}"))
-        for i in range(n)
+        F.log(p + floor) + F.log(h + floor) + F.log(x) + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(m))
+        for p, h, x, m in zip(own, prior, given("x"), given("m"))
     ]
     best = lambda arr: F.array_position(arr, F.array_max(arr)).cast("int")
     names = F.array(*(F.lit(x) for x in model.languages))

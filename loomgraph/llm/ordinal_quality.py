@@ -8,14 +8,17 @@ rated texts by chance weigh little; it is not divided by the length, so one
 telling word counts the same in a long text.  The expected
 grade is the sum of the tail probabilities.
 
-Fitting uses about ``max_rows`` rated rows (a share chosen by the hash of the id, so
-it can be broadcast), gathered as hashed features with at most ``max_features``
-stored values; scoring covers every row.
+Fitting uses a bounded sample of the rated rows: those with the least hashes of
+their ids, about ``max_rows`` of them, and of these again the least hashes whose
+features together are at most ``max_features``.  Which rows that are is known
+before any feature leaves the cluster, and does not depend on the order in which
+rows arrive.  Scoring covers every row.
 
 Defined cases: null and empty texts have only the bias and get the score of an
-empty text; repeated rows get equal scores; ratings without a document and
-documents without a rating are fine; with fewer than two grades rated every
-document gets the middle grade; an empty table gives an empty result.
+empty text; repeated rows get equal scores, and each counts in the fit; ratings
+without a document and documents without a rating are fine; with fewer than two
+grades rated every document gets the middle grade; an empty table gives an empty
+result; other columns are ignored; texts may have any length.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .shared import stage
 
 BITS = 18
 
@@ -55,7 +59,8 @@ def _gather(batches):
     for b in batches:
         for lo, hi, data, off in T.slices(T.column(b, "text")):
             f, at = _features(data, off)
-            yield pa.RecordBatch.from_arrays([T.column(b, "grade").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["grade", "features"])
+            same = [T.column(b, c).slice(lo, hi - lo) for c in ("hash", "grade")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["hash", "grade", "n", "features"])
 
 
 def _scales(features: list[np.ndarray], grades: np.ndarray, n_grades: int, sure: float = 10.0) -> np.ndarray:
@@ -73,6 +78,18 @@ def _scales(features: list[np.ndarray], grades: np.ndarray, n_grades: int, sure:
     return np.minimum(best / sure, 1) ** 4
 
 
+def slopes(z: float, y: int, theta: np.ndarray):
+    """(-log P(y), its slope in z, [(j, its slope in theta_j)]).
+
+    P(y) = s(z - theta_y) - s(z - theta_{y+1}), with theta_0 = -inf and theta_n = inf.
+    """
+    up = 1.0 if y == 0 else 1 / (1 + np.exp(np.clip(theta[y - 1] - z, -30, 30)))
+    down = 0.0 if y == len(theta) else 1 / (1 + np.exp(np.clip(theta[y] - z, -30, 30)))
+    p = max(up - down, 1e-9)
+    du, dd = up * (1 - up), down * (1 - down)
+    return -np.log(p), -(du - dd) / p, [(j, d) for j, d in ((y - 1, du / p), (y, -dd / p)) if 0 <= j < len(theta)]
+
+
 def fit_arrays(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.1, l2: float = 2e-5, seed: int = 11) -> Ordinal:
     """Adagrad on the negative log-likelihood of the cumulative-link model."""
     weights, square = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
@@ -88,20 +105,13 @@ def fit_arrays(features: list[np.ndarray], grades: np.ndarray, n_grades: int, ep
         for i in r.permutation(len(grades)):
             f, y = features[i], int(grades[i])
             x = scale[f]
-            z = (weights[f] * x).sum()
-            # P(y) = s(z - theta_y) - s(z - theta_{y+1}), with theta_0 = -inf and theta_n = inf
-            up = 1.0 if y == 0 else 1 / (1 + np.exp(np.clip(theta[y - 1] - z, -30, 30)))
-            down = 0.0 if y == n_grades - 1 else 1 / (1 + np.exp(np.clip(theta[y] - z, -30, 30)))
-            p = max(up - down, 1e-9)
-            du, dd = up * (1 - up), down * (1 - down)
-            slope = -(du - dd) / p
+            _, slope, steps = slopes((weights[f] * x).sum(), y, theta)
             g = slope * x + l2 * weights[f]
             square[f] += g * g
             weights[f] -= rate * g / np.sqrt(square[f])
-            for j, d in ((y - 1, du / p), (y, -dd / p)):
-                if 0 <= j < len(theta):
-                    t_square[j] += d * d
-                    theta[j] -= rate * d / np.sqrt(t_square[j])
+            for j, d in steps:
+                t_square[j] += d * d
+                theta[j] -= rate * d / np.sqrt(t_square[j])
             np.maximum.accumulate(theta, out=theta)
     return Ordinal(weights * scale, theta)
 
@@ -110,17 +120,23 @@ def fit(
     docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = 12_000, max_features: int = 8_000_000,
     id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", **args,
 ) -> Ordinal:
-    """Model from ratings (id, grade 0 .. n_grades-1) of docs; about ``max_rows`` ratings, chosen by the hash of the id, are used."""
+    """Model from ratings (id, grade 0 .. n_grades-1) of docs; see the module's text for ``max_rows`` and ``max_features``."""
     rated = ratings.where(F.col(grade_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(grade_col).cast("long").alias("grade"))
     share = int(min(1.0, max_rows / max(1, rated.count())) * 1_000_000)
-    some = rated.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("grade", "text")
-    told = rows.mapInArrow(_gather, "grade long, features array<int>").toArrow()
-    grades = told["grade"].to_numpy()
-    features = [x.values.to_numpy() for x in told["features"]]
-    total = np.cumsum([len(f) for f in features])
-    keep = int(np.searchsorted(total, max_features, side="right")) if len(total) else 0
-    return fit_arrays([f.astype(np.int64) for f in features[:keep]], grades[:keep], n_grades, **args)
+    some = rated.withColumn("hash", F.xxhash64("id")).where(F.pmod("hash", F.lit(1_000_000)) < share)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("hash", "grade", "text")
+    rows = stage(rows.mapInArrow(_gather, "hash long, grade long, n long, features array<int>"), "rated")
+    # the order and sizes of about max_rows rows tell which of them fit
+    told = rows.select("hash", "n").toPandas().sort_values(["hash", "n"])
+    fits = told["hash"][told["n"].cumsum() <= max_features]
+    last = int(fits.iloc[-1]) if len(fits) < len(told) and len(fits) else None
+    taken = rows if len(fits) == len(told) else rows.where(F.lit(False)) if last is None else rows.where(F.col("hash") <= last)
+    told = taken.select("hash", "grade", "features").toArrow()
+    order = np.lexsort((told["grade"].to_numpy(), told["hash"].to_numpy()))
+    grades = told["grade"].to_numpy()[order]
+    lists = told["features"]
+    features = [lists[int(i)].values.to_numpy().astype(np.int64) for i in order]
+    return fit_arrays(features, grades, n_grades, **args)
 
 
 def _apply(model):

@@ -8,9 +8,12 @@ is written about log(target / arrival) times.  A run over the target made of
 small files, as a large arrival written by many tasks is, is rewritten once,
 without waiting for others.  Merging reads files next to each other and coalesces them: no
 shuffle.  Every change writes its files first and then commits a manifest,
-``manifest-<version>.json``, by a rename that fails if the version exists.  A
-reader sees one version, whole; a writer that lost the race, or its machine,
-leaves only files that no manifest names, which ``vacuum`` removes.
+``manifest-<version>.json``, which is created only if it does not exist (no
+rename, so object stores do as well).  A manifest that can't be read whole, since
+its writer still writes or was lost, is not a version yet: readers use the one
+before it, and after ``grace_seconds`` the next writer goes past it.  A writer
+that lost the race, or its machine, leaves only files that no manifest names;
+``vacuum`` removes those that are older than a write may take.
 
 Defined cases: an empty arrival is recorded as a run without rows and vanishes in
 the next merge; nulls, repeated rows and any columns are stored as they are;
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
@@ -44,8 +48,8 @@ class Run:
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, base_bytes: int = 1 << 20, factor: int = 4, fan: int = 4):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, base_bytes: int = 1 << 20, factor: int = 4, fan: int = 4, grace_seconds: float = 600):
+        self.spark, self.root, self.grace = spark, root.rstrip("/"), grace_seconds
         self.target, self.base, self.factor, self.fan = target_bytes, base_bytes, factor, fan
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -54,28 +58,49 @@ class ShardStore:
 
     # manifests
 
-    def version(self) -> int:
+    def _named(self) -> list[int]:
+        """Numbers of all manifests, the newest first."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return max([int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json")], default=0)
+        return sorted((int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json")), reverse=True)
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifest-{version:010d}.json"
+
+    def _read(self, version: int) -> list[Run] | None:
+        """The runs of a version; None if its manifest is not whole."""
+        rows = self.spark.read.text(self._manifest(version), wholetext=True).collect()
+        try:
+            return [Run(**x) for x in json.loads(rows[0][0])["runs"]]
+        except (IndexError, ValueError):
+            return None
+
+    def version(self) -> int:
+        return next((v for v in self._named() if self._read(v) is not None), 0)
 
     def runs(self, version: int | None = None) -> list[Run]:
         version = self.version() if version is None else version
-        if not version:
-            return []
-        rows = self.spark.read.text(f"{self.root}/manifest-{version:010d}.json", wholetext=True).collect()
-        return [Run(**x) for x in json.loads(rows[0][0])["runs"]]
+        found = self._read(version) if version else []
+        if found is None:
+            raise FileNotFoundError(f"version {version} was never committed")
+        return found
 
     def commit(self, version: int, runs: list[Run]) -> int:
-        """Makes runs the content of version + 1."""
+        """Makes runs the content of the version after ``version``."""
         new = version + 1
-        draft = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
+        for v in self._named():
+            if v > version:
+                age = time.time() - self._fs.getFileStatus(self._path(self._manifest(v))).getModificationTime() / 1000
+                if self._read(v) is not None or age < self.grace:
+                    raise LostRace(f"version {v} exists")
+                new = max(new, v + 1)
+        try:
+            out = self._fs.create(self._path(self._manifest(new)), False)
+        except Exception as e:
+            if "exist" not in str(e):
+                raise
+            raise LostRace(f"version {new} exists") from e
         out.write(bytearray(json.dumps({"version": new, "runs": [asdict(r) for r in runs]}).encode()))
         out.close()
-        final = self._path(f"{self.root}/manifest-{new:010d}.json")
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise LostRace(f"version {new} exists")
         return new
 
     # runs
@@ -152,13 +177,18 @@ class ShardStore:
             raise FileNotFoundError("the store has no version")
         return self.spark.read.schema(schema).parquet(*(r.path for r in runs)).withColumn("shard", F.input_file_name())
 
-    def vacuum(self) -> int:
-        """Removes runs that the newest version does not name, and older manifests; returns how many folders went."""
-        version = self.version()
+    def vacuum(self, age_seconds: float = 86_400) -> int:
+        """Removes runs that the newest version does not name and older manifests, if they are older than ``age_seconds``.
+
+        Another writer's run that is not committed yet must not be that old.  Returns how many folders went.
+        """
+        version, before = self.version(), (time.time() - age_seconds) * 1000
         named = {self._path(r.path).toUri().getPath() for r in self.runs(version)}
         gone = 0
         for s in self._fs.listStatus(self._path(self.root)):
             name, own = s.getPath().getName(), s.getPath().toUri().getPath()
+            if s.getModificationTime() > before:
+                continue
             if name.startswith("run-") and own not in named:
                 inner = [x for x in self._fs.listStatus(s.getPath()) if x.isDirectory()]
                 kept = [x for x in inner if x.getPath().toUri().getPath() in named]
@@ -166,6 +196,6 @@ class ShardStore:
                     if x not in kept:
                         self._fs.delete(x.getPath(), True)
                         gone += 1
-            elif name.startswith("manifest-") and name != f"manifest-{version:010d}.json":
+            elif name.startswith("manifest-") and name < f"manifest-{version:010d}.json":
                 self._fs.delete(s.getPath(), False)
         return gone
