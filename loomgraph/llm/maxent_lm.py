@@ -1,24 +1,40 @@
 """LM scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-P(word | history) = P(class of word | features of the history) * P(word | class).
-The class model is log-linear over hashed features: the word before, the word
-before that (a skip feature), their pair (an n-gram feature) and a bias.  Words
-are put into classes by the square roots of their counts; inside a class a word
-has its relative frequency, which is that softmax's exact optimum.
-
-The corpus is counted in two passes over all training documents: words, and
-class counts of each hashed history.  As the features depend on the history only
-through its buckets, those counts are all that a gradient of the whole corpus
-needs: each round, tasks add up the gradients of their histories and the driver
-moves the weights.  Scoring looks whole batches up with sparse numpy indexing.
-
-Frequent words (at most ``max_head``) travel with the model; the counts of all
-other words, however many, are joined.  A word is known by a 64-bit hash.
+P(word | history) = P(class | history) * P(word | class, history), both log-linear.
+
+The class model has hashed features: the word before, the word before that (a
+skip feature), their pair (an n-gram feature) and a bias, over buckets of words.
+Words are put into classes by the square roots of their counts.
+
+The word model starts from a word's relative frequency in its class and has a
+weight for each pair of a history and a word that the corpus repeats often
+enough: the history is the word before (n-gram), or, where that is a rare word,
+the word before that (skip).  Weights that are not stored are zero, so a
+normaliser is one plus the sum of what the stored ones change, and the softmax
+is exact.  A pair counts if it occurs at least ``max(min_pair, tokens /
+max_pairs)`` times; as tokens are the sum of all pairs, there are at most
+``max_pairs`` weights, and up to that bound they grow with the corpus.  Both of
+its words then occur as often, so only pairs of such words are counted, and no
+pair that matters is missed.
+
+The corpus is counted in two passes over all training documents: words; then
+class counts of each hashed history, pairs, and classes after each history.
+Those counts are all that a gradient of the whole corpus needs.  The class
+model's gradients are added up by tasks each round and the driver moves the
+weights.  The weights of one history depend on no other's, so tasks move those of
+their histories by themselves.  Scoring looks whole batches up with sparse numpy
+indexing.
+
+Frequent words (at most ``max_head``, a parameter of the model: they are its
+classes) travel with the model.  All others form the last class; their counts,
+however many, are joined, and a word has (count + 1) / (words + kinds + 1) of the
+class, which leaves a share for unknown words.  A word is known by a 64-bit hash.
 
 Tokens are words (runs of anything but ASCII white space, A-Z lower-cased) and
 one end for each document.  Defined cases: null and empty texts are one end;
 repeated rows and ids are scored each; with no training text every token has
-probability 1 under the base model; an empty table gives an empty result.
+probability 1 under the base model; other columns are ignored; an empty table
+gives an empty result; texts may have any length.
 """
 
 from __future__ import annotations
@@ -39,7 +55,12 @@ BUCKETS = 256
 OWN = 200
 PAIRS = 4096
 MAX_HEAD = 1 << 20
+MAX_PAIRS = 1 << 20
+MIN_PAIR = 4
 FLUSH = 1 << 22
+#: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
+WIDE = 22
+CLASS_OF, PAIR, AFTER = 0, 1, 2
 
 
 def _tokens(data, off):
@@ -76,9 +97,13 @@ def _count(batches):
 
 
 class Head:
-    """Frequent words: sorted hashes, counts, classes and buckets.  Class CLASSES - 1 is for all other words."""
+    """Frequent words: sorted hashes, counts, classes and buckets.  Class CLASSES - 1 is for all other words.
+
+    Words that occur ``least`` times have a number of their own (``own``, else -1); ``kind_of`` and ``share_of`` give
+    their classes and shares of them by it.
+    """
 
-    def __init__(self, word: np.ndarray, n: np.ndarray):
+    def __init__(self, word: np.ndarray, n: np.ndarray, least: int = 1 << 62):
         order = np.argsort(-n, kind="stable")
         share = np.cumsum(np.sqrt(n[order]))
         kind = np.minimum((share / share[-1] * (CLASSES - 1)).astype(np.uint8), CLASSES - 2) if len(n) else np.zeros(0, np.uint8)
@@ -86,8 +111,11 @@ class Head:
         bucket[:OWN] = np.arange(min(OWN, len(n)))
         mass = np.bincount(kind, weights=n[order], minlength=CLASSES)
         inside = np.log10(n[order] / mass[kind]) if len(n) else np.zeros(0)
+        own = np.where(n[order] >= least, np.arange(len(n)), -1).astype(np.int32)
+        self.n_own = int((own >= 0).sum())
+        self.kind_of, self.share_of = kind[: self.n_own].astype(np.int64), 10 ** inside[: self.n_own]
         by = np.argsort(word[order])
-        self.word, self.n, self.kind, self.bucket, self.inside = word[order][by], n[order][by], kind[by], bucket[by], inside[by]
+        self.word, self.n, self.kind, self.bucket, self.inside, self.own = word[order][by], n[order][by], kind[by], bucket[by], inside[by], own[by]
 
     def look(self, h: np.ndarray):
         """(place or -1, class, bucket) of each token."""
@@ -131,23 +159,108 @@ def _log_softmax(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _history_counts(head):
+def _contexts(own: np.ndarray, bounds: np.ndarray, n_own: int) -> np.ndarray:
+    """Number of the history that the word model looks at: the word before, else the one before that; -1 if both are rare.
+
+    A number n_own stands before a text.
+    """
+    one = np.full(len(own), n_own, np.int64)
+    two = np.full(len(own), n_own, np.int64)
+    one[1:], two[2:] = own[:-1], own[:-2]
+    first = bounds[:-1]
+    one[first] = n_own
+    second = first[np.diff(bounds) > 1] + 1
+    two[first], two[second] = n_own, n_own
+    return np.where(one >= 0, one, np.where(two >= 0, n_own + 1 + two, -1))
+
+
+def _events(head):
+    """(key, n): class counts of hashed histories, pairs of contexts and words, classes after contexts."""
+
     def run(batches):
-        total = np.zeros(BUCKETS * BUCKETS * CLASSES, np.int64)
+        m = head.value
+        classes = np.zeros(BUCKETS * BUCKETS * CLASSES, np.int64)
+        held, size = [], 0
+
+        def merged():
+            key, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+
+        def rows(key, n):
+            for i in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"])
+
         for b in batches:
             for _, _, data, off in T.slices(T.column(b, "text")):
                 h, bounds = _tokens(data, off)
-                _, kind, bucket = head.value.look(h)
-                total += np.bincount(_histories(bucket, bounds) * CLASSES + kind, minlength=len(total))
-        total = total.reshape(-1, CLASSES)
-        some = np.flatnonzero(total.any(axis=1))
-        for i in range(0, len(some), 8192):
-            at = some[i : i + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(at)] + [pa.array(total[at, c]) for c in range(CLASSES)], names=["history", *(f"n{c}" for c in range(CLASSES))])
+                at, kind, bucket = m.look(h)
+                classes += np.bincount(_histories(bucket, bounds) * CLASSES + kind, minlength=len(classes))
+                if not m.n_own:
+                    continue
+                own = np.where(at >= 0, m.own[at], -1)
+                context = _contexts(own, bounds, m.n_own)
+                seen = context >= 0
+                after = (AFTER << 60) + (context[seen] << WIDE) + kind[seen]
+                seen &= own >= 0
+                pair = (PAIR << 60) + (context[seen] << WIDE) + own[seen]
+                held.append(np.unique(np.concatenate((after, pair)), return_counts=True))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*merged())
+        some = np.flatnonzero(classes)
+        yield from rows((CLASS_OF << 60) + (some // CLASSES << WIDE) + some % CLASSES, classes[some])
+
+    return run
+
+
+def _move_words(kind_of: np.ndarray, share_of: np.ndarray, rounds: int, l2: float):
+    """Weights of the pairs of some contexts, by gradient steps scaled by the curvature, and logs of the normalisers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(float)
+        pair = key >> 60 == PAIR
+        low = (1 << WIDE) - 1
+        context, word, n_pair = (key[pair] & ((1 << 60) - 1)) >> WIDE, key[pair] & low, n[pair]
+        group, at = np.unique(context << 5 | kind_of[word], return_inverse=True)
+        after = key[~pair]
+        order = np.argsort(name := (after & ((1 << 60) - 1)) >> WIDE << 5 | after & low)
+        total = n[~pair][order][np.searchsorted(name[order], group)] if len(group) else np.zeros(0)
+        share, theta = share_of[word], np.zeros(len(word))
+        z = np.ones(len(group))
+        for _ in range(rounds if len(group) else 0):
+            p = share * np.exp(theta) / z[at]
+            slope = n_pair - total[at] * p - l2 * theta
+            theta = np.clip(theta + np.clip(slope / (total[at] * p + l2), -1, 1), -30, 30)
+            z = 1 + np.bincount(at, weights=share * np.expm1(theta), minlength=len(group))
+        return pa.table({
+            "key": pa.array(np.concatenate(((PAIR << 60) + (context << WIDE) + word, (AFTER << 60) + (group >> 5 << WIDE) + (group & 31)))),
+            "value": pa.array(np.concatenate((theta, np.log(np.maximum(z, 1e-300)))) / math.log(10)),
+        })
 
     return run
 
 
+def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0):
+    """(sorted pair keys, weights, sorted keys of contexts and classes, logs of normalisers), logs to base 10."""
+    context = F.shiftright(F.col("key").bitwiseAND((1 << 60) - 1), WIDE)
+    wanted = events.where(F.shiftright("key", 60) != CLASS_OF)
+    parts = max(1, math.ceil(wanted.count() / 200_000))
+    grouped = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(parts)))
+    # at most max_pairs weights and as many normalisers
+    told = grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double").toArrow()
+    key, value = told["key"].to_numpy(), told["value"].to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    cut = int(np.searchsorted(key, AFTER << 60))
+    return key[:cut], value[:cut].astype(np.float32), key[cut:], value[cut:].astype(np.float32)
+
+
 def _gradient(weights):
     def run(batches):
         grad, loss, seen = np.zeros((N_FEATURES, CLASSES)), 0.0, False
@@ -187,13 +300,37 @@ def train_classes(histories: DataFrame, rounds: int, rate: float, l2: float) ->
 
 
 class Model:
-    def __init__(self, head: Head, log_class: np.ndarray, n: int, v: int, tail_n: int, tail_v: int):
+    def __init__(self, head: Head, log_class: np.ndarray, words, n: int, v: int, tail_n: int, tail_v: int):
         self.head, self.log_class, self.n, self.v = head, log_class, n, v
+        self.pairs, self.weights, self.after, self.norms = words
         self.base = math.log10(n + v + 1)
         self.tail = math.log10(tail_n + tail_v + 1)
 
-
-def train(docs: DataFrame, text_col: str = "text", max_head: int = MAX_HEAD, rounds: int = 25, rate: float = 0.5, l2: float = 1e-7):
+    def inside(self, at: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log10 share of each word in its class after its context; of words of the last class, only what the context changes."""
+        known = at >= 0
+        out = np.zeros(len(at))
+        out[known] = self.head.inside[at[known]]
+        if not len(self.after):
+            return out
+        own = np.where(known, self.head.own[at], -1)
+        context = _contexts(own, bounds, self.head.n_own)
+        name = (AFTER << 60) + (context << WIDE) + kind
+        spot = np.minimum(np.searchsorted(self.after, name), len(self.after) - 1)
+        hit = np.flatnonzero(self.after[spot] == name)
+        out[hit] -= self.norms[spot[hit]]
+        hit = hit[own[hit] >= 0]
+        name = (PAIR << 60) + (context[hit] << WIDE) + own[hit]
+        spot = np.minimum(np.searchsorted(self.pairs, name), len(self.pairs) - 1)
+        same = self.pairs[spot] == name
+        out[hit[same]] += self.weights[spot[same]]
+        return out
+
+
+def train(
+    docs: DataFrame, text_col: str = "text", max_head: int = MAX_HEAD, rounds: int = 25, rate: float = 0.5, l2: float = 1e-7,
+    max_pairs: int = MAX_PAIRS, min_pair: int = MIN_PAIR,
+):
     """(Model, DataFrame of counts (word, n)) from all rows of docs."""
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -209,14 +346,17 @@ def train(docs: DataFrame, text_col: str = "text", max_head: int = MAX_HEAD, rou
             break
         room, floor = room - r["words"], r["level"]
     top = counts.where(level >= floor).toArrow()
-    head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy())
+    least = max(min_pair, math.ceil(n / max(1, max_pairs)))
+    head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), least)
     tail_n, tail_v = n - int(head.n.sum()), v - len(head.n)
-    sent = sc.broadcast(head)
-    histories = text.mapInArrow(_history_counts(sent), ", ".join(["history long", *(f"n{c} long" for c in range(CLASSES))]))
-    histories = stage(histories.groupBy("history").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in range(CLASSES))), "histories")
-    weights = train_classes(histories, rounds, rate, l2)
+    events = text.mapInArrow(_events(sc.broadcast(head)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    kind = F.shiftright("key", 60)
+    events = stage(events.where((kind != PAIR) | (F.col("n") >= least)), "events")
+    history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
+    histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
+    weights = train_classes(stage(histories, "histories"), rounds, rate, l2)
     log_class = _log_softmax(weights, np.arange(BUCKETS * BUCKETS)) / math.log(10)
-    return Model(head, log_class, n, v, tail_n, tail_v), counts
+    return Model(head, log_class, train_words(events, head), n, v, tail_n, tail_v), counts
 
 
 def _score(model):
@@ -233,9 +373,8 @@ def _score(model):
                 h, bounds = _tokens(data, off)
                 at, kind, bucket = m.head.look(h)
                 known = at >= 0
-                base, score = np.zeros(len(h)), m.log_class[_histories(bucket, bounds), kind]
+                base, score = np.zeros(len(h)), m.log_class[_histories(bucket, bounds), kind] + m.inside(at, kind, bounds)
                 base[known] = log_n[at[known]]
-                score[known] += m.head.inside[at[known]]
                 far = np.flatnonzero(~known)
                 doc = np.searchsorted(bounds, far, side="right") - 1
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)

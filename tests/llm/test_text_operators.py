@@ -554,6 +554,81 @@ def test_lm(spark, max_head):
         assert sum(x.score for x in train) > sum(x.base_score for x in train)
 
 
+@pytest.mark.parametrize("max_head", [1 << 20, 30])
+def test_lm_score_by_brute_force(spark, max_head):
+    """The model's score token by token from its tables, and shares of a class that sum to one after every context."""
+    rows = texts(20) + ["a b c " * 60, "c a b " * 40]
+    df = frame(spark, rows)
+    model, counts = E.train(df, max_head=max_head, rounds=5, min_pair=3)
+    got = {x.doc_id: x.score for x in E.score(df, model, counts).collect()}
+    head = model.head
+    place = {int(w): i for i, w in enumerate(head.word)}
+    hashed = {r.word: r.n for r in counts.collect()}
+    tail_n, tail_v = sum(hashed.values()) - int(head.n.sum()), len(hashed) - len(head.n)
+    low_bits = (1 << E.WIDE) - 1
+    split = lambda k: (int(k) & ((1 << 60) - 1)) >> E.WIDE
+    theta = {(split(k), int(k) & low_bits): float(x) for k, x in zip(model.pairs, model.weights)}
+    norm = {(split(k), int(k) & low_bits): float(x) for k, x in zip(model.after, model.norms)}
+    assert len(theta) > 20 and len(norm) > 5
+    mass = collections.Counter()
+    for k, n in zip(head.kind, head.n):
+        mass[int(k)] += int(n)
+    of_class = collections.defaultdict(list)
+    for i, k in enumerate(head.kind):
+        of_class[int(k)].append(i)
+    for (c, k), z in norm.items():
+        total = sum(head.n[i] / mass[k] * 10 ** theta.get((c, int(head.own[i])), 0.0) for i in of_class[k])
+        assert math.isclose(total, 10**z, rel_tol=1e-4)
+    for i, t in enumerate(rows):
+        h = []
+        for w in SPACE.findall(low(t)):
+            (_, _, data, off), = T.slices(pa.array([w]))
+            h.append(int(T.Words(data, off).hashes()[0]))
+        h.append(int(E.END))
+        at = [place.get(x, -1) for x in h]
+        bucket = [int(head.bucket[j]) if j >= 0 else int(E.OWN + x % (E.BUCKETS - 1 - E.OWN)) for j, x in zip(at, h)]
+        own = [int(head.own[j]) if j >= 0 else -1 for j in at]
+        score = 0.0
+        for j in range(len(h)):
+            one, two = bucket[j - 1] if j else E.BUCKETS - 1, bucket[j - 2] if j > 1 else E.BUCKETS - 1
+            kind = int(head.kind[at[j]]) if at[j] >= 0 else E.CLASSES - 1
+            score += model.log_class[one * E.BUCKETS + two, kind]
+            a, b = own[j - 1] if j else head.n_own, own[j - 2] if j > 1 else head.n_own
+            context = a if a >= 0 else head.n_own + 1 + b if b >= 0 else -1
+            if at[j] >= 0:
+                score += math.log10(head.n[at[j]] / mass[kind]) + theta.get((context, own[j]), 0.0)
+            else:
+                signed = h[j] - (1 << 64) if h[j] >> 63 else h[j]
+                score += math.log10((hashed.get(signed, 0) + 1) / (tail_n + tail_v + 1))
+            score -= norm.get((context, kind), 0.0)
+        assert math.isclose(score, got[i], rel_tol=1e-6, abs_tol=1e-6), i
+
+
+def test_lm_learns_which_word_follows(spark):
+    """Words of one frequency, told apart by what stands before them, in held-out text."""
+    r = random.Random(22)
+    firsts = ["f%d" % i for i in range(12)]
+    say = lambda n: " ".join(f"{x} {'s' + x if r.random() < 0.9 else r.choice(['s' + y for y in firsts])}" for x in (r.choice(firsts) for _ in range(n)))
+    rows = [say(60) for _ in range(60)]
+    df = frame(spark, rows).withColumn("held", F.col("doc_id") % 5 == 0)
+    model, counts = E.train(df.where("NOT held"), rounds=10)
+    got = E.score(df, model, counts, held_out="held").where("held_out").collect()
+    plain, _ = E.train(df.where("NOT held"), rounds=10, min_pair=1 << 40)
+    classes_only = E.score(df, plain, counts, held_out="held").where("held_out").collect()
+    tokens = sum(x.n_tokens for x in got)
+    assert sum(x.score for x in got) / tokens > sum(x.score for x in classes_only) / tokens + 0.1  # most classes of so few words hold two
+    assert sum(x.score for x in got) / tokens > sum(x.base_score for x in got) / tokens + 0.4
+
+
+def test_lm_of_long_texts(spark):
+    r = random.Random(23)
+    rows = [" ".join("w%d" % r.randrange(50_000) for _ in range(300_000)), "y" * 2_000_000, None]
+    df = frame(spark, rows)
+    model, counts = E.train(df, rounds=2)
+    got = {x.doc_id: (x.n_tokens, x.n_known) for x in E.score(df, model, counts).collect()}
+    assert got == {0: (300_001, 300_001), 1: (2, 2), 2: (1, 1)}
+
+
 def test_lm_is_a_distribution():
     r = np.random.default_rng(0)
     words, n = np.unique(r.integers(0, 1 << 60, 50, dtype=np.uint64)), r.integers(1, 90, 50)
