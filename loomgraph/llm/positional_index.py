@@ -1,12 +1,13 @@
 """Benchmark decontamination by a positional inverted index; DataFrame functions only.
 
 Terms of the test set are counted over all documents, and each test window ranks
-its terms from the rarest on.  The index stores, for the ``lists`` rarest terms
-of every window, the postings of the training texts: (document, term, position,
-next term).  A window starts from the list of its rarest term: shifted by the
-term's offset, its postings are the places where the window may start, and the
-next term must agree.  What is left is intersected with the offset-adjusted
-lists of the window's next rarest terms, one after another.  Places that all
+its terms from the rarest on.  The index stores, for the rarest term of every
+window, the postings of the training texts: (document, term, position, the two
+terms after it).  A window starts from the list of its rarest term: shifted by
+the term's offset, its postings are the places where the window may start, and
+the two terms after it must agree.  Documents where a place is left give the
+lists of the windows' next rarest terms (``lists`` in all), and the places are
+intersected with these offset-adjusted lists, one after another.  Places that all
 lists agree on are compared with the text itself, so matches are exact.
 
 Proximity matches (enough of a window's distinct terms within reach of each
@@ -14,10 +15,10 @@ other, in any order) start from as many of the rarest terms as it takes that one
 must occur: if a share of m terms is asked for, one of the rarest
 ``m - ceil(share * m) + 1``.
 
-Only (document, position, term) ever passes a shuffle, never an array of words,
-so the cost is linear in a text's length.  Test terms are broadcast while they
-are at most ``BROADCAST_TERMS``; beyond it tokens are shuffled by term, with the
-same result.
+Only (document, position, terms) ever passes a shuffle, never an array of words,
+so the cost is linear in a text's length.  Test terms, and ids of documents with
+places, are broadcast while they are at most ``BROADCAST_TERMS``; beyond it
+tokens are shuffled by term and texts by id, with the same result.
 
 Words are runs of ASCII digits, ASCII letters (A-Z lower-cased) and all other
 non-ASCII characters.  A window is ``k`` consecutive words of an item, or the
@@ -79,7 +80,7 @@ def windows(items: DataFrame, k: int, id_col: str = "item_id", text_col: str = "
 
 @dataclass
 class Index:
-    """postings: (doc_id, term, pos, next, n_words), n_words once for each row of docs, beside a null term if need be.
+    """postings: (doc_id, term, pos, next, after, n_words), n_words once for each row of docs, beside a null term if need be.
 
     windows: (window_id, terms, ranked), ranked from the rarest term: structs (n, offset, term); only windows all of
     whose terms occur somewhere, unless the index is for proximity.  owners: (window_id, item_id).
@@ -106,13 +107,16 @@ def ranked_windows(docs: DataFrame, each: DataFrame, text_col: str = "text") ->
 
 
 def anchor(lists: int) -> list[Column]:
-    """The term that a window starts from, the term that must follow it, and the (offset, term) pairs to intersect with.
+    """The term that a window starts from, the two that must follow it, and the (offset, term) pairs to intersect with.
 
-    The start is the rarest term that has another one after it in the window, so that this can be compared at once.
+    The start is the rarest term that has two more after it in the window (if it is that long), so that these can be
+    compared at once.
     """
-    first = F.get(F.filter("ranked", lambda x: (x["offset"] < F.size("terms") - 1) | (F.size("terms") == 1)), F.lit(0))
-    rest = F.slice(F.filter("ranked", lambda x: x["offset"] != first["offset"]), 1, lists - 1)
-    return [first["term"].alias("term"), first["offset"].alias("offset"), F.get("terms", first["offset"] + 1).alias("follows"), rest.alias("rest")]
+    first = F.get(F.filter("ranked", lambda x: x["offset"] < F.greatest(F.size("terms") - 2, F.lit(1))), F.lit(0))
+    own = lambda x: (x["offset"] < first["offset"]) | (x["offset"] > first["offset"] + 2)
+    rest = F.slice(F.filter("ranked", own), 1, lists - 1)
+    follows = [F.get("terms", first["offset"] + i).alias(n) for i, n in ((1, "follows"), (2, "follows_after"))]
+    return [first["term"].alias("term"), first["offset"].alias("offset"), rest.alias("rest"), *follows]
 
 
 def build_index(docs: DataFrame, items: DataFrame, k: int = 8, lists: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -122,49 +126,59 @@ def build_index(docs: DataFrame, items: DataFrame, k: int = 8, lists: int = 3, s
     if share >= 1:
         ranked = ranked.where(F.get("ranked", F.lit(0))["n"] > 0)  # a term that no document holds rules its window out
     ranked = stage(ranked, "ranked")
-    used = ranked.select(F.array_union(F.array(anchor(lists)[0]), F.transform(anchor(lists)[3], lambda x: x["term"])).alias("t"))
+    used = ranked.select(anchor(lists)[0])
     if share < 1:
-        used = used.unionByName(ranked.select(F.transform(starts(share), lambda x: x["term"]).alias("t")))
-    terms, small = _sized(used.select(F.explode("t").alias("term")).distinct(), "index-terms")
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    # counted below the explode, so that no array of words is copied beside each of its words
-    rows = rows.select("doc_id", "w", word_count(F.col("w")).alias("n_words"))
-    token = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("pos"), F.get("w", i + 1).alias("next")))
-    rows = rows.select("doc_id", "n_words", F.explode(token).alias("t"))
-    first = F.when(F.col("t.pos") == 0, F.col("n_words")).alias("n_words")
-    rows = rows.select("doc_id", F.col("t.word").alias("word"), F.col("t.pos").alias("pos"), F.col("t.next").alias("next"), first)
+        used = used.unionByName(ranked.select(F.explode(F.transform(starts(share), lambda x: x["term"])).alias("term")))
+    terms, small = _sized(used.distinct(), "index-terms")
+
+    rows = _tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w")))
     if small:
         found = rows.join(terms, F.col("word") == F.col("term"), "left").where("term IS NOT NULL OR pos = 0").drop("word")
     else:
         found = rows.drop("n_words").join(terms, F.col("word") == F.col("term")).drop("word").withColumn("n_words", F.lit(None).cast("long"))
-        heads = rows.where("pos = 0").select("doc_id", F.lit(None).cast("string").alias("term"), "pos", "next", "n_words")
+        heads = rows.where("pos = 0").select("doc_id", F.lit(None).cast("string").alias("term"), "pos", "next", "after", "n_words")
         found = found.unionByName(heads)
-    return Index(stage(found.select("doc_id", "term", "pos", "next", "n_words"), "postings"), ranked, owners, lists)
+    return Index(stage(found.select("doc_id", "term", "pos", "next", "after", "n_words"), "postings"), ranked, owners, lists)
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(doc_id, word, pos, next, after, n_words) of (doc_id, w); n_words at position 0 only."""
+    # counted and paired below the explode, so that no array of words is copied beside each of its words
+    rows = rows.select("doc_id", "w", word_count(F.col("w")).alias("n_words"), *(F.slice("w", F.lit(i), F.size("w")).alias(n) for i, n in ((2, "next"), (3, "after"))))
+    rows = rows.select("doc_id", "n_words", F.posexplode(F.arrays_zip("w", "next", "after")).alias("pos", "t"))
+    return rows.select("doc_id", F.col("t.w").alias("word"), "pos", "t.next", "t.after", F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"))
 
 
 def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, w) of the documents that places name."""
-    some = places.select(F.col("doc_id").alias("some_id")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    """(doc_id, w) of the documents that places name; the texts themselves are a table."""
+    some, _ = _sized(places.select(F.col("doc_id").alias("some_id")).distinct(), "place-ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stage(rows.join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi"), "place-texts")
+    return rows.select("doc_id", words(F.col("text")).alias("w"))
 
 
 def phrase_matches(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, window_id) of every exact occurrence."""
-    lists = index.postings.where("term IS NOT NULL").select("doc_id", "term", "pos", "next")
+    first = index.postings.where("term IS NOT NULL").select("doc_id", "term", "pos", "next", "after")
     found, _ = _sized(index.windows.select("window_id", "terms", *anchor(index.lists)), "anchors")
-    places = lists.join(found, "term").where(F.col("follows").isNull() | (F.col("follows") == F.col("next")))
+    agree = [F.col(a).isNull() | (F.col(a) == F.col(b)) for a, b in (("follows", "next"), ("follows_after", "after"))]
+    places = first.join(found, "term").where(agree[0] & agree[1])
     places = places.select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "terms", "rest").where("start >= 0")
+    places = stage(places, "places")
+    texts = _texts(docs, places, id_col, text_col)
+    terms, _ = _sized(index.windows.select(F.explode(F.transform(anchor(index.lists)[2], lambda x: x["term"])).alias("term")).distinct(), "list-terms")
+    rows = _tokens(texts).select("doc_id", "word", "pos")
+    lists = stage(rows.join(terms, F.col("word") == F.col("term")).select("doc_id", "term", "pos"), "lists")
     for i in range(index.lists - 1):
-        places = stage(places, "places")
+        places = stage(places, "places") if i else places
         there = lists.select(F.col("doc_id").alias("list_id"), F.col("term").alias("list_term"), F.col("pos").alias("list_pos"))
         want = F.get("rest", F.lit(i))
         agree = (there["list_term"] == want["term"]) & (there["list_pos"] == F.col("start") + want["offset"]) & there["list_id"].eqNullSafe(F.col("doc_id"))
         more = places.where(F.size("rest") > i)
         places = more.join(there, agree).select(*places.columns).unionByName(places.where(F.size("rest") <= i))
     places = stage(places.dropDuplicates(["doc_id", "start", "window_id"]).drop("rest"), "places")
-    texts = _texts(docs, places, id_col, text_col).withColumnRenamed("doc_id", "text_id")
+    some, _ = _sized(places.select(F.col("doc_id").alias("some_id")).distinct(), "match-ids")
+    texts = texts.join(some, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi").withColumnRenamed("doc_id", "text_id")
     same = F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms")
     rows = texts.join(places, F.col("text_id").eqNullSafe(F.col("doc_id"))).where(same)
     return rows.select("doc_id", "start", F.size("terms").alias("length"), "window_id")
