@@ -234,10 +234,12 @@ def _cells(k, percent, parts, text_col):
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of different classes."""
+    some = a != b
+    a, b = a[some], b[some]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    keep = a != b
-    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return a[keep], b[keep]
 
 
@@ -471,7 +473,7 @@ def jaccard_components(
     groups = F.lit(GROUPS[-1][1])
     for top, g in reversed(GROUPS[:-1]):
         groups = F.when(F.col("n") < top, g).otherwise(groups)
-    deals = _deal(many, groups, block)
+    deals = _deal(many, groups, 2 * block)  # vectors are narrower than sets
     short = members.select("doc_id", "key", "counts")
     deals = deals.join(short, _same_row(deals, short)).select("task", "comp", "cid", "counts")
     finer = deals.groupBy("task").applyInArrow(_refine_task(percent), "a long, b long")
