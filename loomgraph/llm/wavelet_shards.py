@@ -262,7 +262,8 @@ class WordCache:
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
+        # hashes of the known words, sorted, and the place of each in bounds, used and check
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16 if self.closes.size <= 65536 else np.uint32)
         self.bounds = np.zeros(1, np.int64)
         self.used = np.zeros(0, np.int64)
@@ -270,13 +271,15 @@ class WordCache:
 
     def _shrink(self):
         keep = np.flatnonzero(self.used > 1)
-        names = list(self.known)
         size = np.diff(self.bounds)[keep]
         self.flat = self.flat[T.spread(self.bounds[keep], size)]
         self.bounds = np.concatenate(([0], np.cumsum(size)))
-        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        moved = np.full(len(self.used), -1)
+        moved[keep] = np.arange(len(keep))
+        left = moved[self.place] >= 0
+        self.names, self.place = self.names[left], moved[self.place[left]]
         self.used, self.check = self.used[keep] // 2, self.check[keep]
-        if len(self.known) > self.limit // 2:
+        if len(self.names) > self.limit // 2:
             self.clear()
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +303,8 @@ class WordCache:
             return self._each(words)
         return ids, np.diff(ends[last - 1], prepend=0)
 
-    def _learn(self, new: list[str], names: list[int], check: np.ndarray):
+    def _learn(self, new: list[str], check: np.ndarray) -> np.ndarray:
+        """Takes in words; gives their places."""
         kinds: list[list[int]] = [[], [], []]
         for i, x in enumerate(new):
             if x.isalpha() and (x.isascii() or _SIMPLE.fullmatch(x)):
@@ -310,12 +314,14 @@ class WordCache:
         parts = []
         for found, way in zip(kinds, (self._letters, self._together, self._each)):
             parts += [way([new[i] for i in found[k : k + self.batch]]) for k in range(0, len(found), self.batch)]
-        first = len(self.known)
-        self.known.update(zip((names[i] for found in kinds for i in found), range(first, first + len(new))))
-        self.check = np.concatenate([self.check, check[np.concatenate([np.array(x, np.int64) for x in kinds])]])
+        order = np.concatenate([np.array(x, np.int64) for x in kinds])
+        place = np.empty(len(new), np.int64)
+        place[order] = len(self.used) + np.arange(len(new))
+        self.check = np.concatenate([self.check, check[order]])
         self.flat = np.concatenate([self.flat, *(ids.astype(self.flat.dtype) for ids, _ in parts)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
         self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        return place
 
     def encode_slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, how many each has)."""
@@ -326,22 +332,22 @@ class WordCache:
                 parts.append(self._each([raw[a:z].decode()]) if special else self.encode_slice(data[a:z], np.array([0, z - a])))
             return np.concatenate([ids.astype(self.flat.dtype) for ids, _ in parts]), np.concatenate([n for _, n in parts])
         w = T.Words(data, off)
-        if len(self.known) > self.limit:
+        if len(self.names) > self.limit:
             self._shrink()
         h, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        names, check = h.tolist(), w.checks()
-        known = np.array([self.known.get(x, -1) for x in names], np.int64)
-        old = np.flatnonzero(known >= 0)
-        if (check != check[first][at]).any() or (self.check[known[old]] != check[first[old]]).any():
+        check, spot = w.checks(), np.searchsorted(self.names, h)
+        place = np.full(len(h), -1)
+        old = np.flatnonzero(spot < len(self.names))
+        old = old[self.names[spot[old]] == h[old]]
+        place[old] = self.place[spot[old]]
+        if (check != check[first][at]).any() or (self.check[place[old]] != check[first[old]]).any():
             parts = [self._each([raw[a:z].decode()]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
             return np.concatenate([ids.astype(self.flat.dtype) for ids, _ in parts]), np.concatenate([n for _, n in parts])
-        place = known
         new = np.flatnonzero(place < 0)
         if len(new):
             spans = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())
-            own = [names[i] for i in new.tolist()]
-            self._learn([raw[a:z].lower().decode() for a, z in spans], own, check[first[new]])
-            place[new] = [self.known[x] for x in own]
+            place[new] = self._learn([raw[a:z].lower().decode() for a, z in spans], check[first[new]])
+            self.names, self.place = np.insert(self.names, spot[new], h[new]), np.insert(self.place, spot[new], place[new])
         at = place[at]
         self.used += np.bincount(at, minlength=len(self.used))
         size = np.diff(self.bounds)[at]
