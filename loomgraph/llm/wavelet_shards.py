@@ -60,16 +60,18 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for level in range(bits - 1, -1, -1):
-            one = ((now >> level) & 1).astype(bool)
+            one = (now & now.dtype.type(1 << level)) != 0
             padded = np.zeros(size, bool)
             padded[:n] = one
             plane = np.packbits(padded, bitorder="little")
             each = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(plane)
             ranks.append((np.cumsum(each, dtype=np.uint32) - each).astype(np.uint32))
-            left = now[~one]
-            zeros.append(len(left))
-            now = np.concatenate((left, now[one]))
+            z, parted = n - int(np.count_nonzero(one)), np.empty_like(now)
+            np.compress(~one, now, out=parted[:z])
+            np.compress(one, now, out=parted[z:])
+            zeros.append(z)
+            now = parted
         return cls(n, bits, zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -133,8 +135,9 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level][:], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             up = np.empty_like(out)
-            up[~one] = out[:z]
-            up[one] = out[z:] | out.dtype.type(1 << (self.bits - 1 - level))
+            out[z:] |= out.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~one)] = out[:z]
+            up[np.flatnonzero(one)] = out[z:]
             out = up
         return out
 
