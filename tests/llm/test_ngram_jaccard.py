@@ -106,7 +106,7 @@ def test_long_texts(spark):
     r = random.Random(2)
     long = " ".join("w%d" % r.randrange(500_000) for _ in range(300_000))
     rows = [(1, "x" * 3_000_000), (2, long), (3, long + " tail"), (4, long.upper()), (5, "x" * 3_000_000 + " y"), (6, " " * 2_000_000)]
-    got = {(i, c) for i, _, c in run(spark, rows, block=1000)}
+    got = {(i, c) for i, _, c in run(spark, rows)}
     assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5), (6, 6)}
 
 

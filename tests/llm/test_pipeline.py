@@ -1,6 +1,8 @@
 import collections
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from loomgraph.llm import compression_bands as B
@@ -44,6 +46,40 @@ def test_stages_of_nothing(spark, k):
 def test_nulls(spark):
     docs = table(spark, SF, "documents")
     holes = docs.selectExpr("IF(doc_id % 5 = 0, NULL, doc_id) AS doc_id", "IF(doc_id % 7 = 0, NULL, text) AS text", "lang", "IF(doc_id % 3 = 0, NULL, source) AS source", "CAST(NULL AS BIGINT) AS n_chars")
-    for _, step in C.STAGES:
-        holes = stage(step(spark, holes, SF), "t")
-    assert holes.count() > 0
+    names, steps = zip(*C.STAGES)
+    rows = lambda df: collections.Counter(map(str, df.collect()))
+    kept = [holes]
+    for step in steps[:4]:
+        kept.append(stage(step(spark, kept[-1], SF), "t"))
+        assert kept[-1].columns == holes.columns and set(rows(kept[-1])) <= set(rows(kept[-2]))
+    assert all(x.text is not None for x in kept[1].collect())  # a null text fails the base rules
+    # a row without an id is never removed as a copy, and takes part in all other stages
+    assert kept[2].where("doc_id IS NULL").count() == kept[1].where("doc_id IS NULL").count() > 0
+    assert kept[4].where("source IS NULL").count() > 0
+    end = steps[4](spark, kept[4], SF).collect()
+    ids = collections.Counter(x.doc_id for x in kept[4].collect())
+    assert collections.Counter(x.doc_id for x in end) == ids
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns with names that the stages use pass through; one text is megabytes long, one is a single word of them."""
+    r = random.Random(31)
+    word = ["".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    long = " ".join(r.choice(word) for _ in range(250_000))
+    rows = [(i, " ".join(r.choice(word) for _ in range(300)), "a" if i % 2 else "b") for i in range(40)] + [(100, long, "a"), (101, long + " tail", "a"), (102, "z" * 100_000, "b"), (103, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra = ("key", "text_key", "pattern", "bad_id", "copies", "cid", "w", "n_words", "kept", "row_key", "n", "class")
+    docs = docs.withColumns({c: F.lit(c) for c in extra})
+    kept = docs
+    for i, (_, step) in enumerate(C.STAGES[:4]):
+        after = stage(step(spark, kept, SF), "t")
+        assert after.columns == docs.columns and {tuple(x[c] for c in extra) for x in after.collect()} <= {extra}
+        ids = {x.doc_id for x in after.select("doc_id").collect()}
+        if i == 0:
+            assert not ids & {102, 103} and len(ids & set(range(40))) >= 38
+            after = docs.where("doc_id < 102")  # whatever the rules say of the long texts, the other stages get them
+        if i == 1:
+            assert 100 in ids and 101 not in ids
+        kept = after
+    end = {x.doc_id: x.n_tokens for x in C.STAGES[4][1](spark, kept.unionByName(docs.where("doc_id = 102")), SF).collect()}
+    assert end[102] > 1000 and (100 not in end or end[100] > 250_000)
