@@ -33,6 +33,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 
 class LostRace(RuntimeError):
     """Another writer committed this version first."""
@@ -171,11 +173,12 @@ class ShardStore:
             self.commit(version, [r for r in runs if r not in some] + [new])
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard (file) that holds each as ``shard``."""
+        """The rows of a version, with the shard (file) that holds each as ``shard`` (``_shard`` if the rows have such a column)."""
         runs = self.runs(version)
         if not runs:
             raise FileNotFoundError("the store has no version")
-        return self.spark.read.schema(schema).parquet(*(r.path for r in runs)).withColumn("shard", F.input_file_name())
+        (name,) = free_names(schema.fieldNames(), "shard")
+        return self.spark.read.schema(schema).parquet(*(r.path for r in runs)).withColumn(name, F.input_file_name())
 
     def vacuum(self, age_seconds: float = 86_400) -> int:
         """Removes runs that the newest version does not name and older manifests, if they are older than ``age_seconds``.
