@@ -2,7 +2,9 @@
 
 P(grade >= j | text) = sigmoid(w.x - theta_j) with one weight vector for all
 grades and ordered thresholds theta_1 < theta_2 < ..  x holds the presence of
-hashed lower-cased words, each scaled by how surely it tells the rated grades
+hashed lower-cased words (runs of letters, which are A-Z, a-z and all bytes beyond
+ASCII) and of hashed marks (runs of anything else but ASCII white space), so a
+word is the same one beside any mark.  Each is scaled by how surely it tells the rated grades
 apart (a capped power of a z-score), so that the many words that stand in a few
 rated texts by chance weigh little; it is not divided by the length, so one
 telling word counts the same in a long text.  The expected
@@ -34,6 +36,9 @@ from . import textkit as T
 from .shared import stage
 
 BITS = 18
+_MARK = np.ones(256, bool)
+_MARK[65:91] = _MARK[97:123] = _MARK[128:] = False
+_NO_MARK = ~_MARK | T._WS
 
 
 @dataclass
@@ -48,10 +53,8 @@ class Ordinal:
 
 def _features(data, off):
     """Distinct feature numbers of each document, flat, with bounds."""
-    w = T.Words(data, off)
-    f = (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
-    doc = w.doc()
-    key = np.unique(doc << BITS | f)
+    runs = [T.Words(data, off, space) for space in (_MARK, _NO_MARK)]
+    key = np.unique(np.concatenate([w.doc() << BITS | (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64) for w in runs]))
     return key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(len(off)))
 
 
@@ -63,7 +66,7 @@ def _gather(batches):
             yield pa.RecordBatch.from_arrays([*same, pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["hash", "grade", "n", "features"])
 
 
-def _scales(features: list[np.ndarray], grades: np.ndarray, n_grades: int, sure: float = 10.0) -> np.ndarray:
+def _scales(features: list[np.ndarray], grades: np.ndarray, n_grades: int, sure: float = 6.0) -> np.ndarray:
     """Scale of each feature: the greatest z-score of its shares above and below any threshold, over ``sure``, at most 1, to the fourth power."""
     flat, owner = np.concatenate(features), np.repeat(grades, [len(f) for f in features])
     best = np.zeros(1 << BITS)
@@ -90,7 +93,19 @@ def slopes(z: float, y: int, theta: np.ndarray):
     return -np.log(p), -(du - dd) / p, [(j, d) for j, d in ((y - 1, du / p), (y, -dd / p)) if 0 <= j < len(theta)]
 
 
-def fit_arrays(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.1, l2: float = 2e-5, seed: int = 11) -> Ordinal:
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """The nearest ordered thresholds: neighbours in the wrong order become their mean."""
+    runs: list[tuple[float, int]] = []
+    for t in theta.tolist():
+        mean, k = t, 1
+        while runs and runs[-1][0] > mean:
+            before, n = runs.pop()
+            mean, k = (before * n + mean * k) / (n + k), n + k
+        runs.append((mean, k))
+    return np.repeat([m for m, _ in runs], [k for _, k in runs])
+
+
+def fit_arrays(features: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 30, rate: float = 0.3, l2: float = 2e-5, seed: int = 11) -> Ordinal:
     """Adagrad on the negative log-likelihood of the cumulative-link model."""
     weights, square = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     if len(set(grades.tolist())) < 2:
@@ -112,7 +127,7 @@ def fit_arrays(features: list[np.ndarray], grades: np.ndarray, n_grades: int, ep
             for j, d in steps:
                 t_square[j] += d * d
                 theta[j] -= rate * d / np.sqrt(t_square[j])
-            np.maximum.accumulate(theta, out=theta)
+            theta = ordered(theta)
     return Ordinal(weights * scale, theta)
 
 

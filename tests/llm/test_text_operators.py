@@ -691,13 +691,13 @@ def test_ordinal_slopes():
 def test_ordinal_scores_by_brute_force(spark):
     r = np.random.default_rng(18)
     model = O.Ordinal(r.normal(size=1 << O.BITS) / 10, np.array([-0.3, 0.4]))
-    rows = texts(9) + ["w1 w2 " * 400_000]
+    rows = texts(9) + ["w1 w2 " * 400_000, "Été,été ###a1b$$ 12\x00\t.!a\u2028b"]
     got = {x.doc_id: x for x in O.grade(frame(spark, rows, grade=7, features="f"), model).collect()}
     hashed = {}
     for i, t in enumerate(rows):
         z = 0.0
         seen = set()
-        for w in set(SPACE.findall(low(t))):
+        for w in set(re.findall(r"[a-z\x80-\U0010ffff]+|[^a-z\x80-\U0010ffff\x20\x09-\x0D]+", low(t))):
             if w not in hashed:
                 (_, _, data, off), = T.slices(pa.array([w]))
                 hashed[w] = int(T.Words(data, off).hashes()[0]) >> (64 - O.BITS)
@@ -708,6 +708,31 @@ def test_ordinal_scores_by_brute_force(spark):
         assert np.allclose(got[i].tails, want) and math.isclose(got[i].expected_grade, sum(want), rel_tol=1e-9)
 
 
+def test_ordered_thresholds():
+    r = np.random.default_rng(24)
+    for _ in range(200):
+        t = r.normal(size=int(r.integers(1, 6)))
+        got = O.ordered(t)
+        assert (np.diff(got) >= 0).all() and math.isclose(got.sum(), t.sum(), abs_tol=1e-9)
+        # no ordered point is nearer
+        near = ((got - t) ** 2).sum()
+        for _ in range(50):
+            other = np.sort(got + r.normal(size=len(t)) * 0.3)
+            assert ((other - t) ** 2).sum() >= near - 1e-12
+    assert O.ordered(np.array([1.0, 2.0])).tolist() == [1, 2]
+
+
+def test_ordinal_knows_words_beside_marks(spark):
+    r = random.Random(23)
+    say = lambda bad: " ".join(r.sample([f"{chr(97 + k)}{chr(97 + k // 3)}q" for k in range(24)], 12) + ["vile"] * bad)
+    rows = [say(i % 3 == 0) for i in range(600)]
+    df = frame(spark, rows)
+    model = O.fit(df, spark.createDataFrame([(i, 0 if i % 3 == 0 else 2) for i in range(600)], "doc_id long, grade int"), 3)
+    told = ["(VILE!!", "vile###", "a,vile", "vile\n"]
+    got = [x.tails[0] for x in sorted(O.grade(frame(spark, [say(False) + " " + w for w in told] + [say(False) + " vi le", say(False) + " vil,e"]), model).collect(), key=lambda x: x.doc_id)]
+    assert max(got[:4]) < 0.5 < min(got[4:])
+
+
 def test_ordinal_sample_does_not_depend_on_order(spark):
     rows = texts(10)
     labels = spark.createDataFrame([(i, i % 3) for i in range(len(rows))] + [(0, 1), (9999, 2)], "doc_id long, grade int")
