@@ -7,15 +7,15 @@ skip feature), their pair (an n-gram feature) and a bias, over buckets of words.
 Words are put into classes by the square roots of their counts.
 
 The word model starts from a word's relative frequency in its class and has a
-weight for each pair of a history and a word that the corpus repeats often
-enough: the history is the word before (n-gram), or, where that is a rare word,
-the word before that (skip).  Weights that are not stored are zero, so a
-normaliser is one plus the sum of what the stored ones change, and the softmax
-is exact.  A pair counts if it occurs at least ``max(min_pair, tokens /
-max_pairs)`` times; as tokens are the sum of all pairs, there are at most
-``max_pairs`` weights, and up to that bound they grow with the corpus.  Both of
-its words then occur as often, so only pairs of such words are counted, and no
-pair that matters is missed.
+weight for each pair of a history and a word that occurs at least ``min_pair``
+times, however large the corpus is: the history is the word before (n-gram), or,
+where that is a rare word, the word before that (skip).  Weights that are not
+stored are zero, so a normaliser is one plus the sum of what the stored ones
+change, and the softmax is exact.  The weights and normalisers are a table that
+grows with the corpus.  Those of pairs, and of classes after a history, that occur
+at least ``tokens / max_pairs`` times travel with the model; as tokens are the sum
+of all pairs, they are at most ``max_pairs`` each.  All others are joined.
+``max_pairs`` chooses the way and not the result.
 
 The corpus is counted in two passes over all training documents: words; then
 class counts of each hashed history, pairs, and classes after each history.
@@ -23,7 +23,7 @@ Those counts are all that a gradient of the whole corpus needs.  The class
 model's gradients are added up by tasks each round and the driver moves the
 weights.  The weights of one history depend on no other's, so tasks move those of
 their histories by themselves.  Scoring looks whole batches up with sparse numpy
-indexing.
+indexing, and the rest of their keys, once a document, in the table.
 
 Frequent words (at most ``max_head``, a parameter of the model: they are its
 classes) travel with the model.  All others form the last class; their counts,
@@ -40,6 +40,7 @@ gives an empty result; texts may have any length.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ OWN = 200
 PAIRS = 4096
 MAX_HEAD = 1 << 20
 MAX_PAIRS = 1 << 20
-MIN_PAIR = 4
+MIN_PAIR = 2
 FLUSH = 1 << 22
 #: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
 WIDE = 22
@@ -220,7 +221,7 @@ def _events(head):
 
 
 def _move_words(kind_of: np.ndarray, share_of: np.ndarray, rounds: int, l2: float):
-    """Weights of the pairs of some contexts, by gradient steps scaled by the curvature, and logs of the normalisers."""
+    """Weights of the pairs of some contexts, by gradient steps scaled by the curvature, and logs of the normalisers, each with its count."""
 
     def run(t: pa.Table) -> pa.Table:
         key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(float)
@@ -241,24 +242,19 @@ def _move_words(kind_of: np.ndarray, share_of: np.ndarray, rounds: int, l2: floa
         return pa.table({
             "key": pa.array(np.concatenate(((PAIR << 60) + (context << WIDE) + word, (AFTER << 60) + (group >> 5 << WIDE) + (group & 31)))),
             "value": pa.array(np.concatenate((theta, np.log(np.maximum(z, 1e-300)))) / math.log(10)),
+            "n": pa.array(np.concatenate((n_pair, total)).astype(np.int64)),
         })
 
     return run
 
 
-def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0):
-    """(sorted pair keys, weights, sorted keys of contexts and classes, logs of normalisers), logs to base 10."""
+def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0) -> DataFrame:
+    """(key, value, n): weights of pairs, logs of the normalisers of contexts and classes, and their counts; logs to base 10."""
     context = F.shiftright(F.col("key").bitwiseAND((1 << 60) - 1), WIDE)
     wanted = events.where(F.shiftright("key", 60) != CLASS_OF)
     parts = max(1, math.ceil(wanted.count() / 200_000))
     grouped = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(parts)))
-    # at most max_pairs weights and as many normalisers
-    told = grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double").toArrow()
-    key, value = told["key"].to_numpy(), told["value"].to_numpy()
-    order = np.argsort(key)
-    key, value = key[order], value[order]
-    cut = int(np.searchsorted(key, AFTER << 60))
-    return key[:cut], value[:cut].astype(np.float32), key[cut:], value[cut:].astype(np.float32)
+    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double, n long"), "weights")
 
 
 def _gradient(weights):
@@ -299,39 +295,62 @@ def train_classes(histories: DataFrame, rounds: int, rate: float, l2: float) ->
     return weights
 
 
+class Tables(NamedTuple):
+    """What does not travel with the model: counts (word, n) of all words, and weights (key, value) that are joined."""
+
+    counts: DataFrame
+    weights: DataFrame
+
+
+def _look(keys: np.ndarray, names: np.ndarray):
+    """Places of names among sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    spot = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+    return spot, keys[spot] == names
+
+
 class Model:
-    def __init__(self, head: Head, log_class: np.ndarray, words, n: int, v: int, tail_n: int, tail_v: int):
+    def __init__(self, head: Head, log_class: np.ndarray, words: pa.Table, n: int, v: int, tail_n: int, tail_v: int):
         self.head, self.log_class, self.n, self.v = head, log_class, n, v
-        self.pairs, self.weights, self.after, self.norms = words
+        key, value = words["key"].to_numpy(), words["value"].to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        cut = int(np.searchsorted(key, AFTER << 60))
+        self.pairs, self.weights, self.after, self.norms = key[:cut], value[:cut], key[cut:], value[cut:]
         self.base = math.log10(n + v + 1)
         self.tail = math.log10(tail_n + tail_v + 1)
 
-    def inside(self, at: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log10 share of each word in its class after its context; of words of the last class, only what the context changes."""
+    def inside(self, at: np.ndarray, kind: np.ndarray, bounds: np.ndarray):
+        """(shares, tokens, keys): log10 share of each word in its class after its context, as far as the model tells.
+
+        Of words of the last class it is only what the context changes.  The keys, each of one token, are those that may
+        be in the table of weights.
+        """
         known = at >= 0
         out = np.zeros(len(at))
         out[known] = self.head.inside[at[known]]
-        if not len(self.after):
-            return out
+        if not self.head.n_own:
+            return out, np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = np.where(known, self.head.own[at], -1)
         context = _contexts(own, bounds, self.head.n_own)
-        name = (AFTER << 60) + (context << WIDE) + kind
-        spot = np.minimum(np.searchsorted(self.after, name), len(self.after) - 1)
-        hit = np.flatnonzero(self.after[spot] == name)
-        out[hit] -= self.norms[spot[hit]]
-        hit = hit[own[hit] >= 0]
-        name = (PAIR << 60) + (context[hit] << WIDE) + own[hit]
-        spot = np.minimum(np.searchsorted(self.pairs, name), len(self.pairs) - 1)
-        same = self.pairs[spot] == name
-        out[hit[same]] += self.weights[spot[same]]
-        return out
+        seen = np.flatnonzero(context >= 0)
+        name = (AFTER << 60) + (context[seen] << WIDE) + kind[seen]
+        spot, here = _look(self.after, name)
+        out[seen[here]] -= self.norms[spot[here]]
+        token, key = seen[~here], name[~here]
+        seen = seen[own[seen] >= 0]
+        name = (PAIR << 60) + (context[seen] << WIDE) + own[seen]
+        spot, here = _look(self.pairs, name)
+        out[seen[here]] += self.weights[spot[here]]
+        return out, np.concatenate((token, seen[~here])), np.concatenate((key, name[~here]))
 
 
 def train(
     docs: DataFrame, text_col: str = "text", max_head: int = MAX_HEAD, rounds: int = 25, rate: float = 0.5, l2: float = 1e-7,
     max_pairs: int = MAX_PAIRS, min_pair: int = MIN_PAIR,
 ):
-    """(Model, DataFrame of counts (word, n)) from all rows of docs."""
+    """(Model, Tables) from all rows of docs."""
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = text.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -346,17 +365,19 @@ def train(
             break
         room, floor = room - r["words"], r["level"]
     top = counts.where(level >= floor).toArrow()
-    least = max(min_pair, math.ceil(n / max(1, max_pairs)))
-    head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), least)
+    head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), min_pair)
     tail_n, tail_v = n - int(head.n.sum()), v - len(head.n)
     events = text.mapInArrow(_events(sc.broadcast(head)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     kind = F.shiftright("key", 60)
-    events = stage(events.where((kind != PAIR) | (F.col("n") >= least)), "events")
+    events = stage(events.where((kind != PAIR) | (F.col("n") >= min_pair)), "events")
     history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
     histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
     weights = train_classes(stage(histories, "histories"), rounds, rate, l2)
     log_class = _log_softmax(weights, np.arange(BUCKETS * BUCKETS)) / math.log(10)
-    return Model(head, log_class, train_words(events, head), n, v, tail_n, tail_v), counts
+    words = train_words(events, head)
+    often = F.col("n") >= math.ceil(n / max(1, max_pairs))
+    model = Model(head, log_class, words.where(often).select("key", "value").toArrow(), n, v, tail_n, tail_v)
+    return model, Tables(counts, words.where(~often).select("key", "value"))
 
 
 def _score(model):
@@ -373,38 +394,48 @@ def _score(model):
                 h, bounds = _tokens(data, off)
                 at, kind, bucket = m.head.look(h)
                 known = at >= 0
-                base, score = np.zeros(len(h)), m.log_class[_histories(bucket, bounds), kind] + m.inside(at, kind, bounds)
+                inside, token, key = m.inside(at, kind, bounds)
+                base, score = np.zeros(len(h)), m.log_class[_histories(bucket, bounds), kind] + inside
                 base[known] = log_n[at[known]]
                 far = np.flatnonzero(~known)
                 doc = np.searchsorted(bounds, far, side="right") - 1
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(T.i64(h[far])))
+                doc = np.searchsorted(bounds, token, side="right") - 1
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+                cut = pa.array(np.searchsorted(doc[first], np.arange(hi - lo + 1)).astype(np.int32))
+                keys, times = (pa.ListArray.from_arrays(cut, pa.array(x)) for x in (key[first], np.diff(np.append(first, len(key))).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid + np.arange(hi - lo)), ids.slice(lo, hi - lo), held.slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(T.seg_sum(known.astype(np.int64), bounds)),
-                     pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(score, bounds[:-1])), tail],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail"],
+                     pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(score, bounds[:-1])), tail, keys, times],
+                    names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", "keys", "times"],
                 )
                 uid += hi - lo
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", text_col: str = "text", held_out: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10 probabilities of whole texts."""
     spark = docs.sparkSession
     flag = F.col(held_out) if held_out else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
-    kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>"
+    kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>, keys array<long>, times array<int>"
     scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds), "scored")
     tail = scored.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
-    tail = tail.join(counts, "word", "left")
+    tail = tail.join(tables.counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum("k").alias("k"))
+    pairs = scored.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    sign = F.when(F.shiftright("key", 60) == AFTER, -F.col("value")).otherwise(F.col("value"))
+    pairs = pairs.join(tables.weights, "key").groupBy("uid").agg(F.sum(F.col("times") * sign).alias("inside"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("tail").join(tail, "uid", "left").select(
+    return scored.drop("tail", "keys", "times").join(tail, "uid", "left").join(pairs, "uid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("head_known") + zero("known")).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("head_base") + zero("logs") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"),
-        (F.col("head_score") + zero("logs") - zero("k") * F.lit(model.tail)).alias("score"),
+        (F.col("head_score") + zero("inside") + zero("logs") - zero("k") * F.lit(model.tail)).alias("score"),
     )

@@ -55,8 +55,8 @@ def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
-    model, counts = maxent_lm.train(docs.where("NOT held_out"))
-    return maxent_lm.score(docs, model, counts, held_out="held_out")
+    model, tables = maxent_lm.train(docs.where("NOT held_out"))
+    return maxent_lm.score(docs, model, tables, held_out="held_out")
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -539,8 +539,8 @@ def test_chat_of_long_texts(spark):
 def test_lm(spark, max_head):
     rows = texts(6)
     df = frame(spark, rows, word="x").withColumn("held", F.col("doc_id") % 7 == 2)
-    model, counts = E.train(df.where("NOT held"), max_head=max_head, rounds=4)
-    got = {x.doc_id: x for x in E.score(df, model, counts, held_out="held").collect()}
+    model, tables = E.train(df.where("NOT held"), max_head=max_head, rounds=4)
+    got = {x.doc_id: x for x in E.score(df, model, tables, held_out="held").collect()}
     tok = {i: [*SPACE.findall(low(t)), "\0"] for i, t in enumerate(rows)}
     c = collections.Counter(w for i in tok if i % 7 != 2 for w in tok[i])
     n, v = sum(c.values()), len(c)
@@ -554,21 +554,27 @@ def test_lm(spark, max_head):
         assert sum(x.score for x in train) > sum(x.base_score for x in train)
 
 
-@pytest.mark.parametrize("max_head", [1 << 20, 30])
-def test_lm_score_by_brute_force(spark, max_head):
+@pytest.mark.parametrize("max_head,max_pairs", [(1 << 20, 1 << 20), (30, 1 << 20), (1 << 20, 40), (1 << 20, 1)])
+def test_lm_score_by_brute_force(spark, max_head, max_pairs):
     """The model's score token by token from its tables, and shares of a class that sum to one after every context."""
     rows = texts(20) + ["a b c " * 60, "c a b " * 40]
     df = frame(spark, rows)
-    model, counts = E.train(df, max_head=max_head, rounds=5, min_pair=3)
-    got = {x.doc_id: x.score for x in E.score(df, model, counts).collect()}
+    model, tables = E.train(df, max_head=max_head, rounds=5, min_pair=3, max_pairs=max_pairs)
+    got = {x.doc_id: x.score for x in E.score(df, model, tables).collect()}
     head = model.head
     place = {int(w): i for i, w in enumerate(head.word)}
-    hashed = {r.word: r.n for r in counts.collect()}
+    hashed = {r.word: r.n for r in tables.counts.collect()}
     tail_n, tail_v = sum(hashed.values()) - int(head.n.sum()), len(hashed) - len(head.n)
     low_bits = (1 << E.WIDE) - 1
     split = lambda k: (int(k) & ((1 << 60) - 1)) >> E.WIDE
     theta = {(split(k), int(k) & low_bits): float(x) for k, x in zip(model.pairs, model.weights)}
     norm = {(split(k), int(k) & low_bits): float(x) for k, x in zip(model.after, model.norms)}
+    # what travels is bounded, the table holds the rest
+    assert len(theta) <= max_pairs and len(norm) <= max_pairs
+    for x in tables.weights.collect():
+        name, told = (split(x.key), x.key & low_bits), norm if x.key >> 60 == E.AFTER else theta
+        assert name not in told
+        told[name] = x.value
     assert len(theta) > 20 and len(norm) > 5
     mass = collections.Counter()
     for k, n in zip(head.kind, head.n):
@@ -611,10 +617,10 @@ def test_lm_learns_which_word_follows(spark):
     say = lambda n: " ".join(f"{x} {'s' + x if r.random() < 0.9 else r.choice(['s' + y for y in firsts])}" for x in (r.choice(firsts) for _ in range(n)))
     rows = [say(60) for _ in range(60)]
     df = frame(spark, rows).withColumn("held", F.col("doc_id") % 5 == 0)
-    model, counts = E.train(df.where("NOT held"), rounds=10)
-    got = E.score(df, model, counts, held_out="held").where("held_out").collect()
-    plain, _ = E.train(df.where("NOT held"), rounds=10, min_pair=1 << 40)
-    classes_only = E.score(df, plain, counts, held_out="held").where("held_out").collect()
+    model, tables = E.train(df.where("NOT held"), rounds=10)
+    got = E.score(df, model, tables, held_out="held").where("held_out").collect()
+    plain, counted = E.train(df.where("NOT held"), rounds=10, min_pair=1 << 40)
+    classes_only = E.score(df, plain, counted, held_out="held").where("held_out").collect()
     tokens = sum(x.n_tokens for x in got)
     assert sum(x.score for x in got) / tokens > sum(x.score for x in classes_only) / tokens + 0.1  # most classes of so few words hold two
     assert sum(x.score for x in got) / tokens > sum(x.base_score for x in got) / tokens + 0.4
@@ -624,8 +630,8 @@ def test_lm_of_long_texts(spark):
     r = random.Random(23)
     rows = [" ".join("w%d" % r.randrange(50_000) for _ in range(300_000)), "y" * 2_000_000, None]
     df = frame(spark, rows)
-    model, counts = E.train(df, rounds=2)
-    got = {x.doc_id: (x.n_tokens, x.n_known) for x in E.score(df, model, counts).collect()}
+    model, tables = E.train(df, rounds=2)
+    got = {x.doc_id: (x.n_tokens, x.n_known) for x in E.score(df, model, tables).collect()}
     assert got == {0: (300_001, 300_001), 1: (2, 2), 2: (1, 1)}
 
 
@@ -643,10 +649,10 @@ def test_lm_is_a_distribution():
 
 def test_lm_edges(spark):
     df = frame(spark, [None, "a b"]).withColumn("held", F.lit(True))
-    model, counts = E.train(df.where("NOT held"))
-    got = {x.doc_id: x.base_score for x in E.score(df, model, counts).collect()}
+    model, tables = E.train(df.where("NOT held"))
+    got = {x.doc_id: x.base_score for x in E.score(df, model, tables).collect()}
     assert got == {0: 0.0, 1: 0.0}
-    assert E.score(df.limit(0), model, counts).count() == 0
+    assert E.score(df.limit(0), model, tables).count() == 0
 
 
 def test_ordinal(spark):
