@@ -15,7 +15,8 @@ change, and the softmax is exact.  The weights and normalisers are a table that
 grows with the corpus.  Those of pairs, and of classes after a history, that occur
 at least ``tokens / max_pairs`` times travel with the model; as tokens are the sum
 of all pairs, they are at most ``max_pairs`` each.  All others are joined.
-``max_pairs`` chooses the way and not the result.
+``max_pairs`` chooses the way and not the result.  A bitmap of fixed size travels
+too and tells of most keys that the table lacks; it, too, changes no result.
 
 The corpus is counted in two passes over all training documents: words; then
 class counts of each hashed history, pairs, and classes after each history.
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import stage
+from .shared import scratch, stage
 
 END = np.uint64(0x5851F42D4C957F2D)
 CLASSES = 16
@@ -62,6 +63,10 @@ FLUSH = 1 << 22
 #: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
 WIDE = 22
 CLASS_OF, PAIR, AFTER = 0, 1, 2
+#: Log2 of the bits of the bitmap of joined keys (16 MB).
+MAP_BITS = 27
+#: Documents of a slice up to which a document and a key fit 63 bits.
+NARROW = 1 << 17
 
 
 def _tokens(data, off):
@@ -175,6 +180,11 @@ def _contexts(own: np.ndarray, bounds: np.ndarray, n_own: int) -> np.ndarray:
     return np.where(one >= 0, one, np.where(two >= 0, n_own + 1 + two, -1))
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 def _events(head):
     """(key, n): class counts of hashed histories, pairs of contexts and words, classes after contexts."""
 
@@ -184,8 +194,11 @@ def _events(head):
         held, size = [], 0
 
         def merged():
-            key, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return key, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+            key, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key = key[order]
+            first = _firsts(key)
+            return key[first], np.add.reduceat(n[order], first)
 
         def rows(key, n):
             for i in range(0, len(key), 100_000):
@@ -254,7 +267,7 @@ def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0
     wanted = events.where(F.shiftright("key", 60) != CLASS_OF)
     parts = max(1, math.ceil(wanted.count() / 200_000))
     grouped = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(parts)))
-    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double, n long"), "weights")
+    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double, n long"), "weights", keep=True)
 
 
 def _gradient(weights):
@@ -302,6 +315,29 @@ class Tables(NamedTuple):
     weights: DataFrame
 
 
+def _bit(key: np.ndarray) -> np.ndarray:
+    return T.mix(key.view(np.uint64)) >> np.uint64(64 - MAP_BITS)
+
+
+def _bits(batches):
+    """(place, bits): words of the bitmap that keys set."""
+    for b in batches:
+        bit = np.sort(_bit(T.column(b, "key").to_numpy()))
+        if len(bit):
+            place = bit >> np.uint64(6)
+            first = _firsts(place)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(T.i64(place[first])), pa.array(T.i64(bits))], names=["place", "bits"])
+
+
+def key_map(weights: DataFrame) -> np.ndarray:
+    """Bitmap of keys; at most 1 << (MAP_BITS - 6) rows come to the driver."""
+    told = weights.select("key").mapInArrow(_bits, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << MAP_BITS - 6, np.int64)
+    out[told["place"].to_numpy()] = told["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def _look(keys: np.ndarray, names: np.ndarray):
     """Places of names among sorted keys, and which of them are there."""
     if not len(keys):
@@ -311,8 +347,8 @@ def _look(keys: np.ndarray, names: np.ndarray):
 
 
 class Model:
-    def __init__(self, head: Head, log_class: np.ndarray, words: pa.Table, n: int, v: int, tail_n: int, tail_v: int):
-        self.head, self.log_class, self.n, self.v = head, log_class, n, v
+    def __init__(self, head: Head, log_class: np.ndarray, words: pa.Table, joined: np.ndarray, n: int, v: int, tail_n: int, tail_v: int):
+        self.head, self.log_class, self.joined, self.n, self.v = head, log_class, joined, n, v
         key, value = words["key"].to_numpy(), words["value"].to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
@@ -343,7 +379,10 @@ class Model:
         name = (PAIR << 60) + (context[seen] << WIDE) + own[seen]
         spot, here = _look(self.pairs, name)
         out[seen[here]] += self.weights[spot[here]]
-        return out, np.concatenate((token, seen[~here])), np.concatenate((key, name[~here]))
+        token, key = np.concatenate((token, seen[~here])), np.concatenate((key, name[~here]))
+        bit = _bit(key)
+        maybe = np.flatnonzero(self.joined[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+        return out, token[maybe], key[maybe]
 
 
 def train(
@@ -367,17 +406,19 @@ def train(
     top = counts.where(level >= floor).toArrow()
     head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), min_pair)
     tail_n, tail_v = n - int(head.n.sum()), v - len(head.n)
-    events = text.mapInArrow(_events(sc.broadcast(head)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    kind = F.shiftright("key", 60)
-    events = stage(events.where((kind != PAIR) | (F.col("n") >= min_pair)), "events")
-    history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
-    histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
-    weights = train_classes(stage(histories, "histories"), rounds, rate, l2)
-    log_class = _log_softmax(weights, np.arange(BUCKETS * BUCKETS)) / math.log(10)
-    words = train_words(events, head)
+    with scratch(docs.sparkSession):
+        events = text.mapInArrow(_events(sc.broadcast(head)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        kind = F.shiftright("key", 60)
+        events = stage(events.where((kind != PAIR) | (F.col("n") >= min_pair)), "events")
+        history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
+        histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
+        weights = train_classes(stage(histories, "histories"), rounds, rate, l2)
+        log_class = _log_softmax(weights, np.arange(BUCKETS * BUCKETS)) / math.log(10)
+        words = train_words(events, head)
     often = F.col("n") >= math.ceil(n / max(1, max_pairs))
-    model = Model(head, log_class, words.where(often).select("key", "value").toArrow(), n, v, tail_n, tail_v)
-    return model, Tables(counts, words.where(~often).select("key", "value"))
+    rest = words.where(~often).select("key", "value")
+    model = Model(head, log_class, words.where(often).select("key", "value").toArrow(), key_map(rest), n, v, tail_n, tail_v)
+    return model, Tables(counts, rest)
 
 
 def _score(model):
@@ -402,7 +443,10 @@ def _score(model):
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(T.i64(h[far])))
                 doc = np.searchsorted(bounds, token, side="right") - 1
-                order = np.lexsort((key, doc))
+                if hi - lo <= NARROW:
+                    order = np.argsort(doc << 46 | (key >> 60 == AFTER).astype(np.int64) << 45 | key & (1 << 45) - 1)
+                else:
+                    order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
                 first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
                 cut = pa.array(np.searchsorted(doc[first], np.arange(hi - lo + 1)).astype(np.int32))
