@@ -45,6 +45,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,9 @@ FLUSH = 1 << 22
 #: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
 WIDE = 22
 CLASS_OF, PAIR, AFTER = 0, 1, 2
+#: Keys of a part that one task merges, and the packs that it gets.
+PART = 1 << 22
+PACKS = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
 #: Log2 of the bits of the bitmap of joined keys (16 MB).
 MAP_BITS = 27
 #: Documents of a slice up to which a document and a key fit 63 bits.
@@ -185,24 +189,56 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
 
 
-def _events(head):
-    """(key, n): class counts of hashed histories, pairs of contexts and words, classes after contexts."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]):
+    """Sorted keys with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    first = _firsts(key)
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts, by planes of bytes, compressed."""
+    planes = np.stack((np.diff(key, prepend=0), n)).astype("<i8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(blob: bytes, size: int):
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=16 * size), np.uint8).reshape(2, 8, size)
+    gap, n = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return np.cumsum(gap), n
+
+
+def _merge(least: int):
+    """(key, n) of all packs of a part; pairs only if they occur ``least`` times."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, n = _merged(*zip(*(_unpack(x.as_py(), k) for x, k in zip(t["blob"], t["size"].to_numpy()))))
+        keep = (key >> 60 != PAIR) | (n >= least)
+        return pa.table({"key": pa.array(key[keep]), "n": pa.array(n[keep])})
+
+    return run
+
+
+def _events(head, parts: int):
+    """(part, size, blob): packs of class counts of hashed histories, pairs of contexts and words, classes after contexts.
+
+    Parts are by the hash of a whole key, so no history makes one large, and a task sends each key once a flush.
+    """
 
     def run(batches):
         m = head.value
         classes = np.zeros(BUCKETS * BUCKETS * CLASSES, np.int64)
         held, size = [], 0
 
-        def merged():
-            key, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(key)
-            key = key[order]
-            first = _firsts(key)
-            return key[first], np.add.reduceat(n[order], first)
-
         def rows(key, n):
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"])
+            part = (T.mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            key, n, part = key[order], n[order], part[order]
+            first = _firsts(part)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist()):
+                yield pa.RecordBatch.from_pylist([{"part": int(part[lo]), "size": hi - lo, "blob": _pack(key[lo:hi], n[lo:hi])}], schema=PACKS)
 
         for b in batches:
             for _, _, data, off in T.slices(T.column(b, "text")):
@@ -220,13 +256,13 @@ def _events(head):
                 held.append(np.unique(np.concatenate((after, pair)), return_counts=True))
                 size += len(held[-1][0])
                 if size >= FLUSH:
-                    held = [merged()]
+                    held = [_merged(*zip(*held))]
                     size = len(held[0][0])
                     if size > FLUSH // 2:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*merged())
+            yield from rows(*_merged(*zip(*held)))
         some = np.flatnonzero(classes)
         yield from rows((CLASS_OF << 60) + (some // CLASSES << WIDE) + some % CLASSES, classes[some])
 
@@ -407,9 +443,10 @@ def train(
     head = Head(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), min_pair)
     tail_n, tail_v = n - int(head.n.sum()), v - len(head.n)
     with scratch(docs.sparkSession):
-        events = text.mapInArrow(_events(sc.broadcast(head)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        # a token makes at most two keys, and a history one more
+        packs = text.mapInArrow(_events(sc.broadcast(head), max(1, math.ceil(2 * n / PART))), "part long, size long, blob binary")
+        events = stage(packs.groupBy("part").applyInArrow(_merge(min_pair), "key long, n long"), "events")
         kind = F.shiftright("key", 60)
-        events = stage(events.where((kind != PAIR) | (F.col("n") >= min_pair)), "events")
         history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
         histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
         weights = train_classes(stage(histories, "histories"), rounds, rate, l2)
