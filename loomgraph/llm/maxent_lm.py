@@ -288,10 +288,12 @@ def _move_words(kind_of: np.ndarray, share_of: np.ndarray, rounds: int, l2: floa
             slope = n_pair - total[at] * p - l2 * theta
             theta = np.clip(theta + np.clip(slope / (total[at] * p + l2), -1, 1), -30, 30)
             z = 1 + np.bincount(at, weights=share * np.expm1(theta), minlength=len(group))
+        name = np.concatenate(((PAIR << 60) + (context << WIDE) + word, (AFTER << 60) + (group >> 5 << WIDE) + (group & 31)))
+        order = np.argsort(name)  # sorted keys take less room
         return pa.table({
-            "key": pa.array(np.concatenate(((PAIR << 60) + (context << WIDE) + word, (AFTER << 60) + (group >> 5 << WIDE) + (group & 31)))),
-            "value": pa.array(np.concatenate((theta, np.log(np.maximum(z, 1e-300)))) / math.log(10)),
-            "n": pa.array(np.concatenate((n_pair, total)).astype(np.int64)),
+            "key": pa.array(name[order]),
+            "value": pa.array((np.concatenate((theta, np.log(np.maximum(z, 1e-300)))) / math.log(10)).astype(np.float32)[order]),
+            "n": pa.array(np.concatenate((n_pair, total)).astype(np.int64)[order]),
         })
 
     return run
@@ -303,7 +305,7 @@ def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0
     wanted = events.where(F.shiftright("key", 60) != CLASS_OF)
     parts = max(1, math.ceil(wanted.count() / 200_000))
     grouped = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(parts)))
-    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value double, n long"), "weights", keep=True)
+    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value float, n long"), "weights", keep=True, codec="zstd")
 
 
 def _gradient(weights):
@@ -445,7 +447,7 @@ def train(
     with scratch(docs.sparkSession):
         # a token makes at most two keys, and a history one more
         packs = text.mapInArrow(_events(sc.broadcast(head), max(1, math.ceil(2 * n / PART))), "part long, size long, blob binary")
-        events = stage(packs.groupBy("part").applyInArrow(_merge(min_pair), "key long, n long"), "events")
+        events = stage(packs.groupBy("part").applyInArrow(_merge(min_pair), "key long, n long"), "events", codec="zstd")
         kind = F.shiftright("key", 60)
         history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
         histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
@@ -504,13 +506,14 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
     flag = F.col(held_out) if held_out else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
     kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>, keys array<long>, times array<int>"
-    scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds), "scored")
+    scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds), "scored", codec="zstd")
     tail = scored.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
     tail = tail.join(tables.counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum("k").alias("k"))
     pairs = scored.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    sign = F.when(F.shiftright("key", 60) == AFTER, -F.col("value")).otherwise(F.col("value"))
+    value = F.col("value").cast("double")
+    sign = F.when(F.shiftright("key", 60) == AFTER, -value).otherwise(value)
     pairs = pairs.join(tables.weights, "key").groupBy("uid").agg(F.sum(F.col("times") * sign).alias("inside"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return scored.drop("tail", "keys", "times").join(tail, "uid", "left").join(pairs, "uid", "left").select(

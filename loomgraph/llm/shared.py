@@ -45,7 +45,7 @@ def scratch(spark: SparkSession):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """df, written as a table in the shared folder and read back: no later failure recomputes what is above it.
 
     It is removed with the ``scratch`` around it, unless ``keep``.
@@ -54,7 +54,7 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not keep and getattr(_scratch, "paths", None) is not None:
         _scratch.paths.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
