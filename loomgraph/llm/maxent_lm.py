@@ -61,6 +61,7 @@ MAX_HEAD = 1 << 20
 MAX_PAIRS = 1 << 20
 MIN_PAIR = 2
 FLUSH = 1 << 22
+FLUSH_PAIRS = 1 << 21
 #: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
 WIDE = 22
 CLASS_OF, PAIR, AFTER = 0, 1, 2
@@ -255,10 +256,10 @@ def _events(head, parts: int):
                 pair = (PAIR << 60) + (context[seen] << WIDE) + own[seen]
                 held.append(np.unique(np.concatenate((after, pair)), return_counts=True))
                 size += len(held[-1][0])
-                if size >= FLUSH:
+                if size >= FLUSH_PAIRS:
                     held = [_merged(*zip(*held))]
                     size = len(held[0][0])
-                    if size > FLUSH // 2:
+                    if size > FLUSH_PAIRS // 2:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:
