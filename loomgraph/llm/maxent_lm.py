@@ -61,12 +61,12 @@ MAX_HEAD = 1 << 20
 MAX_PAIRS = 1 << 20
 MIN_PAIR = 2
 FLUSH = 1 << 22
-FLUSH_PAIRS = 1 << 21
+FLUSH_PAIRS = 1 << 20
 #: Keys of counts: their kind, then a history (shifted by WIDE) and a word or class.
 WIDE = 22
 CLASS_OF, PAIR, AFTER = 0, 1, 2
 #: Keys of a part that one task merges, and the packs that it gets.
-PART = 1 << 22
+PART = 1 << 21
 PACKS = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
 #: Log2 of the bits of the bitmap of joined keys (16 MB).
 MAP_BITS = 27
