@@ -8,10 +8,13 @@ link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact:
    of any size is one point.
 2. Shingles are hashed into m groups.  A link of sizes a <= b differs in at most
    ``d = (100-percent) (a+b) / (100+percent)`` shingles, so of the groups that a
-   document fills, any d+1 hold one that is equal in both.  The content of each group is a cell key; classes that
-   share a cell are candidates, and candidates hang together as a star around
-   the smallest class of the cell, which is linear in the cell.  A document with
-   too few filled groups for that argument also takes part in finer groupings.
+   document fills, any d+1 hold one that is equal in both.  The content of each group is a cell key.  A document with
+   too few filled groups for that argument also takes part in finer groupings.  Cells are
+   ordered by the number of classes that have them, and of a grouping a class keeps the d+1 first (d as for its own size): the first cell
+   that two linked classes share has at most d cells of either before it, so both keep it.  The others are mostly cells
+   of passages that many documents quote, which would make candidates of all that quote them.  Classes
+   that keep a cell are candidates, and candidates hang together as a star around
+   the smallest class of the cell, which is linear in the cell.
 3. Connected candidates are compared through an R-tree over their group-count
    vectors.  The overlap of a query with anything below a node is at most the sum
    of the coordinate minima of the query and the node's upper corner.  Larger
@@ -51,6 +54,8 @@ REFINE_ABOVE = 32
 BLOCK = 2 << 20  # shingles (of 8 bytes) or groups of vectors in a block
 KEYS_PER_PART = 1_000_000
 FLUSH_KEYS = 1_000_000
+#: Of a cell that has more rows than this in a task, one row goes to the part of the cell.
+CELL_ROWS = 1024
 
 
 def _sets(data, off, k):
@@ -116,6 +121,10 @@ class Bands:
         self.reach = self.hi * 100 // percent
         self.d = (100 - percent) * (self.hi + self.reach) // (100 + percent)
 
+    def of_size(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """What a set of size n and one that it links with, by this band, differ in at most."""
+        return (100 - self.percent) * (n + np.minimum(n * 100 // self.percent, self.reach[band])) // (100 + self.percent)
+
     def of(self, n: np.ndarray):
         """(index into n, band) of every band that a size takes part in."""
         own = np.searchsorted(self.lo, n, side="right") - 1
@@ -132,17 +141,25 @@ class Bands:
 
 def _cell_keys(u, bounds, percent):
     """(document, key) of all cells of the documents of a slice."""
+    return _marked_keys(u, bounds, percent)[:2]
+
+
+def _marked_keys(u, bounds, percent):
+    """(document, key, mark) of all cells of the documents of a slice.
+
+    A mark is 256 * the grouping (from 1 on) + the cells beyond d+1 that the document has in it, 255 at most; d is here of its own size.
+    """
     n = np.diff(bounds)
     # the closest different sets of size n are n and n + 1, or n - 1 and n: one inside the other
     live = np.flatnonzero((n > 0) & (100 * n >= percent * (n + 1)))
     if not len(live):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
     bands = Bands(percent, int(n[live].max()))
     row, band = bands.of(n[live])
     doc = live[row]
-    docs, keys = [], []
+    docs, keys, marks = [], [], []
     for level in range(3):
-        d = bands.d[band]
+        d, own = bands.d[band], bands.of_size(n[doc], band)
         m = (d + 1 + (d + 8) // 8 + 3) if level == 0 else 4 * (d + 1) + 64
         if level == 2:
             m = np.full(len(d), 1 << 40, np.int64)
@@ -152,6 +169,7 @@ def _cell_keys(u, bounds, percent):
         if level == 2:
             docs.append(doc[e])
             keys.append(T.mix(x))
+            marks.append(_marks(band * 4 + level, n[doc] - own - 1)[e])
             break
         base = np.concatenate(([0], np.cumsum(m)))
         slot = base[e] + ((x >> np.uint64(20)) % m[e].astype(np.uint64)).astype(np.int64)
@@ -162,11 +180,17 @@ def _cell_keys(u, bounds, percent):
         tag = ((filled - base[owner]) * 256 + band[owner] * 4 + level).astype(np.uint64)
         docs.append(doc[owner])
         keys.append(T.mix(total[filled] + tag * np.uint64(0xC2B2AE3D27D4EB4F)))
-        few = np.flatnonzero(np.bincount(owner, minlength=len(doc)) <= d)
+        full = np.bincount(owner, minlength=len(doc))
+        marks.append(_marks(band * 4 + level, full - own - 1)[owner])
+        few = np.flatnonzero(full <= d)
         if not len(few):
             break
         doc, band = doc[few], band[few]
-    return np.concatenate(docs), np.concatenate(keys)
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(marks)
+
+
+def _marks(grouping, spare):
+    return ((grouping + 1) * 256 + np.clip(spare, 0, 255)).astype(np.uint16)
 
 
 def _points(k, percent, id_col, text_col):
@@ -185,30 +209,11 @@ def _points(k, percent, id_col, text_col):
 
 
 def _cells(k, percent, parts, text_col):
-    """Cell keys of all distinct sets of a task, packed by the part that gathers them.
-
-    A cell that several sets of the task share is sent once, with its smallest class; the others become links here
-    (kind 1), so a hot cell reaches its part with a few rows of each task.
-    """
+    """Cells of all distinct sets of a task, packed by the part that gathers them."""
 
     def run(batches):
         seen: set[int] = set()
         held, size = [], 0
-
-        def flush():
-            key = np.concatenate([x[0] for x in held])
-            cid = np.concatenate([x[1] for x in held]).view(np.int64)
-            order = np.argsort(key, kind="stable")
-            key, cid = key[order], cid[order]
-            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-            low = np.minimum.reduceat(cid, first)
-            a, b = _distinct(np.repeat(low, np.diff(np.append(first, len(key)))), cid)
-            key = key[first]
-            rows = _packed(0, key % np.uint64(parts), (key >> np.uint64(32)).astype(np.uint32), low)
-            rows += _packed(1, T.mix(b.view(np.uint64)) % np.uint64(parts), a, b)
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "cids"])
-
         for b in batches:
             for _, _, data, off in T.slices(T.column(b, text_col)):
                 u, at = _sets(data, off, k)
@@ -220,15 +225,110 @@ def _cells(k, percent, parts, text_col):
                         new[i] = True
                 n = np.where(new, np.diff(at), 0)
                 u = u[np.repeat(new, np.diff(at))]
-                doc, key = _cell_keys(u, np.concatenate(([0], np.cumsum(n))), percent)
+                doc, key, mark = _marked_keys(u, np.concatenate(([0], np.cumsum(n))), percent)
                 if len(key):
-                    held.append((key, one[doc]))
+                    held.append((key, T.i64(one)[doc], mark))
                     size += len(key)
                 if size >= FLUSH_KEYS:
-                    yield flush()
+                    yield _cell_packs(*map(np.concatenate, zip(*held)), parts)
                     held, size = [], 0
         if held:
-            yield flush()
+            yield _cell_packs(*map(np.concatenate, zip(*held)), parts)
+    return run
+
+
+def _cell_packs(key, cid, mark, parts):
+    """Packs of (cell, class, mark) by part.  A cell's number is its part and 32 bits of its key.
+
+    The rows of a cell with more than CELL_ROWS rows become a cell of their own, whose smallest class also stands for them
+    in the cell that other tasks share, so a hot cell has few rows of each task.  These rows have mark 0, which keeps them,
+    as have rows of a class whose cells got one number.  As their place in the order is not known, the class drops one
+    other cell of the grouping less for each.
+    """
+    number = lambda x: T.i64(x % np.uint64(parts) << np.uint64(32) | x >> np.uint64(32))
+    cell = number(key)
+    order = np.argsort(cell)
+    cell, cid, mark = cell[order], cid[order], mark[order]
+    keep = np.zeros(len(cell), bool)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    count = np.diff(np.append(first, len(cell)))
+    if (hot := count > CELL_ROWS).any():
+        low, keep = np.minimum.reduceat(cid, first), np.repeat(hot, count)
+        own = number(T.mix(cell.view(np.uint64) ^ T.mix(np.repeat(low, count).view(np.uint64))))
+        cell = np.concatenate((np.where(keep, own, cell), cell[first[hot]]))
+        cid, mark = np.concatenate((cid, low[hot])), np.concatenate((mark, np.zeros(hot.sum(), np.uint16)))
+        keep = np.concatenate((keep, np.ones(hot.sum(), bool)))
+        order = np.argsort(cell)
+        cell, cid, mark, keep = cell[order], cid[order], mark[order], keep[order]
+    same = cell[1:] == cell[:-1]
+    many = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    many = many[np.lexsort((cid[many], cell[many]))]
+    again = np.flatnonzero((np.diff(cell[many]) == 0) & (np.diff(cid[many]) == 0))
+    keep[many[again]] = keep[many[again + 1]] = True
+    if keep.any():
+        group = (mark >> 8).astype(np.int64)
+        order = np.lexsort((group, cid))
+        run = np.cumsum((np.diff(cid[order], prepend=~cid[order[:1]]) != 0) | (np.diff(group[order], prepend=-1) != 0)) - 1
+        less = np.bincount(run, weights=keep[order])[run].astype(np.int64)
+        mark[order] = mark[order] - np.minimum(less, mark[order] & 255).astype(np.uint16)
+        mark[keep] = 0
+    return _packs(cell >> 32, keys=cell.astype(np.uint32), cids=cid, marks=mark)
+
+
+def _packs(part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: bytes of what it gets of each column."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order].astype(np.int64), {name: x[order] for name, x in columns.items()}
+    cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(1, int)
+    blobs = [pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *blobs], names=["part", *columns])
+
+
+def _open(t: pa.Table, **kinds) -> list[np.ndarray]:
+    """Columns of all packs of a part."""
+    return [np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()]) for name, kind in kinds.items()]
+
+
+def _shared(parts):
+    """Cells of a part that several classes have: cell, class, mark and the number of classes, packed by class."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, cid, mark = _open(t, keys=np.uint32, cids=np.int64, marks=np.uint16)
+        order = np.argsort(key)
+        same = np.diff(key[order].astype(np.int64)) == 0
+        order = order[np.append(same, False) | np.append(False, same)]
+        key, cid, mark = key[order], cid[order], mark[order]
+        order = np.lexsort((mark, cid, key))
+        key, cid, mark = key[order].astype(np.int64), cid[order], mark[order]
+        # rows that repeat a class come from its copies in several tasks
+        one = (np.diff(key, prepend=-1) != 0) | (np.diff(cid, prepend=0) != 0)
+        key, cid, mark = key[one], cid[one], mark[one]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(np.append(first, len(key)))
+        n = np.repeat(n, n)
+        some = n > 1
+        cell = (int(t["part"][0].as_py()) << 32) + key[some]
+        to = T.mix(cid[some].view(np.uint64)) % np.uint64(parts)
+        return pa.Table.from_batches([_packs(to, cells=cell, cids=cid[some], marks=mark[some], counts=n[some].astype(np.uint32))])
+
+    return run
+
+
+def _first_cells(parts):
+    """Cells that the classes of a part keep: of each grouping all but the last spare ones, by number of classes; packed by cell."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cell, cid, mark, n = _open(t, cells=np.int64, cids=np.int64, marks=np.uint16, counts=np.uint32)
+        group = (mark >> 8).astype(np.int64)
+        order = np.lexsort((cell, n, group, cid))
+        cell, cid, mark, group = cell[order], cid[order], mark[order], group[order]
+        first = np.flatnonzero((np.diff(cid, prepend=~cid[:1]) != 0) | (np.diff(group, prepend=-1) != 0))
+        size = np.diff(np.append(first, len(cell)))
+        spare = np.minimum.reduceat((mark & 255).astype(np.int64), first) if len(first) else size
+        keep = np.arange(len(cell)) < np.repeat(first + size - spare, size)
+        cell, cid = cell[keep], cid[keep]
+        return pa.Table.from_batches([_packs(T.mix(cell.view(np.uint64)) % np.uint64(parts), cells=cell, cids=cid)])
+
     return run
 
 
@@ -243,27 +343,14 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def _packed(kind: int, part: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple]:
-    """(part, kind, bytes, bytes) of two arrays, by part."""
-    order = np.argsort(part, kind="stable")
-    part, one, two = part[order].astype(np.int64), one[order], two[order]
-    cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-    return [(int(part[a]), kind, one[a:z].tobytes(), two[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:])]
-
-
 def _stars(t: pa.Table) -> pa.Table:
-    """Candidate links of one part: each class with the smallest class of its cell, and the links that tasks have sent."""
-    kind, keys, cids = t["kind"].to_numpy(), t["keys"].to_pylist(), t["cids"].to_pylist()
-    join = lambda blobs, d: np.concatenate([np.zeros(0, d), *(np.frombuffer(x, d) for x in blobs)])
-    cells, links = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-    key, cid = join((keys[i] for i in cells), np.uint32), join((cids[i] for i in cells), np.int64)
-    order = np.argsort(key, kind="stable")
-    key, cid = key[order], cid[order]
-    first = np.flatnonzero(np.diff(key.astype(np.int64), prepend=-1))
-    low = np.repeat(np.minimum.reduceat(cid, first), np.diff(np.append(first, len(key)))) if len(key) else cid
-    a = np.concatenate((low, join((keys[i] for i in links), np.int64)))
-    b = np.concatenate((cid, join((cids[i] for i in links), np.int64)))
-    a, b = _distinct(a, b)
+    """Candidate links of one part: each class with the smallest class of its cell."""
+    cell, cid = _open(t, cells=np.int64, cids=np.int64)
+    order = np.argsort(cell)
+    cell, cid = cell[order], cid[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    low = np.repeat(np.minimum.reduceat(cid, first), np.diff(np.append(first, len(cell)))) if len(cell) else cid
+    a, b = _distinct(low, cid)
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
@@ -464,9 +551,11 @@ def jaccard_components(
     if told["clash"]:
         raise RuntimeError("two different shingle sets have one 64-bit class id")
     parts = max(1, math.ceil(0.4 * (told["n"] or 0) / KEYS_PER_PART))
-    cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, kind long, keys binary, cids binary")
-    near = cells.groupBy("part").applyInArrow(_stars, "a long, b long")
-    near = components(near).withColumnsRenamed({"node": "cid", "root": "comp"})
+    cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, keys binary, cids binary, marks binary")
+    fewer = max(1, parts // 4)
+    cells = cells.groupBy("part").applyInArrow(_shared(fewer), "part long, cells binary, cids binary, marks binary, counts binary")
+    cells = cells.groupBy("part").applyInArrow(_first_cells(fewer), "part long, cells binary, cids binary")
+    near = components(cells.groupBy("part").applyInArrow(_stars, "a long, b long")).withColumnsRenamed({"node": "cid", "root": "comp"})
     near = near.join(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
     near = stage(near.join(classes.select("cid", "doc_id", "key", "n"), "cid"), "candidates")
     many = near.where(F.col("size") > REFINE_ABOVE).drop("size")
