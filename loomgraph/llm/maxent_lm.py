@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .shared import scratch, stage
+from .shared import drop_shuffles, scratch, stage
 
 END = np.uint64(0x5851F42D4C957F2D)
 CLASSES = 16
@@ -507,11 +507,14 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
     flag = F.col(held_out) if held_out else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
     kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>, keys array<long>, times array<int>"
+    drop_shuffles(spark)  # what training has shuffled
     scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds), "scored")
     tail = scored.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
     tail = tail.join(tables.counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum("k").alias("k"))
+    tail = stage(tail, "tails")
+    drop_shuffles(spark)  # those of rare words, before pairs are shuffled
     pairs = scored.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     value = F.col("value").cast("double")
     sign = F.when(F.shiftright("key", 60) == AFTER, -value).otherwise(value)

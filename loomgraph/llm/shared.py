@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -58,6 +59,13 @@ def stage(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more are removed now, and not when the driver's heap fills up."""
+    for _ in range(2):  # the plans that Python lets go, then what those held
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 #: A key is hot if it holds at least one in so many rows; so there are at most this many hot keys.
 HOT_KEYS = 1000
 

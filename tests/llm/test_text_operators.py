@@ -889,3 +889,25 @@ def test_large_arrivals_are_compacted(spark, tmp_path):
     assert sizes and max(sizes) < 1.5 * target and min(sizes) > target / 4
     assert store.compact(schema) == version
     assert sorted(map(str, store.read(schema).drop("shard").collect())) == before
+
+
+def test_shuffles_of_training_are_gone_when_texts_are_scored(spark, monkeypatch):
+    import time
+
+    from loomgraph.llm import maxent_lm
+
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    docs = spark.createDataFrame([(i, f"a b c a b {i % 3}") for i in range(20)], "doc_id long, text string")
+    model, tables = maxent_lm.train(docs)
+    trained, left, stage = kept.size(), [], maxent_lm.stage
+
+    def staged(df, name, **args):
+        end = time.time() + 10
+        while kept.size() > trained - 3 and time.time() < end:
+            time.sleep(0.1)
+        left.append(kept.size())
+        return stage(df, name, **args)
+
+    monkeypatch.setattr(maxent_lm, "stage", staged)
+    assert maxent_lm.score(docs, model, tables).count() == 20
+    assert left[0] <= trained - 3
