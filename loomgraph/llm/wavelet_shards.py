@@ -220,6 +220,22 @@ _SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]+")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LATIN = np.zeros(256, bool)  # second bytes of letters whose first byte is 0xC3
+_LATIN[[b for b in range(128, 192) if b not in (0x97, 0xB7)]] = True
+
+
+def part_marks(w: T.Words) -> None:
+    """Makes the last character of a word, an ASCII mark after a letter, a word of its own: pieces part there, whatever else the word holds."""
+    last = w.end - 1
+    one, two = w.data[np.maximum(last - 1, 0)], w.data[np.maximum(last - 2, 0)]
+    cut = np.flatnonzero((last > w.start) & _MARK[w.data[last]] & (_LETTER[one] | _LATIN[one] & (two == 0xC3)))
+    w.start, w.end = np.insert(w.start, cut + 1, last[cut]), np.insert(w.end, cut, last[cut])
+    w.bounds = w.bounds + np.searchsorted(cut, w.bounds)
+
+
 def byte_char(b: int) -> str:
     """The character that byte-level vocabularies write for a byte: itself if it is printable, else the next free one from 256 on."""
     printable = lambda c: 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255
@@ -230,7 +246,8 @@ class WordCache:
     """Token ids of texts whose words are encoded once, by the tokenizers library.
 
     Right for tokenizers that lower-case, drop ASCII white space and never join over it, as ``word_bpe_49k`` does;
-    a text that may hold a special token is encoded as a whole.  New words are encoded hundreds to a text, which
+    a text that may hold a special token is encoded as a whole.  A mark at the end of a word is a word of its own, so
+    most words are known ones.  New words are encoded hundreds to a text, which
     costs a third of one by one; each piece of a word ends in one token with the end mark, so the pieces of the
     words are counted off.  A batch where the counts disagree is encoded word by word.  Words are found by one
     64-bit hash of their lower-cased bytes and confirmed by a second; a slice in which two words share the first
@@ -335,6 +352,7 @@ class WordCache:
                 parts.append(self._each([raw[a:z].decode()]) if special else self.encode_slice(data[a:z], np.array([0, z - a])))
             return np.concatenate([ids.astype(self.flat.dtype) for ids, _ in parts]), np.concatenate([n for _, n in parts])
         w = T.Words(data, off)
+        part_marks(w)
         if len(self.names) > self.limit:
             self._shrink()
         h, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)

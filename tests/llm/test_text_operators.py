@@ -262,6 +262,26 @@ def test_word_cache_is_bounded():
     assert len(cache.names) == len(cache.place) < 700 and (np.diff(cache.names.astype(float)) > 0).all()
 
 
+def test_marks_after_words_are_words():
+    """A word is learned once, whatever mark follows it, and texts are encoded as the library does."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    ends = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    rows = [" ".join(f"river{m} CAFÉ{m}" for m in ends)]
+    cache = W.WordCache(tokenizer_path())
+    for _, _, data, off in T.slices(pa.array(rows)):
+        assert cache.encode_slice(data, off)[0].tolist() == tok.encode(rows[0], add_special_tokens=False).ids
+    assert len(cache.names) == len(ends) + 2
+    heads = ["", "it's", "it'", "x.", "7", "a7", "×", "÷", "a×", "x\u0301", "Σ", "aΣ", "º", "µ", "é", "e\u0301", "İ", "\u3000a", "日本", "<", "a<b"]
+    odd = [h + m + n for h in heads for m in ends for n in ("", "s", "'s", ".", "\u0338")] + heads
+    rows = [" ".join(odd), *odd, "".join(odd).replace("<|", "<")]
+    for _, _, data, off in T.slices(pa.array(rows)):
+        ids, n = cache.encode_slice(data, off)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in rows]
+        assert ids.tolist() == [i for t in want for i in t] and n.tolist() == [len(t) for t in want]
+
+
 # quality
 
 
