@@ -158,7 +158,7 @@ def learned(docs: DataFrame, limits: Limits | None = None, text_col: str = "text
     """
     limits = limits or Limits()
     text = docs.select(F.col(text_col).cast("string").alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    rows = text.mapInArrow(_learn(limits), "key long, step long, ratio long, chunks array<long>").dropDuplicates(["key"])
+    rows = text.mapInArrow(T.lean(_learn(limits)), "key long, step long, ratio long, chunks array<long>").dropDuplicates(["key"])
     rows = stage(rows, "ratios")
     told = rows.groupBy("step", "ratio").agg(F.count(F.lit(1)).alias("n")).toPandas()
     chunks = rows.select(F.explode("chunks").alias("ratio")).groupBy("ratio").agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -230,7 +230,7 @@ def _judge(limits: Limits):
 def quality_bands(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the measures, the ratios and the verdict ``kept``; without limits, by those learned from docs."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text.mapInArrow(_judge(limits or learned(text)), COLUMNS)
+    return text.mapInArrow(T.lean(_judge(limits or learned(text))), COLUMNS)
 
 
 def _filter(limits: Limits, text_col: str):
@@ -249,4 +249,4 @@ def _filter(limits: Limits, text_col: str):
 
 def keep_good(docs: DataFrame, limits: Limits | None = None, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, with all their columns; without limits, by those learned from docs."""
-    return docs.mapInArrow(_filter(limits or learned(docs, text_col=text_col), text_col), docs.schema)
+    return docs.mapInArrow(T.lean(_filter(limits or learned(docs, text_col=text_col), text_col)), docs.schema)

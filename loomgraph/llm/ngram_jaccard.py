@@ -542,7 +542,7 @@ def jaccard_components(
     """(doc_id, key, n_shingles, class_id, component_id) of every row; see the module's text.  key: xxhash64 of the text."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     kinds = "doc_id long, key long, n long, cid long, cid2 long, counts binary"
-    members = stage(text.mapInArrow(_points(k, percent, "doc_id", "text"), kinds), "members")
+    members = stage(text.mapInArrow(T.lean(_points(k, percent, "doc_id", "text")), kinds), "members")
     # a class is represented by one row: that of its smallest id, or of a null id if it has no other
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
     classes = members.where("n > 0").groupBy("cid").agg(first, F.first("n").alias("n"), F.min("cid2").alias("x"), F.max("cid2").alias("y"))
@@ -551,11 +551,11 @@ def jaccard_components(
     if told["clash"]:
         raise RuntimeError("two different shingle sets have one 64-bit class id")
     parts = max(1, math.ceil(0.4 * (told["n"] or 0) / KEYS_PER_PART))
-    cells = text.select("text").mapInArrow(_cells(k, percent, parts, "text"), "part long, keys binary, cids binary, marks binary")
+    cells = text.select("text").mapInArrow(T.lean(_cells(k, percent, parts, "text")), "part long, keys binary, cids binary, marks binary")
     fewer = max(1, parts // 4)
-    cells = cells.groupBy("part").applyInArrow(_shared(fewer), "part long, cells binary, cids binary, marks binary, counts binary")
-    cells = cells.groupBy("part").applyInArrow(_first_cells(fewer), "part long, cells binary, cids binary")
-    near = components(cells.groupBy("part").applyInArrow(_stars, "a long, b long")).withColumnsRenamed({"node": "cid", "root": "comp"})
+    cells = cells.groupBy("part").applyInArrow(T.lean_table(_shared(fewer)), "part long, cells binary, cids binary, marks binary, counts binary")
+    cells = cells.groupBy("part").applyInArrow(T.lean_table(_first_cells(fewer)), "part long, cells binary, cids binary")
+    near = components(cells.groupBy("part").applyInArrow(T.lean_table(_stars), "a long, b long")).withColumnsRenamed({"node": "cid", "root": "comp"})
     near = near.join(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
     near = stage(near.join(classes.select("cid", "doc_id", "key", "n"), "cid"), "candidates")
     many = near.where(F.col("size") > REFINE_ABOVE).drop("size")
@@ -565,13 +565,13 @@ def jaccard_components(
     deals = _deal(many, groups, 2 * block)  # vectors are narrower than sets
     short = members.select("doc_id", "key", "counts")
     deals = deals.join(short, _same_row(deals, short)).select("task", "comp", "cid", "counts")
-    finer = deals.groupBy("task").applyInArrow(_refine_task(percent), "a long, b long")
+    finer = deals.groupBy("task").applyInArrow(T.lean_table(_refine_task(percent)), "a long, b long")
     finer = components(finer).withColumnsRenamed({"node": "cid", "root": "comp"}).join(classes.select("cid", "doc_id", "key", "n"), "cid")
     some = stage(near.where(F.col("size") <= REFINE_ABOVE).drop("size").unionByName(finer), "candidates")
     ships = _deal(some, F.col("n"), block)
     ships = ships.join(text, _same_row(ships, text)).select("task", "comp", "cid", "text")
-    links = ships.mapInArrow(_ship_sets(k, "text"), "task string, comp long, cid long, shingles binary")
-    links = links.groupBy("task").applyInArrow(_link_task(percent), "a long, b long")
+    links = ships.mapInArrow(T.lean(_ship_sets(k, "text")), "task string, comp long, cid long, shingles binary")
+    links = links.groupBy("task").applyInArrow(T.lean_table(_link_task(percent)), "a long, b long")
     roots = components(links).withColumnsRenamed({"node": "cid"})
     ids = classes.select("cid", "doc_id").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))

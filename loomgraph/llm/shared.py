@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import lean
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -141,7 +143,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, o
 
     seen = state(now)
     if seen[0] <= (ONE_TASK_LINKS if one_task is None else one_task):
-        return stage(now.coalesce(1).mapInArrow(_solve, "node long, root long"), "components")
+        return stage(now.coalesce(1).mapInArrow(lean(_solve), "node long, root long"), "components")
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -423,7 +423,7 @@ def write_shards(
         raise ValueError(f"id {top} of the vocabulary needs more than {bits} bits")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = stage(rows.mapInArrow(_write(path, end_id, bits, shard_tokens), "part long, shard long, n_docs long, n_tokens long, before long, file binary"), "wavelet")
+    shards = stage(rows.mapInArrow(T.lean(_write(path, end_id, bits, shard_tokens)), "part long, shard long, n_docs long, n_tokens long, before long, file binary"), "wavelet")
     # one figure for each task that wrote: bounded by the number of partitions, not by the rows or shards
     total, base = 0, []
     for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
@@ -448,7 +448,7 @@ def _read(batches):
 
 def read_digest(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the shards' files."""
-    out = shards.select("base", "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = shards.select("base", "file").mapInArrow(T.lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 

@@ -83,3 +83,39 @@ def test_clashing_columns_and_long_texts(spark):
         kept = after
     end = {x.doc_id: x.n_tokens for x in C.STAGES[4][1](spark, kept.unionByName(docs.where("doc_id = 102")), SF).collect()}
     assert end[102] > 1000 and (100 not in end or end[100] > 250_000)
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """Every Arrow function of the stages that run before others ends by returning what is free, and that lowers what the process holds."""
+    import subprocess
+    import sys
+
+    from loomgraph.llm import compression_bands, ngram_jaccard, textkit
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j " * 9 + str(i)) for i in range(9)], "doc_id long, text string")
+    run, found = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *args: found.append(f) or run(df, f, *args))
+    ngram_jaccard.keep_one(compression_bands.keep_good(docs), k=5, percent=80).count()
+    given = []
+    monkeypatch.setattr(textkit, "give_back", lambda: given.append(1))
+    assert len(found) >= 6 and all(not list(f(iter(()))) for f in found)
+    assert len(given) == len(found)
+    held = """
+import re
+import numpy as np
+from loomgraph.llm import textkit
+
+pins = []
+
+def run(batches):
+    np.ones(32 << 20, np.uint8)  # from now on such arrays come from the heap
+    rows = [np.ones(1 << 20, np.uint8) for _ in range(200)]
+    pins.extend(np.ones(1 << 16, np.uint8) for _ in range(9))
+    yield len(rows)
+
+anon = lambda: int(re.search(r"Anonymous: *(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+before = anon()
+list(textkit.lean(run)(()))
+print(anon() - before)
+"""
+    assert int(subprocess.run([sys.executable, "-c", held], capture_output=True, check=True, text=True).stdout) < 60
