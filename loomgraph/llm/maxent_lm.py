@@ -72,6 +72,8 @@ PACKS = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("blob", pa.binar
 MAP_BITS = 27
 #: Documents of a slice up to which a document and a key fit 63 bits.
 NARROW = 1 << 17
+#: Parts of the keys that are joined one after the other, by the last bits of a key; the shuffle of one is on the disks at a time.
+HALVES = 2
 
 
 def _tokens(data, off):
@@ -306,7 +308,7 @@ def train_words(events: DataFrame, head: Head, rounds: int = 60, l2: float = 1.0
     wanted = events.where(F.shiftright("key", 60) != CLASS_OF)
     parts = max(1, math.ceil(wanted.count() / 200_000))
     grouped = wanted.groupBy(F.pmod(F.xxhash64(context), F.lit(parts)))
-    return stage(grouped.applyInArrow(_move_words(head.kind_of, head.share_of, rounds, l2), "key long, value float, n long"), "weights", keep=True, codec="zstd")
+    return stage(grouped.applyInArrow(T.lean_table(_move_words(head.kind_of, head.share_of, rounds, l2)), "key long, value float, n long"), "weights", keep=True, codec="zstd")
 
 
 def _gradient(weights):
@@ -431,7 +433,7 @@ def train(
     """(Model, Tables) from all rows of docs."""
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = text.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = text.mapInArrow(T.lean(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "word-counts")
     # least count of a word that travels with the model: from a histogram of at most 8 * 64 levels
     level = F.floor(8 * F.log2("n")).cast("int")
@@ -447,8 +449,8 @@ def train(
     tail_n, tail_v = n - int(head.n.sum()), v - len(head.n)
     with scratch(docs.sparkSession):
         # a token makes at most two keys, and a history one more
-        packs = text.mapInArrow(_events(sc.broadcast(head), max(1, math.ceil(2 * n / PART))), "part long, size long, blob binary")
-        events = stage(packs.groupBy("part").applyInArrow(_merge(min_pair), "key long, n long"), "events", codec="zstd")
+        packs = text.mapInArrow(T.lean(_events(sc.broadcast(head), max(1, math.ceil(2 * n / PART)))), "part long, size long, blob binary")
+        events = stage(packs.groupBy("part").applyInArrow(T.lean_table(_merge(min_pair)), "key long, n long"), "events", codec="zstd")
         kind = F.shiftright("key", 60)
         history, one = F.shiftright("key", WIDE).alias("history"), F.col("key").bitwiseAND((1 << WIDE) - 1)
         histories = events.where(kind == CLASS_OF).groupBy(history).agg(*(F.coalesce(F.sum(F.when(one == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(CLASSES)))
@@ -461,7 +463,7 @@ def train(
     return model, Tables(counts, rest)
 
 
-def _score(model):
+def _score(model, halves):
     def run(batches):
         from pyspark import TaskContext
 
@@ -489,12 +491,16 @@ def _score(model):
                     order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
                 first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-                cut = pa.array(np.searchsorted(doc[first], np.arange(hi - lo + 1)).astype(np.int32))
-                keys, times = (pa.ListArray.from_arrays(cut, pa.array(x)) for x in (key[first], np.diff(np.append(first, len(key))).astype(np.int32)))
+                doc, key, times = doc[first], key[first], np.diff(np.append(first, len(key))).astype(np.int32)
+                lists = []
+                for half in range(halves):
+                    some = key % halves == half
+                    cut = pa.array(np.searchsorted(doc[some], np.arange(hi - lo + 1)).astype(np.int32))
+                    lists += [pa.ListArray.from_arrays(cut, pa.array(x[some])) for x in (key, times)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid + np.arange(hi - lo)), ids.slice(lo, hi - lo), held.slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(T.seg_sum(known.astype(np.int64), bounds)),
-                     pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(score, bounds[:-1])), tail, keys, times],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", "keys", "times"],
+                     pa.array(np.add.reduceat(base, bounds[:-1])), pa.array(np.add.reduceat(score, bounds[:-1])), tail, *lists],
+                    names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail", *(f"{x}{half}" for half in range(halves) for x in ("keys", "times"))],
                 )
                 uid += hi - lo
 
@@ -506,24 +512,30 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
     spark = docs.sparkSession
     flag = F.col(held_out) if held_out else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
-    kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>, keys array<long>, times array<int>"
+    kinds = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<long>"
+    kinds += "".join(f", keys{half} array<long>, times{half} array<int>" for half in range(HALVES))
     drop_shuffles(spark)  # what training has shuffled
-    scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds), "scored")
+    scored = stage(rows.mapInArrow(T.lean(_score(spark.sparkContext.broadcast(model), HALVES)), kinds), "scored")
     tail = scored.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
     tail = tail.join(tables.counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(c + 1)).alias("logs"), F.sum("k").alias("k"))
     tail = stage(tail, "tails")
-    drop_shuffles(spark)  # those of rare words, before pairs are shuffled
-    pairs = scored.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     value = F.col("value").cast("double")
     sign = F.when(F.shiftright("key", 60) == AFTER, -value).otherwise(value)
-    pairs = pairs.join(tables.weights, "key").groupBy("uid").agg(F.sum(F.col("times") * sign).alias("inside"))
+    out, sums = scored.select("uid", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score").join(tail, "uid", "left"), []
+    for half in range(HALVES):
+        drop_shuffles(spark)  # those of rare words, then those of the keys before
+        pairs = scored.select("uid", F.explode(F.arrays_zip(f"keys{half}", f"times{half}")).alias("x")).select("uid", F.col(f"x.keys{half}").alias("key"), F.col(f"x.times{half}").alias("times"))
+        pairs = pairs.join(tables.weights.where(F.col("key") % HALVES == half), "key").groupBy("uid").agg(F.sum(F.col("times") * sign).alias(f"inside{half}"))
+        out = out.join(pairs if half == HALVES - 1 else stage(pairs, "sums"), "uid", "left")
+        del pairs
+        sums.append(f"inside{half}")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("tail", "keys", "times").join(tail, "uid", "left").join(pairs, "uid", "left").select(
+    return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("head_known") + zero("known")).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("head_base") + zero("logs") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"),
-        (F.col("head_score") + zero("inside") + zero("logs") - zero("k") * F.lit(model.tail)).alias("score"),
+        (F.col("head_score") + sum(map(zero, sums), F.lit(0.0)) + zero("logs") - zero("k") * F.lit(model.tail)).alias("score"),
     )

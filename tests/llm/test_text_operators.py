@@ -931,3 +931,19 @@ def test_shuffles_of_training_are_gone_when_texts_are_scored(spark, monkeypatch)
     monkeypatch.setattr(maxent_lm, "stage", staged)
     assert maxent_lm.score(docs, model, tables).count() == 20
     assert left[0] <= trained - 3
+
+
+def test_keys_are_joined_in_halves(spark, monkeypatch):
+    """The shuffles of one half of the keys are dropped before the next is joined, and no score depends on how many parts there are."""
+    words = random.Random(2).choices([f"w{i}" for i in range(30)], k=3000)
+    docs = spark.createDataFrame([(i, " ".join(words[30 * i : 30 * i + 30])) for i in range(100)], "doc_id long, text string")
+    model, tables = E.train(docs, max_pairs=1)
+    assert tables.weights.count() > 100
+    steps, scores, real_stage, real_drop = [], [], E.stage, E.drop_shuffles
+    monkeypatch.setattr(E, "drop_shuffles", lambda spark: steps.append("drop") or real_drop(spark))
+    monkeypatch.setattr(E, "stage", lambda df, name, **args: steps.append(name) or real_stage(df, name, **args))
+    for halves in (2, 1, 3):
+        monkeypatch.setattr(E, "HALVES", halves)
+        scores.append([x.score for x in E.score(docs, model, tables).orderBy("doc_id").collect()])
+    assert steps[:6] == ["drop", "scored", "tails", "drop", "sums", "drop"]
+    assert scores[0] == pytest.approx(scores[1]) == pytest.approx(scores[2])
