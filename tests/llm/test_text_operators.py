@@ -946,4 +946,4 @@ def test_keys_are_joined_in_halves(spark, monkeypatch):
         monkeypatch.setattr(E, "HALVES", halves)
         scores.append([x.score for x in E.score(docs, model, tables).orderBy("doc_id").collect()])
     assert steps[:6] == ["drop", "scored", "tails", "drop", "sums", "drop"]
-    assert scores[0] == pytest.approx(scores[1]) == pytest.approx(scores[2])
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
