@@ -337,6 +337,29 @@ def test_same_as_of_properties_and_classes(spark, monkeypatch):
     assert {("a", "p2", "d"), ("a", "p1", "c"), ("a", "a", "Q"), ("d", "sameAs", "b"), ("i", "a", "B"), ("p2", "sameAs", "p1")} <= found[0]
 
 
+def test_groups_of_equal_nodes(spark, monkeypatch):
+    """Pairs are not stored; blocks, asserted pairs, updates and copies give what stored quads would."""
+    from loomgraph.sources import segments
+
+    names = [f"n{i}" for i in range(40)]
+    text = " ".join(f":{names[0]} owl:sameAs :{x} ." for x in names[1:]) + " :x owl:sameAs :y . :y owl:sameAs :x . :n3 :p :y . :y owl:sameAs :y ."
+    want = {(a, "sameAs", b) for a in names for b in names if a != b and a != "n0"} | {(a, "p", b) for a in names for b in "xy"} - {("n3", "p", "y")}
+    monkeypatch.setattr(segments, "BLOCK", 7)
+    monkeypatch.setattr(segments, "PAIRS", 100)
+    monkeypatch.setattr(segments, "FEW_TOLD", 0)
+    s = store(spark, text)
+    told = s.materialize(0, "owl-rl")
+    assert inferred(s) == want and told["inferred_triples_written"] == len(want) == s.quads.where("inferred").count()
+    groups = [x for x in s.store.segments if x.groups]
+    files = spark.read.parquet(f"{s.store.root}/seg={groups[0].name}/members")
+    assert files.count() == len(names) + 2 < groups[0].rows == 40 * 39 - 39
+    assert not s.quads.groupBy("s", "p", "o").count().where("count > 1").count()
+    assert s.materialize(0, "owl-rl")["previous_inferred_dropped"] == len(want) and inferred(s) == want
+    assert s.copy_graph(0, "http://x/copy") == s.count_quads(0)
+    s.update(PRE + f"PREFIX owl: <{T.OWL}> DELETE DATA {{ :n5 owl:sameAs :n6 }}")
+    assert inferred(s) == want - {("n5", "sameAs", "n6")} and not any(x.groups for x in s.store.segments)
+
+
 def test_digest_and_integrity(spark):
     a = store(spark, ":s :p [ :q 1 ], [ :q 2 ] . :t :p \"x\\ny\" .")
     b = store(spark, ":t :p \"x\\ny\" . :s :p [ :q 2 ], [ :q 1 ] .")
