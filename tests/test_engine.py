@@ -479,3 +479,18 @@ def test_segments(spark, tmp_path):
     assert s.quads.count() == 3 + FAN and GraphStore.open(spark, str(tmp_path / "store")).quads.count() == 3 + FAN
     assert GraphStore.build_id().startswith(GraphStore.version())
     assert s.partitioned_digest() == s.partitioned_digest() != s.partitioned_digest(1)
+
+
+def test_few_quads_are_written_by_one_task_but_made_by_many(spark):
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    from loomgraph.sources.quads import with_ids
+
+    task = F.udf(lambda _: str(TaskContext.get().partitionId()))
+    none, iri = F.lit(""), F.lit(T.IRI)
+    rows = spark.range(0, 100, 1, 4).select(iri.alias("s__k"), F.concat(F.lit("urn:s:"), "id").alias("s__x"), F.lit("urn:p").alias("p__x"), iri.alias("o__k"), task("id").alias("o__x"), none.alias("o__d"), none.alias("o__l"), F.lit(0).cast("long").alias("g"))
+    s = GraphStore(spark)
+    found = s.store.frame(s.store.write(with_ids(rows), 100))
+    assert found.count() == 100 and found.select("o__x").distinct().count() == 4
+    assert found.select(F.input_file_name()).distinct().count() == 1
