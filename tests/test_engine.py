@@ -494,3 +494,24 @@ def test_few_quads_are_written_by_one_task_but_made_by_many(spark):
     found = s.store.frame(s.store.write(with_ids(rows), 100))
     assert found.count() == 100 and found.select("o__x").distinct().count() == 4
     assert found.select(F.input_file_name()).distinct().count() == 1
+
+
+def test_negated_paths_read_what_their_ends_name(spark):
+    """Over tables: a bound end reaches the reader, types are edges too, and edges of one pair stand as often as there are.  Stored quads alike."""
+    from loomgraph.engine import Queries
+    from loomgraph.sources.relational import RelationalGraph
+
+    q = Queries(RelationalGraph(spark, "/root/testdata/sf0.001"))
+    ask = lambda t: q.sparql(f"PREFIX c: <urn:c:> {t}")
+    forward = ask("SELECT ?y { <urn:t:nation:3> !(c:n_regionkey|c:within) ?y }")
+    assert rows(forward) == [("3",), ("NATION_3",), ("urn:t:nation",)]
+    backward = ask("SELECT ?x { <urn:t:region:3> !(^c:none) ?x }")
+    assert len(rows(backward)) == 10 and len(set(rows(backward))) == 5
+    for df in (forward, backward):
+        assert df.inputFiles() and all("nation.parquet" in x for x in df.inputFiles())
+    assert rows(ask("SELECT ?y { <urn:t:nation:3> (!(c:n_name|c:n_nationkey))+ ?y }")) == [("3",), ("EUROPE",), ("urn:t:nation",), ("urn:t:region",), ("urn:t:region:3",)]
+    s = store(spark, ":a :p :b ; :q :b , 1 ; :r :a . :b :p :c .")
+    n = lambda p: rows(s.sparql(PRE + f"SELECT * {{ {p} }}"))
+    x = "http://x/"
+    assert n(":a !(:r) ?y") == [("1",), (x + "b",), (x + "b",)] and n("?x !(:q|:p) ?x") == [(x + "a",)] and n(":b !(:q|^:q) ?y") == [(x + "a",), (x + "c",)]
+    assert n(":a (!(:q))+ ?y") == [(x + "a",), (x + "b",), (x + "c",)]
